@@ -1,0 +1 @@
+"""Registered queries, the tables they run on, and the SQL they are compared with."""

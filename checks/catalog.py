@@ -1,0 +1,301 @@
+"""The registered queries. Each takes (spark, folder of tables) and returns a DataFrame.
+
+Measures are rounded where a sum of fractions could differ in its last bit.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from checks import fixture
+from staffcast.functions import calendar, numeric
+from staffcast.operators import allocation, hours, life, planning, projects, rates
+from staffcast.operators.spread import settle
+from staffcast.plans import records, report
+from staffcast.plans.life import life_report
+
+Query = Callable[[SparkSession, str], DataFrame]
+_SAVED = dt.datetime(2021, 7, 6, 17, 15)
+
+
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({
+        name: numeric.round_to(F.col(name), n) for name, n in digits.items()
+    })
+
+
+def function_rates(spark: SparkSession, sf: str) -> DataFrame:
+    table = rates.function_rates(fixture.utilization(spark, sf))
+    return rounded(table, uti_rate=4, attendance_emp=4)
+
+
+def department_rates(spark: SparkSession, sf: str) -> DataFrame:
+    table = rates.department_rates(fixture.utilization(spark, sf))
+    return rounded(table, uti_rate=4, attendance_emp=4)
+
+
+def unit_rates(spark: SparkSession, sf: str) -> DataFrame:
+    table = rates.unit_rates(fixture.utilization(spark, sf))
+    return rounded(table, uti_rate=4, attendance_emp=4)
+
+
+def project_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return rates.project_profile(fixture.utilization(spark, sf, units=False))
+
+
+def headcount_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return planning.headcount_plan(fixture.plan_headcount(spark, sf))
+
+
+def active_titles(spark: SparkSession, sf: str) -> DataFrame:
+    sets = planning.active_titles(fixture.plan_headcount(spark, sf))
+    return sets.select(
+        "scenario_id",
+        *[F.array_join(F.sort_array(c), ",").alias(c) for c in ("DEP", "SUB")],
+    )
+
+
+def history_report(spark: SparkSession, sf: str) -> DataFrame:
+    return report.history_report(fixture.utilization(spark, sf))
+
+
+def history_report_function(spark: SparkSession, sf: str) -> DataFrame:
+    return history_report(spark, sf).where(F.col("Type") == rates.SUB)
+
+
+def history_report_department(spark: SparkSession, sf: str) -> DataFrame:
+    return history_report(spark, sf).where(F.col("Type") == rates.DEP)
+
+
+def _headcount_report(spark: SparkSession, sf: str) -> DataFrame:
+    units = report.prepare_units(fixture.utilization(spark, sf))
+    heads = report.prepare_headcount(fixture.plan_headcount(spark, sf))
+    return report.headcount_report(units, fixture.scenarios(spark, sf), heads)
+
+
+def hc_what_if_function(spark: SparkSession, sf: str) -> DataFrame:
+    return _headcount_report(spark, sf).where(F.col("Type") == rates.SUB)
+
+
+def hc_what_if_department(spark: SparkSession, sf: str) -> DataFrame:
+    return _headcount_report(spark, sf).where(F.col("Type") == rates.DEP)
+
+
+def rate_report(spark: SparkSession, sf: str) -> DataFrame:
+    """All scenarios as if none planned a project: departments and functions."""
+    return _headcount_report(spark, sf)
+
+
+def plan_clean(spark: SparkSession, sf: str) -> DataFrame:
+    plan = planning.typed_projects(fixture.plan_projects(spark, sf))
+    return planning.clean_plan(plan).drop("project_name_old")
+
+
+def _modelled(spark: SparkSession, sf: str) -> DataFrame:
+    plan = planning.clean_plan(planning.typed_projects(fixture.plan_projects(spark, sf)))
+    profile = rates.project_profile(fixture.utilization(spark, sf, units=False))
+    return planning.plan_with_models(plan, profile)
+
+
+def plan_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    plan = planning.clean_plan(planning.typed_projects(fixture.plan_projects(spark, sf)))
+    profile = rates.project_profile(fixture.utilization(spark, sf, units=False))
+    return planning.validate_plan(plan, profile)
+
+
+def scenario_modes(spark: SparkSession, sf: str) -> DataFrame:
+    return planning.scenario_modes(fixture.scenarios(spark, sf), _modelled(spark, sf))
+
+
+def reject_log(spark: SparkSession, sf: str) -> DataFrame:
+    log = records.refused_requests(
+        _modelled(spark, sf), fixture.scenarios(spark, sf), _SAVED
+    )
+    return log.withColumn("save_time", F.date_format("save_time", "yyyy-MM-dd HH:mm"))
+
+
+def project_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    table = planning.project_ratio(_modelled(spark, sf))
+    return rounded(table, hr_ratio=4, mon_ratio=4)
+
+
+def opening_hours(spark: SparkSession, sf: str) -> DataFrame:
+    return hours.opening_hours(fixture.utilization(spark, sf, units=False))
+
+
+def _prorated(spark: SparkSession, sf: str) -> DataFrame:
+    fact = fixture.utilization(spark, sf, units=False)
+    ratios = planning.project_ratio(_modelled(spark, sf))
+    scaled = hours.project_hours(hours.opening_hours(fact), ratios, calendar.last_month(fact))
+    return hours.prorate_start(scaled)
+
+
+_HOUR_KEYS = (
+    "scenario_id", "project_name", "project_code_old", "sub_job_family_2", "date",
+    "start_date", "execute_hour", "execute_month",
+)
+
+
+def project_hours(spark: SparkSession, sf: str) -> DataFrame:
+    table = _prorated(spark, sf).select(*_HOUR_KEYS, "total_hour_pro_func", "add_hour")
+    return rounded(table, add_hour=2)
+
+
+def start_proration(spark: SparkSession, sf: str) -> DataFrame:
+    table = _prorated(spark, sf).select(*_HOUR_KEYS, "start_mth_pct", "add_hour_adj")
+    return rounded(table, start_mth_pct=4, add_hour_adj=2)
+
+
+def tidy_result(spark: SparkSession, sf: str) -> DataFrame:
+    """Project hours with dates as day numbers, as an extract receives them, tidied."""
+    raw = _prorated(spark, sf).select(*_HOUR_KEYS, "add_hour").withColumns({
+        "date": F.unix_date("date"), "start_date": F.unix_date("start_date"),
+    })
+    return records.tidy_result(raw, "project_hours")
+
+
+def _allocated(spark: SparkSession, sf: str, by_department: bool) -> DataFrame:
+    fact = fixture.utilization(spark, sf)
+    modelled = settle(_modelled(spark, sf), "modelled-plan")
+    ratios = planning.project_ratio(modelled)
+    modes = planning.scenario_modes(fixture.scenarios(spark, sf), modelled)
+    scaled = hours.project_hours(hours.opening_hours(fact), ratios, calendar.last_month(fact))
+    month_hours = hours.project_month_hours(hours.prorate_start(scaled))
+    table = rates.department_rates(fact) if by_department else rates.function_rates(fact)
+    return allocation.allocate(
+        month_hours,
+        settle(table, "rates"),
+        planning.headcount_plan(fixture.plan_headcount(spark, sf)),
+        hours.project_passes(ratios).drop("div"),
+        modes.where(F.col("mode") == "projects"),
+    )
+
+
+_ADDED = ("emp_pct", "add_hour_pct", "add_attendance_emp")
+
+
+def allocation_function(spark: SparkSession, sf: str) -> DataFrame:
+    table = _allocated(spark, sf, by_department=False).select(
+        "scenario_id", "project_name", "div", "sub_job_family_2", "date", "hc", "emp", *_ADDED
+    )
+    return rounded(table, emp_pct=4, add_hour_pct=2, add_attendance_emp=2)
+
+
+def allocation_department(spark: SparkSession, sf: str) -> DataFrame:
+    table = _allocated(spark, sf, by_department=True).select(
+        "scenario_id", "project_name", "div", "deptid", "sub_job_family_2", "date", "hc", "emp",
+        *_ADDED,
+    )
+    return rounded(table, emp_pct=4, add_hour_pct=2, add_attendance_emp=2)
+
+
+def allocation_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Sum of the shares of each project, function and month: one, or missing."""
+    table = _allocated(spark, sf, by_department=True)
+    sums = table.groupBy(
+        "scenario_id", "project_name", "div", "sub_job_family_2", "date"
+    ).agg(F.sum("emp_pct").alias("share"), F.count(F.lit(1)).alias("departments"))
+    return rounded(sums, share=4)
+
+
+def _project_report(spark: SparkSession, sf: str) -> DataFrame:
+    fact = fixture.utilization(spark, sf)
+    units = report.prepare_units(fact)
+    heads = report.prepare_headcount(fixture.plan_headcount(spark, sf))
+    plan = report.prepare_projects(
+        fact, units, fixture.scenarios(spark, sf), fixture.plan_projects(spark, sf), heads
+    )
+    return report.project_report(units, plan.scenarios.where(F.col("mode") == "projects"), plan)
+
+
+def project_what_if_function(spark: SparkSession, sf: str) -> DataFrame:
+    return _project_report(spark, sf).where(F.col("Type") == rates.SUB)
+
+
+def project_what_if_department(spark: SparkSession, sf: str) -> DataFrame:
+    return _project_report(spark, sf).where(F.col("Type") == rates.DEP)
+
+
+def scenario_batch(spark: SparkSession, sf: str) -> DataFrame:
+    return report.score_scenarios(
+        fixture.utilization(spark, sf),
+        fixture.scenarios(spark, sf),
+        fixture.plan_projects(spark, sf),
+        fixture.plan_headcount(spark, sf),
+    )
+
+
+def scenario_batch_additive(spark: SparkSession, sf: str) -> DataFrame:
+    """The same batch with departments summed over all functions, equal values included."""
+    return report.score_scenarios(
+        fixture.utilization(spark, sf),
+        fixture.scenarios(spark, sf),
+        fixture.plan_projects(spark, sf),
+        fixture.plan_headcount(spark, sf),
+        additive=True,
+    )
+
+
+def project_month_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return life.project_month_profile(
+        fixture.utilization(spark, sf, units=False),
+        fixture.project_codes(spark, sf),
+        before=fixture.LIFE_BEFORE,
+    )
+
+
+def _life(spark: SparkSession, sf: str):
+    return life_report(
+        fixture.utilization(spark, sf, units=False),
+        fixture.project_codes(spark, sf),
+        before=fixture.LIFE_BEFORE,
+    )
+
+
+def life_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    return _life(spark, sf).projects
+
+
+def life_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return _life(spark, sf).statistics
+
+
+def life_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    return _life(spark, sf).sheet
+
+
+def project_load(spark: SparkSession, sf: str) -> DataFrame:
+    return projects.project_load(fixture.project_info(spark, sf))
+
+
+def project_load_user(spark: SparkSession, sf: str) -> DataFrame:
+    return projects.project_load(fixture.project_info(spark, sf), user_id="000")
+
+
+def project_list(spark: SparkSession, sf: str) -> DataFrame:
+    return projects.parse_project_lines(fixture.project_lines(spark, sf))
+
+
+def purge_user(spark: SparkSession, sf: str) -> DataFrame:
+    return projects.purge_user(fixture.table(spark, sf, "events"), 8).select(
+        "event_id", "user_id", "event_type", "value"
+    )
+
+
+QUERIES: dict[str, Query] = {
+    query.__name__: query
+    for query in (
+        function_rates, department_rates, unit_rates, project_profile, headcount_plan,
+        active_titles, history_report, history_report_function, history_report_department,
+        hc_what_if_function, hc_what_if_department, rate_report, plan_clean, plan_rejects,
+        scenario_modes, reject_log, project_ratio, opening_hours, project_hours,
+        start_proration, tidy_result, allocation_function, allocation_department,
+        allocation_share, project_what_if_function, project_what_if_department,
+        scenario_batch, scenario_batch_additive, project_month_profile, life_pivot,
+        life_statistics, life_sheet, project_load, project_load_user, project_list, purge_user,
+    )
+}

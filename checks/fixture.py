@@ -1,0 +1,208 @@
+"""The driver tables seen as the tables of the planning data model (see FIXTURES.md).
+
+Every mapping uses all rows of its tables.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from staffcast import schemas
+from staffcast.functions import codes
+
+EMPLOYEE_CODES = ("HW", "RF", "OP", "PV", "E4", "ME")
+PLAN_CODES = ("HW", "RF", "OP", "PV", "E4", "ME", "AR")
+LIFE_BEFORE = dt.date(2001, 7, 1)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pick(values: tuple[str, ...], index: Column) -> Column:
+    options = F.array(*[F.lit(v) for v in values])
+    return F.element_at(options, (index % len(values)).cast("int") + 1)
+
+
+def _text(value: Column) -> Column:
+    return value.cast("string")
+
+
+def utilization(spark: SparkSession, sf_dir: str, units: bool = True) -> DataFrame:
+    """One fact row per line item: a supplier is an employee, a part is a project.
+
+    Without ``units`` the division and department are left out, and with them the join
+    to the suppliers. The left join keeps every row and lets Spark drop it from queries
+    that only look for the first or last month.
+    """
+    items = table(spark, sf_dir, "lineitem")
+    part, line = F.col("l_partkey"), F.col("l_linenumber")
+    leaving = (F.col("l_returnflag") == "R") & (line == 7)
+    days = {f"C{i}_day": (part % 50 + 10 * i).cast("double") for i in range(7)}
+    days["C6_day"] = F.when(~leaving, days["C6_day"])
+    function = _pick(EMPLOYEE_CODES, F.col("l_suppkey"))
+    attendance = F.col("l_quantity") + line
+    columns = {
+        "date": F.trunc("l_shipdate", "month"),
+        "emplid": _text(F.col("l_suppkey")),
+        "sub_job_family": function,
+        "sub_job_family_2": codes.planning_function(function),
+        "project_code": F.concat(F.lit("P"), _text(part)),
+        "project_start_stage": F.concat(
+            F.lit("C"), _text(F.when(part % 10 == 3, line % 2).otherwise(part % 7))
+        ),
+        "stage": F.col("l_linestatus"),
+        "pmcs_bu_start_dt": F.add_months(F.lit(dt.date(1994, 7, 1)), (part % 24).cast("int")),
+        **days,
+        "execute_hour": (100 * (part % 90)).cast("double"),
+        "execute_month": (1 + part % 36).cast("double"),
+        "execute_day": (20 * (1 + part % 36) + line).cast("double"),
+        "total_hour": F.col("l_quantity"),
+        "attendance": attendance,
+        "termination_n": F.when(leaving, F.lit(1)).otherwise(F.lit(0)).cast("long"),
+        "utilization_rate_by_div_func": F.col("l_quantity") / attendance,
+        "utilization_rate_by_dep": F.col("l_quantity") / (attendance + 1),
+    }
+    if units:
+        employees = (
+            table(spark, sf_dir, "supplier")
+            .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .select("s_suppkey", "r_name", "n_name")
+        )
+        items = items.join(employees, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        columns |= {"div": F.col("r_name"), "deptid": F.col("n_name")}
+    return items.select(
+        *[columns[n].alias(n) for n in schemas.UTILIZATION.names if n in columns]
+    )
+
+
+def _with_region(rows: DataFrame, spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Name of the region whose key is in column ``region``."""
+    regions = table(spark, sf_dir, "region").select(
+        F.col("r_regionkey").alias("region"), F.col("r_name").alias(name)
+    )
+    return rows.join(regions, "region", "left")
+
+
+def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scenario per customer."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        key.alias("scenario_id"),
+        (key % 5).cast("int").alias("region"),
+        F.concat(F.lit("U"), _text(key % 100)).alias("user_id"),
+    )
+    return _with_region(rows, spark, sf_dir, "division").select(*schemas.SCENARIOS.names)
+
+
+def plan_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One planned project per order, as raw request text.
+
+    The scenario is the customer. A fifth of the rows share one model project; some name
+    no, an unknown, or a too early one; every fourth customer plans no project.
+    """
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    part = F.floor(2 * o / 15)
+    block = part - part % 24
+    start = F.date_add(F.lit(dt.date(2001, 8, 15)), (o % 120).cast("int"))
+    hours = F.floor(F.col("o_totalprice") / 100).cast("long")
+    rows = table(spark, sf_dir, "orders").select(
+        c.alias("scenario_id"),
+        (c % 5).cast("int").alias("region"),
+        F.when((c % 4 == 0) & (o % 2 == 0), F.lit(""))
+        .when((c % 4 == 0), F.lit(None))
+        .when(o % 40 == 0, F.lit(" "))
+        .otherwise(F.concat(F.lit("N"), _text(o)))
+        .alias("project_code"),
+        F.when(o % 25 != 24, F.concat(F.lit("NP"), _text(o % 4))).alias("project_name"),
+        F.when(o % 55 == 3, F.lit(""))
+        .when(o % 5 == 0, F.lit("P30"))
+        .when(o % 90 == 1, F.concat(F.lit("P"), _text(block + part % 6)))
+        .when(o % 130 == 2, F.concat(F.lit("PX"), _text(o)))
+        .otherwise(F.concat(F.lit("P"), _text(block + 6 + part % 18)))
+        .alias("project_code_old"),
+        F.lit(None).cast("string").alias("project_name_old"),
+        F.when(o % 15 == 0, F.lit("0"))
+        .when(o % 15 == 7, F.lit(""))
+        .when(o % 15 != 8, _text(hours))
+        .alias("execute_hour"),
+        F.when(o % 31 == 0, F.lit("0"))
+        .when(o % 31 == 5, F.lit(""))
+        .otherwise(_text(1 + o % 36))
+        .alias("execute_month"),
+        F.when(o % 77 == 5, F.lit(""))
+        .when(o % 2 == 0, F.date_format(start, "yyyy/M/d"))
+        .otherwise(F.date_format(start, "yyyy-MM-dd"))
+        .alias("start_date"),
+    )
+    return _with_region(rows, spark, sf_dir, "division").select(
+        *schemas.PLAN_PROJECTS_RAW.names
+    )
+
+
+def plan_headcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One head count row per order, as raw request text.
+
+    Some are blank or zero, belong to another division, to an unknown department or to
+    no project.
+    """
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    region = (c % 5 + F.when(o % 17 == 0, 1).otherwise(0)) % 5
+    rows = table(spark, sf_dir, "orders").select(
+        c.alias("scenario_id"),
+        region.cast("int").alias("region"),
+        F.when(o % 33 == 4, F.lit(""))
+        .when(o % 10 == 9, F.lit("0"))
+        .otherwise(_text(1 + o % 3))
+        .alias("HC"),
+        F.when(o % 29 == 0, F.lit("NATION_X"))
+        .otherwise(F.concat(F.lit("NATION_"), _text(region + 5 * (o % 5))))
+        .alias("deptid"),
+        F.concat(F.lit("N"), _text(o % 3)).alias("project_code"),
+        F.when(o % 6 == 5, F.lit(""))
+        .otherwise(F.concat(F.lit("NP"), _text(o % 5)))
+        .alias("project_name"),
+        _pick(PLAN_CODES, o).alias("sub_job_family"),
+    )
+    return _with_region(rows, spark, sf_dir, "div").select(*schemas.PLAN_HEADCOUNT_RAW.names)
+
+
+def project_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved projects: one per order, of a thousand users."""
+    o = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("N"), _text(o)).alias("project_code"),
+        F.concat(F.lit("NP"), _text(o % 4)).alias("project_name"),
+        F.when(o % 15 != 8, F.floor(F.col("o_totalprice") / 100).cast("double"))
+        .alias("execute_hour"),
+        (o % 36).cast("double").alias("execute_month"),
+        F.col("o_orderpriority").alias("project_type"),
+        _text(F.col("o_orderdate")).alias("save_time"),
+        F.lpad(_text(F.col("o_custkey") % 1000), 3, "0").alias("user_id"),
+        F.concat(F.lit("P"), _text(o % 50)).alias("project_code_old"),
+        F.lit(None).cast("string").alias("project_name_old"),
+    )
+
+
+def project_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("P"), _text(F.col("p_partkey"))).alias("project_code")
+    )
+
+
+def project_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project list lines, one per part; some hold a code only, some a bad number."""
+    part = F.col("p_partkey")
+    code = F.concat(F.lit("P"), _text(part))
+    return table(spark, sf_dir, "part").select(
+        F.when(part % 20 == 0, F.concat(code, F.lit(",")))
+        .when(part % 20 == 7, F.concat_ws(",", code, F.col("p_name"), F.lit("many"), F.lit("3")))
+        .otherwise(F.concat_ws(
+            ",", code, F.col("p_name"), _text(F.col("p_retailprice")), _text(F.col("p_size"))
+        ))
+        .alias("value")
+    )
