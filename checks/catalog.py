@@ -24,7 +24,7 @@ _SAVED = dt.datetime(2021, 7, 6, 17, 15)
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({
-        name: numeric.round_to(F.col(name), n) for name, n in digits.items()
+        name: F.expr(numeric.round_to(name, n)) for name, n in digits.items()
     })
 
 
@@ -98,13 +98,11 @@ def plan_clean(spark: SparkSession, sf: str) -> DataFrame:
 def _modelled(spark: SparkSession, sf: str) -> DataFrame:
     plan = planning.clean_plan(planning.typed_projects(fixture.plan_projects(spark, sf)))
     profile = rates.project_profile(fixture.utilization(spark, sf, units=False))
-    return planning.plan_with_models(plan, profile)
+    return planning.plan_with_models(planning.plan_rows(plan), profile)
 
 
 def plan_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    plan = planning.clean_plan(planning.typed_projects(fixture.plan_projects(spark, sf)))
-    profile = rates.project_profile(fixture.utilization(spark, sf, units=False))
-    return planning.validate_plan(plan, profile)
+    return planning.validate_plan(_modelled(spark, sf))
 
 
 def scenario_modes(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffcast import schemas
@@ -18,17 +18,31 @@ PLAN_CODES = ("HW", "RF", "OP", "PV", "E4", "ME", "AR")
 LIFE_BEFORE = dt.date(2001, 7, 1)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Schemas of the driver tables that are read.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+              "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+}
 
 
-def _pick(values: tuple[str, ...], index: Column) -> Column:
-    options = F.array(*[F.lit(v) for v in values])
-    return F.element_at(options, (index % len(values)).cast("int") + 1)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _text(value: Column) -> Column:
-    return value.cast("string")
+def _pick(values: tuple[str, ...], index: str) -> str:
+    return f"elt(int({index} % {len(values)}) + 1, {', '.join(repr(v) for v in values)})"
 
 
 def utilization(spark: SparkSession, sf_dir: str, units: bool = True) -> DataFrame:
@@ -38,34 +52,34 @@ def utilization(spark: SparkSession, sf_dir: str, units: bool = True) -> DataFra
     to the suppliers. The left join keeps every row and lets Spark drop it from queries
     that only look for the first or last month.
     """
-    items = table(spark, sf_dir, "lineitem")
-    part, line = F.col("l_partkey"), F.col("l_linenumber")
-    leaving = (F.col("l_returnflag") == "R") & (line == 7)
-    days = {f"C{i}_day": (part % 50 + 10 * i).cast("double") for i in range(7)}
-    days["C6_day"] = F.when(~leaving, days["C6_day"])
-    function = _pick(EMPLOYEE_CODES, F.col("l_suppkey"))
-    attendance = F.col("l_quantity") + line
+    leaving = "(l_returnflag = 'R' AND l_linenumber = 7)"
+    function = _pick(EMPLOYEE_CODES, "l_suppkey")
+    days = {f"C{i}_day": f"double(l_partkey % 50 + {10 * i})" for i in range(7)}
+    days["C6_day"] = f"CASE WHEN NOT {leaving} THEN {days['C6_day']} END"
     columns = {
-        "date": F.trunc("l_shipdate", "month"),
-        "emplid": _text(F.col("l_suppkey")),
+        "date": "trunc(l_shipdate, 'MM')",
+        "emplid": "string(l_suppkey)",
         "sub_job_family": function,
         "sub_job_family_2": codes.planning_function(function),
-        "project_code": F.concat(F.lit("P"), _text(part)),
-        "project_start_stage": F.concat(
-            F.lit("C"), _text(F.when(part % 10 == 3, line % 2).otherwise(part % 7))
-        ),
-        "stage": F.col("l_linestatus"),
-        "pmcs_bu_start_dt": F.add_months(F.lit(dt.date(1994, 7, 1)), (part % 24).cast("int")),
+        "project_code": "concat('P', l_partkey)",
+        "project_start_stage":
+            "concat('C', if(l_partkey % 10 = 3, l_linenumber % 2, l_partkey % 7))",
+        "stage": "l_linestatus",
+        "pmcs_bu_start_dt": "add_months(DATE '1994-07-01', int(l_partkey % 24))",
         **days,
-        "execute_hour": (100 * (part % 90)).cast("double"),
-        "execute_month": (1 + part % 36).cast("double"),
-        "execute_day": (20 * (1 + part % 36) + line).cast("double"),
-        "total_hour": F.col("l_quantity"),
-        "attendance": attendance,
-        "termination_n": F.when(leaving, F.lit(1)).otherwise(F.lit(0)).cast("long"),
-        "utilization_rate_by_div_func": F.col("l_quantity") / attendance,
-        "utilization_rate_by_dep": F.col("l_quantity") / (attendance + 1),
+        "execute_hour": "double(100 * (l_partkey % 90))",
+        "execute_month": "double(1 + l_partkey % 36)",
+        "execute_day": "double(20 * (1 + l_partkey % 36) + l_linenumber)",
+        "total_hour": "l_quantity",
+        "attendance": "l_quantity + l_linenumber",
+        "termination_n": f"bigint(if({leaving}, 1, 0))",
+        "utilization_rate_by_div_func": "l_quantity / (l_quantity + l_linenumber)",
+        "utilization_rate_by_dep": "l_quantity / (l_quantity + l_linenumber + 1)",
+        "div": "r_name",
+        "deptid": "n_name",
     }
+    items = table(spark, sf_dir, "lineitem")
+    names = schemas.UTILIZATION.names
     if units:
         employees = (
             table(spark, sf_dir, "supplier")
@@ -74,10 +88,9 @@ def utilization(spark: SparkSession, sf_dir: str, units: bool = True) -> DataFra
             .select("s_suppkey", "r_name", "n_name")
         )
         items = items.join(employees, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-        columns |= {"div": F.col("r_name"), "deptid": F.col("n_name")}
-    return items.select(
-        *[columns[n].alias(n) for n in schemas.UTILIZATION.names if n in columns]
-    )
+    else:
+        names = [n for n in names if n not in ("div", "deptid")]
+    return items.selectExpr(*[f"{columns[n]} AS {n}" for n in names])
 
 
 def _with_region(rows: DataFrame, spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,11 +103,10 @@ def _with_region(rows: DataFrame, spark: SparkSession, sf_dir: str, name: str) -
 
 def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scenario per customer."""
-    key = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select(
-        key.alias("scenario_id"),
-        (key % 5).cast("int").alias("region"),
-        F.concat(F.lit("U"), _text(key % 100)).alias("user_id"),
+    rows = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS scenario_id",
+        "int(c_custkey % 5) AS region",
+        "concat('U', c_custkey % 100) AS user_id",
     )
     return _with_region(rows, spark, sf_dir, "division").select(*schemas.SCENARIOS.names)
 
@@ -105,39 +117,32 @@ def plan_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     The scenario is the customer. A fifth of the rows share one model project; some name
     no, an unknown, or a too early one; every fourth customer plans no project.
     """
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
-    part = F.floor(2 * o / 15)
-    block = part - part % 24
-    start = F.date_add(F.lit(dt.date(2001, 8, 15)), (o % 120).cast("int"))
-    hours = F.floor(F.col("o_totalprice") / 100).cast("long")
-    rows = table(spark, sf_dir, "orders").select(
-        c.alias("scenario_id"),
-        (c % 5).cast("int").alias("region"),
-        F.when((c % 4 == 0) & (o % 2 == 0), F.lit(""))
-        .when((c % 4 == 0), F.lit(None))
-        .when(o % 40 == 0, F.lit(" "))
-        .otherwise(F.concat(F.lit("N"), _text(o)))
-        .alias("project_code"),
-        F.when(o % 25 != 24, F.concat(F.lit("NP"), _text(o % 4))).alias("project_name"),
-        F.when(o % 55 == 3, F.lit(""))
-        .when(o % 5 == 0, F.lit("P30"))
-        .when(o % 90 == 1, F.concat(F.lit("P"), _text(block + part % 6)))
-        .when(o % 130 == 2, F.concat(F.lit("PX"), _text(o)))
-        .otherwise(F.concat(F.lit("P"), _text(block + 6 + part % 18)))
-        .alias("project_code_old"),
-        F.lit(None).cast("string").alias("project_name_old"),
-        F.when(o % 15 == 0, F.lit("0"))
-        .when(o % 15 == 7, F.lit(""))
-        .when(o % 15 != 8, _text(hours))
-        .alias("execute_hour"),
-        F.when(o % 31 == 0, F.lit("0"))
-        .when(o % 31 == 5, F.lit(""))
-        .otherwise(_text(1 + o % 36))
-        .alias("execute_month"),
-        F.when(o % 77 == 5, F.lit(""))
-        .when(o % 2 == 0, F.date_format(start, "yyyy/M/d"))
-        .otherwise(F.date_format(start, "yyyy-MM-dd"))
-        .alias("start_date"),
+    part = "floor(2 * o_orderkey / 15)"
+    block = f"({part} - {part} % 24)"
+    start = "date_add(DATE '2001-08-15', int(o_orderkey % 120))"
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey AS scenario_id",
+        "int(o_custkey % 5) AS region",
+        """CASE WHEN o_custkey % 4 = 0 AND o_orderkey % 2 = 0 THEN ''
+                WHEN o_custkey % 4 = 0 THEN NULL
+                WHEN o_orderkey % 40 = 0 THEN ' '
+                ELSE concat('N', o_orderkey) END AS project_code""",
+        "CASE WHEN o_orderkey % 25 <> 24 THEN concat('NP', o_orderkey % 4) END AS project_name",
+        f"""CASE WHEN o_orderkey % 55 = 3 THEN ''
+                 WHEN o_orderkey % 5 = 0 THEN 'P30'
+                 WHEN o_orderkey % 90 = 1 THEN concat('P', {block} + {part} % 6)
+                 WHEN o_orderkey % 130 = 2 THEN concat('PX', o_orderkey)
+                 ELSE concat('P', {block} + 6 + {part} % 18) END AS project_code_old""",
+        "CAST(NULL AS STRING) AS project_name_old",
+        """CASE WHEN o_orderkey % 15 = 0 THEN '0' WHEN o_orderkey % 15 = 7 THEN ''
+                WHEN o_orderkey % 15 <> 8 THEN string(bigint(floor(o_totalprice / 100)))
+                END AS execute_hour""",
+        """CASE WHEN o_orderkey % 31 = 0 THEN '0' WHEN o_orderkey % 31 = 5 THEN ''
+                ELSE string(1 + o_orderkey % 36) END AS execute_month""",
+        f"""CASE WHEN o_orderkey % 77 = 5 THEN ''
+                 WHEN o_orderkey % 2 = 0
+                     THEN concat_ws('/', year({start}), month({start}), day({start}))
+                 ELSE string({start}) END AS start_date""",
     )
     return _with_region(rows, spark, sf_dir, "division").select(
         *schemas.PLAN_PROJECTS_RAW.names
@@ -150,59 +155,46 @@ def plan_headcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     Some are blank or zero, belong to another division, to an unknown department or to
     no project.
     """
-    o, c = F.col("o_orderkey"), F.col("o_custkey")
-    region = (c % 5 + F.when(o % 17 == 0, 1).otherwise(0)) % 5
-    rows = table(spark, sf_dir, "orders").select(
-        c.alias("scenario_id"),
-        region.cast("int").alias("region"),
-        F.when(o % 33 == 4, F.lit(""))
-        .when(o % 10 == 9, F.lit("0"))
-        .otherwise(_text(1 + o % 3))
-        .alias("HC"),
-        F.when(o % 29 == 0, F.lit("NATION_X"))
-        .otherwise(F.concat(F.lit("NATION_"), _text(region + 5 * (o % 5))))
-        .alias("deptid"),
-        F.concat(F.lit("N"), _text(o % 3)).alias("project_code"),
-        F.when(o % 6 == 5, F.lit(""))
-        .otherwise(F.concat(F.lit("NP"), _text(o % 5)))
-        .alias("project_name"),
-        _pick(PLAN_CODES, o).alias("sub_job_family"),
+    region = "((o_custkey % 5 + if(o_orderkey % 17 = 0, 1, 0)) % 5)"
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey AS scenario_id",
+        f"int({region}) AS region",
+        """CASE WHEN o_orderkey % 33 = 4 THEN '' WHEN o_orderkey % 10 = 9 THEN '0'
+                ELSE string(1 + o_orderkey % 3) END AS HC""",
+        f"""CASE WHEN o_orderkey % 29 = 0 THEN 'NATION_X'
+                 ELSE concat('NATION_', {region} + 5 * (o_orderkey % 5)) END AS deptid""",
+        "concat('N', o_orderkey % 3) AS project_code",
+        """CASE WHEN o_orderkey % 6 = 5 THEN '' ELSE concat('NP', o_orderkey % 5) END
+                AS project_name""",
+        f"{_pick(PLAN_CODES, 'o_orderkey')} AS sub_job_family",
     )
     return _with_region(rows, spark, sf_dir, "div").select(*schemas.PLAN_HEADCOUNT_RAW.names)
 
 
 def project_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved projects: one per order, of a thousand users."""
-    o = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("N"), _text(o)).alias("project_code"),
-        F.concat(F.lit("NP"), _text(o % 4)).alias("project_name"),
-        F.when(o % 15 != 8, F.floor(F.col("o_totalprice") / 100).cast("double"))
-        .alias("execute_hour"),
-        (o % 36).cast("double").alias("execute_month"),
-        F.col("o_orderpriority").alias("project_type"),
-        _text(F.col("o_orderdate")).alias("save_time"),
-        F.lpad(_text(F.col("o_custkey") % 1000), 3, "0").alias("user_id"),
-        F.concat(F.lit("P"), _text(o % 50)).alias("project_code_old"),
-        F.lit(None).cast("string").alias("project_name_old"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('N', o_orderkey) AS project_code",
+        "concat('NP', o_orderkey % 4) AS project_name",
+        "CASE WHEN o_orderkey % 15 <> 8 THEN double(floor(o_totalprice / 100)) END AS execute_hour",
+        "double(o_orderkey % 36) AS execute_month",
+        "o_orderpriority AS project_type",
+        "string(o_orderdate) AS save_time",
+        "lpad(string(o_custkey % 1000), 3, '0') AS user_id",
+        "concat('P', o_orderkey % 50) AS project_code_old",
+        "CAST(NULL AS STRING) AS project_name_old",
     )
 
 
 def project_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        F.concat(F.lit("P"), _text(F.col("p_partkey"))).alias("project_code")
-    )
+    return table(spark, sf_dir, "part").selectExpr("concat('P', p_partkey) AS project_code")
 
 
 def project_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Project list lines, one per part; some hold a code only, some a bad number."""
-    part = F.col("p_partkey")
-    code = F.concat(F.lit("P"), _text(part))
-    return table(spark, sf_dir, "part").select(
-        F.when(part % 20 == 0, F.concat(code, F.lit(",")))
-        .when(part % 20 == 7, F.concat_ws(",", code, F.col("p_name"), F.lit("many"), F.lit("3")))
-        .otherwise(F.concat_ws(
-            ",", code, F.col("p_name"), _text(F.col("p_retailprice")), _text(F.col("p_size"))
-        ))
-        .alias("value")
+    return table(spark, sf_dir, "part").selectExpr(
+        """CASE WHEN p_partkey % 20 = 0 THEN concat('P', p_partkey, ',')
+                WHEN p_partkey % 20 = 7 THEN concat('P', p_partkey, ',', p_name, ',many,3')
+                ELSE concat('P', p_partkey, ',', p_name, ',', p_retailprice, ',', p_size)
+                END AS value"""
     )

@@ -47,37 +47,30 @@ def month_number(date: Column, end: Column) -> Column:
     return (months + REPORT_MONTHS).cast("int")
 
 
-def parse_day(text: Column) -> Column:
-    """Date from ``2021/8/1`` or ISO text; anything else is missing."""
-    text = F.trim(text)
-    return F.coalesce(
-        F.try_to_date(text, "yyyy-M-d"),
-        F.try_to_date(text, "yyyy/M/d"),
-    )
+def parse_day(text: str) -> str:
+    """Date that text starts with, as ``2021/8/1`` or ISO; anything else is missing."""
+    day = rf"regexp_extract(trim({text}), r'^\d{{4}}([-/])\d{{1,2}}\1\d{{1,2}}', 0)"
+    return f"try_cast(replace({day}, '/', '-') AS DATE)"
 
 
-def parse_local_time(text: Column) -> Column:
+def parse_local_time(text: str) -> str:
     """Timestamp from text with a Chinese half-day mark, such as ``2021/7/6 下午05:15``."""
-    english = F.replace(F.replace(text, F.lit("上午"), F.lit("AM ")), F.lit("下午"), F.lit("PM "))
-    return F.try_to_timestamp(english, F.lit("yyyy/M/d a hh:mm"))
+    english = f"replace(replace({text}, '上午', 'AM '), '下午', 'PM ')"
+    return f"try_to_timestamp({english}, 'yyyy/M/d a hh:mm')"
 
 
-def epoch_day(days: Column) -> Column:
+def epoch_day(days: str) -> str:
     """Date from a day number counted from 1970-01-01."""
-    return F.date_from_unix_date(days.cast("int"))
+    return f"date_from_unix_date(int({days}))"
 
 
-def start_share(month: Column, start: Column) -> Column:
+def start_share(month: str, start: str) -> str:
     """Part of a month in which a project that starts on ``start`` is worked on.
 
     Months on or after the start count fully, the month of the start by the days left
     after it, earlier months not at all. A missing start gives a missing share.
     """
-    days = F.dayofmonth(F.last_day(start))
-    left = 1 - F.dayofmonth(start) / days
-    return (
-        F.when(start.isNull(), F.lit(None).cast("double"))
-        .when(month >= start, F.lit(1.0))
-        .when(month == F.trunc(start, "month"), left)
-        .otherwise(F.lit(0.0))
-    )
+    return f"""CASE WHEN {start} IS NULL THEN CAST(NULL AS DOUBLE)
+        WHEN {month} >= {start} THEN 1D
+        WHEN {month} = trunc({start}, 'MM') THEN 1 - day({start}) / day(last_day({start}))
+        ELSE 0D END"""

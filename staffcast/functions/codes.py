@@ -1,10 +1,7 @@
-"""Text codes of job functions, and blank text."""
+"""Text codes of job functions, and blank text, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Job functions that are planned together, and the name they are planned under.
 MERGED_FUNCTIONS = ("AR", "HW", "OP", "RF", "RX")
 MERGED_NAME = "RH"
@@ -14,15 +11,15 @@ RENAMED_NAME = "E4"
 INVALID_CODE_MESSAGE = "Invalid project code!!"
 
 
-def planning_function(code: Column) -> Column:
+def planning_function(code: str) -> str:
     """Function a job code is planned under."""
+    merged = ", ".join(f"'{c}'" for c in MERGED_FUNCTIONS)
     return (
-        F.when(code.isin(*MERGED_FUNCTIONS), F.lit(MERGED_NAME))
-        .when(code == RENAMED_FUNCTION, F.lit(RENAMED_NAME))
-        .otherwise(code)
+        f"CASE WHEN {code} IN ({merged}) THEN '{MERGED_NAME}' "
+        f"WHEN {code} = '{RENAMED_FUNCTION}' THEN '{RENAMED_NAME}' ELSE {code} END"
     )
 
 
-def is_filled(text: Column) -> Column:
-    """True for text that is neither missing nor empty; never NULL."""
-    return text.isNotNull() & (F.trim(F.coalesce(text, F.lit(""))) != "")
+def is_filled(text: str) -> str:
+    """True for text that is neither missing nor blank; never NULL."""
+    return f"trim(coalesce({text}, '')) <> ''"

@@ -1,72 +1,68 @@
-"""Numbers: rounding, safe division and aggregates that keep missing values visible."""
+"""Numbers: rounding, safe division and aggregates that keep missing values visible.
 
-from __future__ import annotations
+The helpers take and return SQL text, for ``selectExpr`` and ``expr``.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # Beyond this size a double has no digits left that rounding to cents could change,
 # and a decimal(18,6) would overflow.
-_DECIMAL_LIMIT = 1e12
+_DECIMAL_LIMIT = "1e12D"
 
 
-def round_to(value: Column, digits: int) -> Column:
+def round_to(value: str, digits: int) -> str:
     """Round half up on the decimal value.
 
     The detour over six decimals removes binary noise first, so 2.675 gives 2.68.
     """
-    exact = F.round(value.cast("decimal(18,6)"), digits).cast("double")
-    return F.when(F.abs(value) < _DECIMAL_LIMIT, exact).otherwise(F.round(value, digits))
+    exact = f"double(round(CAST({value} AS DECIMAL(18,6)), {digits}))"
+    return (
+        f"CASE WHEN abs({value}) < {_DECIMAL_LIMIT} THEN {exact} "
+        f"ELSE round({value}, {digits}) END"
+    )
 
 
-def round2(value: Column) -> Column:
+def round2(value: str) -> str:
     return round_to(value, 2)
 
 
-def safe_div(numerator: Column, denominator: Column) -> Column:
+def safe_div(numerator: str, denominator: str) -> str:
     """Quotient, or NULL for a zero denominator (ANSI division would fail the job)."""
-    return F.try_divide(numerator.cast("double"), denominator.cast("double"))
+    return f"try_divide(double({numerator}), double({denominator}))"
 
 
-def parse_number(text: Column) -> Column:
+def parse_number(text: str) -> str:
     """Number in a text column; blank or malformed text is missing."""
-    return F.trim(text.cast("string")).try_cast("double")
+    return f"try_cast(trim(string({text})) AS DOUBLE)"
 
 
-def or_zero(value: Column) -> Column:
+def or_zero(value: str) -> str:
     """Missing (NULL or NaN) as zero."""
-    return F.coalesce(F.nanvl(value.cast("double"), F.lit(None).cast("double")), F.lit(0.0))
-
-
-def _complete(value: Column) -> Column:
-    return F.count(value) == F.count(F.lit(1))
+    return f"coalesce(nanvl(double({value}), CAST(NULL AS DOUBLE)), 0D)"
 
 
-def strict_sum(value: Column) -> Column:
-    """Sum that is missing when any row of the group is missing."""
-    return F.when(_complete(value), F.sum(value).cast("double"))
+def strict(aggregate: str, value: str) -> str:
+    """Aggregate that is missing when the value is missing in any row of the group."""
+    return f"CASE WHEN count({value}) = count(1) THEN {aggregate} END"
 
 
-def strict_avg(value: Column) -> Column:
-    """Mean that is missing when any row of the group is missing."""
-    return F.when(_complete(value), F.avg(value))
+def strict_sum(value: str) -> str:
+    return strict(f"double(sum({value}))", value)
 
 
-def strict_max(value: Column) -> Column:
-    """Maximum that is missing when any row of the group is missing."""
-    return F.when(_complete(value), F.max(value))
+def strict_avg(value: str) -> str:
+    return strict(f"avg({value})", value)
 
 
-def strict_sum_distinct(value: Column) -> Column:
-    """Sum of the distinct values, missing when any row of the group is missing."""
-    return F.when(_complete(value), F.sum_distinct(value).cast("double"))
+def strict_sum_distinct(value: str) -> str:
+    return strict(f"double(sum(DISTINCT {value}))", value)
 
 
-def distinct_with_missing(value: Column) -> Column:
+def distinct_with_missing(value: str) -> str:
     """Exact distinct count in which missing counts as one more value."""
-    return F.count_distinct(value) + F.max(value.isNull().cast("long"))
+    return f"count(DISTINCT {value}) + max(bigint({value} IS NULL))"
 
 
-def lenient_sum(value: Column) -> Column:
+def lenient_sum(value: str) -> str:
     """Sum of the present values, zero for none."""
-    return F.coalesce(F.sum(value.cast("double")), F.lit(0.0))
+    return f"coalesce(sum(double({value})), 0D)"

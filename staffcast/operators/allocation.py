@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from staffcast.functions import numeric
@@ -25,29 +24,23 @@ def allocate(
     This is the detailed listing; the what-if operators sum it without building it.
     """
     unit = [c for c in ("div", "deptid", "sub_job_family_2") if c in rates.columns]
-    staff = (
-        headcount.groupBy("scenario_id", "project_name", *unit)
-        .agg(numeric.lenient_sum(F.col("hc")).alias("hc"))
+    staff = headcount.groupBy("scenario_id", "project_name", *unit).agg(
+        F.expr(f"{numeric.lenient_sum('hc')} AS hc")
     )
     wanted = projects.join(
-        scenarios.select("scenario_id", F.col("division").alias("div")), "scenario_id"
+        scenarios.selectExpr("scenario_id", "division AS div"), "scenario_id"
     )
     units = salted_join(wanted, rates, ["div"], spread_by=["scenario_id", "project_name"])
-    group = W.partitionBy("scenario_id", "project_name", "div", "sub_job_family_2", "date")
+    over = "OVER (PARTITION BY scenario_id, project_name, div, sub_job_family_2, date)"
+    complete = f"count(emp) {over} = count(1) {over}"
     return (
         units.join(staff, ["scenario_id", "project_name", *unit], "left")
         .join(month_hours, ["scenario_id", "project_name", "sub_job_family_2", "date"], "left")
-        .withColumn("hc", F.coalesce("hc", F.lit(0.0)))
-        .withColumn("emp", F.col("emp_cnt") + F.col("hc"))
-        .withColumn("emp_all", F.sum("emp").over(group))
-        .withColumn("emp_known", F.count("emp").over(group) == F.count(F.lit(1)).over(group))
-        .withColumn(
-            "emp_pct",
-            F.when(F.col("emp_known"), numeric.safe_div(F.col("emp"), F.col("emp_all"))),
-        )
-        .withColumns({
-            "add_hour_pct": F.col("add_hour_adj") * F.col("emp_pct"),
-            "add_attendance_emp": F.col("attendance_emp") * F.col("hc") * F.col("passes"),
-        })
-        .drop("emp_all", "emp_known")
+        .withColumn("hc", F.expr("coalesce(hc, 0D)"))
+        .withColumn("emp", F.expr("emp_cnt + hc"))
+        .withColumn("emp_all", F.expr(f"CASE WHEN {complete} THEN sum(emp) {over} END"))
+        .withColumn("emp_pct", F.expr(numeric.safe_div("emp", "emp_all")))
+        .withColumn("add_hour_pct", F.expr("add_hour_adj * emp_pct"))
+        .withColumn("add_attendance_emp", F.expr("attendance_emp * hc * passes"))
+        .drop("emp_all")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from staffcast.functions import calendar, numeric
-from staffcast.operators.spread import salted_join
+from staffcast.operators.spread import hot_join, hot_keys
 
 OPENING_MONTHS = 3
 
@@ -21,9 +21,9 @@ def opening_hours(fact: DataFrame) -> DataFrame:
     active = W.partitionBy("project_code", "sub_job_family_2").orderBy("date")
     return (
         fact.groupBy("project_code", "sub_job_family_2", "date")
-        .agg(numeric.strict_sum(F.col("total_hour")).alias("total_hour_pro_func"))
+        .agg(F.expr(f"{numeric.strict_sum('total_hour')} AS total_hour_pro_func"))
         .withColumn("n", F.row_number().over(active))
-        .where(F.col("n") <= OPENING_MONTHS)
+        .where(f"n <= {OPENING_MONTHS}")
         .drop("date")
     )
 
@@ -34,27 +34,21 @@ def project_hours(opening: DataFrame, ratios: DataFrame, end: Column) -> DataFra
     The n-th active month of the old project becomes the n-th outlook month, scaled by
     the size and duration of the new project.
     """
-    month = (F.col("n") + calendar.REPORT_MONTHS - OPENING_MONTHS).cast("int")
-    return salted_join(
-        ratios,
-        opening.withColumnRenamed("project_code", "project_code_old"),
-        ["project_code_old"],
-    ).withColumns({
-        "month_no": month,
-        "date": calendar.month_date(month, end),
-        "add_hour": numeric.safe_div(
-            F.col("total_hour_pro_func") * F.col("hr_ratio"), F.col("mon_ratio")
-        ),
-    }).drop("n")
+    key = ["project_code_old"]
+    models = opening.withColumnRenamed("project_code", "project_code_old").withColumn(
+        "month_no", F.expr(f"n + {calendar.REPORT_MONTHS - OPENING_MONTHS}")
+    ).withColumn("date", calendar.month_date(F.col("month_no"), end)).drop("n")
+    add_hour = numeric.safe_div("total_hour_pro_func * hr_ratio", "mon_ratio")
+    return hot_join(ratios, models, hot_keys(ratios, key), key).withColumn(
+        "add_hour", F.expr(add_hour)
+    )
 
 
 def prorate_start(hours: DataFrame) -> DataFrame:
     """Hours reduced to the part of each month after the start of the project."""
-    share = calendar.start_share(F.col("date"), F.col("start_date"))
-    return hours.withColumns({
-        "start_mth_pct": share,
-        "add_hour_adj": F.col("add_hour") * share,
-    })
+    return hours.withColumn(
+        "start_mth_pct", F.expr(calendar.start_share("date", "start_date"))
+    ).withColumn("add_hour_adj", F.expr("add_hour * start_mth_pct"))
 
 
 def project_month_hours(prorated: DataFrame) -> DataFrame:
@@ -64,7 +58,7 @@ def project_month_hours(prorated: DataFrame) -> DataFrame:
     stage, and every pass adds its hours.
     """
     return prorated.groupBy("scenario_id", "project_name", "sub_job_family_2", "date").agg(
-        numeric.lenient_sum(F.col("add_hour_adj") * F.col("stage_rows")).alias("add_hour_adj")
+        F.expr(f"{numeric.lenient_sum('add_hour_adj * stage_rows')} AS add_hour_adj")
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from staffcast import schemas
 from staffcast.functions import numeric
+from staffcast.operators.spread import keep_listed
 
 # The function and cut-off that are profiled, the number of month columns,
 # and the statistics with the open hour ranges that are counted.
@@ -36,26 +37,27 @@ def project_month_profile(
 ) -> DataFrame:
     """Entries and hours of the listed projects by month, stage and start date.
 
-    The fact is combined before the list is applied: the semi join then sees one row
-    per project and month, however many entries a project has.
+    A short list filters the fact while it is read. A long one is applied to the
+    combined rows: one per project and month, however many entries a project has.
     """
+    wanted = (F.col("sub_job_family_2") == function) & (F.col("date") < F.lit(before))
     grouped = (
-        fact.where((F.col("sub_job_family_2") == function) & (F.col("date") < F.lit(before)))
+        keep_listed(fact.where(wanted), projects, "project_code")
         .groupBy(
             *_LIFE, "date", F.col("project_start_stage").alias("start_stage"), "stage",
             "pmcs_bu_start_dt",
         )
         .agg(
-            *[F.avg(c).alias(c) for c in schemas.STAGE_DAYS],
-            F.count(F.lit(1)).alias("cnt"),
-            F.sum("total_hour").alias("sum_hour"),
+            *[F.expr(f"avg({c}) AS {c}") for c in schemas.STAGE_DAYS],
+            F.expr("count(1) AS cnt"),
+            F.expr("sum(total_hour) AS sum_hour"),
         )
     )
     return (
         grouped.join(projects.select("project_code"), "project_code", "left_semi")
         .withColumn(
             "hour_per_cnt",
-            numeric.round_to(numeric.safe_div(F.col("sum_hour"), F.col("cnt")), 1),
+            F.expr(numeric.round_to(numeric.safe_div("sum_hour", "cnt"), 1)),
         )
         .withColumn("No", F.row_number().over(W.partitionBy("project_code").orderBy(
             "sub_job_family_2", *_ROW_ORDER
@@ -77,22 +79,23 @@ def life_width(months: DataFrame) -> int:
 
 def life_pivot(months: DataFrame, width: int = LIFE_MONTHS) -> DataFrame:
     """One row per project: first and last month, start, and the hours side by side."""
-    first = F.col("ordinal") == 1
+
+    def at(n: int, value: str, name: str) -> Column:
+        return F.expr(f"max(CASE WHEN ordinal = {n} THEN {value} END) AS `{name}`")
+
     return months.groupBy(*_LIFE).agg(
-        F.max(F.when(first, F.col("start_stage"))).alias("start_stage"),
-        F.max(F.when(first, F.col("pmcs_bu_start_dt"))).alias("pmcs_bu_start_dt"),
-        F.min("date").alias("date_fst"),
-        F.max("date").alias("date_lst"),
-        *[
-            F.max(F.when(F.col("ordinal") == n, F.col("hour_per_cnt"))).alias(str(n))
-            for n in range(1, width + 1)
-        ],
+        at(1, "start_stage", "start_stage"),
+        at(1, "pmcs_bu_start_dt", "pmcs_bu_start_dt"),
+        F.expr("min(date) AS date_fst"),
+        F.expr("max(date) AS date_lst"),
+        *[at(n, "hour_per_cnt", str(n)) for n in range(1, width + 1)],
     )
 
 
-def _in_range(value: Column, low: int | None, high: int) -> Column:
+def _in_range(low: int | None, high: int) -> str:
     """Strictly between the bounds: the bounds themselves are in no range."""
-    return (value < high) if low is None else (value > low) & (value < high)
+    above = "" if low is None else f"hour_per_cnt > {low} AND "
+    return f"double(count_if({above}hour_per_cnt < {high}))"
 
 
 def life_statistics(months: DataFrame, width: int = LIFE_MONTHS) -> DataFrame:
@@ -101,32 +104,25 @@ def life_statistics(months: DataFrame, width: int = LIFE_MONTHS) -> DataFrame:
     The mean takes a project that did not live so long as zero; the others skip it.
     Statistics are made per month of life and turned into one row each at the end.
     """
-    value = F.col("hour_per_cnt")
-    projects = months.where(F.col("ordinal") == 1).agg(F.count(F.lit(1))).scalar()
+    projects = months.where("ordinal = 1").agg(F.count(F.lit(1))).scalar()
     by_month = months.groupBy("ordinal").agg(
-        F.max(value).alias("max"),
-        F.min(value).alias("min"),
-        F.sum(value).alias("sum"),
-        *[F.count_if(_in_range(value, *b)).cast("double").alias(n) for n, b in RANGES.items()],
-    ).withColumn(
-        "mean", numeric.round_to(numeric.safe_div(numeric.or_zero(F.col("sum")), projects), 1)
+        F.expr("max(hour_per_cnt) AS max"),
+        F.expr("min(hour_per_cnt) AS min"),
+        F.expr("sum(hour_per_cnt) AS sum"),
+        *[F.expr(f"{_in_range(*bounds)} AS {name}") for name, bounds in RANGES.items()],
+    ).withColumn("projects", projects).withColumn(
+        "mean", F.expr(numeric.round_to(numeric.safe_div("coalesce(sum, 0)", "projects"), 1))
     )
     names = ["max", "min", "mean", *RANGES]
-    long = by_month.drop("sum").unpivot("ordinal", names, "statistic", "value")
-    wide = long.groupBy("statistic").agg(*[
-        F.max(F.when(F.col("ordinal") == n, F.col("value"))).alias(str(n))
+    long = by_month.unpivot("ordinal", names, "statistic", "value")
+    # A month no project reached has no extremes, a mean of zero and empty ranges.
+    none = "CASE WHEN statistic IN ('max', 'min') THEN CAST(NULL AS DOUBLE) ELSE 0D END"
+    return long.groupBy("statistic").agg(*[
+        F.expr(
+            f"coalesce(max(CASE WHEN ordinal = {n} THEN value END), {none}) AS `{n}`"
+        )
         for n in range(1, width + 1)
     ])
-    # A month no project reached has no extremes, a mean of zero and empty ranges.
-    extreme = F.col("statistic").isin("max", "min")
-    return wide.select(
-        "statistic",
-        *[
-            F.when(extreme, F.col(f"`{n}`")).otherwise(numeric.or_zero(F.col(f"`{n}`")))
-            .alias(str(n))
-            for n in range(1, width + 1)
-        ],
-    )
 
 
 def life_sheet(pivot: DataFrame, statistics: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staffcast.functions import calendar, codes, numeric
-from staffcast.operators.spread import salted_join
+from staffcast.operators.spread import hot_join, hot_keys
 
 HEADCOUNT_KEYS = (
     "scenario_id", "div", "deptid", "project_code", "project_name", "sub_job_family_2",
@@ -19,36 +19,44 @@ def typed_projects(raw: DataFrame) -> DataFrame:
     A missing name is the empty name, which head count with an empty name matches.
     """
     return raw.withColumns({
-        "project_name": F.coalesce(F.col("project_name"), F.lit("")),
-        "execute_hour": numeric.parse_number(F.col("execute_hour")),
-        "execute_month": numeric.parse_number(F.col("execute_month")),
-        "start_date": calendar.parse_day(F.col("start_date")),
+        "project_name": F.expr("coalesce(project_name, '')"),
+        "execute_hour": F.expr(numeric.parse_number("execute_hour")),
+        "execute_month": F.expr(numeric.parse_number("execute_month")),
+        "start_date": F.expr(calendar.parse_day("start_date")),
     })
 
 
 def clean_plan(projects: DataFrame) -> DataFrame:
     """Planned projects that name both a new and an old project."""
-    return projects.where(
-        codes.is_filled(F.col("project_code")) & codes.is_filled(F.col("project_code_old"))
+    return projects.where(codes.is_filled("project_code")).where(
+        codes.is_filled("project_code_old")
     )
 
 
+def plan_rows(plan: DataFrame) -> DataFrame:
+    """What a planned project counts with; repeated rows of one plan count once."""
+    return plan.selectExpr(
+        "scenario_id", "division AS div", "project_name", "project_code_old",
+        "execute_hour", "execute_month", "start_date",
+    ).distinct()
+
+
 def headcount_plan(raw: DataFrame) -> DataFrame:
     """Head count by scenario, unit, project and planned function."""
     return (
         raw.withColumns({
-            "HC": numeric.parse_number(F.col("HC")),
-            "sub_job_family_2": codes.planning_function(F.col("sub_job_family")),
+            "HC": F.expr(numeric.parse_number("HC")),
+            "sub_job_family_2": F.expr(codes.planning_function("sub_job_family")),
         })
         .groupBy(*HEADCOUNT_KEYS)
-        .agg(numeric.strict_sum(F.col("HC")).alias("hc"))
+        .agg(F.expr(f"{numeric.strict_sum('HC')} AS hc"))
     )
 
 
 def active_titles(raw: DataFrame) -> DataFrame:
     """Departments and functions for which a scenario plans head count above zero."""
     return (
-        raw.where(numeric.parse_number(F.col("HC")) > 0)
+        raw.where(f"{numeric.parse_number('HC')} > 0")
         .groupBy("scenario_id")
         .agg(
             F.collect_set("deptid").alias("DEP"),
@@ -57,33 +65,30 @@ def active_titles(raw: DataFrame) -> DataFrame:
     )
 
 
-def plan_with_models(plan: DataFrame, profile: DataFrame) -> DataFrame:
-    """Clean planned projects with the effort of the old project each is modelled on.
+def plan_with_models(rows: DataFrame, profile: DataFrame) -> DataFrame:
+    """Plan rows with the effort of the old project each is modelled on.
 
-    Repeated rows of one plan count once. ``stage_rows`` is NULL for a code that is not
-    among the profiled projects.
+    ``stage_rows`` is NULL for a code that is not among the profiled projects. Very many
+    scenarios may share one model project: its rows are salted.
     """
     models = profile.groupBy("project_code").agg(
         F.max("execute_hour").alias("old_hour"),
         F.max("execute_month").alias("old_month"),
         F.max("stage_rows").alias("stage_rows"),
     ).withColumnRenamed("project_code", "project_code_old")
-    rows = plan.select(
-        "scenario_id", F.col("division").alias("div"), "project_name", "project_code_old",
-        "execute_hour", "execute_month", "start_date",
-    ).distinct()
-    return salted_join(rows, models, ["project_code_old"], "left")
+    key = ["project_code_old"]
+    return hot_join(rows, models, hot_keys(rows, key), key, "left")
 
 
 def invalid_rows(modelled: DataFrame) -> DataFrame:
     """Planned projects whose old project is unknown or started before the fact."""
-    return modelled.where(F.col("stage_rows").isNull())
+    return modelled.where("stage_rows IS NULL")
 
 
-def validate_plan(plan: DataFrame, profile: DataFrame) -> DataFrame:
+def validate_plan(modelled: DataFrame) -> DataFrame:
     """Codes a scenario is refused for: one row per scenario and unknown code."""
     return (
-        invalid_rows(plan_with_models(plan, profile))
+        invalid_rows(modelled)
         .groupBy("scenario_id", "project_code_old")
         .agg(F.lit(codes.INVALID_CODE_MESSAGE).alias("error_msg"))
     )
@@ -95,15 +100,12 @@ def project_ratio(modelled: DataFrame) -> DataFrame:
     A new value that is zero or missing means "like the old project", ratio 1.
     """
 
-    def ratio(new: str, old: str) -> Column:
-        value = F.col(new)
-        return F.when(value.isNull() | (value == 0), F.lit(1.0)).otherwise(
-            numeric.safe_div(value, F.col(old))
-        )
+    def ratio(new: str, old: str) -> str:
+        return f"CASE WHEN {new} IS NULL OR {new} = 0 THEN 1D ELSE {numeric.safe_div(new, old)} END"
 
-    return modelled.where(F.col("stage_rows").isNotNull()).withColumns({
-        "hr_ratio": ratio("execute_hour", "old_hour"),
-        "mon_ratio": ratio("execute_month", "old_month"),
+    return modelled.where("stage_rows IS NOT NULL").withColumns({
+        "hr_ratio": F.expr(ratio("execute_hour", "old_hour")),
+        "mon_ratio": F.expr(ratio("execute_month", "old_month")),
     })
 
 
@@ -114,16 +116,13 @@ def scenario_modes(scenarios: DataFrame, modelled: DataFrame) -> DataFrame:
     with very many rows costs no more than any other.
     """
     counts = modelled.groupBy("scenario_id").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("stage_rows").isNull()).alias("unknown"),
+        F.expr("count(1) AS planned"), F.expr("count_if(stage_rows IS NULL) AS unknown")
     )
     return (
         scenarios.join(counts, "scenario_id", "left")
-        .withColumn(
-            "mode",
-            F.when(F.col("unknown") > 0, F.lit("refused"))
-            .when(F.col("rows") > 0, F.lit("projects"))
-            .otherwise(F.lit("headcount")),
-        )
-        .drop("rows", "unknown")
+        .withColumn("mode", F.expr(
+            "CASE WHEN unknown > 0 THEN 'refused' WHEN planned > 0 THEN 'projects' "
+            "ELSE 'headcount' END"
+        ))
+        .drop("planned", "unknown")
     )

@@ -16,17 +16,14 @@ def project_load(info: DataFrame, user_id: str | None = None) -> DataFrame:
     """Hours per month and per day of the saved projects, of one user or of all."""
     if user_id is not None:
         info = info.where(F.col("user_id") == user_id)
-    per_month = F.col("execute_hour_per_month")
+    per_month = numeric.round2(numeric.safe_div("execute_hour", "execute_month"))
 
     def per_day(days: int) -> Column:
-        return numeric.round2(per_month / days)
+        return F.expr(numeric.round2(f"(execute_hour_per_month / {days})"))
 
     return (
         info.drop(*DROPPED)
-        .withColumn(
-            "execute_hour_per_month",
-            numeric.round2(numeric.safe_div(F.col("execute_hour"), F.col("execute_month"))),
-        )
+        .withColumn("execute_hour_per_month", F.expr(per_month))
         .withColumns({
             "execute_hour_per_day_20": per_day(WORKING_DAYS),
             "execute_hour_per_day_30": per_day(CALENDAR_DAYS),
@@ -40,25 +37,18 @@ def parse_project_lines(lines: DataFrame) -> DataFrame:
 
     Lines of a plain code list have a code only: they are kept and not valid as models.
     """
-    parts = F.split("value", ",")
 
-    def field(i: int) -> Column:
-        return F.try_element_at(parts, F.lit(i))
-
-    fields = lines.where(F.trim("value") != "").select(
-        F.trim(field(1)).alias("project_code"),
-        F.trim(field(2)).alias("project_name"),
-        numeric.parse_number(field(3)).alias("execute_hour"),
-        numeric.parse_number(field(4)).alias("execute_month"),
-        F.size(parts).alias("fields"),
-    )
-    return fields.select(
-        "project_code", "project_name", "execute_hour", "execute_month",
-        (
-            (F.col("fields") == 4)
-            & F.col("execute_hour").isNotNull()
-            & F.col("execute_month").isNotNull()
-        ).alias("is_valid"),
+    def field(i: int) -> str:
+        return f"try_element_at(split(value, ','), {i})"
+
+    hours, months = numeric.parse_number(field(3)), numeric.parse_number(field(4))
+    return lines.where("trim(value) <> ''").selectExpr(
+        f"trim({field(1)}) AS project_code",
+        f"trim({field(2)}) AS project_name",
+        f"{hours} AS execute_hour",
+        f"{months} AS execute_month",
+        f"size(split(value, ',')) = 4 AND {hours} IS NOT NULL AND {months} IS NOT NULL "
+        "AS is_valid",
     )
 
 

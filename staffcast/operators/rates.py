@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from staffcast import schemas
@@ -15,15 +14,20 @@ DEP, SUB = "DEP", "SUB"
 FUNCTION_KEYS = ("div", "sub_job_family_2", "date")
 DEPARTMENT_KEYS = ("div", "deptid", "sub_job_family_2", "date")
 
+# Employees of the month less those about to leave.
+_EMPLOYEES = (
+    f"double({numeric.distinct_with_missing('emplid')} - "
+    f"{numeric.strict_sum('termination_n')}) AS emp_cnt"
+)
+_ATTENDANCE_EMP = f"{numeric.strict_avg('attendance')} AS attendance_emp"
 
-def _recent(fact: DataFrame, end: Column) -> DataFrame:
-    return fact.where(F.col("date") >= F.add_months(end, 1 - calendar.REPORT_MONTHS))
+
+def _aggregates(*texts: str) -> list[Column]:
+    return [F.expr(text) for text in texts]
 
 
-def _employees() -> Column:
-    """Employees of the month less those about to leave."""
-    leaving = numeric.strict_sum(F.col("termination_n"))
-    return (numeric.distinct_with_missing(F.col("emplid")) - leaving).cast("double")
+def _recent(fact: DataFrame, end: Column) -> DataFrame:
+    return fact.where(F.col("date") >= F.add_months(end, 1 - calendar.REPORT_MONTHS))
 
 
 def function_rates(fact: DataFrame, end: dt.date | Column | None = None) -> DataFrame:
@@ -31,13 +35,13 @@ def function_rates(fact: DataFrame, end: dt.date | Column | None = None) -> Data
     return (
         _recent(fact, calendar.anchor(fact, end))
         .groupBy(*FUNCTION_KEYS)
-        .agg(
-            numeric.strict_avg(F.col("utilization_rate_by_div_func")).alias("uti_rate"),
-            numeric.strict_sum(F.col("total_hour")).alias("total_hour_func"),
-            numeric.strict_sum(F.col("attendance")).alias("attendance_func"),
-            _employees().alias("emp_cnt"),
-            numeric.strict_avg(F.col("attendance")).alias("attendance_emp"),
-        )
+        .agg(*_aggregates(
+            f"{numeric.strict_avg('utilization_rate_by_div_func')} AS uti_rate",
+            f"{numeric.strict_sum('total_hour')} AS total_hour_func",
+            f"{numeric.strict_sum('attendance')} AS attendance_func",
+            _EMPLOYEES,
+            _ATTENDANCE_EMP,
+        ))
     )
 
 
@@ -46,12 +50,12 @@ def department_rates(fact: DataFrame, end: dt.date | Column | None = None) -> Da
     return (
         _recent(fact, calendar.anchor(fact, end))
         .groupBy(*DEPARTMENT_KEYS)
-        .agg(
-            numeric.strict_avg(F.col("utilization_rate_by_dep")).alias("uti_rate"),
-            numeric.strict_sum(F.col("total_hour")).alias("total_hour_dept_func"),
-            _employees().alias("emp_cnt"),
-            numeric.strict_avg(F.col("attendance")).alias("attendance_emp"),
-        )
+        .agg(*_aggregates(
+            f"{numeric.strict_avg('utilization_rate_by_dep')} AS uti_rate",
+            f"{numeric.strict_sum('total_hour')} AS total_hour_dept_func",
+            _EMPLOYEES,
+            _ATTENDANCE_EMP,
+        ))
     )
 
 
@@ -62,46 +66,40 @@ def unit_rates(fact: DataFrame, end: dt.date | Column | None = None) -> DataFram
     large unit or one busy employee is combined before any row is shuffled.
     """
     end = calendar.anchor(fact, end)
-    by_department = F.grouping("deptid") == 0
+    keys = [F.col(k) for k in DEPARTMENT_KEYS]
+    by_function = [k for k, name in zip(keys, DEPARTMENT_KEYS) if name in FUNCTION_KEYS]
     return (
         _recent(fact, end)
-        .groupingSets(
-            [[F.col(k) for k in DEPARTMENT_KEYS], [F.col(k) for k in FUNCTION_KEYS]],
-            *[F.col(k) for k in DEPARTMENT_KEYS],
-        )
-        .agg(
-            F.when(by_department, F.lit(DEP)).otherwise(F.lit(SUB)).alias("type"),
-            F.when(by_department, numeric.strict_avg(F.col("utilization_rate_by_dep")))
-            .otherwise(numeric.strict_avg(F.col("utilization_rate_by_div_func")))
-            .alias("uti_rate"),
-            numeric.strict_sum(F.col("total_hour")).alias("total_hour"),
-            numeric.strict_sum(F.col("attendance")).alias("attendance"),
-            _employees().alias("emp_cnt"),
-            numeric.strict_avg(F.col("attendance")).alias("attendance_emp"),
-        )
+        .groupingSets([keys, by_function], *keys)
+        .agg(*_aggregates(
+            f"CASE WHEN grouping(deptid) = 0 THEN '{DEP}' ELSE '{SUB}' END AS type",
+            f"""CASE WHEN grouping(deptid) = 0
+                THEN {numeric.strict_avg('utilization_rate_by_dep')}
+                ELSE {numeric.strict_avg('utilization_rate_by_div_func')} END AS uti_rate""",
+            f"{numeric.strict_sum('total_hour')} AS total_hour",
+            f"{numeric.strict_sum('attendance')} AS attendance",
+            _EMPLOYEES,
+            _ATTENDANCE_EMP,
+        ))
         .withColumn("month_no", calendar.month_number(F.col("date"), end))
     )
 
 
-def _at(month: int, value: Column) -> Column:
-    """Value of one report month, as an aggregate over the months of a unit."""
-    return F.max(F.when(F.col("month_no") == month, value))
-
-
-def _wide(months: tuple[int, ...], **values: Column) -> list[Column]:
-    """One column per value and month: ``name_1`` is the first of ``months``."""
-    return [
-        _at(month, value).alias(f"{name}_{k}")
+def _wide(months: tuple[int, ...], **values: str) -> list[Column]:
+    """One column per value and report month: ``name_1`` is the first of ``months``."""
+    return _aggregates(*[
+        f"max(CASE WHEN month_no = {month} THEN {value} END) AS {name}_{k}"
         for name, value in values.items()
         for k, month in enumerate(months, start=1)
-    ]
+    ])
 
 
-def _seen(months: tuple[int, ...]) -> list[Column]:
-    return [
-        F.max((F.col("month_no") == month).cast("int")).alias(f"seen_{k}")
-        for k, month in enumerate(months, start=1)
-    ]
+def _seen() -> list[Column]:
+    """Whether the unit has a rate in each outlook month, as 0 or 1."""
+    return _aggregates(*[
+        f"max(int(month_no = {month})) AS seen_{k}"
+        for k, month in enumerate(calendar.OUTLOOK, start=1)
+    ])
 
 
 def function_sheet(rates: DataFrame) -> DataFrame:
@@ -112,40 +110,36 @@ def function_sheet(rates: DataFrame) -> DataFrame:
     become columns here, on the small rate table, so scenarios are never multiplied by
     months and need no pivot of their own.
     """
-    own = F.col("type") == SUB
 
-    def mine(value: Column) -> Column:
-        return F.when(own, value)
+    def own(value: str) -> str:
+        return f"CASE WHEN type = '{SUB}' THEN {value} END"
 
-    def departments(month: int) -> Column:
-        here = ~own & (F.col("month_no") == month)
-        known = F.count_if(here & F.col("emp_cnt").isNull()) == 0
-        return F.when(known, F.sum(F.when(here, F.col("emp_cnt"))))
+    def departments(month: int) -> str:
+        here = f"type = '{DEP}' AND month_no = {month}"
+        return f"""CASE WHEN count_if({here} AND emp_cnt IS NULL) = 0
+            THEN sum(CASE WHEN {here} THEN emp_cnt END) END"""
 
     return rates.groupBy("div", "sub_job_family_2").agg(
-        *_wide(calendar.HISTORY, b=mine(numeric.round2(F.col("uti_rate")))),
+        *_wide(calendar.HISTORY, b=own(numeric.round2("uti_rate"))),
         *_wide(
             calendar.OUTLOOK,
-            hour=mine(F.col("total_hour")),
-            att=mine(F.col("attendance")),
-            emp=mine(F.col("emp_cnt")),
-            att_emp=mine(F.col("attendance_emp")),
+            hour=own("total_hour"),
+            att=own("attendance"),
+            emp=own("emp_cnt"),
+            att_emp=own("attendance_emp"),
         ),
-        *[departments(m).alias(f"dep_emp_{k}") for k, m in enumerate(calendar.OUTLOOK, start=1)],
-        *_seen(calendar.OUTLOOK),
+        *_aggregates(*[
+            f"{departments(m)} AS dep_emp_{k}" for k, m in enumerate(calendar.OUTLOOK, start=1)
+        ]),
+        *_seen(),
     )
 
 
 def department_function_sheet(rates: DataFrame) -> DataFrame:
     """One row per division, department and function with the outlook months side by side."""
-    return rates.where(F.col("type") == DEP).groupBy("div", "deptid", "sub_job_family_2").agg(
-        *_wide(
-            calendar.OUTLOOK,
-            hour=F.col("total_hour"),
-            emp=F.col("emp_cnt"),
-            att_emp=F.col("attendance_emp"),
-        ),
-        *_seen(calendar.OUTLOOK),
+    return rates.where(f"type = '{DEP}'").groupBy("div", "deptid", "sub_job_family_2").agg(
+        *_wide(calendar.OUTLOOK, hour="total_hour", emp="emp_cnt", att_emp="attendance_emp"),
+        *_seen(),
     )
 
 
@@ -158,63 +152,63 @@ def department_sheet(rates: DataFrame, additive: bool = False) -> DataFrame:
     """
     total = numeric.strict_sum if additive else numeric.strict_sum_distinct
     monthly = (
-        rates.where(F.col("type") == DEP)
+        rates.where(f"type = '{DEP}'")
+        .withColumn("own", F.expr(numeric.safe_div("total_hour", "emp_cnt * attendance_emp")))
         .groupBy("div", "deptid", "month_no")
-        .agg(
-            numeric.round2(numeric.strict_avg(F.col("uti_rate"))).alias("rate"),
-            numeric.round2(numeric.strict_avg(
-                numeric.safe_div(F.col("total_hour"), F.col("emp_cnt") * F.col("attendance_emp"))
-            )).alias("plain"),
-            total(F.col("total_hour")).alias("hour"),
-            total(F.col("emp_cnt")).alias("emp"),
-            total(F.col("attendance_emp")).alias("att_emp"),
-        )
+        .agg(*_aggregates(
+            f"{numeric.strict_avg('uti_rate')} AS rate",
+            f"{numeric.strict_avg('own')} AS plain",
+            f"{total('total_hour')} AS hour",
+            f"{total('emp_cnt')} AS emp",
+            f"{total('attendance_emp')} AS att_emp",
+        ))
     )
     return monthly.groupBy("div", "deptid").agg(
-        *_wide(calendar.HISTORY, b=F.col("rate")),
+        *_wide(calendar.HISTORY, b=numeric.round2("rate")),
         *_wide(
             calendar.OUTLOOK,
-            plain=F.col("plain"),
-            hour=F.col("hour"),
-            emp=F.col("emp"),
-            att_emp=F.col("att_emp"),
+            plain=numeric.round2("plain"),
+            hour="hour",
+            emp="emp",
+            att_emp="att_emp",
         ),
-        *_seen(calendar.OUTLOOK),
+        *_seen(),
     )
 
 
-def project_profile(fact: DataFrame) -> DataFrame:
+def project_profile(fact: DataFrame, started: Column | None = None) -> DataFrame:
     """Mean stage days and effort of the projects that started inside the fact.
 
-    One row per project and distinct start stage; ``stage_rows`` counts them. The fact
-    is combined by project and stage first, so a project that holds much of the fact
+    One row per project and distinct start stage; ``stage_rows`` counts them. ``started``
+    is the first date of the whole fact, for callers that pass a part of it. The fact is
+    combined by project and stage first, so a project that holds much of the fact
     reaches the window as a handful of rows.
     """
     means = [*schemas.STAGE_DAYS, "execute_hour", "execute_month"]
+    first = calendar.first_month(fact) if started is None else started
     parts = (
-        fact.where(F.col("pmcs_bu_start_dt") >= calendar.first_month(fact))
+        fact.where(F.col("pmcs_bu_start_dt") >= first)
         .groupBy("project_code", "project_start_stage")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[F.sum(c).alias(f"sum_{c}") for c in means],
-            *[F.count(c).alias(f"n_{c}") for c in [*means, "execute_day"]],
-            F.max("execute_day").alias("max_execute_day"),
-        )
+        .agg(*_aggregates(
+            "count(1) AS rows",
+            *[f"sum({c}) AS sum_{c}" for c in means],
+            *[f"count({c}) AS n_{c}" for c in [*means, "execute_day"]],
+            "max(execute_day) AS max_execute_day",
+        ))
     )
-    project = W.partitionBy("project_code")
+    over = "OVER (PARTITION BY project_code)"
 
-    def whole(name: str, value: Column) -> Column:
-        complete = F.sum(f"n_{name}").over(project) == F.sum("rows").over(project)
-        return F.when(complete, value)
+    def whole(name: str, value: str, alias: str) -> str:
+        return f"""CASE WHEN sum(n_{name}) {over} = sum(rows) {over}
+            THEN {value} END AS {alias}"""
 
-    return parts.select(
+    return parts.selectExpr(
         "project_code",
         *[
-            whole(c, F.sum(f"sum_{c}").over(project) / F.sum("rows").over(project))
-            .alias(c.removesuffix("_day"))
+            whole(c, f"sum(sum_{c}) {over} / sum(rows) {over}", c.removesuffix("_day"))
             for c in means
         ],
-        whole("execute_day", F.max("max_execute_day").over(project)).alias("execute_day"),
+        whole("execute_day", f"max(max_execute_day) {over}", "execute_day"),
         "project_start_stage",
-        F.count(F.lit(1)).over(project).alias("stage_rows"),
+        f"count(1) {over} AS stage_rows",
     )

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SALTS = 16
+HOT_ROWS = 1_000_000
+HOT_KEYS = 1_000
+MOST_SALTS = 1_000
+BROADCAST_KEYS = 100_000
 _SALT = "_salt"
 
 
@@ -21,22 +25,88 @@ def salted_join(
     spread_by: Sequence[str] | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Equi-join of many rows with a lookup that has few rows per key.
+    """Equi-join of many rows with a small lookup whose keys are few and all busy.
 
-    A key may hold a large part of ``rows`` (a popular division, a popular model
-    project). Its rows are spread over ``salts`` partitions by the hash of
-    ``spread_by``, and each lookup row is repeated once per salt, so no task gets a
-    whole hot key. No broadcast is forced: Spark broadcasts the lookup itself when its
-    measured size is under the threshold, and otherwise this is the shuffle it uses.
+    A key may hold a large part of ``rows`` (a popular division). Its rows are spread
+    over ``salts`` partitions by the hash of ``spread_by``, and each lookup row is
+    repeated once per salt, so no task gets a whole hot key. No broadcast is forced:
+    Spark broadcasts the lookup itself when its measured size is under the threshold,
+    and otherwise this is the shuffle it uses.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("only inner and left joins can repeat the right side")
-    keys = list(spread_by) if spread_by else [c for c in rows.columns if c not in on]
+    _check_repeatable(how)
+    keys = _spread_columns(rows, on, spread_by)
     salted = rows.withColumn(_SALT, F.pmod(F.hash(*keys), F.lit(salts)))
     repeated = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
 
 
+def hot_keys(rows: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The keys with more than ``hot_rows`` rows and the number of salts for each.
+
+    At most ``HOT_KEYS`` keys are listed, the hottest first, so the list is always small
+    enough to broadcast, and Spark sees that from its limit. A key left out holds less
+    than a thousandth of all rows and needs no salt.
+    """
+    return (
+        rows.groupBy(*on)
+        .agg(F.expr("count(1) AS n"))
+        .where(f"n > {hot_rows}")
+        .orderBy(F.desc("n"))
+        .limit(HOT_KEYS)
+        .selectExpr(*on, f"int(least(ceil(n / {hot_rows}), {MOST_SALTS})) AS salts")
+    )
+
+
+def hot_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    hot: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    spread_by: Sequence[str] | None = None,
+) -> DataFrame:
+    """Equi-join of many rows with a large lookup in which a few keys may be hot.
+
+    Only the rows and lookup rows of a hot key are salted; all others join as they are,
+    so a lookup as large as the list of all projects is not repeated.
+    """
+    _check_repeatable(how)
+    keys = _spread_columns(rows, on, spread_by)
+    salts = F.coalesce("salts", F.lit(1))
+    salted = rows.join(hot, [*on], "left").withColumn(_SALT, F.pmod(F.hash(*keys), salts))
+    repeated = lookup.join(hot, [*on], "left").withColumn(
+        _SALT, F.explode(F.sequence(F.lit(0), salts - 1))
+    )
+    return (
+        salted.drop("salts").join(repeated.drop("salts"), [*on, _SALT], how).drop(_SALT)
+    )
+
+
+def keep_listed(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """Early reduction of a large table to listed keys, where the list is short.
+
+    The distinct keys are settled and counted first. Up to ``BROADCAST_KEYS`` they are
+    broadcast and the table is filtered while it is read. A longer list would shuffle the
+    whole table by a skewed key, so the table is then passed on unfiltered, and the
+    caller joins what it has aggregated; the result of that join is the same.
+    """
+    keys = settle(listed.select(key).distinct(), "listed-keys")
+    if keys.count() > BROADCAST_KEYS:
+        return rows
+    return rows.join(F.broadcast(keys), key, "left_semi")
+
+
+def _check_repeatable(how: str) -> None:
+    if how not in ("inner", "left"):
+        raise ValueError("only inner and left joins can repeat the right side")
+
+
+def _spread_columns(
+    rows: DataFrame, on: Sequence[str], spread_by: Sequence[str] | None
+) -> list[str]:
+    return list(spread_by) if spread_by else [c for c in rows.columns if c not in on]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names for checkpoints."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

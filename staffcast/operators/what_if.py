@@ -2,6 +2,7 @@
 
 The units of a division come as wide sheets (``rates.function_sheet`` and so on), so a
 scenario row meets each unit once and holds its three outlook months side by side.
+Column ``name_k`` belongs to the k-th outlook month.
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ _FUNCTION = ["div", "sub_job_family_2"]
 _DEPARTMENT = ["div", "deptid"]
 
 
-def _c(name: str, k: int) -> Column:
-    return F.col(f"{name}_{k}")
+def _steps(**templates: str) -> list[str]:
+    """Expressions for the three outlook months; ``#`` stands for the number of the month."""
+    return [
+        f"{template.replace('#', str(k))} AS {name}_{k}"
+        for name, template in templates.items()
+        for k in STEPS
+    ]
 
 
-def _steps(**values) -> list[Column]:
-    """Columns ``name_1`` to ``name_3``, each made by a function of the step."""
-    return [make(k).alias(f"{name}_{k}") for name, make in values.items() for k in STEPS]
+def _sums(*names: str) -> list[Column]:
+    return [F.expr(f"sum({name}_{k}) AS {name}_{k}") for name in names for k in STEPS]
 
 
 def _units(scenarios: DataFrame, sheet: DataFrame) -> DataFrame:
@@ -32,19 +37,19 @@ def _units(scenarios: DataFrame, sheet: DataFrame) -> DataFrame:
 
     A division may be named by a third of all scenarios: its scenarios are salted.
     """
-    wanted = scenarios.select("scenario_id", F.col("division").alias("div"))
+    wanted = scenarios.selectExpr("scenario_id", "division AS div")
     return salted_join(wanted, sheet, ["div"], spread_by=["scenario_id"])
 
 
-def _report(rows: DataFrame, kind: str, title: str, hc: Column, outlook) -> DataFrame:
-    return rows.select(
+def _report(rows: DataFrame, kind: str, title: str, hc: str, outlook: str) -> DataFrame:
+    return rows.selectExpr(
         "scenario_id",
-        F.col("div").alias("Div"),
-        F.lit(kind).alias("Type"),
-        F.col(title).alias("Title"),
-        *[numeric.or_zero(_c("b", k)).alias(f"b_{k}") for k in STEPS],
-        numeric.or_zero(hc).alias("hc"),
-        *[numeric.or_zero(outlook(k)).alias(f"a_{k}") for k in STEPS],
+        "div AS Div",
+        f"'{kind}' AS Type",
+        f"{title} AS Title",
+        *_steps(b=numeric.or_zero("b_#")),
+        f"{numeric.or_zero(hc)} AS hc",
+        *_steps(a=numeric.or_zero(numeric.round2(outlook))),
     )
 
 
@@ -53,15 +58,12 @@ def hc_what_if_function(
 ) -> DataFrame:
     """Functions when only head count is added: more attendance, the same hours."""
     staff = headcount.groupBy("scenario_id", *_FUNCTION).agg(
-        numeric.strict_sum(F.col("hc")).alias("hc")
+        F.expr(f"{numeric.or_zero(numeric.strict_sum('hc'))} AS hc")
     )
     rows = _units(scenarios, functions).join(staff, ["scenario_id", *_FUNCTION], "left")
-    hc = numeric.or_zero(F.col("hc"))
     return _report(
-        rows, rates.SUB, "sub_job_family_2", hc,
-        lambda k: numeric.round2(
-            numeric.safe_div(_c("hour", k), _c("att", k) + _c("att_emp", k) * hc)
-        ),
+        rows, rates.SUB, "sub_job_family_2", "hc",
+        numeric.safe_div("hour_#", "att_# + att_emp_# * coalesce(hc, 0D)"),
     )
 
 
@@ -77,29 +79,25 @@ def hc_what_if_department(
     departments that get head count are worked out again; the others keep their rate.
     """
     staff = headcount.groupBy("scenario_id", *_DEPARTMENT).agg(
-        numeric.or_zero(numeric.strict_sum(F.col("hc"))).alias("hc")
+        F.expr(f"{numeric.or_zero(numeric.strict_sum('hc'))} AS hc")
     )
-
-    def rate(k: int) -> Column:
-        return numeric.safe_div(
-            _c("hour", k), (_c("emp", k) + F.col("hc")) * _c("att_emp", k)
-        )
-
-    def mean(k: int) -> Column:
-        value = rate(k)
-        return numeric.round2(F.when(F.count(value) == F.sum(_c("seen", k)), F.avg(value)))
-
+    rate = numeric.safe_div("hour_#", "(emp_# + hc) * att_emp_#")
     changed = (
         salted_join(staff, department_functions, _DEPARTMENT, spread_by=["scenario_id"])
+        .selectExpr(
+            "scenario_id", *_DEPARTMENT, "hc", *_steps(rate=rate, seen="seen_#")
+        )
         .groupBy("scenario_id", *_DEPARTMENT)
-        .agg(F.max("hc").alias("hc"), *_steps(changed=mean))
+        .agg(F.max("hc").alias("hc"), *[F.expr(e) for e in _steps(
+            changed="CASE WHEN count(rate_#) = sum(seen_#) THEN avg(rate_#) END"
+        )])
     )
     rows = _units(scenarios, departments).join(
         changed, ["scenario_id", *_DEPARTMENT], "left"
     )
     return _report(
-        rows, rates.DEP, "deptid", F.col("hc"),
-        lambda k: F.when(F.col("hc").isNull(), _c("plain", k)).otherwise(_c("changed", k)),
+        rows, rates.DEP, "deptid", "hc",
+        "CASE WHEN hc IS NULL THEN plain_# ELSE changed_# END",
     )
 
 
@@ -113,11 +111,16 @@ def project_staff(
     """
     named = (
         headcount.groupBy("scenario_id", "project_name", "div", "deptid", "sub_job_family_2")
-        .agg(numeric.lenient_sum(F.col("hc")).alias("hc"))
+        .agg(F.expr(f"{numeric.lenient_sum('hc')} AS hc"))
         .join(passes, ["scenario_id", "project_name", "div"])
     )
     return salted_join(
-        named, department_functions, ["div", "deptid", "sub_job_family_2"], "left",
+        named,
+        department_functions.select(
+            *_DEPARTMENT, "sub_job_family_2", *[f"{n}_{k}" for n in ("att_emp", "seen") for k in STEPS]
+        ),
+        ["div", "deptid", "sub_job_family_2"],
+        "left",
         spread_by=["scenario_id", "project_name"],
     )
 
@@ -133,50 +136,34 @@ def project_effects(
     summed by one aggregation instead of being joined.
     """
     keys = ["scenario_id", "project_name", "div", "sub_job_family_2"]
-    zero = F.lit(0.0)
-    hours = prorated.withColumn("step", F.col("month_no") - 3).select(
-        *keys,
-        F.lit(0.0).alias("hc"),
-        F.lit(0).cast("long").alias("passes"),
+    first = "month_no - 3"
+    hours = prorated.selectExpr(
+        *keys, "0D AS hc", "0L AS passes",
         *_steps(
-            hour=lambda k: F.when(
-                F.col("step") == k,
-                numeric.or_zero(F.col("add_hour_adj") * F.col("stage_rows")),
-            ).otherwise(zero),
-            staffed=lambda k: zero,
+            hour=f"CASE WHEN {first} = # THEN "
+                 f"{numeric.or_zero('add_hour_adj * stage_rows')} ELSE 0D END",
+            staffed="0D",
         ),
     )
-    heads = staff.select(
-        *keys,
-        "hc",
-        "passes",
-        *_steps(
-            hour=lambda k: zero,
-            staffed=lambda k: F.when(_c("seen", k) == 1, F.col("hc")).otherwise(zero),
-        ),
+    heads = staff.selectExpr(
+        *keys, "hc", "passes",
+        *_steps(hour="0D", staffed="CASE WHEN seen_# = 1 THEN hc ELSE 0D END"),
     )
     summed = hours.unionByName(heads).groupBy(*keys).agg(
-        F.sum("hc").alias("hc"),
-        F.max("passes").alias("passes"),
-        *_steps(
-            hour=lambda k: F.sum(_c("hour", k)),
-            staffed=lambda k: F.sum(_c("staffed", k)),
-        ),
+        F.sum("hc").alias("hc"), F.max("passes").alias("passes"), *_sums("hour", "staffed")
     )
     return salted_join(
         summed,
         functions.select(*_FUNCTION, *[f"{n}_{k}" for n in ("emp", "dep_emp") for k in STEPS]),
         _FUNCTION,
         spread_by=["scenario_id", "project_name"],
-    ).select(
+    ).selectExpr(
         *keys,
-        (F.col("hc") * F.col("passes")).alias("hc"),
+        "hc * passes AS hc",
         *_steps(
             # With no head at all in the function there is nobody to give the hours to.
-            hour=lambda k: F.when(_c("emp", k) + F.col("hc") != 0, _c("hour", k)).otherwise(zero),
-            per_head=lambda k: numeric.or_zero(
-                numeric.safe_div(_c("hour", k), _c("dep_emp", k) + _c("staffed", k))
-            ),
+            hour="CASE WHEN emp_# + hc <> 0 THEN hour_# ELSE 0D END",
+            per_head=f"coalesce({numeric.safe_div('hour_#', 'dep_emp_# + staffed_#')}, 0D)",
         ),
     )
 
@@ -185,19 +172,17 @@ def project_what_if_function(
     scenarios: DataFrame, functions: DataFrame, effects: DataFrame
 ) -> DataFrame:
     """Functions with new projects: base once, plus the sum over all projects."""
-    added = effects.groupBy("scenario_id", *_FUNCTION).agg(
-        F.sum("hc").alias("add_hc"),
-        *_steps(add_hour=lambda k: F.sum(_c("hour", k))),
-    )
+    added = effects.selectExpr(
+        "scenario_id", *_FUNCTION, "hc AS add_hc", *_steps(add_hour="hour_#")
+    ).groupBy("scenario_id", *_FUNCTION).agg(F.sum("add_hc").alias("add_hc"), *_sums("add_hour"))
     rows = _units(scenarios, functions).join(added, ["scenario_id", *_FUNCTION], "left")
-    add_hc = numeric.or_zero(F.col("add_hc"))
-    seen = F.greatest(*[_c("seen", k) for k in STEPS]) == 1
     return _report(
-        rows, rates.SUB, "sub_job_family_2", F.when(seen, add_hc),
-        lambda k: numeric.round2(numeric.safe_div(
-            _c("hour", k) + numeric.or_zero(_c("add_hour", k)),
-            _c("att", k) + numeric.or_zero(_c("att_emp", k) * add_hc),
-        )),
+        rows, rates.SUB, "sub_job_family_2",
+        "CASE WHEN greatest(seen_1, seen_2, seen_3) = 1 THEN add_hc END",
+        numeric.safe_div(
+            "(hour_# + coalesce(add_hour_#, 0D))",
+            "(att_# + coalesce(att_emp_# * add_hc, 0D))",
+        ),
     )
 
 
@@ -215,47 +200,34 @@ def project_what_if_department(
     in; the head count part only touches the departments that get head count.
     """
     by_employees = salted_join(
-        effects.groupBy("scenario_id", *_FUNCTION).agg(
-            *_steps(per_head=lambda k: F.sum(_c("per_head", k)))
-        ),
+        effects.groupBy("scenario_id", *_FUNCTION).agg(*_sums("per_head")),
         department_functions,
         _FUNCTION,
         spread_by=["scenario_id"],
-    ).select(
+    ).selectExpr(
         "scenario_id", *_DEPARTMENT,
-        *_steps(
-            add_hour=lambda k: numeric.or_zero(_c("emp", k) * _c("per_head", k)),
-            add_att=lambda k: F.lit(0.0),
-            add_hc=lambda k: F.lit(0.0),
-        ),
+        *_steps(add_hour="coalesce(emp_# * per_head_#, 0D)", add_att="0D", add_hc="0D"),
     )
     keys = ["scenario_id", "project_name", *_FUNCTION]
     by_headcount = staff.join(
         effects.select(*keys, *[f"per_head_{k}" for k in STEPS]), keys
-    ).select(
+    ).selectExpr(
         "scenario_id", *_DEPARTMENT,
         *_steps(
-            add_hour=lambda k: F.when(_c("seen", k) == 1, F.col("hc") * _c("per_head", k))
-            .otherwise(F.lit(0.0)),
-            add_att=lambda k: numeric.or_zero(_c("att_emp", k) * F.col("hc") * F.col("passes")),
-            add_hc=lambda k: F.when(_c("seen", k) == 1, F.col("hc") * F.col("passes"))
-            .otherwise(F.lit(0.0)),
+            add_hour="CASE WHEN seen_# = 1 THEN hc * per_head_# ELSE 0D END",
+            add_att="coalesce(att_emp_# * hc * passes, 0D)",
+            add_hc="CASE WHEN seen_# = 1 THEN hc * passes ELSE 0D END",
         ),
     )
     added = by_employees.unionByName(by_headcount).groupBy("scenario_id", *_DEPARTMENT).agg(
-        *_steps(**{
-            name: lambda k, name=name: F.sum(_c(name, k))
-            for name in ("add_hour", "add_att", "add_hc")
-        })
+        *_sums("add_hour", "add_att", "add_hc")
     )
     rows = _units(scenarios, departments).join(added, ["scenario_id", *_DEPARTMENT], "left")
-    hc = F.greatest(
-        *[F.when(_c("seen", k) == 1, numeric.or_zero(_c("add_hc", k))) for k in STEPS]
-    )
+    hc = ", ".join(f"CASE WHEN seen_{k} = 1 THEN coalesce(add_hc_{k}, 0D) END" for k in STEPS)
     return _report(
-        rows, rates.DEP, "deptid", hc,
-        lambda k: numeric.round2(numeric.safe_div(
-            _c("hour", k) + numeric.or_zero(_c("add_hour", k)),
-            _c("att_emp", k) * _c("emp", k) + numeric.or_zero(_c("add_att", k)),
-        )),
+        rows, rates.DEP, "deptid", f"greatest({hc})",
+        numeric.safe_div(
+            "(hour_# + coalesce(add_hour_#, 0D))",
+            "(att_emp_# * emp_# + coalesce(add_att_#, 0D))",
+        ),
     )

@@ -70,12 +70,12 @@ def tidy_result(df: DataFrame, kind: str, percent: bool = False) -> DataFrame:
     ``percent`` the six rates of a report are given times 100.
     """
     changes = {
-        name: calendar.epoch_day(F.col(name))
+        name: F.expr(calendar.epoch_day(name))
         for name in DAY_NUMBERS.get(kind, ())
         if name in df.columns and dict(df.dtypes)[name] != "date"
     }
     changes |= {
-        name: numeric.round_to(F.col(name), 1)
+        name: F.expr(numeric.round_to(name, 1))
         for name in ROUNDED.get(kind, ())
         if name in df.columns
     }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from staffcast.functions import calendar, numeric
 from staffcast.operators import hours, planning, rates, what_if
-from staffcast.operators.spread import settle
+from staffcast.operators.spread import keep_listed, settle
 from staffcast.schemas import REPORT_COLUMNS
 
 
@@ -50,25 +50,23 @@ def prepare_headcount(raw: DataFrame) -> DataFrame:
 
 def history_report(fact: DataFrame, end: dt.date | None = None) -> DataFrame:
     """Past three months of every department and function of every division."""
-    table = rates.unit_rates(fact, end)
-    months = [(m, f"b_{k}") for k, m in enumerate(calendar.HISTORY, start=1)]
-    # A unit seen only in later months keeps its row, with zeros.
+    rate = numeric.round2(numeric.strict_avg("uti_rate"))
     by_month = (
-        table.withColumn(
-            "Title",
-            F.when(F.col("type") == rates.DEP, F.col("deptid")).otherwise(
-                F.col("sub_job_family_2")
-            ),
+        rates.unit_rates(fact, end)
+        .selectExpr(
+            "div AS Div", "type AS Type",
+            f"CASE WHEN type = '{rates.DEP}' THEN deptid ELSE sub_job_family_2 END AS Title",
+            "month_no", "uti_rate",
         )
-        .groupBy(F.col("div").alias("Div"), F.col("type").alias("Type"), "Title", "month_no")
-        .agg(numeric.round2(numeric.strict_avg(F.col("uti_rate"))).alias("rate"))
-    )
-    wide = by_month.groupBy("Div", "Type", "Title").agg(
-        *[F.max(F.when(F.col("month_no") == m, F.col("rate"))).alias(name) for m, name in months]
-    )
-    return wide.select(
-        "Div", "Type", "Title", *[numeric.or_zero(F.col(name)).alias(name) for _, name in months]
+        .groupBy("Div", "Type", "Title", "month_no")
+        .agg(F.expr(f"{rate} AS rate"))
     )
+    # A unit seen only in later months keeps its row, with zeros.
+    months = [
+        numeric.or_zero(f"max(CASE WHEN month_no = {m} THEN rate END)") + f" AS b_{k}"
+        for k, m in enumerate(calendar.HISTORY, start=1)
+    ]
+    return by_month.groupBy("Div", "Type", "Title").agg(*[F.expr(m) for m in months])
 
 
 def headcount_report(units: Units, scenarios: DataFrame, headcount: DataFrame) -> DataFrame:
@@ -100,15 +98,19 @@ def prepare_projects(
     """Check the planned projects and work out the hours and heads they add.
 
     The planned rows are multiplied by functions and months of their old project only,
-    and are summed by project before anything is joined to the units.
+    and are summed by project before anything is joined to the units. Of the fact, only
+    the old projects that are named are looked at where they are few.
     """
-    plan = planning.clean_plan(planning.typed_projects(projects))
-    modelled = settle(
-        planning.plan_with_models(plan, rates.project_profile(fact)), "modelled-plan"
+    plan = settle(
+        planning.plan_rows(planning.clean_plan(planning.typed_projects(projects))), "plan"
     )
+    named = plan.selectExpr("project_code_old AS project_code")
+    past = keep_listed(fact, named, "project_code")
+    profile = rates.project_profile(past, calendar.first_month(fact))
+    modelled = settle(planning.plan_with_models(plan, profile), "modelled-plan")
     modes = settle(planning.scenario_modes(scenarios, modelled), "scenario-modes")
     ratios = planning.project_ratio(modelled)
-    opening = hours.opening_hours(fact).fillna("", ["sub_job_family_2"])
+    opening = hours.opening_hours(past).fillna("", ["sub_job_family_2"])
     prorated = hours.prorate_start(hours.project_hours(opening, ratios, units.end))
     staff = settle(
         what_if.project_staff(
