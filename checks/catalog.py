@@ -158,10 +158,12 @@ def tidy_result(spark: SparkSession, sf: str) -> DataFrame:
 
 def _allocated(spark: SparkSession, sf: str, by_department: bool) -> DataFrame:
     fact = fixture.utilization(spark, sf)
+    history = fixture.utilization(spark, sf, units=False)
     modelled = settle(_modelled(spark, sf), "modelled-plan")
     ratios = planning.project_ratio(modelled)
     modes = planning.scenario_modes(fixture.scenarios(spark, sf), modelled)
-    scaled = hours.project_hours(hours.opening_hours(fact), ratios, calendar.last_month(fact))
+    end = calendar.last_month(fact)
+    scaled = hours.project_hours(hours.opening_hours(history), ratios, end)
     month_hours = hours.project_month_hours(hours.prorate_start(scaled))
     table = rates.department_rates(fact) if by_department else rates.function_rates(fact)
     return allocation.allocate(
@@ -169,7 +171,7 @@ def _allocated(spark: SparkSession, sf: str, by_department: bool) -> DataFrame:
         settle(table, "rates"),
         planning.headcount_plan(fixture.plan_headcount(spark, sf)),
         hours.project_passes(ratios).drop("div"),
-        modes.where(F.col("mode") == "projects"),
+        modes.where("mode = 'projects'"),
     )
 
 
@@ -201,13 +203,15 @@ def allocation_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _project_report(spark: SparkSession, sf: str) -> DataFrame:
-    fact = fixture.utilization(spark, sf)
-    units = report.prepare_units(fact)
-    heads = report.prepare_headcount(fixture.plan_headcount(spark, sf))
+    units = report.prepare_units(fixture.utilization(spark, sf))
     plan = report.prepare_projects(
-        fact, units, fixture.scenarios(spark, sf), fixture.plan_projects(spark, sf), heads
+        fixture.utilization(spark, sf, units=False),
+        units,
+        fixture.scenarios(spark, sf),
+        report.prepare_plan(fixture.plan_projects(spark, sf)),
+        report.prepare_headcount(fixture.plan_headcount(spark, sf)),
     )
-    return report.project_report(units, plan.scenarios.where(F.col("mode") == "projects"), plan)
+    return report.project_report(units, plan.scenarios.where("mode = 'projects'"), plan)
 
 
 def project_what_if_function(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,24 +222,24 @@ def project_what_if_department(spark: SparkSession, sf: str) -> DataFrame:
     return _project_report(spark, sf).where(F.col("Type") == rates.DEP)
 
 
-def scenario_batch(spark: SparkSession, sf: str) -> DataFrame:
+def _batch(spark: SparkSession, sf: str, additive: bool) -> DataFrame:
     return report.score_scenarios(
         fixture.utilization(spark, sf),
         fixture.scenarios(spark, sf),
         fixture.plan_projects(spark, sf),
         fixture.plan_headcount(spark, sf),
+        additive=additive,
+        project_fact=fixture.utilization(spark, sf, units=False),
     )
 
 
+def scenario_batch(spark: SparkSession, sf: str) -> DataFrame:
+    return _batch(spark, sf, additive=False)
+
+
 def scenario_batch_additive(spark: SparkSession, sf: str) -> DataFrame:
     """The same batch with departments summed over all functions, equal values included."""
-    return report.score_scenarios(
-        fixture.utilization(spark, sf),
-        fixture.scenarios(spark, sf),
-        fixture.plan_projects(spark, sf),
-        fixture.plan_headcount(spark, sf),
-        additive=True,
-    )
+    return _batch(spark, sf, additive=True)
 
 
 def project_month_profile(spark: SparkSession, sf: str) -> DataFrame:

@@ -81,13 +81,13 @@ def utilization(spark: SparkSession, sf_dir: str, units: bool = True) -> DataFra
     items = table(spark, sf_dir, "lineitem")
     names = schemas.UTILIZATION.names
     if units:
-        employees = (
-            table(spark, sf_dir, "supplier")
-            .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("s_suppkey", "r_name", "n_name")
-        )
-        items = items.join(employees, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        for name, key, other in (
+            ("supplier", "l_suppkey", "s_suppkey"),
+            ("nation", "s_nationkey", "n_nationkey"),
+            ("region", "n_regionkey", "r_regionkey"),
+        ):
+            lookup = table(spark, sf_dir, name)
+            items = items.join(lookup, F.col(key) == F.col(other), "left")
     else:
         names = [n for n in names if n not in ("div", "deptid")]
     return items.selectExpr(*[f"{columns[n]} AS {n}" for n in names])

@@ -62,6 +62,53 @@ def project_month_hours(prorated: DataFrame) -> DataFrame:
     )
 
 
+def opening_sheet(opening: DataFrame) -> DataFrame:
+    """Opening hours with the three months side by side: one row per project and function.
+
+    The rows of a project and function are together already, so nothing is shuffled.
+    """
+    return opening.groupBy("project_code", "sub_job_family_2").agg(*[
+        F.expr(f"max(CASE WHEN n = {n} THEN total_hour_pro_func END) AS opening_{n}")
+        for n in range(1, OPENING_MONTHS + 1)
+    ])
+
+
+def plan_factors(ratios: DataFrame, end: Column) -> DataFrame:
+    """What the opening hours of the old project are multiplied with, for each month.
+
+    Scaling, start share and passes only depend on the plan row, so they are worked out
+    before the row is multiplied by the functions of the old project.
+    """
+    months = range(1, OPENING_MONTHS + 1)
+    scale = numeric.safe_div("hr_ratio", "mon_ratio")
+    return (
+        ratios.withColumns({
+            f"month_{n}": F.add_months(end, n - OPENING_MONTHS) for n in months
+        })
+        .selectExpr(
+            "scenario_id", "project_name", "div", "project_code_old",
+            *[
+                f"{scale} * {calendar.start_share(f'month_{n}', 'start_date')} * stage_rows "
+                f"AS factor_{n}"
+                for n in months
+            ],
+        )
+    )
+
+
+def added_hours(sheet: DataFrame, factors: DataFrame) -> DataFrame:
+    """Added hours of every plan row by function, the outlook months side by side."""
+    key = ["project_code_old"]
+    models = sheet.withColumnRenamed("project_code", "project_code_old")
+    return hot_join(factors, models, hot_keys(factors, key), key).selectExpr(
+        "scenario_id", "project_name", "div", "sub_job_family_2",
+        *[
+            f"coalesce(opening_{n} * factor_{n}, 0D) AS hour_{n}"
+            for n in range(1, OPENING_MONTHS + 1)
+        ],
+    )
+
+
 def project_passes(ratios: DataFrame) -> DataFrame:
     """New projects of a scenario and how often their head count is added."""
     return ratios.groupBy("scenario_id", "project_name", "div").agg(

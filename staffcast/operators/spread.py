@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,12 +87,12 @@ def hot_join(
 def keep_listed(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     """Early reduction of a large table to listed keys, where the list is short.
 
-    The distinct keys are settled and counted first. Up to ``BROADCAST_KEYS`` they are
+    The distinct keys are counted first. Up to ``BROADCAST_KEYS`` they are
     broadcast and the table is filtered while it is read. A longer list would shuffle the
     whole table by a skewed key, so the table is then passed on unfiltered, and the
     caller joins what it has aggregated; the result of that join is the same.
     """
-    keys = settle(listed.select(key).distinct(), "listed-keys")
+    keys = listed.select(key).distinct()
     if keys.count() > BROADCAST_KEYS:
         return rows
     return rows.join(F.broadcast(keys), key, "left_semi")
@@ -129,3 +131,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/staffcast/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle_together(**tables: DataFrame) -> list[DataFrame]:
+    """Settle tables that do not depend on each other, at the same time.
+
+    Small jobs then fill the executors that the large ones leave idle.
+    """
+    with ThreadPoolExecutor(len(tables)) as pool:
+        jobs = [
+            pool.submit(inheritable_thread_target(settle), df, name)
+            for name, df in tables.items()
+        ]
+        return [job.result() for job in jobs]

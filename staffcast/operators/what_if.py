@@ -126,7 +126,7 @@ def project_staff(
 
 
 def project_effects(
-    prorated: DataFrame, staff: DataFrame, functions: DataFrame
+    added: DataFrame, staff: DataFrame, functions: DataFrame
 ) -> DataFrame:
     """What each new project adds to each function of its division.
 
@@ -136,14 +136,8 @@ def project_effects(
     summed by one aggregation instead of being joined.
     """
     keys = ["scenario_id", "project_name", "div", "sub_job_family_2"]
-    first = "month_no - 3"
-    hours = prorated.selectExpr(
-        *keys, "0D AS hc", "0L AS passes",
-        *_steps(
-            hour=f"CASE WHEN {first} = # THEN "
-                 f"{numeric.or_zero('add_hour_adj * stage_rows')} ELSE 0D END",
-            staffed="0D",
-        ),
+    hours = added.selectExpr(
+        *keys, "0D AS hc", "0L AS passes", *_steps(hour="hour_#", staffed="0D")
     )
     heads = staff.selectExpr(
         *keys, "hc", "passes",

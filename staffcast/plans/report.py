@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from staffcast.functions import calendar, numeric
 from staffcast.operators import hours, planning, rates, what_if
-from staffcast.operators.spread import keep_listed, settle
+from staffcast.operators.spread import keep_listed, settle, settle_together
 from staffcast.schemas import REPORT_COLUMNS
 
 
@@ -24,6 +24,27 @@ class Units:
     end: Column
 
 
+def _rate_table(fact: DataFrame, end: dt.date | None) -> DataFrame:
+    return rates.unit_rates(fact, end).fillna("", ["deptid", "sub_job_family_2"])
+
+
+def _headcount_table(raw: DataFrame) -> DataFrame:
+    return planning.headcount_plan(raw).fillna("", ["deptid", "sub_job_family_2"])
+
+
+def _plan_table(raw: DataFrame) -> DataFrame:
+    return planning.plan_rows(planning.clean_plan(planning.typed_projects(raw)))
+
+
+def _units(table: DataFrame, end: dt.date | None, additive: bool) -> Units:
+    return Units(
+        functions=rates.function_sheet(table),
+        departments=rates.department_sheet(table, additive),
+        department_functions=rates.department_function_sheet(table),
+        end=calendar.anchor(table, end),
+    )
+
+
 def prepare_units(
     fact: DataFrame, end: dt.date | None = None, additive: bool = False
 ) -> Units:
@@ -32,20 +53,15 @@ def prepare_units(
     ``end`` is the last month of the fact where the caller knows it; otherwise it is
     looked up. The result can be used for any number of batches.
     """
-    table = settle(
-        rates.unit_rates(fact, end).fillna("", ["deptid", "sub_job_family_2"]), "unit-rates"
-    )
-    return Units(
-        functions=rates.function_sheet(table),
-        departments=rates.department_sheet(table, additive),
-        department_functions=rates.department_function_sheet(table),
-        end=calendar.anchor(table, end),
-    )
+    return _units(settle(_rate_table(fact, end), "unit-rates"), end, additive)
 
 
 def prepare_headcount(raw: DataFrame) -> DataFrame:
-    plan = planning.headcount_plan(raw).fillna("", ["deptid", "sub_job_family_2"])
-    return settle(plan, "headcount")
+    return settle(_headcount_table(raw), "headcount")
+
+
+def prepare_plan(raw: DataFrame) -> DataFrame:
+    return settle(_plan_table(raw), "plan")
 
 
 def history_report(fact: DataFrame, end: dt.date | None = None) -> DataFrame:
@@ -92,34 +108,33 @@ def prepare_projects(
     fact: DataFrame,
     units: Units,
     scenarios: DataFrame,
-    projects: DataFrame,
+    plan: DataFrame,
     headcount: DataFrame,
 ) -> ProjectPlan:
     """Check the planned projects and work out the hours and heads they add.
 
-    The planned rows are multiplied by functions and months of their old project only,
-    and are summed by project before anything is joined to the units. Of the fact, only
-    the old projects that are named are looked at where they are few.
+    The planned rows are multiplied by the functions of their old project only, and are
+    summed by project before anything is joined to the units. Of the fact, only the old
+    projects that are named are looked at where they are few.
     """
-    plan = settle(
-        planning.plan_rows(planning.clean_plan(planning.typed_projects(projects))), "plan"
-    )
     named = plan.selectExpr("project_code_old AS project_code")
     past = keep_listed(fact, named, "project_code")
     profile = rates.project_profile(past, calendar.first_month(fact))
-    modelled = settle(planning.plan_with_models(plan, profile), "modelled-plan")
-    modes = settle(planning.scenario_modes(scenarios, modelled), "scenario-modes")
-    ratios = planning.project_ratio(modelled)
     opening = hours.opening_hours(past).fillna("", ["sub_job_family_2"])
-    prorated = hours.prorate_start(hours.project_hours(opening, ratios, units.end))
-    staff = settle(
-        what_if.project_staff(
+    modelled, sheet = settle_together(
+        modelled_plan=planning.plan_with_models(plan, profile),
+        opening_hours=hours.opening_sheet(opening),
+    )
+    ratios = planning.project_ratio(modelled)
+    modes, staff = settle_together(
+        scenario_modes=planning.scenario_modes(scenarios, modelled),
+        project_staff=what_if.project_staff(
             headcount, hours.project_passes(ratios), units.department_functions
         ),
-        "project-staff",
     )
+    added = hours.added_hours(sheet, hours.plan_factors(ratios, units.end))
     effects = settle(
-        what_if.project_effects(prorated, staff, units.functions), "project-effects"
+        what_if.project_effects(added, staff, units.functions), "project_effects"
     )
     return ProjectPlan(modelled, modes, staff, effects)
 
@@ -151,14 +166,23 @@ def score_scenarios(
     headcount: DataFrame,
     end: dt.date | None = None,
     additive: bool = False,
+    project_fact: DataFrame | None = None,
 ) -> DataFrame:
     """Report of a whole table of scenarios.
 
     A scenario with valid planned projects gets the project outlook, one without any
     gets the head count outlook, and one that names an unknown old project gets no
     report (see ``records.refused_requests``). Scenarios do not influence each other.
+    ``project_fact`` is the fact without division and department, for sources in which
+    those cost a join: the history of a project does not need them.
     """
-    units = prepare_units(fact, end, additive)
-    heads = prepare_headcount(headcount)
-    plan = prepare_projects(fact, units, scenarios, projects, heads)
-    return combined_report(units, heads, plan)
+    table, heads, plan = settle_together(
+        unit_rates=_rate_table(fact, end),
+        headcount=_headcount_table(headcount),
+        plan=_plan_table(projects),
+    )
+    units = _units(table, end, additive)
+    history = fact if project_fact is None else project_fact
+    return combined_report(
+        units, heads, prepare_projects(history, units, scenarios, plan, heads)
+    )
