@@ -138,9 +138,7 @@ def settle_together(**tables: DataFrame) -> list[DataFrame]:
 
     Small jobs then fill the executors that the large ones leave idle.
     """
+    carry = inheritable_thread_target(next(iter(tables.values())).sparkSession)
     with ThreadPoolExecutor(len(tables)) as pool:
-        jobs = [
-            pool.submit(inheritable_thread_target(settle), df, name)
-            for name, df in tables.items()
-        ]
+        jobs = [pool.submit(carry(settle), df, name) for name, df in tables.items()]
         return [job.result() for job in jobs]

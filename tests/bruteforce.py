@@ -1,0 +1,229 @@
+"""The report worked out scenario by scenario with loops over plain rows.
+
+Slow and direct: a project at a time, a unit at a time, a month at a time. It follows the
+definitions of the measures and shares nothing with the Spark operators.
+"""
+
+from __future__ import annotations
+
+import calendar as cal
+import datetime as dt
+from collections import defaultdict
+from decimal import ROUND_HALF_UP, Decimal
+
+
+def r2(x):
+    if x is None:
+        return 0.0
+    noise_free = Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP)
+    return float(noise_free.quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+
+def back(month: dt.date, k: int) -> dt.date:
+    index = month.year * 12 + month.month - 1 - k
+    return dt.date(index // 12, index % 12 + 1, 1)
+
+
+def total(values):
+    values = list(values)
+    return None if any(v is None for v in values) else float(sum(values))
+
+
+def mean(values):
+    values = list(values)
+    return None if not values or None in values else sum(values) / len(values)
+
+
+def div(a, b):
+    return None if a is None or b is None or b == 0 else a / b
+
+
+class Company:
+    def __init__(self, fact: list[dict]):
+        self.fact = fact
+        self.end = max(r["date"] for r in fact)
+        self.first = min(r["date"] for r in fact)
+        self.months = [back(self.end, k) for k in range(5, -1, -1)]
+
+    def rate(self, rows, column):
+        people = len({r["emplid"] for r in rows})
+        leaving = total(r["termination_n"] for r in rows)
+        return {
+            "rate": mean(r[column] for r in rows),
+            "hour": total(r["total_hour"] for r in rows),
+            "att": total(r["attendance"] for r in rows),
+            "emp": None if leaving is None else people - leaving,
+            "att_emp": mean(r["attendance"] for r in rows),
+        }
+
+    def units(self, division):
+        functions, departments = defaultdict(list), defaultdict(list)
+        for r in self.fact:
+            if r["div"] == division and r["date"] >= self.months[0]:
+                functions[r["sub_job_family_2"], r["date"]].append(r)
+                departments[r["deptid"], r["sub_job_family_2"], r["date"]].append(r)
+        return (
+            {k: self.rate(v, "utilization_rate_by_div_func") for k, v in functions.items()},
+            {k: self.rate(v, "utilization_rate_by_dep") for k, v in departments.items()},
+        )
+
+    def model(self, code):
+        """Effort and number of start stages of an old project, or None if it is unknown."""
+        rows = [
+            r for r in self.fact
+            if r["project_code"] == code and r["pmcs_bu_start_dt"] is not None
+            and r["pmcs_bu_start_dt"] >= self.first
+        ]
+        if not rows:
+            return None
+        return (
+            mean(r["execute_hour"] for r in rows),
+            mean(r["execute_month"] for r in rows),
+            len({r["project_start_stage"] for r in rows}),
+        )
+
+    def opening(self, code):
+        """Hours of an old project by function and outlook month, before scaling."""
+        by_function = defaultdict(lambda: defaultdict(list))
+        for r in self.fact:
+            if r["project_code"] == code:
+                by_function[r["sub_job_family_2"]][r["date"]].append(r["total_hour"])
+        return {
+            (function, back(self.end, 2 - n)): total(months[active])
+            for function, months in by_function.items()
+            for n, active in enumerate(sorted(months)[:3])
+        }
+
+
+def share(month, start):
+    if start is None:
+        return None
+    if month >= start:
+        return 1.0
+    if (month.year, month.month) == (start.year, start.month):
+        return 1 - start.day / cal.monthrange(start.year, start.month)[1]
+    return 0.0
+
+
+def report(company: Company, division, plan, headcount):
+    """Rows of one scenario by (type, title), or None when it is refused."""
+    functions, departments = company.units(division)
+    plan = [
+        p for p in plan
+        if (p["project_code"] or "").strip() and (p["project_code_old"] or "").strip()
+    ]
+    models = {p["project_code_old"]: company.model(p["project_code_old"]) for p in plan}
+    if None in models.values():
+        return None
+    rows = {}
+    outlook = company.months[3:]
+
+    for name in {f for f, _ in functions}:
+        past = [r2(functions.get((name, m), {}).get("rate")) for m in company.months[:3]]
+        rows["SUB", name] = [*past, 0.0, 0.0, 0.0, 0.0]
+    for name in {d for d, _, _ in departments}:
+        past = [
+            r2(mean(v["rate"] for (d, _, month), v in departments.items()
+                    if d == name and month == m))
+            for m in company.months[:3]
+        ]
+        rows["DEP", name] = [*past, 0.0, 0.0, 0.0, 0.0]
+
+    own = [h for h in headcount if h["div"] == division]
+    if not plan:
+        for (kind, name), row in rows.items():
+            key = "sub_job_family_2" if kind == "SUB" else "deptid"
+            hc = total(h["hc"] for h in own if h[key] == name) or 0.0
+            row[3] = hc
+            for i, m in enumerate(outlook):
+                if kind == "SUB":
+                    u = functions.get((name, m))
+                    if u and None not in (u["att"], u["att_emp"]):
+                        row[4 + i] = r2(div(u["hour"], u["att"] + u["att_emp"] * hc))
+                    continue
+                parts = [
+                    None if None in (v["emp"], v["att_emp"])
+                    else div(v["hour"], (v["emp"] + hc) * v["att_emp"])
+                    for (d, _, month), v in departments.items() if d == name and month == m
+                ]
+                row[4 + i] = r2(mean(parts))
+        return rows
+
+    added = defaultdict(lambda: {"hour": 0.0, "att": 0.0, "hc": 0.0})
+    for project in {p["project_name"] or "" for p in plan}:
+        mine = {
+            (p["project_code_old"], p["execute_hour"], p["execute_month"], p["start_date"])
+            for p in plan if (p["project_name"] or "") == project
+        }
+        passes = max(models[code][2] for code, *_ in mine)
+        hours = defaultdict(float)
+        for code, new_hour, new_month, start in mine:
+            old_hour, old_month, stages = models[code]
+            hr = 1.0 if not new_hour else div(new_hour, old_hour)
+            mon = 1.0 if not new_month else div(new_month, old_month)
+            for (function, month), value in company.opening(code).items():
+                part = share(month, start)
+                if None not in (value, hr, mon, part) and mon != 0:
+                    hours[function, month] += value * hr / mon * part * stages
+        heads = [h for h in own if h["project_name"] == project]
+
+        def hc_of(function, department=None):
+            return sum(
+                h["hc"] or 0.0 for h in heads
+                if h["sub_job_family_2"] == function
+                and (department is None or h["deptid"] == department)
+            )
+
+        for m in outlook:
+            for (function, month), u in functions.items():
+                if month != m:
+                    continue
+                hc = hc_of(function)
+                unit = added["SUB", function, m]
+                if u["emp"] is not None and u["emp"] + hc != 0:
+                    unit["hour"] += hours[function, m]
+                unit["att"] += (u["att_emp"] or 0.0) * hc * passes
+                unit["hc"] += hc * passes
+            for function in {f for _, f, month in departments if month == m}:
+                members = {
+                    d: u for (d, f, month), u in departments.items()
+                    if f == function and month == m
+                }
+                staffed = {
+                    d: None if u["emp"] is None else u["emp"] + hc_of(function, d)
+                    for d, u in members.items()
+                }
+                whole = total(staffed.values())
+                for d, u in members.items():
+                    unit = added["DEP", d, m]
+                    part = div(staffed[d], whole)
+                    unit["hour"] += hours[function, m] * (part or 0.0)
+                    unit["att"] += (u["att_emp"] or 0.0) * hc_of(function, d) * passes
+                    unit["hc"] += hc_of(function, d) * passes
+
+    for (kind, name), row in rows.items():
+        present = []
+        for i, m in enumerate(outlook):
+            extra = added[kind, name, m]
+            if kind == "SUB":
+                u = functions.get((name, m))
+                if not u:
+                    continue
+                base, room = u["hour"], u["att"]
+            else:
+                parts = [
+                    v for (d, _, month), v in departments.items() if d == name and month == m
+                ]
+                if not parts:
+                    continue
+
+                def distinct(key, parts=parts):
+                    return total({v[key] for v in parts})
+
+                base, people, each = distinct("hour"), distinct("emp"), distinct("att_emp")
+                room = None if None in (people, each) else people * each
+            present.append(extra["hc"])
+            if None not in (base, room):
+                row[4 + i] = r2(div(base + extra["hour"], room + extra["att"]))
+        row[3] = max(present) if present else 0.0
+    return rows
