@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from checks import fixture
 from staffcast.functions import calendar, numeric
 from staffcast.operators import allocation, hours, life, planning, projects, rates
-from staffcast.operators.spread import settle
+from staffcast.operators.spread import at_once, key_use, settle
 from staffcast.plans import records, report
 from staffcast.plans.life import life_report
 
@@ -72,8 +72,11 @@ def history_report_department(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _headcount_report(spark: SparkSession, sf: str) -> DataFrame:
-    units = report.prepare_units(fixture.utilization(spark, sf))
-    heads = report.prepare_headcount(fixture.plan_headcount(spark, sf))
+    units, heads = at_once(
+        spark,
+        lambda: report.prepare_units(fixture.utilization(spark, sf)),
+        lambda: report.prepare_headcount(fixture.plan_headcount(spark, sf)),
+    )
     return report.headcount_report(units, fixture.scenarios(spark, sf), heads)
 
 
@@ -96,9 +99,10 @@ def plan_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _modelled(spark: SparkSession, sf: str) -> DataFrame:
-    plan = planning.clean_plan(planning.typed_projects(fixture.plan_projects(spark, sf)))
+    plan = report.prepare_plan(fixture.plan_projects(spark, sf))
     profile = rates.project_profile(fixture.utilization(spark, sf, units=False))
-    return planning.plan_with_models(planning.plan_rows(plan), profile)
+    busiest = key_use(plan, "project_code_old").busiest
+    return planning.plan_with_models(plan, profile, busiest)
 
 
 def plan_rejects(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,13 +129,22 @@ def opening_hours(spark: SparkSession, sf: str) -> DataFrame:
     return hours.opening_hours(fixture.utilization(spark, sf, units=False))
 
 
-def _prorated(spark: SparkSession, sf: str) -> DataFrame:
+def _prorated(modelled: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     fact = fixture.utilization(spark, sf, units=False)
-    ratios = planning.project_ratio(_modelled(spark, sf))
-    scaled = hours.project_hours(hours.opening_hours(fact), ratios, calendar.last_month(fact))
+    busiest = key_use(modelled, "project_code_old").busiest
+    scaled = hours.project_hours(
+        hours.opening_hours(fact),
+        planning.project_ratio(modelled),
+        calendar.last_month(fact),
+        busiest,
+    )
     return hours.prorate_start(scaled)
 
 
+def _settled_model(spark: SparkSession, sf: str) -> DataFrame:
+    return settle(_modelled(spark, sf), "modelled_plan")
+
+
 _HOUR_KEYS = (
     "scenario_id", "project_name", "project_code_old", "sub_job_family_2", "date",
     "start_date", "execute_hour", "execute_month",
@@ -139,18 +152,18 @@ _HOUR_KEYS = (
 
 
 def project_hours(spark: SparkSession, sf: str) -> DataFrame:
-    table = _prorated(spark, sf).select(*_HOUR_KEYS, "total_hour_pro_func", "add_hour")
+    table = _prorated(_settled_model(spark, sf), spark, sf).select(*_HOUR_KEYS, "total_hour_pro_func", "add_hour")
     return rounded(table, add_hour=2)
 
 
 def start_proration(spark: SparkSession, sf: str) -> DataFrame:
-    table = _prorated(spark, sf).select(*_HOUR_KEYS, "start_mth_pct", "add_hour_adj")
+    table = _prorated(_settled_model(spark, sf), spark, sf).select(*_HOUR_KEYS, "start_mth_pct", "add_hour_adj")
     return rounded(table, start_mth_pct=4, add_hour_adj=2)
 
 
 def tidy_result(spark: SparkSession, sf: str) -> DataFrame:
     """Project hours with dates as day numbers, as an extract receives them, tidied."""
-    raw = _prorated(spark, sf).select(*_HOUR_KEYS, "add_hour").withColumns({
+    raw = _prorated(_settled_model(spark, sf), spark, sf).select(*_HOUR_KEYS, "add_hour").withColumns({
         "date": F.unix_date("date"), "start_date": F.unix_date("start_date"),
     })
     return records.tidy_result(raw, "project_hours")
@@ -158,13 +171,10 @@ def tidy_result(spark: SparkSession, sf: str) -> DataFrame:
 
 def _allocated(spark: SparkSession, sf: str, by_department: bool) -> DataFrame:
     fact = fixture.utilization(spark, sf)
-    history = fixture.utilization(spark, sf, units=False)
-    modelled = settle(_modelled(spark, sf), "modelled-plan")
+    modelled = _settled_model(spark, sf)
     ratios = planning.project_ratio(modelled)
     modes = planning.scenario_modes(fixture.scenarios(spark, sf), modelled)
-    end = calendar.last_month(fact)
-    scaled = hours.project_hours(hours.opening_hours(history), ratios, end)
-    month_hours = hours.project_month_hours(hours.prorate_start(scaled))
+    month_hours = hours.project_month_hours(_prorated(modelled, spark, sf))
     table = rates.department_rates(fact) if by_department else rates.function_rates(fact)
     return allocation.allocate(
         month_hours,
@@ -203,14 +213,16 @@ def allocation_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _project_report(spark: SparkSession, sf: str) -> DataFrame:
-    units = report.prepare_units(fixture.utilization(spark, sf))
-    plan = report.prepare_projects(
-        fixture.utilization(spark, sf, units=False),
-        units,
-        fixture.scenarios(spark, sf),
-        report.prepare_plan(fixture.plan_projects(spark, sf)),
-        report.prepare_headcount(fixture.plan_headcount(spark, sf)),
+    units, heads, models = at_once(
+        spark,
+        lambda: report.prepare_units(fixture.utilization(spark, sf)),
+        lambda: report.prepare_headcount(fixture.plan_headcount(spark, sf)),
+        lambda: report.prepare_models(
+            fixture.utilization(spark, sf, units=False),
+            report.prepare_plan(fixture.plan_projects(spark, sf)),
+        ),
     )
+    plan = report.prepare_projects(models, units, fixture.scenarios(spark, sf), heads)
     return report.project_report(units, plan.scenarios.where("mode = 'projects'"), plan)
 
 

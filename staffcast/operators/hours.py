@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from staffcast.functions import calendar, numeric
-from staffcast.operators.spread import hot_join, hot_keys
+from staffcast.operators.spread import hot_join
 
 OPENING_MONTHS = 3
 
@@ -28,18 +28,19 @@ def opening_hours(fact: DataFrame) -> DataFrame:
     )
 
 
-def project_hours(opening: DataFrame, ratios: DataFrame, end: Column) -> DataFrame:
+def project_hours(
+    opening: DataFrame, ratios: DataFrame, end: Column, busiest: int | None = None
+) -> DataFrame:
     """Hours of each new project by function and outlook month.
 
     The n-th active month of the old project becomes the n-th outlook month, scaled by
     the size and duration of the new project.
     """
-    key = ["project_code_old"]
     models = opening.withColumnRenamed("project_code", "project_code_old").withColumn(
         "month_no", F.expr(f"n + {calendar.REPORT_MONTHS - OPENING_MONTHS}")
     ).withColumn("date", calendar.month_date(F.col("month_no"), end)).drop("n")
     add_hour = numeric.safe_div("total_hour_pro_func * hr_ratio", "mon_ratio")
-    return hot_join(ratios, models, hot_keys(ratios, key), key).withColumn(
+    return hot_join(ratios, models, "project_code_old", busiest=busiest).withColumn(
         "add_hour", F.expr(add_hour)
     )
 
@@ -96,11 +97,12 @@ def plan_factors(ratios: DataFrame, end: Column) -> DataFrame:
     )
 
 
-def added_hours(sheet: DataFrame, factors: DataFrame) -> DataFrame:
+def added_hours(
+    sheet: DataFrame, factors: DataFrame, busiest: int | None = None
+) -> DataFrame:
     """Added hours of every plan row by function, the outlook months side by side."""
-    key = ["project_code_old"]
     models = sheet.withColumnRenamed("project_code", "project_code_old")
-    return hot_join(factors, models, hot_keys(factors, key), key).selectExpr(
+    return hot_join(factors, models, "project_code_old", busiest=busiest).selectExpr(
         "scenario_id", "project_name", "div", "sub_job_family_2",
         *[
             f"coalesce(opening_{n} * factor_{n}, 0D) AS hour_{n}"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from staffcast import schemas
 from staffcast.functions import numeric
-from staffcast.operators.spread import keep_listed
+from staffcast.operators.spread import keep_listed, key_use
 
 # The function and cut-off that are profiled, the number of month columns,
 # and the statistics with the open hour ranges that are counted.
@@ -42,7 +42,7 @@ def project_month_profile(
     """
     wanted = (F.col("sub_job_family_2") == function) & (F.col("date") < F.lit(before))
     grouped = (
-        keep_listed(fact.where(wanted), projects, "project_code")
+        keep_listed(fact.where(wanted), key_use(projects, "project_code"), "project_code")
         .groupBy(
             *_LIFE, "date", F.col("project_start_stage").alias("start_stage"), "stage",
             "pmcs_bu_start_dt",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staffcast.functions import calendar, codes, numeric
-from staffcast.operators.spread import hot_join, hot_keys
+from staffcast.operators.spread import hot_join
 
 HEADCOUNT_KEYS = (
     "scenario_id", "div", "deptid", "project_code", "project_name", "sub_job_family_2",
@@ -65,19 +65,21 @@ def active_titles(raw: DataFrame) -> DataFrame:
     )
 
 
-def plan_with_models(rows: DataFrame, profile: DataFrame) -> DataFrame:
-    """Plan rows with the effort of the old project each is modelled on.
+def plan_with_models(
+    rows: DataFrame, profile: DataFrame, busiest: int | None = None
+) -> DataFrame:
+    """Settled plan rows with the effort of the old project each is modelled on.
 
     ``stage_rows`` is NULL for a code that is not among the profiled projects. Very many
-    scenarios may share one model project: its rows are salted.
+    scenarios may share one model project: its rows are salted, unless the ``busiest``
+    code is known to be an ordinary one.
     """
     models = profile.groupBy("project_code").agg(
         F.max("execute_hour").alias("old_hour"),
         F.max("execute_month").alias("old_month"),
         F.max("stage_rows").alias("stage_rows"),
     ).withColumnRenamed("project_code", "project_code_old")
-    key = ["project_code_old"]
-    return hot_join(rows, models, hot_keys(rows, key), key, "left")
+    return hot_join(rows, models, "project_code_old", "left", busiest)
 
 
 def invalid_rows(modelled: DataFrame) -> DataFrame:

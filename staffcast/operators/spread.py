@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import partial
+from typing import TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 SALTS = 16
 HOT_ROWS = 1_000_000
 HOT_KEYS = 1_000
@@ -36,13 +41,43 @@ def salted_join(
     and otherwise this is the shuffle it uses.
     """
     _check_repeatable(how)
-    keys = _spread_columns(rows, on, spread_by)
-    salted = rows.withColumn(_SALT, F.pmod(F.hash(*keys), F.lit(salts)))
+    spread_by = spread_by or [c for c in rows.columns if c not in on]
+    salted = rows.withColumn(_SALT, F.pmod(F.hash(*spread_by), F.lit(salts)))
     repeated = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
 
 
-def hot_keys(rows: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+@dataclass(frozen=True)
+class KeyUse:
+    """The keys that a settled table names, how many there are, and the rows of the busiest."""
+
+    keys: DataFrame
+    count: int
+    busiest: int
+
+
+def key_use(rows: DataFrame, key: str) -> KeyUse:
+    """Measure the keys of a settled table by one small job that returns two numbers."""
+    counted = rows.groupBy(key).agg(F.expr("count(1) AS n"))
+    count, busiest = counted.agg(F.expr("count(1)"), F.expr("coalesce(max(n), 0)")).first()
+    return KeyUse(rows.select(key).distinct(), count, busiest)
+
+
+def keep_listed(rows: DataFrame, use: KeyUse, key: str) -> DataFrame:
+    """Early reduction of a large table to the listed keys, where the list is short.
+
+    Up to ``BROADCAST_KEYS`` measured keys are broadcast and the table is filtered while
+    it is read. A longer list would shuffle the whole table by a skewed key, so the table
+    is then passed on unfiltered, and the caller joins what it has aggregated; the result
+    of that join is the same.
+    """
+    if use.count > BROADCAST_KEYS:
+        return rows
+    keys = use.keys.toDF(key)
+    return rows.join(F.broadcast(keys), key, "left_semi")
+
+
+def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The keys with more than ``hot_rows`` rows and the number of salts for each.
 
     At most ``HOT_KEYS`` keys are listed, the hottest first, so the list is always small
@@ -50,52 +85,40 @@ def hot_keys(rows: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     than a thousandth of all rows and needs no salt.
     """
     return (
-        rows.groupBy(*on)
+        rows.groupBy(key)
         .agg(F.expr("count(1) AS n"))
         .where(f"n > {hot_rows}")
         .orderBy(F.desc("n"))
         .limit(HOT_KEYS)
-        .selectExpr(*on, f"int(least(ceil(n / {hot_rows}), {MOST_SALTS})) AS salts")
+        .selectExpr(key, f"int(least(ceil(n / {hot_rows}), {MOST_SALTS})) AS salts")
     )
 
 
 def hot_join(
     rows: DataFrame,
     lookup: DataFrame,
-    hot: DataFrame,
-    on: Sequence[str],
+    key: str,
     how: str = "inner",
-    spread_by: Sequence[str] | None = None,
+    busiest: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Equi-join of many rows with a large lookup in which a few keys may be hot.
+    """Equi-join of a settled table with a large lookup in which a few keys may be hot.
 
     Only the rows and lookup rows of a hot key are salted; all others join as they are,
-    so a lookup as large as the list of all projects is not repeated.
+    so a lookup as large as the list of all projects is not repeated. Where ``busiest``
+    was measured and is small, no key is hot and the join is a plain one.
     """
     _check_repeatable(how)
-    keys = _spread_columns(rows, on, spread_by)
+    if busiest is not None and busiest <= hot_rows:
+        return rows.join(lookup, key, how)
+    hot = hot_keys(rows, key, hot_rows)
+    spread_by = [c for c in rows.columns if c != key]
     salts = F.coalesce("salts", F.lit(1))
-    salted = rows.join(hot, [*on], "left").withColumn(_SALT, F.pmod(F.hash(*keys), salts))
-    repeated = lookup.join(hot, [*on], "left").withColumn(
+    salted = rows.join(hot, key, "left").withColumn(_SALT, F.pmod(F.hash(*spread_by), salts))
+    repeated = lookup.join(hot, key, "left").withColumn(
         _SALT, F.explode(F.sequence(F.lit(0), salts - 1))
     )
-    return (
-        salted.drop("salts").join(repeated.drop("salts"), [*on, _SALT], how).drop(_SALT)
-    )
-
-
-def keep_listed(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
-    """Early reduction of a large table to listed keys, where the list is short.
-
-    The distinct keys are counted first. Up to ``BROADCAST_KEYS`` they are
-    broadcast and the table is filtered while it is read. A longer list would shuffle the
-    whole table by a skewed key, so the table is then passed on unfiltered, and the
-    caller joins what it has aggregated; the result of that join is the same.
-    """
-    keys = listed.select(key).distinct()
-    if keys.count() > BROADCAST_KEYS:
-        return rows
-    return rows.join(F.broadcast(keys), key, "left_semi")
+    return salted.drop("salts").join(repeated.drop("salts"), [key, _SALT], how).drop(_SALT)
 
 
 def _check_repeatable(how: str) -> None:
@@ -103,12 +126,6 @@ def _check_repeatable(how: str) -> None:
         raise ValueError("only inner and left joins can repeat the right side")
 
 
-def _spread_columns(
-    rows: DataFrame, on: Sequence[str], spread_by: Sequence[str] | None
-) -> list[str]:
-    return list(spread_by) if spread_by else [c for c in rows.columns if c not in on]
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names for checkpoints."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -133,12 +150,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settle_together(**tables: DataFrame) -> list[DataFrame]:
-    """Settle tables that do not depend on each other, at the same time.
+def at_once(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:
+    """Run steps that do not depend on each other at the same time.
 
-    Small jobs then fill the executors that the large ones leave idle.
+    Each step submits its own Spark jobs; small jobs then fill the executors that the
+    large ones leave idle.
     """
-    carry = inheritable_thread_target(next(iter(tables.values())).sparkSession)
-    with ThreadPoolExecutor(len(tables)) as pool:
-        jobs = [pool.submit(carry(settle), df, name) for name, df in tables.items()]
-        return [job.result() for job in jobs]
+    carry = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(len(steps)) as pool:
+        running = [pool.submit(carry(step)) for step in steps]
+        return [step.result() for step in running]
+
+
+def settle_together(**tables: DataFrame) -> list[DataFrame]:
+    """Settle tables that do not depend on each other, at the same time."""
+    spark = next(iter(tables.values())).sparkSession
+    return at_once(spark, *[partial(settle, df, name) for name, df in tables.items()])

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from staffcast.functions import calendar, numeric
 from staffcast.operators import hours, planning, rates, what_if
-from staffcast.operators.spread import keep_listed, settle, settle_together
+from staffcast.operators.spread import (
+    at_once,
+    keep_listed,
+    key_use,
+    settle,
+    settle_together,
+)
 from staffcast.schemas import REPORT_COLUMNS
 
 
@@ -24,27 +30,6 @@ class Units:
     end: Column
 
 
-def _rate_table(fact: DataFrame, end: dt.date | None) -> DataFrame:
-    return rates.unit_rates(fact, end).fillna("", ["deptid", "sub_job_family_2"])
-
-
-def _headcount_table(raw: DataFrame) -> DataFrame:
-    return planning.headcount_plan(raw).fillna("", ["deptid", "sub_job_family_2"])
-
-
-def _plan_table(raw: DataFrame) -> DataFrame:
-    return planning.plan_rows(planning.clean_plan(planning.typed_projects(raw)))
-
-
-def _units(table: DataFrame, end: dt.date | None, additive: bool) -> Units:
-    return Units(
-        functions=rates.function_sheet(table),
-        departments=rates.department_sheet(table, additive),
-        department_functions=rates.department_function_sheet(table),
-        end=calendar.anchor(table, end),
-    )
-
-
 def prepare_units(
     fact: DataFrame, end: dt.date | None = None, additive: bool = False
 ) -> Units:
@@ -53,15 +38,25 @@ def prepare_units(
     ``end`` is the last month of the fact where the caller knows it; otherwise it is
     looked up. The result can be used for any number of batches.
     """
-    return _units(settle(_rate_table(fact, end), "unit-rates"), end, additive)
+    table = settle(
+        rates.unit_rates(fact, end).fillna("", ["deptid", "sub_job_family_2"]), "unit_rates"
+    )
+    functions, departments, department_functions = settle_together(
+        functions=rates.function_sheet(table),
+        departments=rates.department_sheet(table, additive),
+        department_functions=rates.department_function_sheet(table),
+    )
+    return Units(functions, departments, department_functions, calendar.anchor(table, end))
 
 
 def prepare_headcount(raw: DataFrame) -> DataFrame:
-    return settle(_headcount_table(raw), "headcount")
+    plan = planning.headcount_plan(raw)
+    return settle(plan.fillna("", ["deptid", "sub_job_family_2"]), "headcount")
 
 
 def prepare_plan(raw: DataFrame) -> DataFrame:
-    return settle(_plan_table(raw), "plan")
+    plan = planning.clean_plan(planning.typed_projects(raw))
+    return settle(planning.plan_rows(plan), "plan")
 
 
 def history_report(fact: DataFrame, end: dt.date | None = None) -> DataFrame:
@@ -94,6 +89,15 @@ def headcount_report(units: Units, scenarios: DataFrame, headcount: DataFrame) -
     return departments.unionByName(functions).select(*REPORT_COLUMNS)
 
 
+@dataclass(frozen=True)
+class ModelledPlan:
+    """Planned rows with their old projects, and the opening hours of those."""
+
+    rows: DataFrame
+    opening: DataFrame
+    busiest: int
+
+
 @dataclass(frozen=True)
 class ProjectPlan:
     """Validated project plans: the mode of every scenario and what its projects add."""
@@ -104,39 +108,42 @@ class ProjectPlan:
     effects: DataFrame
 
 
+def prepare_models(fact: DataFrame, plan: DataFrame) -> ModelledPlan:
+    """Look up the old projects of a settled plan; the fact is only read for these,
+    where they are few.
+    """
+    use = key_use(plan, "project_code_old")
+    past = keep_listed(fact, use, "project_code")
+    profile = rates.project_profile(past, calendar.first_month(fact))
+    opening = hours.opening_hours(past).fillna("", ["sub_job_family_2"])
+    rows, sheet = settle_together(
+        modelled_plan=planning.plan_with_models(plan, profile, use.busiest),
+        opening_hours=hours.opening_sheet(opening),
+    )
+    return ModelledPlan(rows, sheet, use.busiest)
+
+
 def prepare_projects(
-    fact: DataFrame,
-    units: Units,
-    scenarios: DataFrame,
-    plan: DataFrame,
-    headcount: DataFrame,
+    models: ModelledPlan, units: Units, scenarios: DataFrame, headcount: DataFrame
 ) -> ProjectPlan:
     """Check the planned projects and work out the hours and heads they add.
 
     The planned rows are multiplied by the functions of their old project only, and are
-    summed by project before anything is joined to the units. Of the fact, only the old
-    projects that are named are looked at where they are few.
+    summed by project before anything is joined to the units.
     """
-    named = plan.selectExpr("project_code_old AS project_code")
-    past = keep_listed(fact, named, "project_code")
-    profile = rates.project_profile(past, calendar.first_month(fact))
-    opening = hours.opening_hours(past).fillna("", ["sub_job_family_2"])
-    modelled, sheet = settle_together(
-        modelled_plan=planning.plan_with_models(plan, profile),
-        opening_hours=hours.opening_sheet(opening),
-    )
-    ratios = planning.project_ratio(modelled)
+    ratios = planning.project_ratio(models.rows)
     modes, staff = settle_together(
-        scenario_modes=planning.scenario_modes(scenarios, modelled),
+        scenario_modes=planning.scenario_modes(scenarios, models.rows),
         project_staff=what_if.project_staff(
             headcount, hours.project_passes(ratios), units.department_functions
         ),
     )
-    added = hours.added_hours(sheet, hours.plan_factors(ratios, units.end))
+    factors = hours.plan_factors(ratios, units.end)
+    added = hours.added_hours(models.opening, factors, models.busiest)
     effects = settle(
         what_if.project_effects(added, staff, units.functions), "project_effects"
     )
-    return ProjectPlan(modelled, modes, staff, effects)
+    return ProjectPlan(models.rows, modes, staff, effects)
 
 
 def project_report(units: Units, scenarios: DataFrame, plan: ProjectPlan) -> DataFrame:
@@ -176,13 +183,11 @@ def score_scenarios(
     ``project_fact`` is the fact without division and department, for sources in which
     those cost a join: the history of a project does not need them.
     """
-    table, heads, plan = settle_together(
-        unit_rates=_rate_table(fact, end),
-        headcount=_headcount_table(headcount),
-        plan=_plan_table(projects),
-    )
-    units = _units(table, end, additive)
     history = fact if project_fact is None else project_fact
-    return combined_report(
-        units, heads, prepare_projects(history, units, scenarios, plan, heads)
+    units, heads, models = at_once(
+        fact.sparkSession,
+        lambda: prepare_units(fact, end, additive),
+        lambda: prepare_headcount(headcount),
+        lambda: prepare_models(history, prepare_plan(projects)),
     )
+    return combined_report(units, heads, prepare_projects(models, units, scenarios, heads))

@@ -31,8 +31,8 @@ def score_request_folder(
     def answer(batch: DataFrame, number: int) -> None:
         scenarios, projects, headcount = split_requests(settle(batch, "requests"))
         heads = report.prepare_headcount(headcount)
-        rows = report.prepare_plan(projects)
-        plan = report.prepare_projects(fact, units, scenarios, rows, heads)
+        models = report.prepare_models(fact, report.prepare_plan(projects))
+        plan = report.prepare_projects(models, units, scenarios, heads)
         scored = report.combined_report(units, heads, plan)
         scored.write.mode("overwrite").parquet(f"{answers}/batch={number}")
         refused = records.refused_requests(plan.modelled, scenarios)

@@ -69,10 +69,16 @@ def test_salted_joins_equal_plain_joins(spark, skewed, how):
     plain = sorted(map(str, rows.join(lookup, "key", how).select("id", "key", "v").collect()))
     salted = spread.salted_join(rows, lookup, ["key"], how)
     assert sorted(map(str, salted.select("id", "key", "v").collect())) == plain
-    hot = spread.hot_keys(rows, ["key"], hot_rows=100)
-    assert [tuple(r) for r in hot.collect()] == [("hot", 20)]
-    joined = spread.hot_join(rows, lookup, hot, ["key"], how)
-    assert sorted(map(str, joined.select("id", "key", "v").collect())) == plain
+    assert [tuple(r) for r in spread.hot_keys(rows, "key", 100).collect()] == [("hot", 20)]
+    use = spread.key_use(rows, "key")
+    assert (use.count, use.busiest) == (51, 2000)
+    for busiest in (None, use.busiest):
+        joined = spread.hot_join(rows, lookup, "key", how, busiest, hot_rows=100)
+        assert "_salt" in plan_of(joined)
+        assert sorted(map(str, joined.select("id", "key", "v").collect())) == plain
+    plainly = spread.hot_join(rows, lookup, "key", how, use.busiest)
+    assert "_salt" not in plan_of(plainly)
+    assert sorted(map(str, plainly.select("id", "key", "v").collect())) == plain
 
 
 def test_other_joins_are_refused(skewed):
