@@ -115,7 +115,7 @@ def scenario_modes(spark: SparkSession, sf: str) -> DataFrame:
 
 def reject_log(spark: SparkSession, sf: str) -> DataFrame:
     log = records.refused_requests(
-        _modelled(spark, sf), fixture.scenarios(spark, sf), _SAVED
+        _settled_model(spark, sf), fixture.scenarios(spark, sf), _SAVED
     )
     return log.withColumn("save_time", F.date_format("save_time", "yyyy-MM-dd HH:mm"))
 
@@ -179,8 +179,8 @@ def _allocated(spark: SparkSession, sf: str, by_department: bool) -> DataFrame:
     return allocation.allocate(
         month_hours,
         settle(table, "rates"),
-        planning.headcount_plan(fixture.plan_headcount(spark, sf)),
-        hours.project_passes(ratios).drop("div"),
+        report.prepare_headcount(fixture.plan_headcount(spark, sf)),
+        hours.project_passes(ratios),
         modes.where("mode = 'projects'"),
     )
 

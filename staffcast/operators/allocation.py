@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staffcast.functions import numeric
-from staffcast.operators.spread import salted_join
+from staffcast.operators.spread import hot_join, salted_join
+
+_FUNCTION = ["div", "sub_job_family_2", "date"]
+_PROJECT = ["scenario_id", "project_name"]
 
 
 def allocate(
@@ -18,27 +21,41 @@ def allocate(
 ) -> DataFrame:
     """Share of every unit in the added hours of every project, month by month.
 
-    ``rates`` are function or department rates; with departments, head count counts for
-    its department and function, otherwise for its function. The share of a unit is its
-    employees plus added head count over the same sum of all units of the function.
+    ``rates`` are settled function or department rates; with departments, head count
+    counts for its department and function, otherwise for its function. The share of a
+    unit is its employees plus added head count over the same sum of all units of the
+    function. That sum is made per project and function, before the rows are multiplied
+    by units, so the listing itself is joined with its head count and nothing else.
+
     This is the detailed listing; the what-if operators sum it without building it.
     """
     unit = [c for c in ("div", "deptid", "sub_job_family_2") if c in rates.columns]
-    staff = headcount.groupBy("scenario_id", "project_name", *unit).agg(
+    staff = headcount.groupBy(*_PROJECT, *unit).agg(
         F.expr(f"{numeric.lenient_sum('hc')} AS hc")
     )
-    wanted = projects.join(
-        scenarios.selectExpr("scenario_id", "division AS div"), "scenario_id"
+    wanted = hot_join(projects, scenarios.select("scenario_id"), "scenario_id")
+    employed = rates.groupBy(*_FUNCTION).agg(
+        F.expr(f"{numeric.strict_sum('emp_cnt')} AS employed")
+    )
+    staffed = (
+        salted_join(staff, rates.select(*unit, "date"), unit, spread_by=_PROJECT)
+        .groupBy(*_PROJECT, *_FUNCTION)
+        .agg(F.expr("sum(hc) AS staffed"))
+    )
+    grain = [*_PROJECT, *_FUNCTION]
+    groups = (
+        salted_join(wanted, employed, ["div"], spread_by=_PROJECT)
+        .join(staffed, grain, "left")
+        .join(month_hours, grain, "left")
+        .selectExpr(
+            *grain, "passes", "add_hour_adj", "employed + coalesce(staffed, 0D) AS emp_all"
+        )
     )
-    units = salted_join(wanted, rates, ["div"], spread_by=["scenario_id", "project_name"])
-    over = "OVER (PARTITION BY scenario_id, project_name, div, sub_job_family_2, date)"
-    complete = f"count(emp) {over} = count(1) {over}"
     return (
-        units.join(staff, ["scenario_id", "project_name", *unit], "left")
-        .join(month_hours, ["scenario_id", "project_name", "sub_job_family_2", "date"], "left")
+        salted_join(groups, rates, _FUNCTION, spread_by=_PROJECT)
+        .join(staff, [*_PROJECT, *unit], "left")
         .withColumn("hc", F.expr("coalesce(hc, 0D)"))
         .withColumn("emp", F.expr("emp_cnt + hc"))
-        .withColumn("emp_all", F.expr(f"CASE WHEN {complete} THEN sum(emp) {over} END"))
         .withColumn("emp_pct", F.expr(numeric.safe_div("emp", "emp_all")))
         .withColumn("add_hour_pct", F.expr("add_hour_adj * emp_pct"))
         .withColumn("add_attendance_emp", F.expr("attendance_emp * hc * passes"))

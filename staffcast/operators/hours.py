@@ -58,7 +58,9 @@ def project_month_hours(prorated: DataFrame) -> DataFrame:
     An old project that is listed under several start stages is passed over once per
     stage, and every pass adds its hours.
     """
-    return prorated.groupBy("scenario_id", "project_name", "sub_job_family_2", "date").agg(
+    return prorated.groupBy(
+        "scenario_id", "project_name", "div", "sub_job_family_2", "date"
+    ).agg(
         F.expr(f"{numeric.lenient_sum('add_hour_adj * stage_rows')} AS add_hour_adj")
     )
 

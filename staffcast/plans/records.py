@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from staffcast.functions import calendar, codes, numeric
 from staffcast.operators import planning
+from staffcast.operators.spread import hot_join
 
 # Columns that are rounded to one decimal in the extract of each intermediate table,
 # and the columns that may arrive as day numbers.
@@ -50,10 +51,12 @@ def reject_log(
 def refused_requests(
     modelled: DataFrame, scenarios: DataFrame, save_time: dt.datetime | None = None
 ) -> DataFrame:
-    """Log of the planned projects that made their scenario be refused."""
-    rows = planning.invalid_rows(modelled).join(
-        scenarios.select("scenario_id", "user_id"), "scenario_id"
-    )
+    """Log of the planned projects that made their scenario be refused.
+
+    One scenario may have very many bad rows: they are salted for the join.
+    """
+    users = scenarios.select("scenario_id", "user_id")
+    rows = hot_join(planning.invalid_rows(modelled), users, "scenario_id")
     return reject_log(
         rows,
         F.col("user_id"),

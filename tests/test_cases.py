@@ -208,7 +208,7 @@ def test_shares_add_up_to_one_or_are_missing(spark):
         hours.project_month_hours(hours.prorate_start(scaled)),
         rates.department_rates(fact),
         planning.headcount_plan(data.heads(spark, staffed)),
-        hours.project_passes(ratios).drop("div"),
+        hours.project_passes(ratios),
         data.scenarios(spark, asked),
     ).groupBy("scenario_id", "project_name", "sub_job_family_2", "date").agg(
         F.sum("emp_pct").alias("s")
