@@ -41,8 +41,9 @@ def project_month_profile(
     combined rows: one per project and month, however many entries a project has.
     """
     wanted = (F.col("sub_job_family_2") == function) & (F.col("date") < F.lit(before))
+    listed = key_use(projects, "project_code")
     grouped = (
-        keep_listed(fact.where(wanted), key_use(projects, "project_code"), "project_code")
+        keep_listed(fact.where(wanted), listed, "project_code")
         .groupBy(
             *_LIFE, "date", F.col("project_start_stage").alias("start_stage"), "stage",
             "pmcs_bu_start_dt",
@@ -53,9 +54,10 @@ def project_month_profile(
             F.expr("sum(total_hour) AS sum_hour"),
         )
     )
+    if not listed.is_short:
+        grouped = grouped.join(listed.keys, "project_code", "left_semi")
     return (
-        grouped.join(projects.select("project_code"), "project_code", "left_semi")
-        .withColumn(
+        grouped.withColumn(
             "hour_per_cnt",
             F.expr(numeric.round_to(numeric.safe_div("sum_hour", "cnt"), 1)),
         )

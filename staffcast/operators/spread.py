@@ -55,6 +55,11 @@ class KeyUse:
     count: int
     busiest: int
 
+    @property
+    def is_short(self) -> bool:
+        """Whether the list of keys is small enough to broadcast."""
+        return self.count <= BROADCAST_KEYS
+
 
 def key_use(rows: DataFrame, key: str) -> KeyUse:
     """Measure the keys of a settled table by one small job that returns two numbers."""
@@ -71,10 +76,9 @@ def keep_listed(rows: DataFrame, use: KeyUse, key: str) -> DataFrame:
     is then passed on unfiltered, and the caller joins what it has aggregated; the result
     of that join is the same.
     """
-    if use.count > BROADCAST_KEYS:
+    if not use.is_short:
         return rows
-    keys = use.keys.toDF(key)
-    return rows.join(F.broadcast(keys), key, "left_semi")
+    return rows.join(F.broadcast(use.keys.toDF(key)), key, "left_semi")
 
 
 def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -7,10 +7,12 @@ import io
 
 import data
 import pytest
+from compare import database, differences
 from conftest import SMALL
 
 from checks import fixture
 from checks.catalog import QUERIES
+from checks.oracle import ORACLE
 from staffcast.operators import hours, rates, spread
 from staffcast.sources import readers, writers
 
@@ -90,3 +92,16 @@ def test_other_joins_are_refused(skewed):
 def test_shared_dir_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert spread.shared_dir(spark) == (named or spread.shared_dir(spark))
+
+
+def test_batch_beyond_every_size_bound(spark, monkeypatch):
+    """No broadcast fits, every busy code is hot: the other ways give the same rows."""
+    monkeypatch.setattr(spread, "BROADCAST_KEYS", 1)
+    monkeypatch.setattr(spread.hot_join, "__defaults__", ("inner", None, 20))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES["scenario_batch"](spark, SMALL)
+        assert "BroadcastHashJoin" not in plan_of(df) and "SortMergeJoin" in plan_of(df)
+        assert differences(df, database(SMALL), ORACLE["scenario_batch"]) is None
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
