@@ -254,6 +254,30 @@ def scenario_batch_additive(spark: SparkSession, sf: str) -> DataFrame:
     return _batch(spark, sf, additive=True)
 
 
+def project_list_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """One scenario per valid line of a project list, all in one batch."""
+    scenarios, planned = planning.scenarios_of_list(
+        fixture.listed_projects(spark, sf), fixture.LIST_START
+    )
+    return report.score_scenarios(
+        fixture.utilization(spark, sf),
+        scenarios,
+        planned,
+        fixture.no_headcount(spark),
+        project_fact=fixture.utilization(spark, sf, units=False),
+    )
+
+
+def report_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The head count report as JSON records, rates in percent."""
+    return records.as_records(
+        rounded(
+            records.tidy_result(_headcount_report(spark, sf), "report", percent=True),
+            **dict.fromkeys(("b_1", "b_2", "b_3", "a_1", "a_2", "a_3"), 1),
+        )
+    )
+
+
 def project_month_profile(spark: SparkSession, sf: str) -> DataFrame:
     return life.project_month_profile(
         fixture.utilization(spark, sf, units=False),
@@ -309,7 +333,8 @@ QUERIES: dict[str, Query] = {
         scenario_modes, reject_log, project_ratio, opening_hours, project_hours,
         start_proration, tidy_result, allocation_function, allocation_department,
         allocation_share, project_what_if_function, project_what_if_department,
-        scenario_batch, scenario_batch_additive, project_month_profile, life_pivot,
-        life_statistics, life_sheet, project_load, project_load_user, project_list, purge_user,
+        scenario_batch, scenario_batch_additive, project_list_batch, report_records,
+        project_month_profile, life_pivot, life_statistics, life_sheet, project_load,
+        project_load_user, project_list, purge_user,
     )
 }

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from staffcast import schemas
 from staffcast.functions import codes
+from staffcast.operators.projects import parse_project_lines
 
 EMPLOYEE_CODES = ("HW", "RF", "OP", "PV", "E4", "ME")
 PLAN_CODES = ("HW", "RF", "OP", "PV", "E4", "ME", "AR")
 LIFE_BEFORE = dt.date(2001, 7, 1)
+LIST_START = dt.date(2001, 10, 10)
 
 
 # Schemas of the driver tables that are read.
@@ -198,3 +200,18 @@ def project_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ELSE concat('P', p_partkey, ',', p_name, ',', p_retailprice, ',', p_size)
                 END AS value"""
     )
+
+
+def listed_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parsed project list with a scenario and a division for every line."""
+    lines = parse_project_lines(project_lines(spark, sf_dir)).selectExpr(
+        "*",
+        "bigint(substring(project_code, 2)) AS scenario_id",
+        "int(bigint(substring(project_code, 2)) % 5) AS region",
+        "'001' AS user_id",
+    )
+    return _with_region(lines, spark, sf_dir, "division")
+
+
+def no_headcount(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], schemas.PLAN_HEADCOUNT_RAW)

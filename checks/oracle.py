@@ -6,6 +6,8 @@ no formulation with the Spark job it is compared with.
 
 from __future__ import annotations
 
+import re
+
 
 def r(value: str, digits: int = 2) -> str:
     return f"CAST(ROUND(CAST({value} AS DECIMAL(18,6)), {digits}) AS DOUBLE)"
@@ -317,29 +319,41 @@ STEPS["life_stats"] = " UNION ALL ".join([
     _life_statistic("__300", _between(200, 300)),
 ])
 
-ORDER = list(STEPS)
+
+# The project list as scenarios: other inputs for the same steps.
+LIST_INPUTS: dict[str, str] = {
+    "scenarios": """
+        SELECT p_partkey AS scenario_id, r_name AS division, '001' AS user_id
+        FROM part LEFT JOIN region ON r_regionkey = p_partkey % 5
+        WHERE p_partkey % 20 NOT IN (0, 7)""",
+    "plan": """
+        SELECT scenario_id, division, '0' AS project_code, 'new project' AS project_name,
+               'P' || scenario_id AS project_code_old, p_retailprice AS execute_hour,
+               CAST(p_size AS DOUBLE) AS execute_month, DATE '2001-10-10' AS start_date
+        FROM scenarios JOIN part ON p_partkey = scenario_id""",
+    "hc_raw": f"SELECT * FROM ({STEPS['hc_raw']}) WHERE FALSE",
+}
 
 
-def _needed(text: str) -> list[str]:
+def _needed(text: str, steps: dict[str, str]) -> list[str]:
     """Steps that a query mentions, with the steps those mention."""
-    import re
-
     found: set[str] = set()
-    open_ = [text]
-    while open_:
-        words = set(re.findall(r"\w+", open_.pop()))
-        for name in ORDER:
+    waiting = [text]
+    while waiting:
+        words = set(re.findall(r"\w+", waiting.pop()))
+        for name in steps:
             if name in words and name not in found:
                 found.add(name)
-                open_.append(STEPS[name])
-    return [name for name in ORDER if name in found]
+                waiting.append(steps[name])
+    return [name for name in steps if name in found]
 
 
-def query(text: str) -> str:
-    steps = _needed(text)
-    if not steps:
+def query(text: str, inputs: dict[str, str] | None = None) -> str:
+    steps = STEPS | (inputs or {})
+    names = _needed(text, steps)
+    if not names:
         return text.strip()
-    listed = ",\n".join(f"{name} AS ({STEPS[name]})" for name in steps)
+    listed = ",\n".join(f"{name} AS ({steps[name]})" for name in names)
     return f"WITH {listed}\n{text.strip()}"
 
 
@@ -477,4 +491,14 @@ _QUERIES: dict[str, str] = {
         WHERE user_id <> 8 OR user_id IS NULL""",
 }
 
+_PERCENT = ", ".join(
+    f"'{c}': {r(f'{c} * 100', 1)}" if c != "hc" else "'hc': hc"
+    for c in ("b_1", "b_2", "b_3", "hc", "a_1", "a_2", "a_3")
+)
+_QUERIES["report_records"] = f"""
+    SELECT CAST(to_json({{'scenario_id': scenario_id, 'Div': Div, 'Type': Type,
+                          'Title': Title, {_PERCENT}}}) AS VARCHAR) AS record
+    FROM ({_hc_report("TRUE")})"""
+
 ORACLE: dict[str, str] = {name: query(text) for name, text in _QUERIES.items()}
+ORACLE["project_list_batch"] = query(_project_report("TRUE"), LIST_INPUTS)

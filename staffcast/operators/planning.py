@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,31 @@ def plan_rows(plan: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def scenarios_of_list(
+    listed: DataFrame, start_date: dt.date, name: str = "new project", scale: float = 1.0
+) -> tuple[DataFrame, DataFrame]:
+    """One scenario per project of a list: what if one more such project starts?
+
+    ``listed`` holds parsed project lines with a ``scenario_id``, a ``division`` and a
+    ``user_id``. ``scale`` multiplies the listed hours. Lines that are not valid are left
+    out. Gives the scenario table and the planned project table.
+    """
+    valid = listed.where("is_valid")
+    scenarios = valid.select("scenario_id", "division", "user_id")
+    projects = valid.select(
+        "scenario_id",
+        "division",
+        F.lit("0").alias("project_code"),
+        F.lit(name).alias("project_name"),
+        F.col("project_code").alias("project_code_old"),
+        F.col("project_name").alias("project_name_old"),
+        F.expr(f"string(execute_hour * {float(scale)}D)").alias("execute_hour"),
+        F.expr("string(execute_month)").alias("execute_month"),
+        F.lit(start_date.isoformat()).alias("start_date"),
+    )
+    return scenarios, projects
+
+
 def headcount_plan(raw: DataFrame) -> DataFrame:
     """Head count by scenario, unit, project and planned function."""
     return (
