@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from checks import fixture  # noqa: E402
-from checks.catalog import QUERIES  # noqa: E402
+from staffcast_checks import fixture  # noqa: E402
+from staffcast_checks.catalog import QUERIES  # noqa: E402
 from staffcast.plans.report import score_scenarios  # noqa: E402
 from staffcast.sources.readers import scenario_rows  # noqa: E402
 

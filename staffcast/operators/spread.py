@@ -146,10 +146,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several later steps read, and read it back.
 
     The work behind it is done once, its lineage is cut, it survives lost executors, and
-    later joins are planned with its true size.
+    later joins are planned with its true size. The tables of an application lie in one
+    folder, which may be removed when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/staffcast/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{shared_dir(spark).rstrip('/')}/staffcast/{app}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

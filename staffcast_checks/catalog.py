@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks import fixture
+from staffcast_checks import fixture
 from staffcast.functions import calendar, numeric
 from staffcast.operators import allocation, hours, life, planning, projects, rates
 from staffcast.operators.spread import at_once, key_use, settle

@@ -10,9 +10,9 @@ import pytest
 from compare import database, differences
 from conftest import SMALL
 
-from checks import fixture
-from checks.catalog import QUERIES
-from checks.oracle import ORACLE
+from staffcast_checks import fixture
+from staffcast_checks.catalog import QUERIES
+from staffcast_checks.oracle import ORACLE
 from staffcast.operators import hours, rates, spread
 from staffcast.sources import readers, writers
 
