@@ -32,8 +32,8 @@ def safe_div(numerator: str, denominator: str) -> str:
 
 
 def parse_number(text: str) -> str:
-    """Number in a text column; blank or malformed text is missing."""
-    return f"try_cast(trim(string({text})) AS DOUBLE)"
+    """Number in a text column; blank, malformed and NaN text is missing."""
+    return f"nanvl(try_cast(trim(string({text})) AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
 def or_zero(value: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from staffcast import schemas
+from staffcast.functions import calendar, numeric
 from staffcast.operators.projects import parse_project_lines
 
 
@@ -16,8 +17,32 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None)
     return reader.parquet(path)
 
 
+def as_utilization(table: DataFrame) -> DataFrame:
+    """A source table with the declared columns and types of the fact.
+
+    Dates may arrive as text, numbers as decimals or text, and missing numbers as NaN or
+    blank; columns that are already typed are passed on as they are, so that filters on
+    them still reach the scan.
+    """
+    found = dict(table.dtypes)
+
+    def typed(name: str, kind: str) -> str:
+        if kind == "date" and found[name] == "string":
+            return calendar.parse_day(name)
+        if kind == "double" and found[name] == "string":
+            return numeric.parse_number(name)
+        if kind == "double":
+            return f"nanvl(double({name}), CAST(NULL AS DOUBLE))"
+        return name if found[name] == kind else f"CAST({name} AS {kind})"
+
+    return table.selectExpr(*[
+        f"{typed(field.name, field.dataType.simpleString())} AS {field.name}"
+        for field in schemas.UTILIZATION.fields
+    ])
+
+
 def read_utilization(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, schemas.UTILIZATION)
+    return as_utilization(read_table(spark, path, schemas.UTILIZATION))
 
 
 def read_jdbc(

@@ -30,9 +30,9 @@ def test_safe_div_and_or_zero(spark):
 
 
 def test_parse_number(spark):
-    rows = [("2",), (" 2.5 ",), ("",), ("x",), (None,)]
+    rows = [("2",), (" 2.5 ",), ("",), ("x",), ("NaN",), (None,)]
     assert values(spark, rows, "x string", numeric.parse_number("x")) == [
-        2.0, 2.5, None, None, None,
+        2.0, 2.5, None, None, None, None,
     ]
 
 

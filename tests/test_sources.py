@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 import data
 import pytest
 
+from staffcast.operators.planning import scenarios_of_list
+from staffcast.operators.projects import parse_project_lines
 from staffcast.plans import report
 from staffcast.sources import readers, writers
 from staffcast.streaming.requests import score_request_folder
@@ -146,3 +149,35 @@ def test_fact_partitioned_by_date(spark, tmp_path):
     assert {tuple(r) for r in history.collect()} == {
         ("D1", "DEP", "A", 0.5, 0.5, 0.5), ("D1", "SUB", "RH", 0.5, 0.5, 0.5),
     }
+
+
+def test_source_table_gets_the_declared_types(spark):
+    typed = company(spark)
+    raw = typed.selectExpr(*[
+        "date_format(date, 'yyyy/M/d') AS date" if n == "date"
+        else "string(pmcs_bu_start_dt) AS pmcs_bu_start_dt" if n == "pmcs_bu_start_dt"
+        else "string(total_hour) AS total_hour" if n == "total_hour"
+        else "CAST(attendance AS DECIMAL(18,2)) AS attendance" if n == "attendance"
+        else "CAST('NaN' AS DOUBLE) AS C0_day" if n == "C0_day"
+        else "CAST(termination_n AS INT) AS termination_n" if n == "termination_n"
+        else n
+        for n in typed.columns
+    ], "'x' AS more")
+    fact = readers.as_utilization(raw)
+    assert fact.schema.simpleString() == typed.schema.simpleString()
+    assert fact.where("C0_day IS NOT NULL").isEmpty()
+    assert fact.drop("C0_day").exceptAll(typed.drop("C0_day")).isEmpty()
+
+
+def test_project_list_as_scenarios(spark):
+    lines = spark.createDataFrame([("P1,old,300,20",), ("P9,none,1,1",), ("P1,",)], "value string")
+    listed = parse_project_lines(lines).selectExpr(
+        "*", "xxhash64(project_code) AS scenario_id", "'D1' AS division", "'001' AS user_id"
+    )
+    asked, planned = scenarios_of_list(listed, dt.date(2021, 5, 1), scale=2.0)
+    assert asked.count() == 2
+    rows = report.score_scenarios(company(spark), asked, planned, data.heads(spark, []))
+    # Hours 600 of 1000 and months 20 of 10: three tenths of the 10 old hours each month.
+    assert {(r["Type"], r["a_1"], r["a_3"]) for r in rows.collect()} == {
+        ("DEP", 0.52, 0.52), ("SUB", 0.52, 0.52),
+    }
