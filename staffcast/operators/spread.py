@@ -85,8 +85,8 @@ def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The keys with more than ``hot_rows`` rows and the number of salts for each.
 
     At most ``HOT_KEYS`` keys are listed, the hottest first, so the list is always small
-    enough to broadcast, and Spark sees that from its limit. A key left out holds less
-    than a thousandth of all rows and needs no salt.
+    enough to broadcast. A key left out holds less than a thousandth of all rows and needs
+    no salt; it is joined like any other.
     """
     return (
         rows.groupBy(key)
@@ -115,7 +115,7 @@ def hot_join(
     _check_repeatable(how)
     if busiest is not None and busiest <= hot_rows:
         return rows.join(lookup, key, how)
-    hot = hot_keys(rows, key, hot_rows)
+    hot = F.broadcast(hot_keys(rows, key, hot_rows))
     spread_by = [c for c in rows.columns if c != key]
     salts = F.coalesce("salts", F.lit(1))
     salted = rows.join(hot, key, "left").withColumn(_SALT, F.pmod(F.hash(*spread_by), salts))
@@ -137,9 +137,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="staffcast-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="staffcast-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

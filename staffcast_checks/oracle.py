@@ -189,9 +189,9 @@ STEPS: dict[str, str] = {
         GROUP BY div, deptid, month_no""",
     "history": """
         SELECT div AS Div, type AS Type, title AS Title,
-               COALESCE(MAX(rate) FILTER (month_no = 1), 0) AS b_1,
-               COALESCE(MAX(rate) FILTER (month_no = 2), 0) AS b_2,
-               COALESCE(MAX(rate) FILTER (month_no = 3), 0) AS b_3
+               COALESCE(MAX(rate) FILTER (WHERE month_no = 1), 0) AS b_1,
+               COALESCE(MAX(rate) FILTER (WHERE month_no = 2), 0) AS b_2,
+               COALESCE(MAX(rate) FILTER (WHERE month_no = 3), 0) AS b_3
         FROM past GROUP BY ALL""",
     # Head count only, long: one row per scenario, unit and outlook month.
     "hc_future": f"""
@@ -289,10 +289,10 @@ STEPS: dict[str, str] = {
                                      ORDER BY date, start_stage, stage, pmcs_bu_start_dt) AS n
         FROM entries""",
     "life_wide": f"""
-        SELECT project_code, sub_job_family_2, MAX(start_stage) FILTER (n = 1) AS start_stage,
-               MAX(pmcs_bu_start_dt) FILTER (n = 1) AS pmcs_bu_start_dt,
+        SELECT project_code, sub_job_family_2, MAX(start_stage) FILTER (WHERE n = 1) AS start_stage,
+               MAX(pmcs_bu_start_dt) FILTER (WHERE n = 1) AS pmcs_bu_start_dt,
                MIN(date) AS date_fst, MAX(date) AS date_lst,
-               {", ".join(f'MAX(hour_per_cnt) FILTER (n = {i}) AS "{i}"' for i in range(1, 51))}
+               {", ".join(f'MAX(hour_per_cnt) FILTER (WHERE n = {i}) AS "{i}"' for i in range(1, 51))}
         FROM life GROUP BY ALL""",
 }
 
@@ -305,7 +305,7 @@ def _life_statistic(name: str, make) -> str:
 def _between(low: int | None, high: int):
     def count(i: int) -> str:
         above = f'"{i}" > {low} AND ' if low is not None else ""
-        return f'CAST(COUNT(*) FILTER ({above}"{i}" < {high}) AS DOUBLE)'
+        return f'CAST(COUNT(*) FILTER (WHERE {above}"{i}" < {high}) AS DOUBLE)'
     return count
 
 
@@ -363,9 +363,9 @@ def _report(future: str, hc: str, where: str, mode: str | None = None) -> str:
     return f"""
         SELECT s.scenario_id, h.Div, h.Type, h.Title, b_1, b_2, b_3,
                COALESCE({hc}, 0) AS hc,
-               COALESCE(MAX(f.rate) FILTER (f.month_no = 4), 0) AS a_1,
-               COALESCE(MAX(f.rate) FILTER (f.month_no = 5), 0) AS a_2,
-               COALESCE(MAX(f.rate) FILTER (f.month_no = 6), 0) AS a_3
+               COALESCE(MAX(f.rate) FILTER (WHERE f.month_no = 4), 0) AS a_1,
+               COALESCE(MAX(f.rate) FILTER (WHERE f.month_no = 5), 0) AS a_2,
+               COALESCE(MAX(f.rate) FILTER (WHERE f.month_no = 6), 0) AS a_3
         FROM modes s JOIN history h ON h.Div = s.division
         LEFT JOIN hc_added c ON c.scenario_id = s.scenario_id AND c.div = h.Div
              AND c.type = h.Type AND c.title = h.Title

@@ -94,7 +94,7 @@ def test_shared_dir_is_the_one_the_session_names(spark):
     assert spread.shared_dir(spark) == (named or spread.shared_dir(spark))
 
 
-def test_batch_beyond_every_size_bound(spark, monkeypatch):
+def test_batch_beyond_every_size_bound(spark, skewed, monkeypatch):
     """No broadcast fits, every busy code is hot: the other ways give the same rows."""
     monkeypatch.setattr(spread, "BROADCAST_KEYS", 1)
     monkeypatch.setattr(spread.hot_join, "__defaults__", ("inner", None, 20))
@@ -102,6 +102,9 @@ def test_batch_beyond_every_size_bound(spark, monkeypatch):
     try:
         df = QUERIES["scenario_batch"](spark, SMALL)
         assert "BroadcastHashJoin" not in plan_of(df) and "SortMergeJoin" in plan_of(df)
+        rows, lookup = skewed
+        salted = plan_of(spread.hot_join(rows, lookup, "key", hot_rows=100))
+        assert "TakeOrderedAndProject" in salted and "BroadcastHashJoin LeftOuter" in salted
         assert differences(df, database(SMALL), ORACLE["scenario_batch"]) is None
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
