@@ -117,7 +117,9 @@ def project_staff(
     return salted_join(
         named,
         department_functions.select(
-            *_DEPARTMENT, "sub_job_family_2", *[f"{n}_{k}" for n in ("att_emp", "seen") for k in STEPS]
+            *_DEPARTMENT,
+            "sub_job_family_2",
+            *[f"{name}_{k}" for name in ("att_emp", "seen") for k in STEPS],
         ),
         ["div", "deptid", "sub_job_family_2"],
         "left",

@@ -108,11 +108,14 @@ class ProjectPlan:
     effects: DataFrame
 
 
-def prepare_models(fact: DataFrame, plan: DataFrame) -> ModelledPlan:
-    """Look up the old projects of a settled plan; the fact is only read for these,
-    where they are few.
+def prepare_models(fact: DataFrame, plan: DataFrame) -> ModelledPlan | None:
+    """Look up the old projects of a settled plan, or None where it has no rows.
+
+    The fact is only read for the named projects, where they are few.
     """
     use = key_use(plan, "project_code_old")
+    if use.count == 0:
+        return None
     past = keep_listed(fact, use, "project_code")
     profile = rates.project_profile(past, calendar.first_month(fact))
     opening = hours.opening_hours(past).fillna("", ["sub_job_family_2"])
@@ -190,4 +193,6 @@ def score_scenarios(
         lambda: prepare_headcount(headcount),
         lambda: prepare_models(history, prepare_plan(projects)),
     )
+    if models is None:
+        return headcount_report(units, scenarios, heads)
     return combined_report(units, heads, prepare_projects(models, units, scenarios, heads))

@@ -32,11 +32,14 @@ def score_request_folder(
         scenarios, projects, headcount = split_requests(settle(batch, "requests"))
         heads = report.prepare_headcount(headcount)
         models = report.prepare_models(fact, report.prepare_plan(projects))
-        plan = report.prepare_projects(models, units, scenarios, heads)
-        scored = report.combined_report(units, heads, plan)
+        if models is None:
+            scored = report.headcount_report(units, scenarios, heads)
+        else:
+            plan = report.prepare_projects(models, units, scenarios, heads)
+            scored = report.combined_report(units, heads, plan)
+            refused = records.refused_requests(plan.modelled, scenarios)
+            refused.write.mode("overwrite").parquet(f"{refusals}/batch={number}")
         scored.write.mode("overwrite").parquet(f"{answers}/batch={number}")
-        refused = records.refused_requests(plan.modelled, scenarios)
-        refused.write.mode("overwrite").parquet(f"{refusals}/batch={number}")
 
     stream = (
         spark.readStream.schema(schemas.REQUEST)

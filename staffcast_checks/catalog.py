@@ -151,19 +151,23 @@ _HOUR_KEYS = (
 )
 
 
+def _month_listing(spark: SparkSession, sf: str, *measures: str) -> DataFrame:
+    return _prorated(_settled_model(spark, sf), spark, sf).select(*_HOUR_KEYS, *measures)
+
+
 def project_hours(spark: SparkSession, sf: str) -> DataFrame:
-    table = _prorated(_settled_model(spark, sf), spark, sf).select(*_HOUR_KEYS, "total_hour_pro_func", "add_hour")
+    table = _month_listing(spark, sf, "total_hour_pro_func", "add_hour")
     return rounded(table, add_hour=2)
 
 
 def start_proration(spark: SparkSession, sf: str) -> DataFrame:
-    table = _prorated(_settled_model(spark, sf), spark, sf).select(*_HOUR_KEYS, "start_mth_pct", "add_hour_adj")
+    table = _month_listing(spark, sf, "start_mth_pct", "add_hour_adj")
     return rounded(table, start_mth_pct=4, add_hour_adj=2)
 
 
 def tidy_result(spark: SparkSession, sf: str) -> DataFrame:
     """Project hours with dates as day numbers, as an extract receives them, tidied."""
-    raw = _prorated(_settled_model(spark, sf), spark, sf).select(*_HOUR_KEYS, "add_hour").withColumns({
+    raw = _month_listing(spark, sf, "add_hour").withColumns({
         "date": F.unix_date("date"), "start_date": F.unix_date("start_date"),
     })
     return records.tidy_result(raw, "project_hours")

@@ -35,6 +35,16 @@ LEAVING = "(l_returnflag = 'R' AND l_linenumber = 7)"
 DAYS = ", ".join(
     f"CAST(l_partkey % 50 + {10 * i} AS DOUBLE) AS C{i}_day" for i in range(6)
 )
+MEAN_DAYS = ", ".join(f"{strict('AVG', f'C{i}_day')} AS C{i}" for i in range(7))
+FUNCTION_RATE = r(
+    "(MAX(total_hour_func) + COALESCE(SUM(add_hour_pct), 0)) "
+    "/ NULLIF(MAX(attendance_func) + COALESCE(SUM(add_attendance_emp), 0), 0)"
+)
+DEPARTMENT_RATE = r(
+    "(SUM(DISTINCT total_hour_dept_func) + COALESCE(SUM(add_hour_pct), 0)) "
+    "/ NULLIF(SUM(DISTINCT attendance_emp) * SUM(DISTINCT emp_cnt) "
+    "+ COALESCE(SUM(add_attendance_emp), 0), 0)"
+)
 EMP = (
     "CAST(COUNT(DISTINCT emplid) + MAX(CASE WHEN emplid IS NULL THEN 1 ELSE 0 END) "
     "- SUM(termination_n) AS DOUBLE) AS emp_cnt"
@@ -83,7 +93,7 @@ STEPS: dict[str, str] = {
         FROM recent GROUP BY ALL""",
     "profile": f"""
         SELECT * FROM (
-            SELECT project_code, {", ".join(f"{strict('AVG', f'C{i}_day')} AS C{i}" for i in range(7))},
+            SELECT project_code, {MEAN_DAYS},
                    {strict('AVG', 'execute_hour')} AS execute_hour,
                    {strict('AVG', 'execute_month')} AS execute_month,
                    {strict('MAX', 'execute_day')} AS execute_day,
@@ -255,13 +265,13 @@ STEPS: dict[str, str] = {
     "prj_future": f"""
         SELECT scenario_id, div, 'SUB' AS type, sub_job_family_2 AS title, month_no,
                SUM(hc * passes) AS hc,
-               {r('(MAX(total_hour_func) + COALESCE(SUM(add_hour_pct), 0)) / NULLIF(MAX(attendance_func) + COALESCE(SUM(add_attendance_emp), 0), 0)')}
+               {FUNCTION_RATE}
                    AS rate
         FROM alloc_func WHERE month_no >= 4
         GROUP BY scenario_id, div, sub_job_family_2, month_no
         UNION ALL
         SELECT scenario_id, div, 'DEP', deptid, month_no, SUM(hc * passes),
-               {r('(SUM(DISTINCT total_hour_dept_func) + COALESCE(SUM(add_hour_pct), 0)) / NULLIF(SUM(DISTINCT attendance_emp) * SUM(DISTINCT emp_cnt) + COALESCE(SUM(add_attendance_emp), 0), 0)')}
+               {DEPARTMENT_RATE}
         FROM alloc_dept WHERE month_no >= 4
         GROUP BY scenario_id, div, deptid, month_no""",
     "prj_future_additive": f"""
