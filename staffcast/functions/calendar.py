@@ -26,14 +26,22 @@ def last_month(fact: DataFrame) -> Column:
 
 
 def first_month(fact: DataFrame) -> Column:
+    """First date of the whole fact as a scalar subquery."""
     return fact.agg(F.min("date")).scalar()
 
 
+def _known(month: dt.date | Column) -> Column:
+    return month if isinstance(month, Column) else F.lit(month).cast("date")
+
+
 def anchor(fact: DataFrame, month: dt.date | Column | None = None) -> Column:
     """The month the report ends with: given by the caller, else found in the fact."""
-    if month is None:
-        return last_month(fact)
-    return month if isinstance(month, Column) else F.lit(month).cast("date")
+    return last_month(fact) if month is None else _known(month)
+
+
+def opening_date(fact: DataFrame, date: dt.date | Column | None = None) -> Column:
+    """The first date of the fact: given by the caller, else found in the fact."""
+    return first_month(fact) if date is None else _known(date)
 
 
 def month_date(month_no: Column, end: Column) -> Column:

@@ -108,16 +108,19 @@ class ProjectPlan:
     effects: DataFrame
 
 
-def prepare_models(fact: DataFrame, plan: DataFrame) -> ModelledPlan | None:
+def prepare_models(
+    fact: DataFrame, plan: DataFrame, start: dt.date | None = None
+) -> ModelledPlan | None:
     """Look up the old projects of a settled plan, or None where it has no rows.
 
-    The fact is only read for the named projects, where they are few.
+    The fact is only read for the named projects, where they are few. ``start`` is the
+    first date of the fact where the caller knows it.
     """
     use = key_use(plan, "project_code_old")
     if use.count == 0:
         return None
     past = keep_listed(fact, use, "project_code")
-    profile = rates.project_profile(past, calendar.first_month(fact))
+    profile = rates.project_profile(past, calendar.opening_date(fact, start))
     opening = hours.opening_hours(past).fillna("", ["sub_job_family_2"])
     rows, sheet = settle_together(
         modelled_plan=planning.plan_with_models(plan, profile, use.busiest),
@@ -177,13 +180,15 @@ def score_scenarios(
     end: dt.date | None = None,
     additive: bool = False,
     project_fact: DataFrame | None = None,
+    start: dt.date | None = None,
 ) -> DataFrame:
     """Report of a whole table of scenarios.
 
     A scenario with valid planned projects gets the project outlook, one without any
     gets the head count outlook, and one that names an unknown old project gets no
     report (see ``records.refused_requests``). Scenarios do not influence each other.
-    ``project_fact`` is the fact without division and department, for sources in which
+    ``end`` and ``start`` are the last and first date of the fact where the caller knows
+    them. ``project_fact`` is the fact without division and department, for sources in which
     those cost a join: the history of a project does not need them.
     """
     history = fact if project_fact is None else project_fact
@@ -191,7 +196,7 @@ def score_scenarios(
         fact.sparkSession,
         lambda: prepare_units(fact, end, additive),
         lambda: prepare_headcount(headcount),
-        lambda: prepare_models(history, prepare_plan(projects)),
+        lambda: prepare_models(history, prepare_plan(projects), start),
     )
     if models is None:
         return headcount_report(units, scenarios, heads)

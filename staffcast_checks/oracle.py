@@ -149,7 +149,7 @@ STEPS: dict[str, str] = {
                     ELSE execute_month / NULLIF(old_month, 0) END AS mon_ratio
         FROM modelled WHERE stage_rows IS NOT NULL""",
     "opening": """
-        SELECT project_code, sub_job_family_2, total_hour_pro_func, n FROM (
+        SELECT project_code, sub_job_family_2, total_hour_pro_func, CAST(n AS INTEGER) AS n FROM (
             SELECT *, row_number() OVER (PARTITION BY project_code, sub_job_family_2
                                          ORDER BY date) AS n
             FROM (SELECT project_code, sub_job_family_2, date,
@@ -480,8 +480,10 @@ _QUERIES: dict[str, str] = {
         + _project_report("TRUE", "prj_future_additive")
     ),
     "project_month_profile": """
-        SELECT *, row_number() OVER (PARTITION BY project_code ORDER BY sub_job_family_2, date,
-                                     start_stage, stage, pmcs_bu_start_dt) AS "No"
+        SELECT *, CAST(row_number() OVER (
+                   PARTITION BY project_code
+                   ORDER BY sub_job_family_2, date, start_stage, stage, pmcs_bu_start_dt
+               ) AS INTEGER) AS "No"
         FROM entries""",
     "life_pivot": "SELECT * FROM life_wide",
     "life_statistics": "SELECT * FROM life_stats",
