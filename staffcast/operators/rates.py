@@ -180,9 +180,9 @@ def project_profile(fact: DataFrame, started: dt.date | Column | None = None) ->
     """Mean stage days and effort of the projects that started inside the fact.
 
     One row per project and distinct start stage; ``stage_rows`` counts them. ``started``
-    is the first date of the whole fact, for callers that know it or pass a part of it. The fact is
-    combined by project and stage first, so a project that holds much of the fact
-    reaches the window as a handful of rows.
+    is the first date of the whole fact, for callers that know it or pass a part of it.
+    The fact is combined by project and stage first, so a project that holds much of the
+    fact reaches the window as a handful of rows.
     """
     means = [*schemas.STAGE_DAYS, "execute_hour", "execute_month"]
     first = calendar.opening_date(fact, started)

@@ -149,7 +149,8 @@ STEPS: dict[str, str] = {
                     ELSE execute_month / NULLIF(old_month, 0) END AS mon_ratio
         FROM modelled WHERE stage_rows IS NOT NULL""",
     "opening": """
-        SELECT project_code, sub_job_family_2, total_hour_pro_func, CAST(n AS INTEGER) AS n FROM (
+        SELECT project_code, sub_job_family_2, total_hour_pro_func, CAST(n AS INTEGER) AS n
+        FROM (
             SELECT *, row_number() OVER (PARTITION BY project_code, sub_job_family_2
                                          ORDER BY date) AS n
             FROM (SELECT project_code, sub_job_family_2, date,
