@@ -7,8 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffcast.llm import decontaminate, mixing, near_copies, quality, sharding
-from staffcast.llm.common import table
+from staffcast.llm import (
+    chat,
+    decontaminate,
+    language,
+    language_model,
+    mixing,
+    near_copies,
+    quality,
+    search,
+    sharding,
+    warc,
+)
+from staffcast.llm.common import held_out, table
+
+
+def op1_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from its archive, in the merged capture history.
+
+    The pages have no capture times; a page is taken as captured at its id in seconds.
+    """
+    pages = table(spark, sf_dir, "pages")
+    at = F.timestamp_seconds(F.coalesce("page_id", F.lit(0)))
+    history = warc.capture_history(pages, captured=at)
+    return history.select(
+        F.col("key").alias("page_id"),
+        F.col("bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        "refers_to",
+        "url_key",
+        "capture_rank",
+    )
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +56,38 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from two thirds of them."""
+    training = ~held_out("doc_id", 3, 1)
+    found = language.identify(table(spark, sf_dir, "documents"), training)
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "lang_pred", "score")
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the conversations as read back from the template."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = F.lit("\\### Assistant: </turn> ok")
+    added = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").cast(rows.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        hard.alias("text"),
+    )
+    record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
+    records = rows.unionByName(added).select("conv_id", "turn", record.alias("record"))
+    turns = chat.canonical_turns(records, "record", ["conv_id", "turn"])
+    return chat.read_back(chat.segments(turns), "conv_id", ["turn", "part"])
+
+
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of each document, learned from six sevenths of them."""
+    found = language_model.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+    return found.select(
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade of each document and whether it is selected."""
     docs = table(spark, sf_dir, "documents")
@@ -53,6 +115,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors of every twentieth one."""
+    found = search.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of each document, shards nearly equal in bytes."""
     docs = table(spark, sf_dir, "documents").select(
@@ -69,7 +137,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_decontamination, op6_quality, op7_near_copies, op8_mixing, op10_sharding)
+    for f in (
+        op1_captures, op2_decontamination, op3_language, op4_chat, op5_language_model,
+        op6_quality, op7_near_copies, op8_mixing, op9_nearest, op10_sharding,
+    )
 }
 
 ORACLE: dict[str, str] = {}
