@@ -4,8 +4,9 @@ Every document has one score, the sum of shared weights of its hashed features;
 thresholds part the scores into grades: ``P(grade > k) = sigmoid(score - threshold[k])``.
 From these follow the expected grade and the tail probability that selects documents.
 
-Features are the presence of words, of word beginnings and of word endings, and the part
-of words that repeat the word before them. Weights are shared by all grades.
+Features are the presence of word beginnings and endings, and how many words repeat the
+word before them. Before the fit each feature is scaled by its log odds between lower and
+higher grades, so that features without a lean stay small. Weights are shared by all grades.
 
 The model is fitted on a bounded sample of rated documents, ``SAMPLE_ROWS`` at most, drawn
 by a hash of the key; every document is scored over its whole text.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
@@ -28,35 +29,38 @@ from staffcast.llm.common import lower_words, utf8
 #: Rated documents that the model is fitted on, at most.
 SAMPLE_ROWS = 4_000
 BUCKETS = 1 << 18
-HEAD, TAIL = 5, 3
-#: The last buckets are the shares of repeated words, in steps of an eighth.
+#: Bytes of the beginnings and endings of words.
+HEADS, TAILS = (4, 6), (2,)
+#: The last buckets tell the share of repeated words: over 1/256, 1/128, up to 1/2.
 SHARES = 8
-ROUNDS = 60
-RATE = 0.1
+#: Sampled documents that a feature must occur in.
+LEAST_DOCS = 5
+SMOOTHING = 0.5
+ROUNDS = 120
+RATE, MOMENTUM, THRESHOLD_RATE = 0.5, 0.9, 0.3
 DECAY = 1e-4
+#: Long texts have more features; scores are divided by this power of their number.
+LENGTH_POWER = 0.25
 KEEP_AT = 0.5
 
 
 def features(text: bytes) -> np.ndarray:
     """Sorted distinct buckets of a text; an empty one has none."""
-    seen, words, repeats, last = set(), 0, 0, None
-    for part in lower_words(text):
-        if not part:
-            continue
-        seen.update(part)
+    sizes = [slice(k) for k in HEADS] + [slice(-k, None) for k in TAILS]
+    seen: list[set[bytes]] = [set() for _ in sizes]
+    words, repeats, last = 0, 0, b""
+    for part in filter(None, lower_words(text)):
+        for found, size in zip(seen, sizes, strict=True):
+            found.update([w[size] for w in part])
         words += len(part)
-        repeats += sum(map(bytes.__eq__, part, chain((last or b"",), part)))
+        repeats += sum(map(bytes.__eq__, part, chain((last,), part)))
         last = part[-1]
     if not words:
         return np.empty(0, np.int64)
-    heads = {w[:HEAD] for w in seen}
-    tails = {w[-TAIL:] for w in seen}
-    hashed = chain(
-        map(crc32, seen), (crc32(w, 1) for w in heads), (crc32(w, 2) for w in tails)
-    )
-    buckets = np.fromiter(hashed, np.int64, len(seen) + len(heads) + len(tails))
-    share = BUCKETS - SHARES + min(SHARES - 1, repeats * SHARES // words)
-    return np.unique(np.r_[buckets % (BUCKETS - SHARES), share])
+    hashed = [np.fromiter(map(crc32, s, repeat(i)), np.int64, len(s)) for i, s in enumerate(seen)]
+    over = sum(repeats << k > words for k in range(1, SHARES + 1))
+    shares = BUCKETS - SHARES + np.arange(over)
+    return np.unique(np.r_[np.concatenate(hashed) % (BUCKETS - SHARES), shares])
 
 
 @dataclass(frozen=True)
@@ -69,30 +73,37 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))
 
 
-def _weigh(buckets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers, their row and their value: the norm of a row is its length's fourth root."""
-    sizes = np.array([len(b) for b in buckets])
-    rows = np.repeat(np.arange(len(buckets)), sizes)
-    flat = np.concatenate(buckets) if len(buckets) else np.empty(0, np.int64)
-    return flat, rows, (1 / np.maximum(sizes, 1) ** 0.25)[rows]
+def _lean(flat: np.ndarray, grades: np.ndarray, rows: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Scale of each feature: its largest log odds between the grades below and above a cut."""
+    docs, scale = np.bincount(flat, minlength=BUCKETS), np.zeros(BUCKETS)
+    for cut in cuts:
+        above = np.bincount(flat[grades[rows] >= cut], minlength=BUCKETS)
+        n = np.sum(grades >= cut)
+        up = (above + SMOOTHING) / (n + SMOOTHING)
+        down = (docs - above + SMOOTHING) / (len(grades) - n + SMOOTHING)
+        scale = np.maximum(scale, np.abs(np.log(up / down)))
+    return np.where(docs >= LEAST_DOCS, scale, 0)
 
 
 def fit(buckets: list[np.ndarray], grades: np.ndarray, grade_count: int) -> OrdinalModel:
-    """Maximum likelihood of the grades with a small decay, by Adagrad over all rows.
+    """Maximum likelihood of the grades with a small decay, over all rows in every round.
 
     The thresholds start at the shares of the grades and stay in order, since their gaps
-    are fitted as logarithms. Every grade weighs alike.
+    are fitted as logarithms.
     """
-    flat, rows, value = _weigh(buckets)
-    n = len(grades)
-    cuts = np.arange(1, grade_count)
+    n, cuts = len(grades), np.arange(1, grade_count)
+    sizes = np.array([len(b) for b in buckets], np.int64)
+    rows = np.repeat(np.arange(n), sizes)
+    flat = np.concatenate([np.empty(0, np.int64), *buckets]).astype(np.int64)
+    scale = _lean(flat, grades, rows, cuts)
+    kept = scale[flat] > 0
+    rows, flat = rows[kept], flat[kept]
+    value = scale[flat] / np.maximum(sizes, 1)[rows] ** LENGTH_POWER
     above = np.array([(np.sum(grades >= c) + 1) / (n + 2) for c in cuts])
     start = np.log((1 - above) / above)
     first, gaps = start[0], np.log(np.maximum(np.diff(start), 1e-2))
-    weights = np.zeros(BUCKETS)
-    counts = np.bincount(grades, minlength=grade_count)
-    importance = (n / (np.maximum(counts, 1) * max(1, np.sum(counts > 0))))[grades]
-    speed_w, speed_t = np.full(BUCKETS, 1e-8), np.full(len(cuts), 1e-8)
+    weights, speed, seen = np.zeros(BUCKETS), np.zeros(BUCKETS), np.full(len(cuts), 1e-8)
+    at = np.arange(n)
     for _ in range(ROUNDS if n else 0):
         thresholds = first + np.r_[0, np.cumsum(np.exp(gaps))]
         scores = np.bincount(rows, weights[flat] * value, n)
@@ -100,23 +111,21 @@ def fit(buckets: list[np.ndarray], grades: np.ndarray, grade_count: int) -> Ordi
         low = 1 / (1 + np.exp(np.clip(scores[:, None] - thresholds[None, :], -500, 500)))
         edge = np.c_[np.zeros(n), low, np.ones(n)]
         slope = edge * (1 - edge)
-        at = np.arange(n)
-        chance = np.maximum(edge[at, grades + 1] - edge[at, grades], 1e-12)
-        pull = importance / chance / n
+        pull = 1 / np.maximum(edge[at, grades + 1] - edge[at, grades], 1e-12) / n
         by_score = -pull * (slope[at, grades + 1] - slope[at, grades])
         by_edge = np.zeros((n, grade_count + 1))
         by_edge[at, grades + 1] += pull * slope[at, grades + 1]
         by_edge[at, grades] -= pull * slope[at, grades]
         gradient = np.bincount(flat, by_score[rows] * value, BUCKETS) - DECAY * weights
-        speed_w += gradient**2
-        weights += RATE * 5 * gradient / np.sqrt(speed_w)
+        speed = MOMENTUM * speed + gradient
+        weights += RATE * speed
         on_cut = by_edge[:, 1:-1].sum(axis=0)
         on_step = np.r_[on_cut.sum(), np.exp(gaps) * np.cumsum(on_cut[::-1])[::-1][1:]]
-        speed_t += on_step**2
-        step = RATE * on_step / np.sqrt(speed_t)
+        seen += on_step**2
+        step = THRESHOLD_RATE * on_step / np.sqrt(seen)
         first, gaps = first + step[0], gaps + step[1:]
     thresholds = first + np.r_[0, np.cumsum(np.exp(gaps))]
-    return OrdinalModel(weights.astype(np.float32), thresholds)
+    return OrdinalModel((weights * scale).astype(np.float32), thresholds)
 
 
 def rated_sample(
@@ -162,10 +171,11 @@ def fit_ratings(
 
 
 def score_texts(texts: Iterator[bytes], model: OrdinalModel) -> np.ndarray:
-    """The score of every text: weights of its features over the fourth root of their number."""
+    """The score of every text: the weights of its features over a power of their number."""
     def one(text: bytes) -> float:
         found = features(text)
-        return float(model.weights[found].sum()) / max(len(found), 1) ** 0.25
+        return float(model.weights[found].sum()) / max(len(found), 1) ** LENGTH_POWER
+
     return np.fromiter(map(one, texts), np.float64)
 
 

@@ -112,7 +112,7 @@ def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, repeated to the target weights of their sources and shuffled."""
-    return mixing.mixed(table(spark, sf_dir, "documents"))
+    return mixing.mixed(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,5 +142,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_quality, op7_near_copies, op8_mixing, op9_nearest, op10_sharding,
     )
 }
-
-ORACLE: dict[str, str] = {}
