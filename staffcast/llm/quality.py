@@ -187,8 +187,10 @@ def graded(
 ) -> DataFrame:
     """The columns ``keep`` with score, expected grade and the chance of grade ``at_least``.
 
-    ``at_least`` is the highest grade unless given. A null or empty text has score 0.
+    ``at_least`` is the highest grade unless given. A null or empty text has score 0. Kept
+    columns of the same names as the new ones give way.
     """
+    keep = [c for c in keep if c not in ("score", "expected_grade", "tail")]
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     cut = (at_least or len(model.thresholds)) - 1
 

@@ -1,0 +1,102 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from cases import LONG, awkward, empty
+from conftest import SMALL
+from pyspark.sql import functions as F
+
+from staffcast.llm import language
+from staffcast.llm.queries import QUERIES
+
+
+def small_network(languages=3, seed=1):
+    draw = np.random.default_rng(seed)
+    tables = [draw.normal(size=(w, language.CLASSES, language.FILTERS)) for w in language.WIDTHS]
+    n = language.FILTERS * len(language.WIDTHS)
+    return language.Network(tables, draw.normal(size=n), draw.normal(size=(n, languages)), draw.normal(size=languages))
+
+
+def plain_chances(text, network):
+    """Every window, place and filter by loops."""
+    step, total = language.LENGTH - max(language.WIDTHS) + 1, 0
+    codes = text.translate(language.CLASS_OF)
+    count = max(1, -(-(len(codes) - max(language.WIDTHS) + 1) // step))
+    for i in range(count):
+        window = codes[i * step:i * step + language.LENGTH].ljust(language.LENGTH, b"\0")
+        best = []
+        for table in network.tables:
+            w = len(table)
+            best.append(np.max([sum(table[j][window[t + j]] for j in range(w)) for t in range(language.LENGTH - w + 1)], axis=0))
+        hidden = np.maximum(np.concatenate(best) + network.bias, 0)
+        chances = language.softmax((hidden @ network.dense + network.offset)[None, :])[0]
+        total = total + chances * sum(c >= language.FIRST_LETTER for c in window)
+    return total / total.sum()
+
+
+def test_prediction_equals_loops():
+    network = small_network()
+    texts = [b"a", b"some words, 12 of them", ("é漢" * 150).encode(), b"x y z " * 100, b"ab" * 79 + b"c"]
+    for text, got in zip(texts, language.predicted(texts, network), strict=True):
+        assert got == pytest.approx(plain_chances(text, network), abs=1e-4)
+
+
+def test_gradients_are_those_of_the_loss():
+    network = small_network()
+    draw = np.random.default_rng(2)
+    codes, labels = draw.integers(0, language.CLASSES, (6, language.LENGTH)), draw.integers(0, 3, 6)
+    values = [*network.tables, network.bias, network.dense, network.offset]
+
+    def loss():
+        *tables, bias, dense, offset = values
+        best = [sum(t[j][codes[:, j:j + language.LENGTH - len(t) + 1]] for j in range(len(t))).max(axis=1) for t in tables]
+        hidden = np.maximum(np.concatenate(best, axis=1) + bias, 0)
+        return -np.log(language.softmax(hidden @ dense + offset)[np.arange(6), labels]).mean()
+
+    for value, gradient in zip(values, language._gradients(codes, labels, values), strict=True):
+        at = np.unravel_index(np.abs(gradient).argmax(), gradient.shape)
+        value[at] += 1e-6
+        up = loss()
+        value[at] -= 2e-6
+        down = loss()
+        value[at] += 1e-6
+        assert (up - down) / 2e-6 == pytest.approx(gradient[at], rel=1e-3)
+
+
+def test_windows_cover_every_run():
+    texts = [bytes(range(97, 123)) * n for n in (0, 1, 5, 6, 7, 13, 40)] + [b"a" * n for n in range(1, 400, 7)]
+    windows, owner = language.windows_of(texts)
+    for i, t in enumerate(texts):
+        own = [w.tobytes() for w in windows[owner == i]]
+        codes = t.translate(language.CLASS_OF)
+        width = max(language.WIDTHS)
+        runs = {codes[j:j + width] for j in range(max(1, len(codes) - width + 1))}
+        assert all(any(r in w for w in own) for r in runs)
+
+
+def test_held_out_accuracy(spark):
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = QUERIES["op3_language"](spark, SMALL).collect()
+    held = [r for r in got if r.held_out]
+    assert len(got) == len(langs) and held
+    assert np.mean([r.lang_pred == langs[r.doc_id] for r in held]) > 0.95
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_awkward_rows(spark):
+    docs = awkward(spark)
+    got = language.identify(docs, F.col("doc_id") != 8).collect()
+    assert len(got) == docs.count()
+    by_id = {r.doc_id: r for r in got}
+    assert {by_id[i].lang_pred for i in (2, 3, 6)} == {"und"} and by_id[2].score == 0
+    assert by_id[4].lang_pred in ("de", "en", "fr") and by_id[8].lang_pred in ("de", "en", "fr")
+    nothing = language.identify(docs, F.lit(False)).collect()
+    assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
+    assert language.identify(empty(spark), F.lit(True)).collect() == []
+
+
+def test_a_long_text_in_groups_is_whole(monkeypatch):
+    network, text = small_network(), LONG[:9_000].encode() + "é".encode() * 700
+    whole = next(language.predicted([text], network))
+    monkeypatch.setattr(language, "CHUNK", 7)
+    assert next(language.predicted([text], network)) == pytest.approx(whole, abs=1e-6)
