@@ -33,7 +33,10 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources, in shuffled order."""
-    return mixing.mixed(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Columns named like those of the operator are kept under another name meanwhile.
+    kept = {c: f"_kept_{c}" if c in mixing.ADDED else c for c in docs.columns}
+    mixed = mixing.mixed(docs.withColumnsRenamed(kept))
+    return mixed.select(*[F.col(f"`{own}`").alias(c) for c, own in kept.items()])
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ PIECE_RATE = 8
 #: Values of a piece whose distribution is tabled: for mean 8 the rest is below 1e-30.
 VALUES = 64
 HEX_DIGITS = 13
+#: Columns that the operator adds; document columns of these names give way.
+ADDED = ("copies", "copy", "rate", "shuffle_key")
 
 
 def uniform(*parts: Column) -> Column:
@@ -77,7 +79,7 @@ def replicated(
     Rows with one key and text draw alike. Null sources form one source, null texts have no
     bytes. An empty table gives an empty result.
     """
-    names = [c for c in docs.columns if c not in ("copies", "copy", "rate", "shuffle_key")]
+    names = [c for c in docs.columns if c not in ADDED]
     rates = settle(source_rates(docs, source, text, weights), "rates")
     own = F.col(f"`{key}`")
     joined = docs.select(*[f"`{c}`" for c in names]).join(

@@ -11,8 +11,12 @@ from staffcast.llm.decontaminate import Automaton, contamination, cut_spans, sca
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def lowered(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
 def words(text):
-    return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return WORD.findall(lowered(text))
 
 
 def plain(text, items, window=10):

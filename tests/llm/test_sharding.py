@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from staffcast.llm.sharding import shard_rows, text_bytes
 
 
+def number_of(key):
+    return int(hashlib.md5(key.encode()).hexdigest()[:15], 16)
+
+
 def brute(rows, shards):
     """Shard by bytes before each row in the order of the keys; rows are (key text, size)."""
-    def number(key):
-        return int(hashlib.md5(key.encode()).hexdigest()[:15], 16)
-
-    order = sorted(rows, key=lambda r: number(r[0]))
+    order = sorted(rows, key=lambda r: number_of(r[0]))
     total, before, out, slots = sum(s for _, s in rows), 0, {}, Counter()
     for key, size in order:
         shard = shards * before // total
