@@ -61,12 +61,6 @@ def parse_day(text: str) -> str:
     return f"try_cast(replace({day}, '/', '-') AS DATE)"
 
 
-def parse_local_time(text: str) -> str:
-    """Timestamp from text with a Chinese half-day mark, such as ``2021/7/6 下午05:15``."""
-    english = f"replace(replace({text}, '上午', 'AM '), '下午', 'PM ')"
-    return f"try_to_timestamp({english}, 'yyyy/M/d a hh:mm')"
-
-
 def epoch_day(days: str) -> str:
     """Date from a day number counted from 1970-01-01."""
     return f"date_from_unix_date(int({days}))"

@@ -5,21 +5,13 @@ The helpers take and return SQL text, for ``selectExpr`` and ``expr``.
 
 from __future__ import annotations
 
-# Beyond this size a double has no digits left that rounding to cents could change,
-# and a decimal(18,6) would overflow.
-_DECIMAL_LIMIT = "1e12D"
-
-
 def round_to(value: str, digits: int) -> str:
     """Round half up on the decimal value.
 
-    The detour over six decimals removes binary noise first, so 2.675 gives 2.68.
+    The detour over six decimals removes binary noise first, so 2.675 gives 2.68. A value
+    of 1e32 or more is an error.
     """
-    exact = f"double(round(CAST({value} AS DECIMAL(18,6)), {digits}))"
-    return (
-        f"CASE WHEN abs({value}) < {_DECIMAL_LIMIT} THEN {exact} "
-        f"ELSE round({value}, {digits}) END"
-    )
+    return f"double(round(CAST({value} AS DECIMAL(38,6)), {digits}))"
 
 
 def round2(value: str) -> str:

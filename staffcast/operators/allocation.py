@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staffcast.functions import numeric
-from staffcast.operators.spread import hot_join, salted_join
 
 _FUNCTION = ["div", "sub_job_family_2", "date"]
 _PROJECT = ["scenario_id", "project_name"]
@@ -33,18 +32,18 @@ def allocate(
     staff = headcount.groupBy(*_PROJECT, *unit).agg(
         F.expr(f"{numeric.lenient_sum('hc')} AS hc")
     )
-    wanted = hot_join(projects, scenarios.select("scenario_id"), "scenario_id")
+    wanted = projects.join(scenarios.select("scenario_id"), "scenario_id")
     employed = rates.groupBy(*_FUNCTION).agg(
         F.expr(f"{numeric.strict_sum('emp_cnt')} AS employed")
     )
     staffed = (
-        salted_join(staff, rates.select(*unit, "date"), unit, spread_by=_PROJECT)
+        staff.join(rates.select(*unit, "date"), unit)
         .groupBy(*_PROJECT, *_FUNCTION)
         .agg(F.expr("sum(hc) AS staffed"))
     )
     grain = [*_PROJECT, *_FUNCTION]
     groups = (
-        salted_join(wanted, employed, ["div"], spread_by=_PROJECT)
+        wanted.join(employed, "div")
         .join(staffed, grain, "left")
         .join(month_hours, grain, "left")
         .selectExpr(
@@ -52,7 +51,7 @@ def allocate(
         )
     )
     return (
-        salted_join(groups, rates, _FUNCTION, spread_by=_PROJECT)
+        groups.join(rates, _FUNCTION)
         .join(staff, [*_PROJECT, *unit], "left")
         .withColumn("hc", F.expr("coalesce(hc, 0D)"))
         .withColumn("emp", F.expr("emp_cnt + hc"))

@@ -7,30 +7,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from staffcast.functions import calendar, numeric
-from staffcast.operators.spread import hot_join
 
 OPENING_MONTHS = 3
 
 
-def opening_hours(fact: DataFrame) -> DataFrame:
+def opening_hours(history: DataFrame) -> DataFrame:
     """Hours of every project and function in its first three active months.
 
-    Gaps between active months are skipped. All divisions count. The fact is summed by
-    month before the months are numbered, so a window sees months, never employees.
+    ``history`` are the sums of ``rates.project_history``. Gaps between active months are
+    skipped. All divisions count. The months are summed before they are numbered, so a
+    window sees months, never employees.
     """
     active = W.partitionBy("project_code", "sub_job_family_2").orderBy("date")
+    hours = "CASE WHEN sum(n_total_hour) = sum(rows) THEN sum(sum_total_hour) END"
     return (
-        fact.groupBy("project_code", "sub_job_family_2", "date")
-        .agg(F.expr(f"{numeric.strict_sum('total_hour')} AS total_hour_pro_func"))
+        history.groupBy("project_code", "sub_job_family_2", "date")
+        .agg(F.expr(f"{hours} AS total_hour_pro_func"))
         .withColumn("n", F.row_number().over(active))
         .where(f"n <= {OPENING_MONTHS}")
         .drop("date")
     )
 
 
-def project_hours(
-    opening: DataFrame, ratios: DataFrame, end: Column, busiest: int | None = None
-) -> DataFrame:
+def project_hours(opening: DataFrame, ratios: DataFrame, end: Column) -> DataFrame:
     """Hours of each new project by function and outlook month.
 
     The n-th active month of the old project becomes the n-th outlook month, scaled by
@@ -40,9 +39,7 @@ def project_hours(
         "month_no", F.expr(f"n + {calendar.REPORT_MONTHS - OPENING_MONTHS}")
     ).withColumn("date", calendar.month_date(F.col("month_no"), end)).drop("n")
     add_hour = numeric.safe_div("total_hour_pro_func * hr_ratio", "mon_ratio")
-    return hot_join(ratios, models, "project_code_old", busiest=busiest).withColumn(
-        "add_hour", F.expr(add_hour)
-    )
+    return ratios.join(models, "project_code_old").withColumn("add_hour", F.expr(add_hour))
 
 
 def prorate_start(hours: DataFrame) -> DataFrame:
@@ -52,28 +49,18 @@ def prorate_start(hours: DataFrame) -> DataFrame:
     ).withColumn("add_hour_adj", F.expr("add_hour * start_mth_pct"))
 
 
-def project_month_hours(prorated: DataFrame) -> DataFrame:
-    """Added hours by scenario, project, function and month over all its old projects.
-
-    An old project that is listed under several start stages is passed over once per
-    stage, and every pass adds its hours.
-    """
-    return prorated.groupBy(
-        "scenario_id", "project_name", "div", "sub_job_family_2", "date"
-    ).agg(
-        F.expr(f"{numeric.lenient_sum('add_hour_adj * stage_rows')} AS add_hour_adj")
-    )
-
-
 def opening_sheet(opening: DataFrame) -> DataFrame:
     """Opening hours with the three months side by side: one row per project and function.
 
     The rows of a project and function are together already, so nothing is shuffled.
     """
-    return opening.groupBy("project_code", "sub_job_family_2").agg(*[
-        F.expr(f"max(CASE WHEN n = {n} THEN total_hour_pro_func END) AS opening_{n}")
-        for n in range(1, OPENING_MONTHS + 1)
-    ])
+    return opening.groupBy("project_code", "sub_job_family_2").agg(
+        F.max("n").alias("months"),
+        *[
+            F.expr(f"max(CASE WHEN n = {n} THEN total_hour_pro_func END) AS opening_{n}")
+            for n in range(1, OPENING_MONTHS + 1)
+        ],
+    )
 
 
 def plan_factors(ratios: DataFrame, end: Column) -> DataFrame:
@@ -99,13 +86,11 @@ def plan_factors(ratios: DataFrame, end: Column) -> DataFrame:
     )
 
 
-def added_hours(
-    sheet: DataFrame, factors: DataFrame, busiest: int | None = None
-) -> DataFrame:
+def added_hours(sheet: DataFrame, factors: DataFrame) -> DataFrame:
     """Added hours of every plan row by function, the outlook months side by side."""
     models = sheet.withColumnRenamed("project_code", "project_code_old")
-    return hot_join(factors, models, "project_code_old", busiest=busiest).selectExpr(
-        "scenario_id", "project_name", "div", "sub_job_family_2",
+    return factors.join(models, "project_code_old").selectExpr(
+        "scenario_id", "project_name", "div", "sub_job_family_2", "months",
         *[
             f"coalesce(opening_{n} * factor_{n}, 0D) AS hour_{n}"
             for n in range(1, OPENING_MONTHS + 1)
@@ -118,3 +103,26 @@ def project_passes(ratios: DataFrame) -> DataFrame:
     return ratios.groupBy("scenario_id", "project_name", "div").agg(
         F.max("stage_rows").alias("passes")
     )
+
+
+def project_month_hours(added: DataFrame, end: Column) -> DataFrame:
+    """Added hours by scenario, project, function and month over all its old projects.
+
+    The months stay side by side until the sums are made. A month that none of the old
+    projects has worked in has no row.
+    """
+    months = range(1, OPENING_MONTHS + 1)
+    summed = added.groupBy("scenario_id", "project_name", "div", "sub_job_family_2").agg(
+        F.max("months").alias("months"), *[F.sum(f"hour_{n}").alias(f"hour_{n}") for n in months]
+    )
+    listed = F.array(*[
+        F.struct(
+            F.add_months(end, n - OPENING_MONTHS).alias("date"),
+            F.col(f"hour_{n}").alias("add_hour_adj"),
+        )
+        for n in months
+    ])
+    return summed.select(
+        "scenario_id", "project_name", "div", "sub_job_family_2",
+        F.inline(F.slice(listed, 1, F.col("months"))),
+    )

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from staffcast import schemas
 from staffcast.functions import numeric
-from staffcast.operators.spread import keep_listed, key_use
 
 # The function and cut-off that are profiled, the number of month columns,
 # and the statistics with the open hour ranges that are counted.
@@ -37,13 +36,12 @@ def project_month_profile(
 ) -> DataFrame:
     """Entries and hours of the listed projects by month, stage and start date.
 
-    A short list filters the fact while it is read. A long one is applied to the
-    combined rows: one per project and month, however many entries a project has.
+    The list is applied to the combined rows: one per project, month, stage and start,
+    however many entries a project has.
     """
     wanted = (F.col("sub_job_family_2") == function) & (F.col("date") < F.lit(before))
-    listed = key_use(projects, "project_code")
     grouped = (
-        keep_listed(fact.where(wanted), listed, "project_code")
+        fact.where(wanted)
         .groupBy(
             *_LIFE, "date", F.col("project_start_stage").alias("start_stage"), "stage",
             "pmcs_bu_start_dt",
@@ -54,10 +52,9 @@ def project_month_profile(
             F.expr("sum(total_hour) AS sum_hour"),
         )
     )
-    if not listed.is_short:
-        grouped = grouped.join(listed.keys, "project_code", "left_semi")
+    listed = grouped.join(projects.select("project_code"), "project_code", "left_semi")
     return (
-        grouped.withColumn(
+        listed.withColumn(
             "hour_per_cnt",
             F.expr(numeric.round_to(numeric.safe_div("sum_hour", "cnt"), 1)),
         )
@@ -73,14 +70,18 @@ def life_months(profile: DataFrame) -> DataFrame:
     return profile.withColumn("ordinal", F.row_number().over(life))
 
 
-def life_width(months: DataFrame) -> int:
-    """Month columns needed: at least the usual number, more when a project lived longer."""
-    longest = months.agg(F.max("ordinal")).first()[0]
-    return max(LIFE_MONTHS, longest or 0)
+def fits(width: int) -> str:
+    """True, or an error where a project lived longer than the month columns of a sheet."""
+    message = f"a project lived longer than the {width} months of the sheet"
+    return f"isnull(assert_true(max(ordinal) <= {width}, '{message}'))"
 
 
 def life_pivot(months: DataFrame, width: int = LIFE_MONTHS) -> DataFrame:
-    """One row per project: first and last month, start, and the hours side by side."""
+    """One row per project: first and last month, start, and the hours side by side.
+
+    The sheet has ``width`` month columns whatever the data; a longer life is an error
+    (the months themselves have no such bound).
+    """
 
     def at(n: int, value: str, name: str) -> Column:
         return F.expr(f"max(CASE WHEN ordinal = {n} THEN {value} END) AS `{name}`")
@@ -91,7 +92,8 @@ def life_pivot(months: DataFrame, width: int = LIFE_MONTHS) -> DataFrame:
         F.expr("min(date) AS date_fst"),
         F.expr("max(date) AS date_lst"),
         *[at(n, "hour_per_cnt", str(n)) for n in range(1, width + 1)],
-    )
+        F.expr(f"{fits(width)} AS fits"),
+    ).where("fits").drop("fits")
 
 
 def _in_range(low: int | None, high: int) -> str:
@@ -101,10 +103,22 @@ def _in_range(low: int | None, high: int) -> str:
 
 
 def life_statistics(months: DataFrame, width: int = LIFE_MONTHS) -> DataFrame:
-    """Maximum, minimum, mean and counts of the hours, by month of life.
+    """Maximum, minimum, mean and counts of the hours, by month of life side by side."""
+    # A month no project reached has no extremes, a mean of zero and empty ranges.
+    none = "CASE WHEN statistic IN ('max', 'min') THEN CAST(NULL AS DOUBLE) ELSE 0D END"
+    return life_statistics_long(months).groupBy("statistic").agg(
+        *[
+            F.expr(f"coalesce(max(CASE WHEN ordinal = {n} THEN value END), {none}) AS `{n}`")
+            for n in range(1, width + 1)
+        ],
+        F.expr(f"{fits(width)} AS fits"),
+    ).where("fits").drop("fits")
+
+
+def life_statistics_long(months: DataFrame) -> DataFrame:
+    """One row per statistic and month of life: ordinal, statistic, value.
 
     The mean takes a project that did not live so long as zero; the others skip it.
-    Statistics are made per month of life and turned into one row each at the end.
     """
     projects = months.where("ordinal = 1").agg(F.count(F.lit(1))).scalar()
     by_month = months.groupBy("ordinal").agg(
@@ -116,15 +130,7 @@ def life_statistics(months: DataFrame, width: int = LIFE_MONTHS) -> DataFrame:
         "mean", F.expr(numeric.round_to(numeric.safe_div("coalesce(sum, 0)", "projects"), 1))
     )
     names = ["max", "min", "mean", *RANGES]
-    long = by_month.unpivot("ordinal", names, "statistic", "value")
-    # A month no project reached has no extremes, a mean of zero and empty ranges.
-    none = "CASE WHEN statistic IN ('max', 'min') THEN CAST(NULL AS DOUBLE) ELSE 0D END"
-    return long.groupBy("statistic").agg(*[
-        F.expr(
-            f"coalesce(max(CASE WHEN ordinal = {n} THEN value END), {none}) AS `{n}`"
-        )
-        for n in range(1, width + 1)
-    ])
+    return by_month.unpivot("ordinal", names, "statistic", "value")
 
 
 def life_sheet(pivot: DataFrame, statistics: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staffcast.functions import calendar, codes, numeric
-from staffcast.operators.spread import hot_join
 
 HEADCOUNT_KEYS = (
     "scenario_id", "div", "deptid", "project_code", "project_name", "sub_job_family_2",
@@ -36,7 +35,11 @@ def clean_plan(projects: DataFrame) -> DataFrame:
 
 
 def plan_rows(plan: DataFrame) -> DataFrame:
-    """What a planned project counts with; repeated rows of one plan count once."""
+    """What a planned project counts with; repeated rows of one plan count once.
+
+    The code of the new project does not tell rows apart: two new projects of one name
+    that agree in all else are one.
+    """
     return plan.selectExpr(
         "scenario_id", "division AS div", "project_name", "project_code_old",
         "execute_hour", "execute_month", "start_date",
@@ -71,7 +74,7 @@ def scenarios_of_list(
 def headcount_plan(raw: DataFrame) -> DataFrame:
     """Head count by scenario, unit, project and planned function."""
     return (
-        raw.withColumns({
+        raw.fillna("", ["deptid", "sub_job_family"]).withColumns({
             "HC": F.expr(numeric.parse_number("HC")),
             "sub_job_family_2": F.expr(codes.planning_function("sub_job_family")),
         })
@@ -92,21 +95,23 @@ def active_titles(raw: DataFrame) -> DataFrame:
     )
 
 
-def plan_with_models(
-    rows: DataFrame, profile: DataFrame, busiest: int | None = None
-) -> DataFrame:
-    """Settled plan rows with the effort of the old project each is modelled on.
-
-    ``stage_rows`` is NULL for a code that is not among the profiled projects. Very many
-    scenarios may share one model project: its rows are salted, unless the ``busiest``
-    code is known to be an ordinary one.
-    """
-    models = profile.groupBy("project_code").agg(
+def project_models(profile: DataFrame) -> DataFrame:
+    """Effort of every profiled project, one row each."""
+    return profile.groupBy("project_code").agg(
         F.max("execute_hour").alias("old_hour"),
         F.max("execute_month").alias("old_month"),
         F.max("stage_rows").alias("stage_rows"),
-    ).withColumnRenamed("project_code", "project_code_old")
-    return hot_join(rows, models, "project_code_old", "left", busiest)
+    )
+
+
+def plan_with_models(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """Plan rows with the effort of the old project each is modelled on.
+
+    ``stage_rows`` is NULL for a code that is not among the settled ``models``. Very many
+    scenarios may share one model project.
+    """
+    named = models.withColumnRenamed("project_code", "project_code_old")
+    return rows.join(named, "project_code_old", "left")
 
 
 def invalid_rows(modelled: DataFrame) -> DataFrame:

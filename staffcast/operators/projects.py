@@ -49,6 +49,7 @@ def parse_project_lines(lines: DataFrame) -> DataFrame:
         f"{months} AS execute_month",
         f"size(split(value, ',')) = 4 AND {hours} IS NOT NULL AND {months} IS NOT NULL "
         "AS is_valid",
+        "value AS line",
     )
 
 

@@ -27,7 +27,24 @@ def _aggregates(*texts: str) -> list[Column]:
 
 
 def _recent(fact: DataFrame, end: Column) -> DataFrame:
-    return fact.where(F.col("date") >= F.add_months(end, 1 - calendar.REPORT_MONTHS))
+    """Six months of the fact; a missing department or function is the blank one."""
+    recent = fact.where(F.col("date") >= F.add_months(end, 1 - calendar.REPORT_MONTHS))
+    return recent.fillna("", ["deptid", "sub_job_family_2"])
+
+
+def _strict_sum(name: str) -> str:
+    """Sum over partial sums, missing where a row had no value."""
+    return f"CASE WHEN sum(n_{name}) = sum(rows) THEN double(sum(sum_{name})) END"
+
+
+def _strict_avg(name: str) -> str:
+    return f"CASE WHEN sum(n_{name}) = sum(rows) THEN sum(sum_{name}) / sum(rows) END"
+
+
+def _partial(*names: str) -> list[Column]:
+    """Rows, and sum and number of the values of some columns."""
+    sums = [f"sum({n}) AS sum_{n}" for n in names]
+    return _aggregates("count(1) AS rows", *sums, *[f"count({n}) AS n_{n}" for n in names])
 
 
 def function_rates(fact: DataFrame, end: dt.date | Column | None = None) -> DataFrame:
@@ -62,24 +79,29 @@ def department_rates(fact: DataFrame, end: dt.date | Column | None = None) -> Da
 def unit_rates(fact: DataFrame, end: dt.date | Column | None = None) -> DataFrame:
     """Function and department rates together, from one scan of six months of the fact.
 
-    The distinct employees are counted after a partial aggregation by employee, so one
-    large unit or one busy employee is combined before any row is shuffled.
+    The rows are summed by employee first. Only these sums are repeated for the two
+    groupings, and distinct employees are counted among them.
     """
     end = calendar.anchor(fact, end)
+    measures = (
+        "utilization_rate_by_dep", "utilization_rate_by_div_func", "total_hour", "attendance",
+        "termination_n",
+    )
+    employed = _recent(fact, end).groupBy(*DEPARTMENT_KEYS, "emplid").agg(*_partial(*measures))
     keys = [F.col(k) for k in DEPARTMENT_KEYS]
     by_function = [k for k, name in zip(keys, DEPARTMENT_KEYS) if name in FUNCTION_KEYS]
     return (
-        _recent(fact, end)
-        .groupingSets([keys, by_function], *keys)
+        employed.groupingSets([keys, by_function], *keys)
         .agg(*_aggregates(
             f"CASE WHEN grouping(deptid) = 0 THEN '{DEP}' ELSE '{SUB}' END AS type",
             f"""CASE WHEN grouping(deptid) = 0
-                THEN {numeric.strict_avg('utilization_rate_by_dep')}
-                ELSE {numeric.strict_avg('utilization_rate_by_div_func')} END AS uti_rate""",
-            f"{numeric.strict_sum('total_hour')} AS total_hour",
-            f"{numeric.strict_sum('attendance')} AS attendance",
-            _EMPLOYEES,
-            _ATTENDANCE_EMP,
+                THEN {_strict_avg('utilization_rate_by_dep')}
+                ELSE {_strict_avg('utilization_rate_by_div_func')} END AS uti_rate""",
+            f"{_strict_sum('total_hour')} AS total_hour",
+            f"{_strict_sum('attendance')} AS attendance",
+            f"""double({numeric.distinct_with_missing('emplid')}
+                - {_strict_sum('termination_n')}) AS emp_cnt""",
+            f"{_strict_avg('attendance')} AS attendance_emp",
         ))
         .withColumn("month_no", calendar.month_number(F.col("date"), end))
     )
@@ -176,24 +198,42 @@ def department_sheet(rates: DataFrame, additive: bool = False) -> DataFrame:
     )
 
 
-def project_profile(fact: DataFrame, started: dt.date | Column | None = None) -> DataFrame:
+def project_history(fact: DataFrame) -> DataFrame:
+    """The fact summed by project, start stage, start date, function and month.
+
+    Profile and opening hours of all projects both follow from these sums. A missing
+    function is the blank one.
+    """
+    return (
+        fact.fillna("", ["sub_job_family_2"])
+        .groupBy(
+            "project_code", "project_start_stage", "pmcs_bu_start_dt", "sub_job_family_2", "date"
+        )
+        .agg(
+            *_partial(*schemas.STAGE_DAYS, "execute_hour", "execute_month", "total_hour"),
+            *_aggregates("count(execute_day) AS n_execute_day", "max(execute_day) AS max_execute_day"),
+        )
+    )
+
+
+def project_profile(history: DataFrame, started: dt.date | Column | None = None) -> DataFrame:
     """Mean stage days and effort of the projects that started inside the fact.
 
-    One row per project and distinct start stage; ``stage_rows`` counts them. ``started``
-    is the first date of the whole fact, for callers that know it or pass a part of it.
-    The fact is combined by project and stage first, so a project that holds much of the
-    fact reaches the window as a handful of rows.
+    ``history`` are the sums of ``project_history``. One row per project and distinct start
+    stage; ``stage_rows`` counts them. ``started`` is the first date of the whole fact, for
+    callers that know it or pass a part of it. The sums are combined by project and stage
+    first, so a large project reaches the window as a handful of rows.
     """
     means = [*schemas.STAGE_DAYS, "execute_hour", "execute_month"]
-    first = calendar.opening_date(fact, started)
+    first = calendar.opening_date(history, started)
     parts = (
-        fact.where(F.col("pmcs_bu_start_dt") >= first)
+        history.where(F.col("pmcs_bu_start_dt") >= first)
         .groupBy("project_code", "project_start_stage")
         .agg(*_aggregates(
-            "count(1) AS rows",
-            *[f"sum({c}) AS sum_{c}" for c in means],
-            *[f"count({c}) AS n_{c}" for c in [*means, "execute_day"]],
-            "max(execute_day) AS max_execute_day",
+            "sum(rows) AS rows",
+            *[f"sum(sum_{c}) AS sum_{c}" for c in means],
+            *[f"sum(n_{c}) AS n_{c}" for c in [*means, "execute_day"]],
+            "max(max_execute_day) AS max_execute_day",
         ))
     )
     over = "OVER (PARTITION BY project_code)"

@@ -1,144 +1,37 @@
-"""Joins with a hot key, and intermediate tables that several later steps read."""
+"""Intermediate tables that several later steps read, and steps that run side by side.
+
+Joins are left to Spark. The smaller side of a join with a hot key is settled first, so
+both sides are plain exchanges: at run time Spark broadcasts the small one, or splits the
+partitions of the hot key into as many tasks as their size asks for.
+"""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextvars
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from contextlib import contextmanager
 from functools import partial
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
-SALTS = 16
-HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
-MOST_SALTS = 1_000
-BROADCAST_KEYS = 100_000
-_SALT = "_salt"
-
-
-def salted_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    spread_by: Sequence[str] | None = None,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Equi-join of many rows with a small lookup whose keys are few and all busy.
-
-    A key may hold a large part of ``rows`` (a popular division). Its rows are spread
-    over ``salts`` partitions by the hash of ``spread_by``, and each lookup row is
-    repeated once per salt, so no task gets a whole hot key. No broadcast is forced:
-    Spark broadcasts the lookup itself when its measured size is under the threshold,
-    and otherwise this is the shuffle it uses.
-    """
-    _check_repeatable(how)
-    spread_by = spread_by or [c for c in rows.columns if c not in on]
-    salted = rows.withColumn(_SALT, F.pmod(F.hash(*spread_by), F.lit(salts)))
-    repeated = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, _SALT], how).drop(_SALT)
-
-
-@dataclass(frozen=True)
-class KeyUse:
-    """The keys that a settled table names, how many there are, and the rows of the busiest."""
-
-    keys: DataFrame
-    count: int
-    busiest: int
-
-    @property
-    def is_short(self) -> bool:
-        """Whether the list of keys is small enough to broadcast."""
-        return self.count <= BROADCAST_KEYS
-
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+_SEEN: set[str] = set()
 
-def key_use(rows: DataFrame, key: str) -> KeyUse:
-    """Measure the keys of a settled table by one small job that returns two numbers."""
-    counted = rows.groupBy(key).agg(F.expr("count(1) AS n"))
-    count, busiest = counted.agg(F.expr("count(1)"), F.expr("coalesce(max(n), 0)")).first()
-    return KeyUse(rows.select(key).distinct(), count, busiest)
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the session names for checkpoints.
 
-def keep_listed(rows: DataFrame, use: KeyUse, key: str) -> DataFrame:
-    """Early reduction of a large table to the listed keys, where the list is short.
-
-    Up to ``BROADCAST_KEYS`` measured keys are broadcast and the table is filtered while
-    it is read. A longer list would shuffle the whole table by a skewed key, so the table
-    is then passed on unfiltered, and the caller joins what it has aggregated; the result
-    of that join is the same.
-    """
-    if not use.is_short:
-        return rows
-    return rows.join(F.broadcast(use.keys.toDF(key)), key, "left_semi")
-
-
-def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with more than ``hot_rows`` rows and the number of salts for each.
-
-    At most ``HOT_KEYS`` keys are listed, the hottest first, so the list is always small
-    enough to broadcast. A key left out holds less than a thousandth of all rows and needs
-    no salt; it is joined like any other.
-    """
-    return (
-        rows.groupBy(key)
-        .agg(F.expr("count(1) AS n"))
-        .where(f"n > {hot_rows}")
-        .orderBy(F.desc("n"))
-        .limit(HOT_KEYS)
-        .selectExpr(key, f"int(least(ceil(n / {hot_rows}), {MOST_SALTS})) AS salts")
-    )
-
-
-def hot_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    how: str = "inner",
-    busiest: int | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Equi-join of a settled table with a large lookup in which a few keys may be hot.
-
-    Only the rows and lookup rows of a hot key are salted; all others join as they are,
-    so a lookup as large as the list of all projects is not repeated. Where ``busiest``
-    was measured and is small, no key is hot and the join is a plain one.
+    Where none is named, a folder in the warehouse, which all executors share as well.
     """
-    _check_repeatable(how)
-    if busiest is not None and busiest <= hot_rows:
-        return rows.join(lookup, key, how)
-    hot = F.broadcast(hot_keys(rows, key, hot_rows))
-    spread_by = [c for c in rows.columns if c != key]
-    salts = F.coalesce("salts", F.lit(1))
-    salted = rows.join(hot, key, "left").withColumn(_SALT, F.pmod(F.hash(*spread_by), salts))
-    repeated = lookup.join(hot, key, "left").withColumn(
-        _SALT, F.explode(F.sequence(F.lit(0), salts - 1))
-    )
-    return salted.drop("salts").join(repeated.drop("salts"), [key, _SALT], how).drop(_SALT)
-
-
-def _check_repeatable(how: str) -> None:
-    if how not in ("inner", "left"):
-        raise ValueError("only inner and left joins can repeat the right side")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names for checkpoints."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="staffcast-"))
-    return spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/settled"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -146,15 +39,48 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
     The work behind it is done once, its lineage is cut, it survives lost executors, and
     later joins are planned with its true size. The tables of an application lie in one
-    folder, which may be removed when the application has ended.
+    folder, which is removed when its driver ends; see ``scratch`` for an earlier end.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark).rstrip('/')}/staffcast/{app}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/staffcast/{spark.sparkContext.applicationId}"
+    if folder not in _SEEN:
+        _SEEN.add(folder)
+        atexit.register(_remove_at_end, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    if (written := _SCRATCH.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def _remove_at_end(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        _remove(spark, [folder])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that are settled inside the block when it ends.
+
+    What reads them has to be written within the block.
+    """
+    written: list[str] = []
+    outer = _SCRATCH.set(written)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(outer)
+        _remove(spark, written)
+
+
 def at_once(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:
     """Run steps that do not depend on each other at the same time.
 
@@ -163,7 +89,7 @@ def at_once(spark: SparkSession, *steps: Callable[[], T]) -> list[T]:
     """
     carry = inheritable_thread_target(spark)
     with ThreadPoolExecutor(len(steps)) as pool:
-        running = [pool.submit(carry(step)) for step in steps]
+        running = [pool.submit(contextvars.copy_context().run, carry(step)) for step in steps]
         return [step.result() for step in running]
 
 

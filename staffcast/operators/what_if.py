@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from staffcast.functions import numeric
 from staffcast.operators import rates
-from staffcast.operators.spread import salted_join
 
 STEPS = (1, 2, 3)
 _FUNCTION = ["div", "sub_job_family_2"]
@@ -33,12 +32,8 @@ def _sums(*names: str) -> list[Column]:
 
 
 def _units(scenarios: DataFrame, sheet: DataFrame) -> DataFrame:
-    """Every unit of the division a scenario asks about.
-
-    A division may be named by a third of all scenarios: its scenarios are salted.
-    """
-    wanted = scenarios.selectExpr("scenario_id", "division AS div")
-    return salted_join(wanted, sheet, ["div"], spread_by=["scenario_id"])
+    """Every unit of the division a scenario asks about."""
+    return scenarios.selectExpr("scenario_id", "division AS div").join(sheet, "div")
 
 
 def _report(rows: DataFrame, kind: str, title: str, hc: str, outlook: str) -> DataFrame:
@@ -83,7 +78,7 @@ def hc_what_if_department(
     )
     rate = numeric.safe_div("hour_#", "(emp_# + hc) * att_emp_#")
     changed = (
-        salted_join(staff, department_functions, _DEPARTMENT, spread_by=["scenario_id"])
+        staff.join(department_functions, _DEPARTMENT)
         .selectExpr(
             "scenario_id", *_DEPARTMENT, "hc", *_steps(rate=rate, seen="seen_#")
         )
@@ -114,17 +109,12 @@ def project_staff(
         .agg(F.expr(f"{numeric.lenient_sum('hc')} AS hc"))
         .join(passes, ["scenario_id", "project_name", "div"])
     )
-    return salted_join(
-        named,
-        department_functions.select(
-            *_DEPARTMENT,
-            "sub_job_family_2",
-            *[f"{name}_{k}" for name in ("att_emp", "seen") for k in STEPS],
-        ),
-        ["div", "deptid", "sub_job_family_2"],
-        "left",
-        spread_by=["scenario_id", "project_name"],
+    units = department_functions.select(
+        *_DEPARTMENT,
+        "sub_job_family_2",
+        *[f"{name}_{k}" for name in ("att_emp", "seen") for k in STEPS],
     )
+    return named.join(units, [*_DEPARTMENT, "sub_job_family_2"], "left")
 
 
 def project_effects(
@@ -148,12 +138,10 @@ def project_effects(
     summed = hours.unionByName(heads).groupBy(*keys).agg(
         F.sum("hc").alias("hc"), F.max("passes").alias("passes"), *_sums("hour", "staffed")
     )
-    return salted_join(
-        summed,
-        functions.select(*_FUNCTION, *[f"{n}_{k}" for n in ("emp", "dep_emp") for k in STEPS]),
-        _FUNCTION,
-        spread_by=["scenario_id", "project_name"],
-    ).selectExpr(
+    heads_of = functions.select(
+        *_FUNCTION, *[f"{n}_{k}" for n in ("emp", "dep_emp") for k in STEPS]
+    )
+    return summed.join(heads_of, _FUNCTION).selectExpr(
         *keys,
         "hc * passes AS hc",
         *_steps(
@@ -195,12 +183,8 @@ def project_what_if_department(
     The employee part is summed over the projects of a scenario before departments come
     in; the head count part only touches the departments that get head count.
     """
-    by_employees = salted_join(
-        effects.groupBy("scenario_id", *_FUNCTION).agg(*_sums("per_head")),
-        department_functions,
-        _FUNCTION,
-        spread_by=["scenario_id"],
-    ).selectExpr(
+    per_head = effects.groupBy("scenario_id", *_FUNCTION).agg(*_sums("per_head"))
+    by_employees = per_head.join(department_functions, _FUNCTION).selectExpr(
         "scenario_id", *_DEPARTMENT,
         *_steps(add_hour="coalesce(emp_# * per_head_#, 0D)", add_att="0D", add_hc="0D"),
     )

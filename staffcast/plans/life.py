@@ -13,6 +13,7 @@ from staffcast.operators.spread import settle
 
 @dataclass(frozen=True)
 class LifeReport:
+    months: DataFrame
     projects: DataFrame
     statistics: DataFrame
     sheet: DataFrame
@@ -23,15 +24,15 @@ def life_report(
     projects: DataFrame,
     function: str = life.PROFILED_FUNCTION,
     before: dt.date = life.CUT_OFF,
+    width: int = life.LIFE_MONTHS,
 ) -> LifeReport:
     """Profile all listed projects from one scan of the fact.
 
-    The numbered months are settled, since their longest life decides the number of
-    columns before the tables can be laid out.
+    ``months`` are the hours in long form, for lives of any length. The other tables are
+    sheets of ``width`` month columns, and fail where a project lived longer.
     """
     profile = life.project_month_profile(fact, projects, function, before)
     months = settle(life.life_months(profile), "life-months")
-    width = life.life_width(months)
     pivot = life.life_pivot(months, width)
     statistics = life.life_statistics(months, width)
-    return LifeReport(pivot, statistics, life.life_sheet(pivot, statistics))
+    return LifeReport(months, pivot, statistics, life.life_sheet(pivot, statistics))

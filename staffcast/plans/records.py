@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from staffcast.functions import calendar, codes, numeric
 from staffcast.operators import planning
-from staffcast.operators.spread import hot_join
 
 # Columns that are rounded to one decimal in the extract of each intermediate table,
 # and the columns that may arrive as day numbers.
@@ -51,12 +50,9 @@ def reject_log(
 def refused_requests(
     modelled: DataFrame, scenarios: DataFrame, save_time: dt.datetime | None = None
 ) -> DataFrame:
-    """Log of the planned projects that made their scenario be refused.
-
-    One scenario may have very many bad rows: they are salted for the join.
-    """
+    """Log of the planned projects that made their scenario be refused."""
     users = scenarios.select("scenario_id", "user_id")
-    rows = hot_join(planning.invalid_rows(modelled), users, "scenario_id")
+    rows = planning.invalid_rows(modelled).join(users, "scenario_id")
     return reject_log(
         rows,
         F.col("user_id"),
@@ -66,6 +62,40 @@ def refused_requests(
     )
 
 
+def unreadable_requests(requests: DataFrame, save_time: dt.datetime | None = None) -> DataFrame:
+    """Log of the requests that cannot be answered at all, with their whole text."""
+    bad = requests.where("problem IS NOT NULL")
+    return logged_text(bad, F.col("text"), F.col("problem"), F.col("user"), save_time)
+
+
+def refused_texts(
+    modelled: DataFrame, requests: DataFrame, save_time: dt.datetime | None = None
+) -> DataFrame:
+    """Log of the requests that name an unknown old project, with their whole text."""
+    bad = planning.invalid_rows(modelled).select("scenario_id").distinct()
+    rows = requests.where("problem IS NULL").join(bad, "scenario_id", "left_semi")
+    message = F.lit(codes.INVALID_CODE_MESSAGE)
+    return logged_text(rows, F.col("text"), message, F.col("user"), save_time)
+
+
+def rejected_lines(lines: DataFrame, user: str, save_time: dt.datetime | None = None) -> DataFrame:
+    """Log of the lines of a project list that are no complete project."""
+    bad = lines.where("NOT is_valid")
+    message = F.lit("Not a complete project line")
+    return logged_text(bad, F.col("line"), message, F.lit(user), save_time)
+
+
+def logged_text(
+    rows: DataFrame, text: Column, message: Column, user: Column, save_time: dt.datetime | None
+) -> DataFrame:
+    """Log rows with a text as it arrived, the message, the time and the user."""
+    when = F.current_timestamp() if save_time is None else F.lit(save_time)
+    return rows.select(
+        text.alias("user_input"), message.alias("error_msg"), when.alias("save_time"),
+        user.alias("user_id"),
+    )
+
+
 def tidy_result(df: DataFrame, kind: str, percent: bool = False) -> DataFrame:
     """Readable extract of an intermediate table or a report.
 

@@ -10,14 +10,10 @@ from pyspark.sql import functions as F
 
 from staffcast.functions import calendar, numeric
 from staffcast.operators import hours, planning, rates, what_if
-from staffcast.operators.spread import (
-    at_once,
-    keep_listed,
-    key_use,
-    settle,
-    settle_together,
-)
+from staffcast.operators.spread import at_once, settle, settle_together
+from staffcast.plans import records
 from staffcast.schemas import REPORT_COLUMNS
+from staffcast.sources.readers import split_requests
 
 
 @dataclass(frozen=True)
@@ -38,20 +34,17 @@ def prepare_units(
     ``end`` is the last month of the fact where the caller knows it; otherwise it is
     looked up. The result can be used for any number of batches.
     """
-    table = settle(
-        rates.unit_rates(fact, end).fillna("", ["deptid", "sub_job_family_2"]), "unit_rates"
+    table = settle(rates.unit_rates(fact, end), "unit_rates")
+    return Units(
+        rates.function_sheet(table),
+        rates.department_sheet(table, additive),
+        rates.department_function_sheet(table),
+        calendar.anchor(table, end),
     )
-    functions, departments, department_functions = settle_together(
-        functions=rates.function_sheet(table),
-        departments=rates.department_sheet(table, additive),
-        department_functions=rates.department_function_sheet(table),
-    )
-    return Units(functions, departments, department_functions, calendar.anchor(table, end))
 
 
 def prepare_headcount(raw: DataFrame) -> DataFrame:
-    plan = planning.headcount_plan(raw)
-    return settle(plan.fillna("", ["deptid", "sub_job_family_2"]), "headcount")
+    return settle(planning.headcount_plan(raw), "headcount")
 
 
 def prepare_plan(raw: DataFrame) -> DataFrame:
@@ -90,12 +83,12 @@ def headcount_report(units: Units, scenarios: DataFrame, headcount: DataFrame) -
 
 
 @dataclass(frozen=True)
-class ModelledPlan:
-    """Planned rows with their old projects, and the opening hours of those."""
+class History:
+    """What past projects took: the sums of the fact, their effort and their opening hours."""
 
-    rows: DataFrame
+    sums: DataFrame
+    models: DataFrame
     opening: DataFrame
-    busiest: int
 
 
 @dataclass(frozen=True)
@@ -108,48 +101,46 @@ class ProjectPlan:
     effects: DataFrame
 
 
-def prepare_models(
-    fact: DataFrame, plan: DataFrame, start: dt.date | None = None
-) -> ModelledPlan | None:
-    """Look up the old projects of a settled plan, or None where it has no rows.
+def prepare_history(fact: DataFrame, start: dt.date | None = None) -> History:
+    """Sum the fact by project, from one scan, and settle what every plan looks up.
 
-    The fact is only read for the named projects, where they are few. ``start`` is the
-    first date of the fact where the caller knows it.
+    ``start`` is the first date of the fact where the caller knows it. The result can be
+    used for any number of calls, batches and micro-batches.
     """
-    use = key_use(plan, "project_code_old")
-    if use.count == 0:
-        return None
-    past = keep_listed(fact, use, "project_code")
-    profile = rates.project_profile(past, calendar.opening_date(fact, start))
-    opening = hours.opening_hours(past).fillna("", ["sub_job_family_2"])
-    rows, sheet = settle_together(
-        modelled_plan=planning.plan_with_models(plan, profile, use.busiest),
-        opening_hours=hours.opening_sheet(opening),
+    sums = settle(rates.project_history(fact), "project_history")
+    models, opening = settle_together(
+        project_models=planning.project_models(rates.project_profile(sums, start)),
+        opening_hours=hours.opening_sheet(hours.opening_hours(sums)),
     )
-    return ModelledPlan(rows, sheet, use.busiest)
+    return History(sums, models, opening)
+
+
+def model_plan(plan: DataFrame, history: History) -> DataFrame:
+    """Settled planned rows with their old projects."""
+    return settle(planning.plan_with_models(plan, history.models), "modelled_plan")
 
 
 def prepare_projects(
-    models: ModelledPlan, units: Units, scenarios: DataFrame, headcount: DataFrame
+    modelled: DataFrame, history: History, units: Units, scenarios: DataFrame, headcount: DataFrame
 ) -> ProjectPlan:
     """Check the planned projects and work out the hours and heads they add.
 
     The planned rows are multiplied by the functions of their old project only, and are
     summed by project before anything is joined to the units.
     """
-    ratios = planning.project_ratio(models.rows)
+    ratios = planning.project_ratio(modelled)
     modes, staff = settle_together(
-        scenario_modes=planning.scenario_modes(scenarios, models.rows),
+        scenario_modes=planning.scenario_modes(scenarios, modelled),
         project_staff=what_if.project_staff(
             headcount, hours.project_passes(ratios), units.department_functions
         ),
     )
     factors = hours.plan_factors(ratios, units.end)
-    added = hours.added_hours(models.opening, factors, models.busiest)
+    added = hours.added_hours(history.opening, factors)
     effects = settle(
         what_if.project_effects(added, staff, units.functions), "project_effects"
     )
-    return ProjectPlan(models.rows, modes, staff, effects)
+    return ProjectPlan(modelled, modes, staff, effects)
 
 
 def project_report(units: Units, scenarios: DataFrame, plan: ProjectPlan) -> DataFrame:
@@ -177,10 +168,12 @@ def score_scenarios(
     scenarios: DataFrame,
     projects: DataFrame,
     headcount: DataFrame,
-    end: dt.date | None = None,
+    end: dt.date | Column | None = None,
     additive: bool = False,
     project_fact: DataFrame | None = None,
     start: dt.date | None = None,
+    units: Units | None = None,
+    history: History | None = None,
 ) -> DataFrame:
     """Report of a whole table of scenarios.
 
@@ -189,15 +182,45 @@ def score_scenarios(
     report (see ``records.refused_requests``). Scenarios do not influence each other.
     ``end`` and ``start`` are the last and first date of the fact where the caller knows
     them. ``project_fact`` is the fact without division and department, for sources in which
-    those cost a join: the history of a project does not need them.
+    those cost a join: the history of a project does not need them. With prepared ``units``
+    and ``history`` the fact is not read.
     """
-    history = fact if project_fact is None else project_fact
-    units, heads, models = at_once(
+    heads, units, plan = at_once(
         fact.sparkSession,
-        lambda: prepare_units(fact, end, additive),
         lambda: prepare_headcount(headcount),
-        lambda: prepare_models(history, prepare_plan(projects), start),
+        lambda: units or prepare_units(fact, end, additive),
+        lambda: plan_scenarios(project_fact or fact, projects, start, history),
     )
-    if models is None:
+    if plan is None:
         return headcount_report(units, scenarios, heads)
-    return combined_report(units, heads, prepare_projects(models, units, scenarios, heads))
+    return combined_report(units, heads, prepare_projects(*plan, units, scenarios, heads))
+
+
+def plan_scenarios(
+    fact: DataFrame, projects: DataFrame, start: dt.date | None, history: History | None
+) -> tuple[DataFrame, History] | None:
+    """Modelled plan and the history behind it; nothing where no project is planned."""
+    plan = prepare_plan(projects)
+    if plan.isEmpty():
+        return None
+    history = history or prepare_history(fact, start)
+    return model_plan(plan, history), history
+
+
+def answer_requests(
+    requests: DataFrame, units: Units, history: History, save_time: dt.datetime | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Answers and refusals of parsed, settled requests; each request is in one of them.
+
+    Answers carry the user and the key of the request, refusals its whole text.
+    """
+    scenarios, projects, headcount = split_requests(requests)
+    heads = prepare_headcount(headcount)
+    modelled = model_plan(prepare_plan(projects), history)
+    plan = prepare_projects(modelled, history, units, scenarios, heads)
+    users = scenarios.select("scenario_id", "user_id")
+    answers = combined_report(units, heads, plan).join(users, "scenario_id")
+    refused = records.unreadable_requests(requests, save_time).unionByName(
+        records.refused_texts(modelled, requests, save_time)
+    )
+    return answers, refused

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from staffcast import schemas
 from staffcast.functions import calendar, numeric
@@ -49,24 +49,22 @@ def read_jdbc(
     spark: SparkSession,
     options: dict[str, str],
     table: str,
-    partition_column: str | None = None,
-    bounds: tuple[str, str] | None = None,
-    partitions: int = 1,
+    partition_column: str,
+    bounds: tuple[str, str],
+    partitions: int,
 ) -> DataFrame:
     """Table of a database, read in parallel ranges of a column such as ``date``.
 
     ``options`` carries url, driver and credentials; nothing is stored here. Filters and
     columns are pushed into the database query by Spark.
     """
-    reader = spark.read.format("jdbc").options(**options).option("dbtable", table)
-    if partition_column and bounds:
-        reader = reader.options(
-            partitionColumn=partition_column,
-            lowerBound=bounds[0],
-            upperBound=bounds[1],
-            numPartitions=str(partitions),
-        )
-    return reader.load()
+    return spark.read.format("jdbc").options(**options).options(
+        dbtable=table,
+        partitionColumn=partition_column,
+        lowerBound=bounds[0],
+        upperBound=bounds[1],
+        numPartitions=str(partitions),
+    ).load()
 
 
 def read_projects_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -92,21 +90,38 @@ def read_project_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Requests, one JSON object per line."""
-    return spark.read.schema(schemas.REQUEST).json(path)
+    """Requests, one JSON object per line, as ``parse_requests`` gives them."""
+    return parse_requests(spark.read.text(path))
 
 
-def request_id() -> Column:
-    """Identity of a request: equal requests have equal answers."""
-    return F.xxhash64(F.to_json(F.struct("division", "user", "data_Prj", "data_HC")))
+def parse_requests(lines: DataFrame) -> DataFrame:
+    """Requests from a text column ``value``; none is left out.
+
+    ``text`` is the request as it arrived and ``problem`` why it cannot be answered, if so.
+    ``scenario_id`` identifies a request by its content: equal requests have equal answers.
+    """
+    fields = StructType([*schemas.REQUEST.fields, StructField("broken", StringType())])
+    read = F.from_json("value", fields, {"columnNameOfCorruptRecord": "broken"})
+    filled = "trim(coalesce(request.{}, '')) <> ''"
+    problem = F.expr(
+        "CASE WHEN request IS NULL OR request.broken IS NOT NULL THEN 'Not a JSON request' "
+        f"WHEN NOT {filled.format('division')} THEN 'No division' "
+        f"WHEN NOT {filled.format('user')} THEN 'No user' END"
+    )
+    return (
+        lines.where("trim(value) <> ''")
+        .withColumn("request", read)
+        .select(
+            F.sha2("value", 256).alias("scenario_id"), F.col("value").alias("text"),
+            problem.alias("problem"), *[f"request.{n}" for n in schemas.REQUEST.names],
+        )
+    )
 
 
 def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scenario, planned project and planned head count tables of many requests."""
-    keyed = requests.withColumn("scenario_id", request_id()).dropDuplicates(["scenario_id"])
-    scenarios = keyed.where(F.col("division").isNotNull()).select(
-        "scenario_id", "division", F.col("user").alias("user_id")
-    )
+    """Scenario, planned project and planned head count tables of the requests without problem."""
+    keyed = requests.where("problem IS NULL").dropDuplicates(["scenario_id"])
+    scenarios = keyed.select("scenario_id", "division", F.col("user").alias("user_id"))
     projects = keyed.select("scenario_id", "division", F.inline("data_Prj"))
     headcount = keyed.select("scenario_id", F.inline("data_HC")).drop("save_time", "user_id")
     return scenarios, projects, headcount
@@ -125,5 +140,8 @@ def scenario_rows(
 
     fields = schemas.REQUEST["data_Prj"].dataType.elementType
     heads = schemas.REQUEST["data_HC"].dataType.elementType
-    one = [(division, user, text(projects, fields), text(headcount, heads))]
-    return split_requests(spark.createDataFrame(one, schemas.REQUEST))
+    one = [("0", None, division, user, text(projects, fields), text(headcount, heads))]
+    return split_requests(spark.createDataFrame(one, StructType([
+        StructField("scenario_id", StringType()), StructField("problem", StringType()),
+        *schemas.REQUEST.fields,
+    ])))

@@ -13,9 +13,9 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_sheet(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV with a header. ``single_file`` is for small final tables only."""
-    (df.coalesce(1) if single_file else df).write.mode("overwrite").csv(path, header=True)
+def write_sheet(df: DataFrame, path: str) -> None:
+    """CSV with a header, as many files as the table has parts."""
+    df.write.mode("overwrite").csv(path, header=True)
 
 
 def write_records(df: DataFrame, path: str) -> None:

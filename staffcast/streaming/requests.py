@@ -1,8 +1,9 @@
 """Scores a folder of requests as files arrive.
 
 Each micro-batch of JSON requests is answered by one batch job against the same unit
-rates. Answers and refusals are written per batch number, so a batch that is repeated
-after a failure replaces its own output.
+rates and project history. Answers and refusals are written per batch number, so a batch
+that is repeated after a failure replaces its own output; what a batch settled is removed
+when it is written. Every request is in the answers or, with its whole text, in the refusals.
 """
 
 from __future__ import annotations
@@ -10,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from staffcast import schemas
+from staffcast.operators.spread import scratch, settle
 from staffcast.plans import records, report
-from staffcast.operators.spread import settle
-from staffcast.sources.readers import split_requests
+from staffcast.sources.readers import parse_requests, split_requests
 
 
 def score_request_folder(
@@ -26,26 +26,16 @@ def score_request_folder(
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
     """Start the query over what the folder holds now, and stop when it is answered."""
-    units = report.prepare_units(fact)
+    units, history = report.prepare_units(fact), report.prepare_history(fact)
 
     def answer(batch: DataFrame, number: int) -> None:
-        scenarios, projects, headcount = split_requests(settle(batch, "requests"))
-        heads = report.prepare_headcount(headcount)
-        models = report.prepare_models(fact, report.prepare_plan(projects))
-        if models is None:
-            scored = report.headcount_report(units, scenarios, heads)
-        else:
-            plan = report.prepare_projects(models, units, scenarios, heads)
-            scored = report.combined_report(units, heads, plan)
-            refused = records.refused_requests(plan.modelled, scenarios)
+        with scratch(spark):
+            asked = settle(parse_requests(batch), "requests")
+            scored, refused = report.answer_requests(asked, units, history)
+            scored.write.mode("overwrite").parquet(f"{answers}/batch={number}")
             refused.write.mode("overwrite").parquet(f"{refusals}/batch={number}")
-        scored.write.mode("overwrite").parquet(f"{answers}/batch={number}")
 
-    stream = (
-        spark.readStream.schema(schemas.REQUEST)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(requests)
-    )
+    stream = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(requests)
     return (
         stream.writeStream.foreachBatch(answer)
         .option("checkpointLocation", checkpoint)

@@ -8,15 +8,16 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffcast_checks import fixture
-from staffcast.functions import calendar, numeric
+from staffcast.functions import numeric
 from staffcast.operators import allocation, hours, life, planning, projects, rates
-from staffcast.operators.spread import at_once, key_use, settle
+from staffcast.operators.spread import at_once, settle
 from staffcast.plans import records, report
 from staffcast.plans.life import life_report
+from staffcast.sources.readers import parse_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 _SAVED = dt.datetime(2021, 7, 6, 17, 15)
@@ -28,23 +29,35 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
     })
 
 
+def _recent(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
+    """The report months of the fact and the last of them."""
+    return fixture.recent_utilization(spark, sf), fixture.last_month(spark, sf)
+
+
+def _history(spark: SparkSession, sf: str) -> report.History:
+    return report.prepare_history(fixture.utilization(spark, sf, units=False))
+
+
 def function_rates(spark: SparkSession, sf: str) -> DataFrame:
-    table = rates.function_rates(fixture.utilization(spark, sf))
+    fact, end = _recent(spark, sf)
+    table = rates.function_rates(fact, end)
     return rounded(table, uti_rate=4, attendance_emp=4)
 
 
 def department_rates(spark: SparkSession, sf: str) -> DataFrame:
-    table = rates.department_rates(fixture.utilization(spark, sf))
+    fact, end = _recent(spark, sf)
+    table = rates.department_rates(fact, end)
     return rounded(table, uti_rate=4, attendance_emp=4)
 
 
 def unit_rates(spark: SparkSession, sf: str) -> DataFrame:
-    table = rates.unit_rates(fixture.utilization(spark, sf))
+    table = rates.unit_rates(*_recent(spark, sf))
     return rounded(table, uti_rate=4, attendance_emp=4)
 
 
 def project_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return rates.project_profile(fixture.utilization(spark, sf, units=False))
+    fact = fixture.utilization(spark, sf, units=False)
+    return rates.project_profile(rates.project_history(fact))
 
 
 def headcount_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +73,7 @@ def active_titles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def history_report(spark: SparkSession, sf: str) -> DataFrame:
-    return report.history_report(fixture.utilization(spark, sf))
+    return report.history_report(*_recent(spark, sf))
 
 
 def history_report_function(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +87,7 @@ def history_report_department(spark: SparkSession, sf: str) -> DataFrame:
 def _headcount_report(spark: SparkSession, sf: str) -> DataFrame:
     units, heads = at_once(
         spark,
-        lambda: report.prepare_units(fixture.utilization(spark, sf)),
+        lambda: report.prepare_units(*_recent(spark, sf)),
         lambda: report.prepare_headcount(fixture.plan_headcount(spark, sf)),
     )
     return report.headcount_report(units, fixture.scenarios(spark, sf), heads)
@@ -100,9 +113,7 @@ def plan_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def _modelled(spark: SparkSession, sf: str) -> DataFrame:
     plan = report.prepare_plan(fixture.plan_projects(spark, sf))
-    profile = rates.project_profile(fixture.utilization(spark, sf, units=False))
-    busiest = key_use(plan, "project_code_old").busiest
-    return planning.plan_with_models(plan, profile, busiest)
+    return report.model_plan(plan, _history(spark, sf))
 
 
 def plan_rejects(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,10 +125,9 @@ def scenario_modes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reject_log(spark: SparkSession, sf: str) -> DataFrame:
-    log = records.refused_requests(
-        _settled_model(spark, sf), fixture.scenarios(spark, sf), _SAVED
-    )
-    return log.withColumn("save_time", F.date_format("save_time", "yyyy-MM-dd HH:mm"))
+    return _logged(records.refused_requests(
+        _modelled(spark, sf), fixture.scenarios(spark, sf), _SAVED
+    ))
 
 
 def project_ratio(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,25 +136,23 @@ def project_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def opening_hours(spark: SparkSession, sf: str) -> DataFrame:
-    return hours.opening_hours(fixture.utilization(spark, sf, units=False))
+    fact = fixture.utilization(spark, sf, units=False)
+    return hours.opening_hours(rates.project_history(fact))
 
 
-def _prorated(modelled: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
-    fact = fixture.utilization(spark, sf, units=False)
-    busiest = key_use(modelled, "project_code_old").busiest
+def _prorated(spark: SparkSession, sf: str) -> DataFrame:
+    history = _history(spark, sf)
+    modelled = report.model_plan(
+        report.prepare_plan(fixture.plan_projects(spark, sf)), history
+    )
     scaled = hours.project_hours(
-        hours.opening_hours(fact),
+        hours.opening_hours(history.sums),
         planning.project_ratio(modelled),
-        calendar.last_month(fact),
-        busiest,
+        fixture.last_month(spark, sf),
     )
     return hours.prorate_start(scaled)
 
 
-def _settled_model(spark: SparkSession, sf: str) -> DataFrame:
-    return settle(_modelled(spark, sf), "modelled_plan")
-
-
 _HOUR_KEYS = (
     "scenario_id", "project_name", "project_code_old", "sub_job_family_2", "date",
     "start_date", "execute_hour", "execute_month",
@@ -152,7 +160,7 @@ _HOUR_KEYS = (
 
 
 def _month_listing(spark: SparkSession, sf: str, *measures: str) -> DataFrame:
-    return _prorated(_settled_model(spark, sf), spark, sf).select(*_HOUR_KEYS, *measures)
+    return _prorated(spark, sf).select(*_HOUR_KEYS, *measures)
 
 
 def project_hours(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,17 +182,24 @@ def tidy_result(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _allocated(spark: SparkSession, sf: str, by_department: bool) -> DataFrame:
-    fact = fixture.utilization(spark, sf)
-    modelled = _settled_model(spark, sf)
+    fact, end = _recent(spark, sf)
+    table = rates.department_rates if by_department else rates.function_rates
+    history, plan, heads, units = at_once(
+        spark,
+        lambda: _history(spark, sf),
+        lambda: report.prepare_plan(fixture.plan_projects(spark, sf)),
+        lambda: report.prepare_headcount(fixture.plan_headcount(spark, sf)),
+        lambda: settle(table(fact, end), "rates"),
+    )
+    modelled = report.model_plan(plan, history)
     ratios = planning.project_ratio(modelled)
     modes = planning.scenario_modes(fixture.scenarios(spark, sf), modelled)
-    month_hours = hours.project_month_hours(_prorated(modelled, spark, sf))
-    table = rates.department_rates(fact) if by_department else rates.function_rates(fact)
+    added = hours.added_hours(history.opening, hours.plan_factors(ratios, end))
     return allocation.allocate(
-        month_hours,
-        settle(table, "rates"),
-        report.prepare_headcount(fixture.plan_headcount(spark, sf)),
-        hours.project_passes(ratios),
+        hours.project_month_hours(added, end),
+        units,
+        heads,
+        settle(hours.project_passes(ratios), "passes"),
         modes.where("mode = 'projects'"),
     )
 
@@ -217,16 +232,16 @@ def allocation_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _project_report(spark: SparkSession, sf: str) -> DataFrame:
-    units, heads, models = at_once(
+    units, heads, history, rows = at_once(
         spark,
-        lambda: report.prepare_units(fixture.utilization(spark, sf)),
+        lambda: report.prepare_units(*_recent(spark, sf)),
         lambda: report.prepare_headcount(fixture.plan_headcount(spark, sf)),
-        lambda: report.prepare_models(
-            fixture.utilization(spark, sf, units=False),
-            report.prepare_plan(fixture.plan_projects(spark, sf)),
-        ),
+        lambda: _history(spark, sf),
+        lambda: report.prepare_plan(fixture.plan_projects(spark, sf)),
     )
-    plan = report.prepare_projects(models, units, fixture.scenarios(spark, sf), heads)
+    modelled = report.model_plan(rows, history)
+    scenarios = fixture.scenarios(spark, sf)
+    plan = report.prepare_projects(modelled, history, units, scenarios, heads)
     return report.project_report(units, plan.scenarios.where("mode = 'projects'"), plan)
 
 
@@ -239,11 +254,13 @@ def project_what_if_department(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _batch(spark: SparkSession, sf: str, additive: bool) -> DataFrame:
+    fact, end = _recent(spark, sf)
     return report.score_scenarios(
-        fixture.utilization(spark, sf),
+        fact,
         fixture.scenarios(spark, sf),
         fixture.plan_projects(spark, sf),
         fixture.plan_headcount(spark, sf),
+        end,
         additive=additive,
         project_fact=fixture.utilization(spark, sf, units=False),
     )
@@ -263,11 +280,13 @@ def project_list_batch(spark: SparkSession, sf: str) -> DataFrame:
     scenarios, planned = planning.scenarios_of_list(
         fixture.listed_projects(spark, sf), fixture.LIST_START
     )
+    fact, end = _recent(spark, sf)
     return report.score_scenarios(
-        fixture.utilization(spark, sf),
+        fact,
         scenarios,
         planned,
         fixture.no_headcount(spark),
+        end,
         project_fact=fixture.utilization(spark, sf, units=False),
     )
 
@@ -319,13 +338,67 @@ def project_load_user(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def project_list(spark: SparkSession, sf: str) -> DataFrame:
-    return projects.parse_project_lines(fixture.project_lines(spark, sf))
+    return projects.parse_project_lines(fixture.project_lines(spark, sf)).drop("line")
 
 
-def purge_user(spark: SparkSession, sf: str) -> DataFrame:
-    return projects.purge_user(fixture.table(spark, sf, "events"), 8).select(
-        "event_id", "user_id", "event_type", "value"
+def list_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Log of the lines of the project list that are left out of the batch."""
+    lines = projects.parse_project_lines(fixture.project_lines(spark, sf))
+    return _logged(records.rejected_lines(lines, "001", _SAVED))
+
+
+def _logged(log: DataFrame) -> DataFrame:
+    return log.withColumn("save_time", F.date_format("save_time", "yyyy-MM-dd HH:mm"))
+
+
+def _answered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    requests, units, history = at_once(
+        spark,
+        lambda: settle(parse_requests(fixture.request_lines(spark, sf)), "requests"),
+        lambda: report.prepare_units(*_recent(spark, sf)),
+        lambda: _history(spark, sf),
+    )
+    return report.answer_requests(requests, units, history, _SAVED)
+
+
+def request_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers to all requests that came as JSON text."""
+    return _answered(spark, sf)[0].drop("scenario_id")
+
+
+def request_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Log of all requests without an answer, with their whole text."""
+    return _logged(_answered(spark, sf)[1])
+
+
+def life_months(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours of the projects by month of life, in long form."""
+    return _life(spark, sf).months.select(
+        "project_code", "sub_job_family_2", "ordinal", "date", "hour_per_cnt"
+    )
+
+
+def tidy_allocation(spark: SparkSession, sf: str) -> DataFrame:
+    """Department allocation, tidied: one decimal for the hours."""
+    table = _allocated(spark, sf, by_department=True).select(
+        "scenario_id", "project_name", "div", "deptid", "sub_job_family_2", "date",
+        "add_hour_pct", "total_hour_dept_func",
+    )
+    return records.tidy_result(table, "allocation")
+
+
+def tidy_department_outlook(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours of every department and month with what new projects add, tidied."""
+    table = _allocated(spark, sf, by_department=True)
+    outlook = table.groupBy("scenario_id", "div", "deptid", "date").agg(
+        F.expr(f"{numeric.lenient_sum('add_hour_pct')} AS add_hour_pct"),
+        F.expr(f"{numeric.lenient_sum('total_hour_dept_func')} AS total_hour_dept_func"),
     )
+    return records.tidy_result(outlook, "department_outlook")
+
+
+def purge_user(spark: SparkSession, sf: str) -> DataFrame:
+    return projects.purge_user(fixture.table(spark, sf, "events"), 8)
 
 
 QUERIES: dict[str, Query] = {
@@ -339,6 +412,7 @@ QUERIES: dict[str, Query] = {
         allocation_share, project_what_if_function, project_what_if_department,
         scenario_batch, scenario_batch_additive, project_list_batch, report_records,
         project_month_profile, life_pivot, life_statistics, life_sheet, project_load,
-        project_load_user, project_list, purge_user,
+        project_load_user, project_list, purge_user, list_rejects, request_batch,
+        request_rejects, life_months, tidy_allocation, tidy_department_outlook,
     )
 }

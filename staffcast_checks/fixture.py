@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffcast import schemas
-from staffcast.functions import codes
+from staffcast.functions import calendar, codes
 from staffcast.operators.projects import parse_project_lines
 
 EMPLOYEE_CODES = ("HW", "RF", "OP", "PV", "E4", "ME")
@@ -47,20 +47,37 @@ def _pick(values: tuple[str, ...], index: str) -> str:
     return f"elt(int({index} % {len(values)}) + 1, {', '.join(repr(v) for v in values)})"
 
 
-def utilization(spark: SparkSession, sf_dir: str, units: bool = True) -> DataFrame:
+def last_month(spark: SparkSession, sf_dir: str) -> Column:
+    """The last month of the fact, as a scalar subquery on the line items."""
+    items = table(spark, sf_dir, "lineitem")
+    return items.agg(F.trunc(F.max("l_shipdate"), "MM")).scalar()
+
+
+def recent_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact of the report months only, cut on the shipping date as the files hold it."""
+    first = F.add_months(last_month(spark, sf_dir), 1 - calendar.REPORT_MONTHS)
+    return utilization(spark, sf_dir, since=first)
+
+
+def utilization(
+    spark: SparkSession, sf_dir: str, units: bool = True, since: Column | None = None
+) -> DataFrame:
     """One fact row per line item: a supplier is an employee, a part is a project.
 
+    Some employees are missing, some departments missing or blank, some hours missing.
     Without ``units`` the division and department are left out, and with them the join
     to the suppliers. The left join keeps every row and lets Spark drop it from queries
     that only look for the first or last month.
     """
     leaving = "(l_returnflag = 'R' AND l_linenumber = 7)"
+    unit = """CASE l_suppkey % 17 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN ''
+              ELSE n_name END"""
     function = _pick(EMPLOYEE_CODES, "l_suppkey")
     days = {f"C{i}_day": f"double(l_partkey % 50 + {10 * i})" for i in range(7)}
     days["C6_day"] = f"CASE WHEN NOT {leaving} THEN {days['C6_day']} END"
     columns = {
         "date": "trunc(l_shipdate, 'MM')",
-        "emplid": "string(l_suppkey)",
+        "emplid": "CASE WHEN l_suppkey % 19 <> 5 THEN string(l_suppkey) END",
         "sub_job_family": function,
         "sub_job_family_2": codes.planning_function(function),
         "project_code": "concat('P', l_partkey)",
@@ -72,15 +89,17 @@ def utilization(spark: SparkSession, sf_dir: str, units: bool = True) -> DataFra
         "execute_hour": "double(100 * (l_partkey % 90))",
         "execute_month": "double(1 + l_partkey % 36)",
         "execute_day": "double(20 * (1 + l_partkey % 36) + l_linenumber)",
-        "total_hour": "l_quantity",
+        "total_hour": "CASE WHEN (l_orderkey + l_linenumber) % 499 <> 3 THEN l_quantity END",
         "attendance": "l_quantity + l_linenumber",
         "termination_n": f"bigint(if({leaving}, 1, 0))",
         "utilization_rate_by_div_func": "l_quantity / (l_quantity + l_linenumber)",
         "utilization_rate_by_dep": "l_quantity / (l_quantity + l_linenumber + 1)",
         "div": "r_name",
-        "deptid": "n_name",
+        "deptid": unit,
     }
     items = table(spark, sf_dir, "lineitem")
+    if since is not None:
+        items = items.where(F.col("l_shipdate") >= since.cast("timestamp_ntz"))
     names = schemas.UTILIZATION.names
     if units:
         for name, key, other in (
@@ -213,5 +232,27 @@ def listed_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_region(lines, spark, sf_dir, "division")
 
 
+def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per order as JSON text; some are broken, some lack division or user."""
+    project = """concat(', "data_Prj": [{"project_code": "N', o_orderkey,
+        '", "project_name": "NP", "project_code_old": "',
+        if(o_orderkey % 40 = 0, 'PX', concat('P', 6 + o_orderkey % 18)),
+        '", "execute_hour": 500, "execute_month": "", "start_date": "2001/9/15"}]')"""
+    staff = """concat(', "data_HC": [{"HC": ', o_orderkey % 3, ', "div": "', r_name,
+        '", "deptid": "NATION_', r_regionkey + 5 * (o_orderkey % 5),
+        '", "project_code": "", "project_name": "NP", "sub_job_family": "HW"}]')"""
+    regions = table(spark, sf_dir, "region")
+    orders = table(spark, sf_dir, "orders").withColumn("region", F.expr("int(o_custkey % 5)"))
+    return orders.join(regions, F.col("region") == F.col("r_regionkey"), "left").selectExpr(
+        f"""CASE o_orderkey % 50
+            WHEN 1 THEN concat('{{"division": "', r_name, '", ')
+            WHEN 2 THEN concat('{{"user": "R', o_orderkey, '"}}')
+            WHEN 3 THEN concat('{{"division": "', r_name, '"}}')
+            ELSE concat('{{"division": "', r_name, '", "user": "R', o_orderkey, '"',
+                if(o_orderkey % 3 = 0, {project}, ''), if(o_orderkey % 4 = 0, {staff}, ''), '}}')
+            END AS value"""
+    )
+
+
 def no_headcount(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], schemas.PLAN_HEADCOUNT_RAW)

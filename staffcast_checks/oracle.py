@@ -10,7 +10,7 @@ import re
 
 
 def r(value: str, digits: int = 2) -> str:
-    return f"CAST(ROUND(CAST({value} AS DECIMAL(18,6)), {digits}) AS DOUBLE)"
+    return f"CAST(ROUND(CAST({value} AS DECIMAL(38,6)), {digits}) AS DOUBLE)"
 
 
 def pick(values: tuple[str, ...], index: str) -> str:
@@ -41,7 +41,8 @@ FUNCTION_RATE = r(
     "/ NULLIF(MAX(attendance_func) + COALESCE(SUM(add_attendance_emp), 0), 0)"
 )
 DEPARTMENT_RATE = r(
-    "(SUM(DISTINCT total_hour_dept_func) + COALESCE(SUM(add_hour_pct), 0)) "
+    "(CASE WHEN COUNT(total_hour_dept_func) = COUNT(*) THEN SUM(DISTINCT total_hour_dept_func) END "
+    "+ COALESCE(SUM(add_hour_pct), 0)) "
     "/ NULLIF(SUM(DISTINCT attendance_emp) * SUM(DISTINCT emp_cnt) "
     "+ COALESCE(SUM(add_attendance_emp), 0), 0)"
 )
@@ -54,7 +55,9 @@ EMP = (
 STEPS: dict[str, str] = {
     "fact": f"""
         SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
-               r_name AS div, n_name AS deptid, CAST(l_suppkey AS VARCHAR) AS emplid,
+               r_name AS div,
+               CASE WHEN l_suppkey % 17 IN (0, 1) THEN '' ELSE n_name END AS deptid,
+               CASE WHEN l_suppkey % 19 <> 5 THEN CAST(l_suppkey AS VARCHAR) END AS emplid,
                {FUNCTION_CODE} AS sub_job_family,
                {mapped(FUNCTION_CODE)} AS sub_job_family_2,
                'P' || l_partkey AS project_code,
@@ -68,7 +71,8 @@ STEPS: dict[str, str] = {
                CAST(100 * (l_partkey % 90) AS DOUBLE) AS execute_hour,
                CAST(1 + l_partkey % 36 AS DOUBLE) AS execute_month,
                CAST(20 * (1 + l_partkey % 36) + l_linenumber AS DOUBLE) AS execute_day,
-               l_quantity AS total_hour, l_quantity + l_linenumber AS attendance,
+               CASE WHEN (l_orderkey + l_linenumber) % 499 <> 3 THEN l_quantity END
+                   AS total_hour, l_quantity + l_linenumber AS attendance,
                CASE WHEN {LEAVING} THEN 1 ELSE 0 END AS termination_n,
                l_quantity / (l_quantity + l_linenumber) AS rate_func,
                l_quantity / (l_quantity + l_linenumber + 1) AS rate_dep
@@ -83,12 +87,12 @@ STEPS: dict[str, str] = {
         FROM fact, anchor WHERE date >= m - INTERVAL 5 MONTH""",
     "func_rates": f"""
         SELECT div, sub_job_family_2, date, month_no, AVG(rate_func) AS uti_rate,
-               SUM(total_hour) AS total_hour_func, SUM(attendance) AS attendance_func,
+               {strict('SUM', 'total_hour')} AS total_hour_func, SUM(attendance) AS attendance_func,
                {EMP}, AVG(attendance) AS attendance_emp
         FROM recent GROUP BY ALL""",
     "dept_rates": f"""
         SELECT div, deptid, sub_job_family_2, date, month_no, AVG(rate_dep) AS uti_rate,
-               SUM(total_hour) AS total_hour_dept_func, SUM(attendance) AS attendance,
+               {strict('SUM', 'total_hour')} AS total_hour_dept_func, SUM(attendance) AS attendance,
                {EMP}, AVG(attendance) AS attendance_emp
         FROM recent GROUP BY ALL""",
     "profile": f"""
@@ -148,13 +152,14 @@ STEPS: dict[str, str] = {
                CASE WHEN execute_month IS NULL OR execute_month = 0 THEN 1.0
                     ELSE execute_month / NULLIF(old_month, 0) END AS mon_ratio
         FROM modelled WHERE stage_rows IS NOT NULL""",
-    "opening": """
+    "opening": f"""
         SELECT project_code, sub_job_family_2, total_hour_pro_func, CAST(n AS INTEGER) AS n
         FROM (
             SELECT *, row_number() OVER (PARTITION BY project_code, sub_job_family_2
                                          ORDER BY date) AS n
             FROM (SELECT project_code, sub_job_family_2, date,
-                         SUM(total_hour) AS total_hour_pro_func FROM fact GROUP BY ALL))
+                         {strict('SUM', 'total_hour')} AS total_hour_pro_func
+                  FROM fact GROUP BY ALL))
         WHERE n <= 3""",
     "hours": """
         SELECT ratio.*, sub_job_family_2, total_hour_pro_func,
@@ -284,7 +289,8 @@ STEPS: dict[str, str] = {
                      COALESCE(SUM(add_hour_pct), 0) AS add_hour,
                      COALESCE(SUM(add_attendance_emp), 0) AS add_attendance
               FROM alloc_dept WHERE month_no >= 4 GROUP BY ALL) a
-        JOIN (SELECT div, deptid, month_no, SUM(total_hour_dept_func) AS total_hour,
+        JOIN (SELECT div, deptid, month_no,
+                     {strict('SUM', 'total_hour_dept_func')} AS total_hour,
                      SUM(attendance_emp) AS attendance_emp, SUM(emp_cnt) AS emp_cnt
               FROM dept_rates GROUP BY ALL) b USING (div, deptid, month_no)""",
     "entries": f"""
@@ -499,8 +505,27 @@ _QUERIES: dict[str, str] = {
                     AS DOUBLE) AS execute_month,
                p_partkey % 20 NOT IN (0, 7) AS is_valid
         FROM part""",
+    "life_months": """
+        SELECT project_code, sub_job_family_2, CAST(n AS INTEGER) AS ordinal, date, hour_per_cnt
+        FROM life""",
+    "tidy_allocation": f"""
+        SELECT scenario_id, project_name, div, deptid, sub_job_family_2, date,
+               {r('add_hour_pct', 1)} AS add_hour_pct,
+               {r('total_hour_dept_func', 1)} AS total_hour_dept_func
+        FROM alloc_dept""",
+    "tidy_department_outlook": f"""
+        SELECT scenario_id, div, deptid, date,
+               {r('COALESCE(SUM(add_hour_pct), 0)', 1)} AS add_hour_pct,
+               {r('COALESCE(SUM(total_hour_dept_func), 0)', 1)} AS total_hour_dept_func
+        FROM alloc_dept GROUP BY ALL""",
+    "list_rejects": """
+        SELECT CASE WHEN p_partkey % 20 = 0 THEN 'P' || p_partkey || ','
+                    ELSE 'P' || p_partkey || ',' || p_name || ',many,3' END AS user_input,
+               'Not a complete project line' AS error_msg, '2021-07-06 17:15' AS save_time,
+               '001' AS user_id
+        FROM part WHERE p_partkey % 20 IN (0, 7)""",
     "purge_user": """
-        SELECT event_id, user_id, event_type, value FROM events
+        SELECT * FROM events
         WHERE user_id <> 8 OR user_id IS NULL""",
 }
 
@@ -515,3 +540,51 @@ _QUERIES["report_records"] = f"""
 
 ORACLE: dict[str, str] = {name: query(text) for name, text in _QUERIES.items()}
 ORACLE["project_list_batch"] = query(_project_report("TRUE"), LIST_INPUTS)
+
+# Requests as JSON text, one per order, as inputs for the same steps.
+_REQUEST_REGION = "orders LEFT JOIN region ON r_regionkey = o_custkey % 5"
+_REQUEST_PROJECT = """', "data_Prj": [{"project_code": "N' || o_orderkey
+    || '", "project_name": "NP", "project_code_old": "'
+    || CASE WHEN o_orderkey % 40 = 0 THEN 'PX' ELSE 'P' || (6 + o_orderkey % 18) END
+    || '", "execute_hour": 500, "execute_month": "", "start_date": "2001/9/15"}]'"""
+_REQUEST_STAFF = """', "data_HC": [{"HC": ' || (o_orderkey % 3) || ', "div": "' || r_name
+    || '", "deptid": "NATION_' || (r_regionkey + 5 * (o_orderkey % 5))
+    || '", "project_code": "", "project_name": "NP", "sub_job_family": "HW"}]'"""
+_REQUEST_TEXT = f"""'{{"division": "' || r_name || '", "user": "R' || o_orderkey || '"'
+    || CASE WHEN o_orderkey % 3 = 0 THEN {_REQUEST_PROJECT} ELSE '' END
+    || CASE WHEN o_orderkey % 4 = 0 THEN {_REQUEST_STAFF} ELSE '' END || '}}'"""
+REQUEST_INPUTS: dict[str, str] = {
+    "scenarios": f"""
+        SELECT o_orderkey AS scenario_id, r_name AS division, 'R' || o_orderkey AS user_id
+        FROM {_REQUEST_REGION} WHERE o_orderkey % 50 NOT IN (1, 2, 3)""",
+    "plan": """
+        SELECT scenario_id, division, 'N' || scenario_id AS project_code, 'NP' AS project_name,
+               CASE WHEN scenario_id % 40 = 0 THEN 'PX' ELSE 'P' || (6 + scenario_id % 18) END
+                   AS project_code_old,
+               500.0 AS execute_hour, CAST(NULL AS DOUBLE) AS execute_month,
+               DATE '2001-09-15' AS start_date
+        FROM scenarios WHERE scenario_id % 3 = 0""",
+    "hc_raw": """
+        SELECT scenario_id, division AS div, CAST(scenario_id % 3 AS DOUBLE) AS HC,
+               'NATION_' || (r_regionkey + 5 * (scenario_id % 5)) AS deptid, '' AS project_code,
+               'NP' AS project_name, 'HW' AS sub_job_family, 'RH' AS sub_job_family_2
+        FROM scenarios JOIN region ON r_name = division WHERE scenario_id % 4 = 0""",
+}
+_ANSWERS = f"{_hc_report('TRUE', 'headcount')} UNION ALL {_project_report('TRUE')}"
+ORACLE["request_batch"] = query(f"""
+    SELECT user_id, a.* EXCLUDE (scenario_id)
+    FROM ({_ANSWERS}) a JOIN scenarios USING (scenario_id)""", REQUEST_INPUTS)
+ORACLE["request_rejects"] = query(f"""
+    SELECT CASE o_orderkey % 50 WHEN 1 THEN '{{"division": "' || r_name || '", '
+                WHEN 2 THEN '{{"user": "R' || o_orderkey || '"}}'
+                ELSE '{{"division": "' || r_name || '"}}' END AS user_input,
+           CASE o_orderkey % 50 WHEN 1 THEN 'Not a JSON request' WHEN 2 THEN 'No division'
+                ELSE 'No user' END AS error_msg,
+           '2021-07-06 17:15' AS save_time,
+           CASE WHEN o_orderkey % 50 = 2 THEN 'R' || o_orderkey END AS user_id
+    FROM {_REQUEST_REGION} WHERE o_orderkey % 50 IN (1, 2, 3)
+    UNION ALL
+    SELECT {_REQUEST_TEXT}, 'Invalid project code!!', '2021-07-06 17:15', 'R' || o_orderkey
+    FROM {_REQUEST_REGION}
+    WHERE o_orderkey IN (SELECT scenario_id FROM modelled WHERE stage_rows IS NULL)""",
+    REQUEST_INPUTS)

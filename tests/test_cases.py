@@ -32,6 +32,10 @@ def model(code="P1", months=(0, 1, 2), total=10.0, **change):
     ]
 
 
+def models(fact):
+    return planning.project_models(rates.project_profile(rates.project_history(fact)))
+
+
 def score(spark, fact, plans, heads=(), asked=((1, "D1"),), **options):
     result = report.score_scenarios(
         data.fact(spark, fact), data.scenarios(spark, list(asked)),
@@ -202,11 +206,13 @@ def test_shares_add_up_to_one_or_are_missing(spark):
     plan = planning.plan_rows(planning.clean_plan(
         planning.typed_projects(data.projects(spark, planned))
     ))
-    modelled = planning.plan_with_models(plan, rates.project_profile(fact))
+    modelled = planning.plan_with_models(plan, models(fact))
     ratios = planning.project_ratio(modelled)
-    scaled = hours.project_hours(hours.opening_hours(fact), ratios, calendar.last_month(fact))
+    end = calendar.last_month(fact)
+    opening = hours.opening_sheet(hours.opening_hours(rates.project_history(fact)))
+    added = hours.added_hours(opening, hours.plan_factors(ratios, end))
     shares = allocation.allocate(
-        hours.project_month_hours(hours.prorate_start(scaled)),
+        hours.project_month_hours(added, end),
         rates.department_rates(fact),
         planning.headcount_plan(data.heads(spark, staffed)),
         hours.project_passes(ratios),
@@ -236,7 +242,7 @@ def test_refused_requests_are_logged(spark):
     plan = report.prepare_plan(data.projects(spark, [
         {"scenario_id": 1}, {"scenario_id": 2, "project_code_old": "NONE"},
     ]))
-    modelled = planning.plan_with_models(plan, rates.project_profile(fact))
+    modelled = planning.plan_with_models(plan, models(fact))
     log = records.refused_requests(modelled, data.scenarios(spark, [(1, "D1"), (2, "D1")]))
     rows = log.collect()
     assert [(r["error_msg"], r["user_id"]) for r in rows] == [("Invalid project code!!", "u2")]

@@ -15,8 +15,8 @@ def values(spark, rows, ddl, expression):
 
 
 def test_round2_ties_and_extremes(spark):
-    given = [2.675, 0.145, 1.005, -2.675, 0.004999, 1e15 + 0.5, None, float("inf")]
-    expected = [2.68, 0.15, 1.01, -2.68, 0.0, 1e15 + 0.5, None, float("inf")]
+    given = [2.675, 0.145, 1.005, -2.675, 0.004999, 1e15 + 0.5, 1e31, None]
+    expected = [2.68, 0.15, 1.01, -2.68, 0.0, 1e15 + 0.5, 1e31, None]
     assert values(spark, [(v,) for v in given], "x double", numeric.round2("x")) == expected
 
 
@@ -66,13 +66,6 @@ def test_parse_day(spark, text, expected):
     assert values(spark, [(text,)], "x string", calendar.parse_day("x")) == [expected]
 
 
-def test_parse_local_time(spark):
-    rows = [("2021/7/6 下午05:15",), ("2021/7/6 上午09:01",), ("x",)]
-    assert values(spark, rows, "x string", calendar.parse_local_time("x")) == [
-        dt.datetime(2021, 7, 6, 17, 15), dt.datetime(2021, 7, 6, 9, 1), None,
-    ]
-
-
 def test_epoch_day(spark):
     assert values(spark, [(18840.0,)], "x double", calendar.epoch_day("x")) == [
         dt.date(2021, 8, 1)

@@ -40,12 +40,10 @@ def test_profile_averages_and_cut_off(spark):
     }
 
 
-def test_long_list_gives_the_same_profile(spark, monkeypatch):
+def test_a_code_listed_twice_counts_once(spark):
     fact = data.fact(spark, entries("P1", [10.0]) + entries("P2", [5.0]) + entries("P3", [1.0]))
-    listed = codes(spark, "P1", "P2", "P2")
-    short = sorted(map(str, life.project_month_profile(fact, listed).collect()))
-    monkeypatch.setattr("staffcast.operators.spread.BROADCAST_KEYS", 1)
-    assert sorted(map(str, life.project_month_profile(fact, listed).collect())) == short
+    rows = life.project_month_profile(fact, codes(spark, "P1", "P2", "P2")).collect()
+    assert sorted(r["project_code"] for r in rows) == ["P1", "P2"]
 
 
 def test_pivot_and_statistics(spark):
@@ -70,13 +68,18 @@ def test_pivot_and_statistics(spark):
     assert made.sheet.count() == 9
 
 
-def test_stages_of_a_month_are_separate_and_long_lives_widen(spark):
+def test_stages_of_a_month_are_separate_and_long_lives_need_a_wider_sheet(spark):
     stages = [f"C{i}" for i in range(6)]
     fact = [
         {"date": m, "project_code": "P1", "stage": s, "total_hour": float(i)}
         for m in data.MONTHS[:10] for i, s in enumerate(stages)
     ]
-    made = life_report(data.fact(spark, fact), codes(spark, "P1"))
+    narrow = life_report(data.fact(spark, fact), codes(spark, "P1"))
+    assert narrow.months.count() == 60 and narrow.projects.columns[-1] == "50"
+    for table in (narrow.projects, narrow.statistics):
+        with pytest.raises(Exception, match="longer than the 50 months"):
+            table.collect()
+    made = life_report(data.fact(spark, fact), codes(spark, "P1"), width=60)
     row = made.projects.first()
     assert made.projects.columns[-1] == "60"
     assert [row[str(i)] for i in (1, 6, 7, 60)] == [0.0, 5.0, 0.0, 5.0]
@@ -107,12 +110,12 @@ def test_project_load(spark):
 
 def test_project_lines(spark):
     lines = spark.createDataFrame(
-        [("P1,Alpha,942.5,35.13",), ("P2,",), ("P3,Beta,x,3",), ("",), ("P4,a,b,1,2",)],
+        [("P1,Alpha,640.5,21.25",), ("P2,",), ("P3,Beta,x,3",), ("",), ("P4,a,b,1,2",)],
         "value string",
     )
-    rows = [tuple(r) for r in projects.parse_project_lines(lines).collect()]
+    rows = [tuple(r) for r in projects.parse_project_lines(lines).drop("line").collect()]
     assert rows == [
-        ("P1", "Alpha", 942.5, 35.13, True),
+        ("P1", "Alpha", 640.5, 21.25, True),
         ("P2", "", None, None, False),
         ("P3", "Beta", None, 3.0, False),
         ("P4", "a", None, 1.0, False),

@@ -9,11 +9,13 @@ import data
 import pytest
 from compare import database, differences
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from staffcast_checks import fixture
 from staffcast_checks.catalog import QUERIES
 from staffcast_checks.oracle import ORACLE
 from staffcast.operators import hours, rates, spread
+from staffcast.plans import report
 from staffcast.sources import readers, writers
 
 
@@ -43,7 +45,8 @@ def test_rates_read_only_recent_partitions_and_needed_columns(spark, tmp_path):
 
 
 def test_opening_hours_do_not_join_units(spark):
-    plan = plan_of(hours.opening_hours(fixture.utilization(spark, SMALL, units=False)))
+    fact = fixture.utilization(spark, SMALL, units=False)
+    plan = plan_of(hours.opening_hours(rates.project_history(fact)))
     assert "Join" not in plan and "WindowGroupLimit" in plan
 
 
@@ -53,58 +56,78 @@ def test_scenarios_meet_broadcast_units(spark):
     assert "Pivot" not in plan
 
 
-@pytest.fixture
-def skewed(spark):
-    """Two thirds of the rows have one key; some keys have no match."""
-    rows = spark.range(3000).selectExpr(
-        "id", "if(id % 3 = 0, concat('k', id % 50), 'hot') AS key"
+def test_a_hot_key_is_joined_in_many_tasks(spark, tmp_path):
+    """Two thirds of the rows have one key: Spark splits its partition, and loses nothing."""
+    rows = spark.range(300_000).selectExpr(
+        "id", "if(id % 3 = 0, concat('k', id % 500), 'hot') AS key", "uuid() AS filler"
     )
-    lookup = spark.range(40).selectExpr("concat('k', id) AS key", "id AS v").unionByName(
-        spark.createDataFrame([("hot", -1), ("hot", -2)], "key string, v long")
+    lookup = spark.range(500).selectExpr("concat('k', id) AS key", "id AS v").unionByName(
+        spark.createDataFrame([("hot", -1)], "key string, v long")
     )
-    return rows, lookup
-
-
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_joins_equal_plain_joins(spark, skewed, how):
-    rows, lookup = skewed
-    plain = sorted(map(str, rows.join(lookup, "key", how).select("id", "key", "v").collect()))
-    salted = spread.salted_join(rows, lookup, ["key"], how)
-    assert sorted(map(str, salted.select("id", "key", "v").collect())) == plain
-    assert [tuple(r) for r in spread.hot_keys(rows, "key", 100).collect()] == [("hot", 20)]
-    use = spread.key_use(rows, "key")
-    assert (use.count, use.busiest) == (51, 2000)
-    for busiest in (None, use.busiest):
-        joined = spread.hot_join(rows, lookup, "key", how, busiest, hot_rows=100)
-        assert "_salt" in plan_of(joined)
-        assert sorted(map(str, joined.select("id", "key", "v").collect())) == plain
-    plainly = spread.hot_join(rows, lookup, "key", how, use.busiest)
-    assert "_salt" not in plan_of(plainly)
-    assert sorted(map(str, plainly.select("id", "key", "v").collect())) == plain
+    rows, lookup = spread.settle_together(rows=rows, lookup=lookup)
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+    }
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        joined = rows.join(lookup, "key", "left")
+        found = joined.selectExpr("spark_partition_id() AS part", "v").groupBy("part").agg(
+            F.expr("count_if(v = -1) AS n")
+        ).collect()
+        tasks = [r for r in found if r["n"]]
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+    assert sum(r["n"] for r in tasks) == 200_000 and len(tasks) > 1
 
 
-def test_other_joins_are_refused(skewed):
-    rows, lookup = skewed
-    with pytest.raises(ValueError):
-        spread.salted_join(rows, lookup, ["key"], "full")
+def test_settled_tables_go_with_their_scope(spark, tmp_path):
+    folder = tmp_path / "shared"
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "other"))
+    with spread.scratch(spark):
+        one, two = spread.settle_together(a=spark.range(3), b=spark.range(4))
+        paths = [df.inputFiles()[0] for df in (one, two)]
+        assert one.count() + two.count() == 7
+    for path in paths:
+        with pytest.raises(Exception, match="(?i)not exist|not_found|no such"):
+            spark.read.parquet(path).count()
+    assert not folder.exists()
 
 
 def test_shared_dir_is_the_one_the_session_names(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    assert spread.shared_dir(spark) == (named or spread.shared_dir(spark))
+    assert spread.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_batch_beyond_every_size_bound(spark, skewed, monkeypatch):
-    """No broadcast fits, every busy code is hot: the other ways give the same rows."""
-    monkeypatch.setattr(spread, "BROADCAST_KEYS", 1)
-    monkeypatch.setattr(spread.hot_join, "__defaults__", ("inner", None, 20))
+def test_batch_without_any_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
         df = QUERIES["scenario_batch"](spark, SMALL)
         assert "BroadcastHashJoin" not in plan_of(df) and "SortMergeJoin" in plan_of(df)
-        rows, lookup = skewed
-        salted = plan_of(spread.hot_join(rows, lookup, "key", hot_rows=100))
-        assert "TakeOrderedAndProject" in salted and "BroadcastHashJoin LeftOuter" in salted
         assert differences(df, database(SMALL), ORACLE["scenario_batch"]) is None
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_prepared_calls_do_not_read_the_fact(spark):
+    fact = fixture.utilization(spark, SMALL)
+    units, history = report.prepare_units(fact), report.prepare_history(fact)
+    unread = spark.createDataFrame([], fact.schema)
+    tables = [f(spark, SMALL) for f in (fixture.scenarios, fixture.plan_projects, fixture.plan_headcount)]
+    df = report.score_scenarios(unread, *tables, units=units, history=history)
+    assert differences(df, database(SMALL), ORACLE["scenario_batch"]) is None
+
+
+def test_units_are_summed_by_employee_before_the_groupings(spark):
+    plan = plan_of(rates.unit_rates(fixture.recent_utilization(spark, SMALL), fixture.last_month(spark, SMALL)))
+    order = [line.strip() for line in plan.split("(1) Scan")[0].splitlines()]
+    expand = next(i for i, line in enumerate(order) if "Expand" in line)
+    assert any("HashAggregate" in line for line in order[expand + 1:])
+    filters = [line for line in plan.splitlines() if "l_shipdate" in line and "Filter" in line]
+    assert filters

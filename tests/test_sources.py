@@ -10,7 +10,7 @@ import pytest
 
 from staffcast.operators.planning import scenarios_of_list
 from staffcast.operators.projects import parse_project_lines
-from staffcast.plans import report
+from staffcast.plans import records, report
 from staffcast.sources import readers, writers
 from staffcast.streaming.requests import score_request_folder
 
@@ -21,11 +21,19 @@ REQUESTS = [
                    "start_date": "2021/6/15"}],
      "data_HC": [{"HC": 1, "div": "D1", "deptid": "A", "project_code": "0",
                   "project_name": "new", "sub_job_family": "HW",
-                  "save_time": "2021/7/6 下午05:15", "user_id": "001"}]},
+                  "save_time": "2022/3/4 上午10:20", "user_id": "001"}]},
     {"division": "D1", "user": "002"},
     {"division": "D1", "user": "003",
      "data_Prj": [{"project_code": "1", "project_name": "x", "project_code_old": "NONE"}]},
 ]
+# What cannot be answered, and why.
+BAD = {
+    '{"division": "D1", "user": "004"': "Not a JSON request",
+    '["D1"]': "Not a JSON request",
+    '{"user": "005"}': "No division",
+    '{"division": " ", "user": "006"}': "No division",
+    '{"division": "D1"}': "No user",
+}
 
 
 def company(spark):
@@ -40,9 +48,19 @@ def folder_of_requests(tmp_path):
     folder.mkdir()
     for i, request in enumerate(REQUESTS):
         (folder / f"{i}.json").write_text(json.dumps(request, ensure_ascii=False) + "\n")
+    (folder / "bad.json").write_text("\n".join([*BAD, "", ""]))
     return str(folder)
 
 
+def test_no_request_is_lost(spark, tmp_path):
+    requests = readers.read_requests(spark, folder_of_requests(tmp_path))
+    assert requests.count() == len(REQUESTS) + len(BAD)
+    log = records.unreadable_requests(requests, dt.datetime(2022, 1, 1)).collect()
+    assert {r["user_input"]: r["error_msg"] for r in log} == BAD
+    assert {r["user_id"] for r in log} == {None, "005", "006"}
+    assert all(len(r["scenario_id"]) == 64 for r in requests.collect())
+
+
 def test_requests_become_tables(spark, tmp_path):
     asked, planned, staffed = readers.split_requests(
         readers.read_requests(spark, folder_of_requests(tmp_path))
@@ -96,9 +114,11 @@ def test_request_stream(spark, tmp_path):
     query = score_request_folder(spark, company(spark), folder, *out, files_per_batch=2)
     query.awaitTermination()
     assert query.exception() is None
-    assert outlooks(spark.read.parquet(out[0]).collect(), users) == EXPECTED
-    refused = spark.read.parquet(out[1]).collect()
-    assert [r["user_id"] for r in refused] == ["003"]
+    answers = spark.read.parquet(out[0]).collect()
+    assert outlooks(answers, users) == EXPECTED
+    assert all(users[r["scenario_id"]] == r["user_id"] for r in answers)
+    refused = {r["user_input"]: r["error_msg"] for r in spark.read.parquet(out[1]).collect()}
+    assert refused == {**BAD, json.dumps(REQUESTS[2]): "Invalid project code!!"}
 
 
 def test_csv_files(spark, tmp_path):
@@ -108,7 +128,7 @@ def test_csv_files(spark, tmp_path):
     )
     (tmp_path / "prj.csv").write_text(
         "project_code,project_name,project_code_old,other_project_name,execute_hour,"
-        "execute_month\n1,Alpha,P7,,9256,16\n"
+        "execute_month\n1,Alpha,P7,,4100,12\n"
     )
     head = readers.read_headcount_csv(spark, str(tmp_path / "hc.csv"))
     assert tuple(head.first()) == ("1", "D1", "A", "1", "Alpha", "HW")
@@ -117,14 +137,14 @@ def test_csv_files(spark, tmp_path):
 
 
 def test_project_list_file(spark, tmp_path):
-    (tmp_path / "list.txt").write_text("P1,Alpha,942.5,35.13\nP2,\n")
+    (tmp_path / "list.txt").write_text("P1,Alpha,640.5,21.25\nP2,\n")
     rows = readers.read_project_list(spark, str(tmp_path / "list.txt")).collect()
     assert [(r["project_code"], r["is_valid"]) for r in rows] == [("P1", True), ("P2", False)]
 
 
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("a", 0.5, None), ("b", 1.0, 2.0)], "k string, x double, y double")
-    writers.write_sheet(df, str(tmp_path / "sheet"), single_file=True)
+    writers.write_sheet(df, str(tmp_path / "sheet"))
     assert spark.read.csv(str(tmp_path / "sheet"), header=True).count() == 2
     writers.write_records(df, str(tmp_path / "records"))
     lines = {r["value"] for r in spark.read.text(str(tmp_path / "records")).collect()}
