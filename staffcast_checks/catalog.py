@@ -20,7 +20,7 @@ from staffcast.plans.life import life_report
 from staffcast.sources.readers import parse_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
-_SAVED = dt.datetime(2021, 7, 6, 17, 15)
+_SAVED = dt.datetime(2022, 3, 4, 10, 20)
 
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:

@@ -457,7 +457,7 @@ _QUERIES: dict[str, str] = {
     "reject_log": """
         SELECT '{"scenario_id":' || scenario_id || ',"project_name":"' || project_name
                || '","project_code_old":"' || project_code_old || '"}' AS user_input,
-               'Invalid project code!!' AS error_msg, '2021-07-06 17:15' AS save_time, user_id
+               'Invalid project code!!' AS error_msg, '2022-03-04 10:20' AS save_time, user_id
         FROM modelled JOIN scenarios USING (scenario_id) WHERE stage_rows IS NULL""",
     "project_ratio": f"""
         SELECT * REPLACE ({r('hr_ratio', 4)} AS hr_ratio, {r('mon_ratio', 4)} AS mon_ratio)
@@ -521,7 +521,7 @@ _QUERIES: dict[str, str] = {
     "list_rejects": """
         SELECT CASE WHEN p_partkey % 20 = 0 THEN 'P' || p_partkey || ','
                     ELSE 'P' || p_partkey || ',' || p_name || ',many,3' END AS user_input,
-               'Not a complete project line' AS error_msg, '2021-07-06 17:15' AS save_time,
+               'Not a complete project line' AS error_msg, '2022-03-04 10:20' AS save_time,
                '001' AS user_id
         FROM part WHERE p_partkey % 20 IN (0, 7)""",
     "purge_user": """
@@ -580,11 +580,11 @@ ORACLE["request_rejects"] = query(f"""
                 ELSE '{{"division": "' || r_name || '"}}' END AS user_input,
            CASE o_orderkey % 50 WHEN 1 THEN 'Not a JSON request' WHEN 2 THEN 'No division'
                 ELSE 'No user' END AS error_msg,
-           '2021-07-06 17:15' AS save_time,
+           '2022-03-04 10:20' AS save_time,
            CASE WHEN o_orderkey % 50 = 2 THEN 'R' || o_orderkey END AS user_id
     FROM {_REQUEST_REGION} WHERE o_orderkey % 50 IN (1, 2, 3)
     UNION ALL
-    SELECT {_REQUEST_TEXT}, 'Invalid project code!!', '2021-07-06 17:15', 'R' || o_orderkey
+    SELECT {_REQUEST_TEXT}, 'Invalid project code!!', '2022-03-04 10:20', 'R' || o_orderkey
     FROM {_REQUEST_REGION}
     WHERE o_orderkey IN (SELECT scenario_id FROM modelled WHERE stage_rows IS NULL)""",
     REQUEST_INPUTS)
