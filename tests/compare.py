@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+import io
 import math
 from collections import Counter
 
@@ -21,6 +23,13 @@ def database(sf_dir: str):
     return con
 
 
+def plan_of(df) -> str:
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain("formatted")
+    return text.getvalue()
+
+
 def _plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from compare import database, differences
+from compare import database, differences, plan_of
 from conftest import SMALL
 
 import __spark_entry__
@@ -24,8 +24,12 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    df = __spark_entry__.queries()[name](spark, SMALL)
-    assert differences(df, con, __spark_entry__.oracle_sql()[name]) is None
+    df = QUERIES[name](spark, SMALL)
+    plan = plan_of(df)
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
+                 "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
+        assert node not in plan
+    assert differences(df, con, ORACLE[name]) is None
 
 
 def test_entry_has_rows_and_report_schema(spark):

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import contextlib
-import io
-
 import data
 import pytest
-from compare import database, differences
+from compare import database, differences, plan_of
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -19,21 +16,6 @@ from staffcast.plans import report
 from staffcast.sources import readers, writers
 
 
-def plan_of(df) -> str:
-    text = io.StringIO()
-    with contextlib.redirect_stdout(text):
-        df.explain("formatted")
-    return text.getvalue()
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_pair_joins_and_no_python(spark, name):
-    plan = plan_of(QUERIES[name](spark, SMALL))
-    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
-                 "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
-        assert node not in plan
-
-
 def test_rates_read_only_recent_partitions_and_needed_columns(spark, tmp_path):
     path = str(tmp_path / "fact")
     writers.write_table(data.fact(spark, data.random_company(1)), path, ["date"])
