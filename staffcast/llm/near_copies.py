@@ -221,22 +221,21 @@ def hex_fingerprint(fp: Column) -> Column:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: a row whose key is the component.
 
-    Of rows with that key and different contents the first by fingerprint and text stays,
-    of equal rows one. Documents without a key are no better told apart, and stay.
+    Of rows with that key the first by text and the other columns stays, of equal rows one.
+    Documents without a key cannot be named, and stay.
+
+    The texts are filtered by the keys of what goes, which are fewer than the documents;
+    only the rows of keys that occur more than once are grouped.
     """
-    found = near_copies(docs, key, text)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component"))).select(
-        F.col(key).alias("_key")
-    ).distinct()
-    kept = settle(kept, "kept")
-    rows = docs.join(kept, docs[key].eqNullSafe(kept["_key"]), "left_semi")
-    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(
-        F.col(key).alias("_key")
+    own = F.col(f"`{key}`")
+    found = near_copies(docs, key, text).where(own.isNotNull())
+    marked = found.groupBy(own.alias("_key")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(own.eqNullSafe(F.col("component"))).alias("_kept")
     )
-    again = settle(again, "again")
-    single = rows.join(again, rows[key] == again["_key"], "left_anti")
-    repeated = rows.join(again, rows[key] == again["_key"], "left_semi")
-    firsts = repeated.groupBy(key).agg(
-        *[F.min_by(F.struct(*docs.columns), F.struct(text, *[c for c in docs.columns if c != text])).alias("_row")]
+    other = settle(marked.where("_n > 1 OR NOT _kept"), "copies")
+    single = docs.join(other.select("_key"), own == F.col("_key"), "left_anti")
+    again = other.where("_n > 1 AND _kept").select("_key")
+    firsts = docs.join(again, own == F.col("_key"), "left_semi").groupBy(own.alias("_key")).agg(
+        F.min_by(F.struct("*"), F.struct(text, *docs.columns)).alias("_row")
     )
-    return single.union(firsts.select("_row.*").select(*docs.columns))
+    return single.unionByName(firsts.select("_row.*"))
