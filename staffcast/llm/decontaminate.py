@@ -32,7 +32,7 @@ AUTOMATON_WORDS = 200_000
 #: A document of which more than this part is hit goes as a whole.
 COVERAGE = 0.5
 #: Words looked up at once.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 18
 #: Word bytes to themselves or to lower case, all others to a space.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
