@@ -5,14 +5,17 @@ projections. A window around the query's own projection in each array names the
 that collide with the query there. The windows grow by virtual rehashing: each round they
 are ``GROWTH`` times as wide, and only what is new is counted. A vector that has collided
 in at least ``THRESHOLD`` of the arrays is verified with its exact product. The search
-ends when enough vectors were verified, or the windows hold everything.
+ends when enough vectors were verified and the windows are ``SURE`` times as wide as the
+distance of the last one wanted, or when they hold everything: a vector that is nearer than
+that one is then missed with a chance below one in a hundred.
 
 The largest inner product is the smallest distance once every vector gets one more
 component that brings all to one length, and queries get a zero there.
 
-Vectors are dealt to parts by a hash of their id, queries to blocks; one task has the
-arrays of one part and searches them for the queries of one block. The best of all parts
-are merged.
+Equal vectors are searched as one, with the smallest of their ids. Distinct vectors are
+dealt to parts by a hash of their smallest id, queries to blocks; one task has the arrays
+of one part and searches them for the queries of one block. The best of all parts are
+merged.
 """
 
 from __future__ import annotations
@@ -34,6 +37,9 @@ THRESHOLD = 0.6
 #: Half width of the first windows; projections have a standard deviation of one.
 FIRST_WIDTH = 0.6
 GROWTH = 1.2
+#: A vector at distance 1 collides with a chance of 0.75 in windows of this half width, and
+#: in fewer than ``THRESHOLD`` of the projections with a chance of 0.3 %.
+SURE = 1.15
 #: Verified vectors per part at which a search ends: some of the part and some of the wanted.
 VERIFIED_SHARE, VERIFIED_TIMES = 0.25, 8
 PART_ROWS = 1 << 14
@@ -43,17 +49,18 @@ SEED = 5
 
 @dataclass
 class Part:
-    """The vectors of one part with their sorted projections."""
+    """The distinct vectors of one part with their sorted projections and smallest ids."""
 
-    ids: np.ndarray
+    ids: list[np.ndarray]
     vectors: np.ndarray
+    longest: float
     directions: np.ndarray
     order: np.ndarray
     values: np.ndarray
     lift: np.ndarray
 
     @classmethod
-    def build(cls, ids: np.ndarray, vectors: np.ndarray, longest: float) -> Part:
+    def build(cls, ids: list[np.ndarray], vectors: np.ndarray, longest: float) -> Part:
         scaled = vectors / (longest or 1.0)
         rest = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", scaled, scaled)))
         random = np.random.default_rng(SEED)
@@ -63,17 +70,18 @@ class Part:
         # All arrays in one, each lifted above the one before it, for a search in a single call.
         lift = 2 * (np.abs(directions).sum(axis=1).max() + 1) * np.arange(PROJECTIONS)
         lifted = np.take_along_axis(values, order, axis=1) + lift[:, None]
-        return cls(ids, vectors, directions, order.ravel(), lifted.ravel(), lift)
+        return cls(ids, vectors, longest or 1.0, directions, order.ravel(), lifted.ravel(), lift)
 
     def nearest(self, query_id: int, query: np.ndarray, count: int) -> list[tuple[int, float]]:
         """(id, product) of the best found, best first, without the query's own id."""
         n = len(self.ids)
         enough = VERIFIED_TIMES * count + int(VERIFIED_SHARE * n)
         needed = int(np.ceil(THRESHOLD * PROJECTIONS))
-        unit = query / (np.linalg.norm(query) or 1.0)
-        own = self.directions[:, :-1] @ unit + self.lift
+        length = np.linalg.norm(query) or 1.0
+        own = self.directions[:, :-1] @ (query / length) + self.lift
         first, last = np.arange(PROJECTIONS) * n, np.arange(1, PROJECTIONS + 1) * n
-        collisions = np.zeros(n, np.uint8)
+        collisions = np.zeros(n, np.int64)
+        scores, verified = np.empty(n), np.zeros(n, bool)
         low = high = None
         width = FIRST_WIDTH
         while True:
@@ -83,28 +91,34 @@ class Part:
                 fresh = zip(new_low.tolist(), new_high.tolist(), strict=True)
             else:
                 fresh = zip([*new_low.tolist(), *high.tolist()], [*low.tolist(), *new_high.tolist()], strict=True)
-            for a, b in fresh:
-                collisions[self.order[a:b]] += 1
+            collisions += np.bincount(np.concatenate([self.order[a:b] for a, b in fresh]), minlength=n)
             low, high = new_low, new_high
-            found = np.flatnonzero(collisions >= needed)
+            crossed = collisions >= needed
+            found = np.flatnonzero(crossed)
             if len(found) >= enough or len(found) == n:
-                break
+                new = np.flatnonzero(crossed & ~verified)
+                # Row by row in one order, so that a product is the same in every part.
+                scores[new] = (self.vectors[new] * query).sum(axis=1)
+                verified = crossed
+                if len(found) == n:
+                    break
+                # One more than wanted, since one may be the query itself.
+                worst = np.partition(scores[found], len(found) - count - 1)[len(found) - count - 1]
+                if width >= SURE * np.sqrt(max(0.0, 2 - 2 * worst / (length * self.longest))):
+                    break
             width *= GROWTH
-        found = found[self.ids[found] != query_id]
-        # Row by row in one order, so that equal vectors have equal products.
-        scores = (self.vectors[found] * query).sum(axis=1)
-        if len(found) > count:
-            edge = np.partition(scores, len(found) - count)[len(found) - count]
-            found, scores = found[scores >= edge], scores[scores >= edge]
-        best = np.lexsort((self.ids[found], -scores))[:count]
-        return [(int(self.ids[found[i]]), float(scores[i])) for i in best]
+        if len(found) > count + 1:
+            edge = np.partition(scores[found], len(found) - count - 1)[len(found) - count - 1]
+            found = found[scores[found] >= edge]
+        ids = np.concatenate([np.empty(0, np.int64), *[self.ids[i] for i in found]])
+        products = np.repeat(scores[found], [len(self.ids[i]) for i in found])
+        ids, products = ids[ids != query_id], products[ids != query_id]
+        best = np.lexsort((ids, -products))[:count]
+        return [(int(ids[i]), float(products[i])) for i in best]
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v) of the vectors that take part: doubles, with an id, finite, not zero.
-
-    Of rows with one id the smallest vector counts.
-    """
+    """(id, v) of the vectors that take part: doubles, with an id, finite, not zero."""
     v = F.col("v")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
@@ -121,32 +135,37 @@ def nearest(
     ids the smallest vector does; ties go to the smaller id. A query with fewer vectors to
     find gets them all; one without any gets no row.
     """
-    rows = settle(usable(vectors, key, vector), "vectors")
+    dim = F.size("v").alias("dim")
+    rows = settle(usable(vectors, key, vector).groupBy(dim, "id").agg(F.min("v").alias("v")), "vectors")
+    # Of equal vectors no more ids are wanted than the best and the query's own.
+    smallest = F.row_number().over(Window.partitionBy("dim", "v").orderBy("id"))
+    kept = rows.withColumn("nth", smallest).where(F.col("nth") <= count + 1)
+    ids = F.array_sort(F.collect_list("id")).alias("ids")
+    distinct = settle(kept.groupBy("dim", "v").agg(ids), "distinct")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    asked_here = F.count(F.when(is_query, 1))
-    sized = rows.groupBy(F.size("v").alias("dim")).agg(
+    queries = rows.where(is_query)
+    sized = distinct.groupBy("dim").agg(
         F.max(norm).alias("longest"),
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / PART_ROWS)).cast("int").alias("parts"),
-        F.greatest(F.lit(1), F.ceil(asked_here / QUERY_BLOCK)).cast("int").alias("blocks"),
     )
-    sized = settle(sized, "sizes")
-    dealt = rows.withColumn("dim", F.size("v")).join(sized, "dim")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    asked_here = queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
+    sized = settle(sized.join(asked_here, "dim"), "sizes")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    queries = dealt.where(is_query).groupBy("dim", "parts", "blocks", "id").agg(F.min("v").alias("v"))
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
-    asked = queries.select("dim", every("parts").alias("part"), block.alias("block"), "id", "v")
+    asked = queries.join(sized, "dim").select("dim", every("parts").alias("part"), block.alias("block"), "id", "v")
     asked = settle(asked, "asked")
-    members = dealt.select("dim", "part", every("blocks").alias("block"), "id", "v", "longest")
+    part_of = F.pmod(F.xxhash64(F.col("ids")[0]), F.col("parts")).cast("int")
+    members = distinct.join(sized, "dim").select(
+        "dim", part_of.alias("part"), every("blocks").alias("block"), "ids", "v", "longest"
+    )
     one_task = ["dim", "part", "block"]
 
     def search(key_, group, asked_):
         out: list[tuple[int, int, float]] = []
         if group.num_rows and asked_.num_rows:
-            ids, matrix = _matrix(group)
-            part = Part.build(ids, matrix, group.column("longest")[0].as_py())
-            query_ids, query_matrix = _matrix(asked_)
-            for query_id, query in zip(query_ids.tolist(), query_matrix, strict=True):
+            ids = [np.array(x, np.int64) for x in group.column("ids").to_pylist()]
+            part = Part.build(ids, _matrix(group), group.column("longest")[0].as_py())
+            for query_id, query in zip(asked_.column("id").to_pylist(), _matrix(asked_), strict=True):
                 out += [(query_id, i, s) for i, s in part.nearest(query_id, query, count)]
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         kinds = [pa.int64(), pa.int64(), pa.float64()]
@@ -161,12 +180,6 @@ def nearest(
     return ranked.select("query_id", "rank", "id", "score")
 
 
-def _matrix(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in order and their vectors, the smallest vector of each id."""
-    ids = group.column("id").to_numpy()
+def _matrix(group: pa.Table) -> np.ndarray:
     flat = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    matrix = flat.reshape(len(ids), -1)
-    order = np.lexsort((*matrix.T[::-1], ids))
-    ids, matrix = ids[order], matrix[order]
-    first = np.r_[True, ids[1:] != ids[:-1]]
-    return ids[first], np.ascontiguousarray(matrix[first])
+    return flat.reshape(group.num_rows, -1)

@@ -70,3 +70,34 @@ def test_many_equal_vectors(spark):
     rows = [(i, [0.5, 0.5, 0.1], "x", 1, "y") for i in range(3000)] + [(5000, [0.1, 0.2, 0.9], "x", 1, "y")]
     got = found(search.nearest(frame(spark, rows), F.col("id") % 1000 == 0, count=4))
     assert got[0] == [1, 2, 3, 4] and got[1000] == [0, 1, 2, 3] and got[5000] == [0, 1, 2, 3]
+
+
+def test_a_third_of_equal_rows_hides_no_neighbour(spark):
+    """Equal or nearly equal vectors that cross early do not end the search."""
+    draw = np.random.default_rng(4)
+
+    def beside(v, product, n):
+        other = draw.normal(size=(n, 32))
+        other -= np.outer(other @ v, v)
+        return product * v + np.sqrt(1 - product**2) * other / np.linalg.norm(other, axis=1)[:, None]
+
+    group = np.eye(32)[0]
+    queries = beside(group, 0.5, 20)
+    near = np.concatenate([beside(q, 0.55, 20) for q in queries])
+    rest = draw.normal(size=(2400, 32))
+    rest *= draw.uniform(0.3, 1, size=(2400, 1)) / np.linalg.norm(rest, axis=1)[:, None]
+    for noise in (0.0, 1e-3):
+        copies = group + noise * draw.normal(size=(1600, 32))
+        rows = [(i, v.tolist(), "x", 1, "y") for i, v in enumerate([*queries, *copies, *near, *rest])]
+        got = found(search.nearest(frame(spark, rows), F.col("id") < 20))
+        single = [(i, np.array(v, np.float32).astype(float)) for i, v, *_ in rows]
+        expected = brute(single, set(range(20)), 20)
+        assert np.mean([len(set(got[q]) & set(expected[q])) / 20 for q in expected]) > 0.99
+
+
+def test_ids_of_equal_vectors(spark):
+    rows = [(i, [1.0, float(i % 3)], "x", 1, "y") for i in range(200)]
+    got = found(search.nearest(frame(spark, rows), F.col("id").isin(5, 198), count=70))
+    twos, ones = (list(range(k, 200, 3)) for k in (2, 1))
+    assert got[5] == [*[i for i in twos if i != 5], *ones][:70]
+    assert got[198] == list(range(70))
