@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staffcast.llm.common import utf8
@@ -221,13 +221,16 @@ def has_letter(text: bytes) -> bool:
 def training_windows(docs: DataFrame, text: str, lang: str, key: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, windows and labels from at most ``SAMPLE_TEXTS`` texts of each language.
 
-    The texts are those with the smallest hashes, about; windows lie evenly over a text.
+    The texts are those with the smallest hashes of key and text, about; rows equal in both
+    count once. Windows lie evenly over a text.
     """
     rows = docs.select(
         F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"),
-        F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(1 << 30)).alias("drawn"),
+        F.col(f"`{key}`").cast("string").alias("key"),
     ).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.withColumn("mark", F.xxhash64("key", "text"))
+    marks = rows.select("lang", "mark").distinct()
+    counts = {r["lang"]: r["n"] for r in marks.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return [], np.empty((0, LENGTH), np.uint8), np.empty(0, np.int64)
@@ -251,7 +254,13 @@ def training_windows(docs: DataFrame, text: str, lang: str, key: str) -> tuple[l
                 ["lang", "drawn", "window"],
             )
 
-    taken = rows.where(F.col("drawn") < limits).select("lang", "drawn", "text")
+    # Places in the order of the marks hold the bound before any text goes to the driver.
+    drawn = F.pmod("mark", F.lit(1 << 30))
+    first = Window.partitionBy("lang").orderBy("drawn", "mark")
+    taken = marks.withColumn("drawn", drawn).where(F.col("drawn") < limits)
+    taken = taken.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SAMPLE_TEXTS)
+    taken = rows.join(F.broadcast(taken.drop("nth")), ["lang", "mark"])
+    taken = taken.groupBy("lang", "mark", "drawn").agg(F.min("text").alias("text")).select("lang", "drawn", "text")
     found = sorted(tuple(r) for r in taken.mapInArrow(run, "lang string, drawn bigint, window binary").collect())
     kept, seen = [], dict.fromkeys(languages, 0)
     for name, _, window in found:

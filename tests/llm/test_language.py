@@ -100,3 +100,23 @@ def test_a_long_text_in_groups_is_whole(monkeypatch):
     whole = next(language.predicted([text], network))
     monkeypatch.setattr(language, "CHUNK", 7)
     assert next(language.predicted([text], network)) == pytest.approx(whole, abs=1e-6)
+
+
+def test_the_sample_is_bounded_and_drawn_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_TEXTS", 50)
+    draw = np.random.default_rng(5)
+    texts = ["".join(chr(97 + c) for c in draw.integers(0, 26, 100)) for _ in range(2000)]
+    rows = [(None if i % 3 else i, t, "en") for i, t in enumerate(texts)] + [(None, "zz top " * 20, "en")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    collected = []
+    frame = type(docs)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: collected.append(collect(self)) or collected[-1])
+    languages, windows, labels = language.training_windows(docs, "text", "lang", "doc_id")
+    assert languages == ["en"] and len(windows) == len(labels) and 25 <= len(windows) <= 50 * language.WINDOWS_EACH
+    assert max(map(len, collected)) <= 50 * language.WINDOWS_EACH
+    # Windows come from all over the alphabet, not from the smallest, and the repeated text has one share at most.
+    starts = [w[0] for w in windows]
+    assert len(set(starts)) > 10
+    repeated = {w.tobytes() for w in language.windows_of([b"zz top " * 20])[0]}
+    assert sum(w.tobytes() in repeated for w in windows) <= language.WINDOWS_EACH
