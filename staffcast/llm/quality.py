@@ -89,9 +89,12 @@ def fit(buckets: list[np.ndarray], grades: np.ndarray, grade_count: int) -> Ordi
     """Maximum likelihood of the grades with a small decay, over all rows in every round.
 
     The thresholds start at the shares of the grades and stay in order, since their gaps
-    are fitted as logarithms.
+    are fitted as logarithms. Without rows nothing speaks against a document: all weights
+    are zero and every document has the best grade.
     """
     n, cuts = len(grades), np.arange(1, grade_count)
+    if not n:
+        return OrdinalModel(np.zeros(BUCKETS, np.float32), np.full(len(cuts), -np.inf))
     sizes = np.array([len(b) for b in buckets], np.int64)
     rows = np.repeat(np.arange(n), sizes)
     flat = np.concatenate([np.empty(0, np.int64), *buckets]).astype(np.int64)
@@ -104,7 +107,7 @@ def fit(buckets: list[np.ndarray], grades: np.ndarray, grade_count: int) -> Ordi
     first, gaps = start[0], np.log(np.maximum(np.diff(start), 1e-2))
     weights, speed, seen = np.zeros(BUCKETS), np.zeros(BUCKETS), np.full(len(cuts), 1e-8)
     at = np.arange(n)
-    for _ in range(ROUNDS if n else 0):
+    for _ in range(ROUNDS):
         thresholds = first + np.r_[0, np.cumsum(np.exp(gaps))]
         scores = np.bincount(rows, weights[flat] * value, n)
         # Chance to be at or below each threshold, with the ends 0 and 1.
@@ -162,7 +165,8 @@ def fit_ratings(
     """Model of the grades 0 to ``grade_count - 1``.
 
     Null keys, grades and texts are not learned from; of several ratings of one key the
-    lowest counts. Without ratings all weights are zero.
+    lowest counts. Without any usable rating all weights are zero, every document has the
+    best grade for certain, and so all of them are selected.
     """
     sample = rated_sample(docs.where(F.col(f"`{text}`").isNotNull()), ratings, key, text, grade, rows)
     sample = [(g, f) for g, f in sample if 0 <= g < grade_count]

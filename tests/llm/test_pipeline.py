@@ -87,3 +87,10 @@ def test_stages_are_the_named_ones():
         "quality classifier", "near copies", "decontamination", "mixing", "sharding"
     ]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_quality_stage_keeps_all_without_known_ratings(spark):
+    """None of the awkward documents is rated here, so none may go."""
+    docs = awkward(spark).where("doc_id IS NULL OR doc_id < 0")
+    got = corpus_pipeline.select_quality(spark, docs, SMALL)
+    assert docs.count() and Counter(map(tuple, got.collect())) == Counter(map(tuple, docs.collect()))

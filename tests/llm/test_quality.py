@@ -102,3 +102,12 @@ def test_awkward_rows(spark):
         "doc_id int, quality int, toxic int",
     )
     assert [r.grade for r in quality.ratings_of(marks).orderBy("doc_id").collect()] == [2, 1, 0, 0, None, None, 0]
+
+
+def test_nothing_learned_drops_nothing(spark):
+    docs = awkward(spark)
+    for ratings in ([], [(1, None), (None, 2)], [(99, 0), (98, 2)]):
+        model = quality.fit_ratings(docs, spark.createDataFrame(ratings, "doc_id bigint, grade int"))
+        kept = quality.accepted(docs, model)
+        assert sorted(map(repr, kept.collect())) == sorted(map(repr, docs.collect()))
+        assert {(r.expected_grade, r.tail) for r in quality.graded(docs, model, ["doc_id"]).collect()} == {(2.0, 1.0)}
