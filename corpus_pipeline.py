@@ -32,10 +32,14 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target weights of their sources, in shuffled order."""
+    """Documents repeated to the target weights of their sources, in shuffled order.
+
+    Documents without an id or with one id draw each for itself.
+    """
     # Columns named like those of the operator are kept under another name meanwhile.
     kept = {c: f"_kept_{c}" if c in mixing.ADDED else c for c in docs.columns}
-    mixed = mixing.mixed(docs.withColumnsRenamed(kept))
+    drawn = mixing.told_apart(docs.withColumnsRenamed(kept), "_drawn_by")
+    mixed = mixing.mixed(drawn, key="_drawn_by")
     return mixed.select(*[F.col(f"`{own}`").alias(c) for c, own in kept.items()])
 
 

@@ -12,7 +12,7 @@ functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staffcast.llm.common import settle
@@ -70,13 +70,43 @@ def source_rates(docs: DataFrame, source: str, text: str, weights: DataFrame | N
     return pieces.withColumn("_cdf", filled["cdf"])
 
 
+def told_apart(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows with a column ``name`` to draw by, another for every row.
+
+    It is the key where only one row has it. Rows without a key or with a shared one add a
+    digest of source and text and their number among the rows equal in all three. Numbers
+    are counted within the partitions of the settled rows and go on from one to the next,
+    so no task gets all of many equal rows.
+    """
+    own, part = F.col(f"`{key}`").cast("string"), F.shiftright("_place", 33)
+    digest = F.md5(F.to_json(F.struct(own, F.col(f"`{source}`"), F.col(f"`{text}`"))))
+    placed = docs.withColumns({"_place": F.monotonically_increasing_id(), "_own": own, "_digest": digest})
+    placed = settle(placed, "places")
+    shared = placed.where("_own IS NOT NULL").groupBy("_own").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    rows = placed.select("_place", "_own", "_digest")
+    rows = rows.where("_own IS NULL").union(rows.join(shared, "_own", "left_semi").select(*rows.columns))
+    rows = rows.withColumn("_part", part)
+    counts = rows.groupBy("_digest", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_digest").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_digest", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_digest", "_part").orderBy("_place")) - 1
+    numbered = rows.withColumn("_nth", nth).join(counts, ["_digest", "_part"]).select(
+        F.col("_place").alias("_at"), (F.col("_before") + F.col("_nth")).alias("_number")
+    )
+    apart = F.concat_ws("/", F.coalesce("_own", F.lit("null")), "_digest", F.col("_number").cast("string"))
+    drawn = F.when(F.col("_number").isNull(), F.col("_own")).otherwise(apart)
+    joined = placed.join(numbered, F.col("_place") == F.col("_at"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], drawn.alias(name))
+
+
 def replicated(
     docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
     weights: DataFrame | None = None, seed: int = SEED,
 ) -> DataFrame:
     """Every document as often as drawn, with ``copies``, ``copy`` (from 0), ``rate`` and ``shuffle_key``.
 
-    Rows with one key and text draw alike. Null sources form one source, null texts have no
+    Rows with one key draw alike, also all rows without a key, whatever their texts;
+    ``told_apart`` makes a key that every row has for itself. Null sources form one source, null texts have no
     bytes. An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ADDED]

@@ -94,3 +94,15 @@ def test_quality_stage_keeps_all_without_known_ratings(spark):
     docs = awkward(spark).where("doc_id IS NULL OR doc_id < 0")
     got = corpus_pipeline.select_quality(spark, docs, SMALL)
     assert docs.count() and Counter(map(tuple, got.collect())) == Counter(map(tuple, docs.collect()))
+
+
+def test_mixing_draws_for_each_row(spark):
+    """A third without id, a third of one id and text: neither is kept or dropped as a whole."""
+    rows = [(None if i % 3 == 0 else -1 if i % 3 == 1 else i, "same" if i % 3 == 1 else f"text {i % 999}", f"s{i % 2}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    got = corpus_pipeline.mix_sources(spark, docs, SMALL).collect()
+    for own in (None, -1):
+        assert 1800 < sum(r.doc_id == own for r in got) < 2200
+    drawn = mixing.told_apart(docs, "d").collect()
+    assert len({r.d for r in drawn}) == len(rows)
+    assert all(r.d == str(r.doc_id) for r in drawn if r.doc_id not in (None, -1))
