@@ -149,10 +149,58 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 FROM sharded
 """
 
+FILTER_AUDIT = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), marks AS (
+    SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), judged AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        len(words) < 200 AS a,
+        100 * len(list_distinct(words)) < 50 * len(words) AS b,
+        100 * length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 3 * length(body) AS c,
+        regexp_matches(body, '[#$%&*|]') AS d,
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false) AS e
+    FROM texts LEFT JOIN marks USING (doc_id)
+), grouped AS (
+    SELECT part, concat(if(a, 'A', ''), if(b, 'B', ''), if(c, 'C', ''), if(d, 'D', ''), if(e, 'E', '')) AS fails,
+        count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM judged GROUP BY ALL
+), letters AS (
+    SELECT unnest(string_split('ABCDE', '')) AS x
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), counted AS (
+    SELECT part, filter_order, step::INTEGER AS step, filter_order[step] AS filter,
+        sum(n) FILTER (NOT has AND NOT gone) AS kept,
+        sum(n) FILTER (has AND NOT gone) AS removed,
+        sum(n) FILTER (has AND gone) AS redundant,
+        sum(n) FILTER (fails = filter_order[step]) AS unique_fails,
+        sum(good) FILTER (has AND NOT gone) AS good_lost,
+        sum(toxic) FILTER (has AND NOT gone) AS toxic_lost
+    FROM (
+        SELECT *, contains(fails, filter_order[step]) AS has,
+            translate(fails, filter_order[:step - 1], '') <> fails AS gone
+        FROM grouped, orders, range(1, 6) AS steps(step)
+    ) GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+    coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+    coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+    coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley
+FROM counted
+"""
+
 ORACLE = {
     "op1_captures": CAPTURES,
     "op2_decontamination": DECONTAMINATION,
     "op4_chat": CHAT,
     "op8_mixing": MIXING,
     "op10_sharding": SHARDING,
+    "op12_filter_audit": FILTER_AUDIT,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffcast.llm import (
+    audit,
     chat,
     decontaminate,
     language,
@@ -135,10 +136,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove at every step of their 120 orders, by language."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_captures, op2_decontamination, op3_language, op4_chat, op5_language_model,
         op6_quality, op7_near_copies, op8_mixing, op9_nearest, op10_sharding,
+        op12_filter_audit,
     )
 }
