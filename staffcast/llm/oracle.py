@@ -149,6 +149,60 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 FROM sharded
 """
 
+#: Equal words with one place left out differ in that place only.
+VARIANTS = f"""
+WITH RECURSIVE crc_table AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, step:
+        CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)) AS t
+), runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[a-z\u00C0-\u00FF]+')) AS run
+    FROM documents
+), counted AS (
+    SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), hexed AS (
+    SELECT *, hex(encode(id || ':' || run)) AS h FROM counted
+), hashed AS (
+    SELECT run, n, xor(list_reduce(
+        list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295) AS crc
+    FROM hexed, crc_table
+), spelt AS (
+    SELECT CASE WHEN crc % 31 = 0
+        THEN substr(run, 1, (crc % length(run))::BIGINT) || substr(run, (crc % length(run) + 2)::BIGINT)
+        ELSE run END AS word, n
+    FROM hashed
+), vocabulary AS (
+    SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 7
+    GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+    SELECT word, n, length(word) AS size, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+    FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)
+), pairs AS (
+    SELECT a.word, b.word AS near, b.n AS near_n
+    FROM cut a JOIN cut b USING (rest, i, size) WHERE a.word <> b.word
+    UNION
+    SELECT a.word, b.word, b.n FROM cut a JOIN vocabulary b ON a.rest = b.word
+    UNION
+    SELECT b.word, a.word, a.n FROM cut a JOIN vocabulary b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(near_n) AS near_n,
+        first(near ORDER BY near_n DESC, encode(near)) AS near
+    FROM pairs GROUP BY word
+), judged AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN near_n >= 10 * n THEN near END AS form,
+        CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+    FROM vocabulary LEFT JOIN best USING (word)
+), followed AS (
+    SELECT word, word AS root FROM judged
+    UNION ALL
+    SELECT f.word, j.form FROM followed f JOIN judged j ON f.root = j.word WHERE j.form IS NOT NULL
+)
+SELECT j.word, j.form, f.root, j.n, j.n_near, j.form_n
+FROM judged j JOIN followed f USING (word) JOIN judged k ON f.root = k.word WHERE k.form IS NULL
+"""
+
 FILTER_AUDIT = r"""
 WITH texts AS (
     SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body,
@@ -202,5 +256,6 @@ ORACLE = {
     "op4_chat": CHAT,
     "op8_mixing": MIXING,
     "op10_sharding": SHARDING,
+    "op11_variants": VARIANTS,
     "op12_filter_audit": FILTER_AUDIT,
 }

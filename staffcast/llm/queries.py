@@ -18,6 +18,7 @@ from staffcast.llm import (
     quality,
     search,
     sharding,
+    variants,
     warc,
 )
 from staffcast.llm.common import held_out, table
@@ -136,6 +137,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with the frequent word that each is a variant of.
+
+    One in 31 runs of a document, chosen by a hash of id and run, loses a letter first.
+    """
+    runs = variants.letter_runs(table(spark, sf_dir, "documents"), variants.MIN_LENGTH)
+    own = F.concat(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(":"), "run")
+    drawn = runs.withColumn("h", F.crc32(own)).withColumn("at", F.expr("int(h % length(run))"))
+    cut = F.expr("concat(left(run, at), substr(run, at + 2))")
+    words = drawn.select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return variants.variants(variants.word_counts(words))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove at every step of their 120 orders, by language."""
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -146,6 +160,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_captures, op2_decontamination, op3_language, op4_chat, op5_language_model,
         op6_quality, op7_near_copies, op8_mixing, op9_nearest, op10_sharding,
-        op12_filter_audit,
+        op11_variants, op12_filter_audit,
     )
 }
