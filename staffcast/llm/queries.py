@@ -13,6 +13,7 @@ from staffcast.llm import (
     decontaminate,
     language,
     language_model,
+    main_text,
     mixing,
     near_copies,
     quality,
@@ -155,11 +156,16 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_captures, op2_decontamination, op3_language, op4_chat, op5_language_model,
         op6_quality, op7_near_copies, op8_mixing, op9_nearest, op10_sharding,
-        op11_variants, op12_filter_audit,
+        op11_variants, op12_filter_audit, op13_main_text,
     )
 }
