@@ -15,8 +15,10 @@ broadcast, has a bounded size however many items there are; documents pass every
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -33,6 +35,8 @@ AUTOMATON_WORDS = 200_000
 COVERAGE = 0.5
 #: Words looked up at once.
 CHUNK_WORDS = 1 << 18
+#: Documents whose results go on at once.
+OUT_ROWS = 500
 #: Word bytes to themselves or to lower case, all others to a space.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -62,6 +66,7 @@ class Automaton:
         self._find_pairs(sequences)
         self.shortest = min([window, *map(len, sequences)]) if sequences else 0
         self._name_windows(list(sequences.items()), ends)
+        self._number_sets()
 
     def _insert(self, ids: tuple[int, ...]) -> list[int]:
         """Add a sequence from the root; the states of its prefixes."""
@@ -110,7 +115,7 @@ class Automaton:
 
     def _name_windows(self, sequences, ends) -> None:
         """Items by window state, and for each state the window states that end with it."""
-        self.items: dict[tuple[int, int], set] = {}
+        self.items: dict = {}
         for (ids, names), states in zip(sequences, ends, strict=True):
             width = min(self.window, len(ids))
             for state in states[width - 1:]:
@@ -130,6 +135,15 @@ class Automaton:
             state = self._link[state]
         return state
 
+    def _number_sets(self) -> None:
+        """Every distinct set of items once, and its number by window state."""
+        numbers: dict[frozenset, int] = {}
+        self.items = {
+            window: numbers.setdefault(frozenset(names), len(numbers))
+            for window, names in self.items.items()
+        }
+        self.sets = [tuple(sorted(names)) for names in numbers]
+
     def stream(self, ids: Sequence[int]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """(place, windows that end there) for the word numbers of a stretch."""
         state, length = 0, 0
@@ -172,14 +186,20 @@ class Automaton:
                 yield start + place, ending
 
 
-def scan(texts: Iterable[bytes], automata: Sequence[Automaton]) -> Iterator[tuple[int, np.ndarray, set]]:
-    """(words, hit marks or nothing, items) of each text."""
+def scan(
+    texts: Iterable[bytes], automata: Sequence[Automaton]
+) -> Iterator[tuple[int, np.ndarray, frozenset[tuple[int, int]]]]:
+    """(words, hit marks or nothing, item sets) of each text.
+
+    An item set is named by the number of its automaton and its number there, so that a text
+    costs no more where very many items share a passage.
+    """
     for group in _groups(texts):
         counts = [sum(len(p) for p in pieces) for pieces in group]
         bounds = np.cumsum([0, *[n + 1 for n in counts]])
         hit = np.zeros(bounds[-1] + 1, np.int32)
-        names: dict[int, set] = {}
-        for automaton in automata:
+        found: dict[int, set] = {}
+        for number, automaton in enumerate(automata):
             none = [b""]
             words = chain.from_iterable(chain(*pieces, none) for pieces in group)
             ids = np.fromiter(map(automaton.vocabulary.get, words, repeat(-1)), np.int32, bounds[-1])
@@ -187,11 +207,31 @@ def scan(texts: Iterable[bytes], automata: Sequence[Automaton]) -> Iterator[tupl
                 hit[place - max(w for _, w in ending) + 1] += 1
                 hit[place + 1] -= 1
                 doc = int(np.searchsorted(bounds, place, "right")) - 1
-                for window in ending:
-                    names.setdefault(doc, set()).update(automaton.items[window])
+                found.setdefault(doc, set()).update((number, automaton.items[w]) for w in ending)
         marks = np.cumsum(hit) > 0
         for doc, n in enumerate(counts):
-            yield n, marks[bounds[doc]:bounds[doc] + n] if doc in names else marks[:0], names.get(doc, set())
+            own = marks[bounds[doc]:bounds[doc] + n] if doc in found else marks[:0]
+            yield n, own, frozenset(found.get(doc, ()))
+
+
+def items_of(sets: Iterable[tuple[int, int]], automata: Sequence[Automaton]) -> list[str]:
+    """The items of item sets, in order."""
+    return sorted(set().union(*[automata[a].sets[n] for a, n in sets]))
+
+
+class Digests:
+    """Number and digest of the items of a combination of item sets, worked out once.
+
+    Only numbers are remembered, of the last combinations alone, so the memory does not grow with
+    documents times items.
+    """
+
+    def __init__(self, automata: Sequence[Automaton], most: int = 4096):
+        def digest(sets: frozenset) -> tuple[int, str]:
+            items = items_of(sets, automata)
+            return len(items), hashlib.sha256(",".join(items).encode()).hexdigest()
+
+        self.of = lru_cache(most)(digest)
 
 
 def _groups(texts: Iterable[bytes]) -> Iterator[list[list[list[bytes]]]]:
@@ -242,38 +282,39 @@ def _automata(sent: Sequence) -> list[Automaton]:
     return made
 
 
-FOUND = "n_words bigint, n_hit bigint, items array<string>"
-
-
 def contamination(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
-    item_key: str = "item_id", window: int = WINDOW,
+    item_key: str = "item_id", window: int = WINDOW, listed: bool = True,
 ) -> DataFrame:
     """One row per document: (key, n_words, n_hit, items), items in order as strings.
 
     Null texts have no words; null item texts are no items, a null item id reads ''.
     Repeated documents give repeated rows; items with one id count once. Without items,
-    or for an empty table, nothing is hit.
+    or for an empty table, nothing is hit. Where many items share a passage the lists are as
+    many times longer; without ``listed`` there are (n_items, items_sha256) in their
+    place, the number of the items and the digest of their comma-joined list.
     """
     sent = build_automata(benchmark, item_key, text, window)
+    told = "items array<string>" if listed else "n_items bigint, items_sha256 string"
+    names = [key, "n_words", "n_hit", *[part.split()[0] for part in told.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(sent)
-        for batch in batches:
-            found = list(
-                (n, int(marks.sum()), sorted(items))
-                for n, marks, items in scan(utf8(batch.column(1)), automata)
-            )
-            n, hit, items = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()),
-                 pa.array(items, pa.list_(pa.string()))],
-                [key, "n_words", "n_hit", "items"],
-            )
+        digests = Digests(automata)
+        for whole in batches:
+            for start in range(0, whole.num_rows, OUT_ROWS):
+                batch = whole.slice(start, OUT_ROWS)
+                rows = []
+                for n, marks, sets in scan(utf8(batch.column(1)), automata):
+                    items = [items_of(sets, automata)] if listed else digests.of(sets)
+                    rows.append((n, int(marks.sum()), *items))
+                kinds = [pa.int64(), pa.int64(), *([pa.list_(pa.string())] if listed else [pa.int64(), pa.string()])]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, {FOUND}")
+    return rows.mapInArrow(run, f"`{key}` {kind}, n_words bigint, n_hit bigint, {told}")
 
 
 def cut_spans(text: bytes, automata: Sequence[Automaton], coverage: float) -> bytes | None:

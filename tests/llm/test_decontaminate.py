@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import re
+import tracemalloc
 
 from cases import LONG, awkward, empty
 
 from staffcast.llm import decontaminate
-from staffcast.llm.decontaminate import Automaton, contamination, cut_spans, scan
+from staffcast.llm.decontaminate import Automaton, contamination, cut_spans, items_of, scan
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -44,7 +46,7 @@ def test_random_texts_equal_brute_force():
         texts = [make(draw.randint(0, 40)) for _ in range(8)]
         window = draw.randint(1, 5)
         automata = [Automaton([(k, t.encode()) for k, t in part], window) for part in (items[::2], items[1::2])]
-        got = [(n, int(m.sum()), sorted(s)) for n, m, s in scan([t.encode() for t in texts], automata)]
+        got = [(n, int(m.sum()), items_of(s, automata)) for n, m, s in scan([t.encode() for t in texts], automata)]
         assert got == [plain(t, items, window) for t in texts], trial
 
 
@@ -83,6 +85,26 @@ def test_awkward_rows(spark):
     assert all(r.n_hit == 0 for r in contamination(docs, frame(spark, [])).collect())
 
 
+def test_many_items_of_one_passage(spark):
+    """Documents do not carry the items: the task keeps numbers of item sets."""
+    items = [(i, f"{ITEM} {i} x{i % 7} y") for i in range(400)] + [(1000 + i, f"other{i} " * 12) for i in range(9)]
+    rows = [(i, f"so {ITEM} {i % 500} x{i % 7} y or other{i % 9} " + f"other{i % 9} " * 11) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = [t.encode() for _, t in rows]
+    automata = [Automaton([(str(k), t.encode()) for k, t in items])]
+    assert len(automata[0].sets) < 900
+    tracemalloc.start()
+    found = list(scan(texts, automata))
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+    assert max(len(items_of(sets, automata)) for _, _, sets in found) == 401
+    got = {r.doc_id: r for r in contamination(docs, frame(spark, items), listed=False).collect()}
+    for i in (0, 7, 399, 450, 2999):
+        n, hit, names = plain(rows[i][1], [(str(k), t) for k, t in items])
+        digest = hashlib.sha256(",".join(names).encode()).hexdigest()
+        assert got[i][1:] == (n, hit, len(names), digest)
+
+
 def test_many_automata_find_the_same(spark, monkeypatch):
     items = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(14))) for i in range(40)]
     docs = spark.createDataFrame([(i, t) for i, t in items], "doc_id bigint, text string")
