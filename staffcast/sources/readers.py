@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -45,6 +47,38 @@ def read_utilization(spark: SparkSession, path: str) -> DataFrame:
     return as_utilization(read_table(spark, path, schemas.UTILIZATION))
 
 
+def date_bounds_plan(spark: SparkSession, path: str, column: str = "date") -> DataFrame:
+    """First and last date of a Parquet table without reading any column.
+
+    Where the table is partitioned by the date, the names of its folders tell; else Spark takes the
+    minimum and maximum of every file from its footer. The settings that this needs are those of a
+    session of its own, so other reads stay as they are.
+    """
+    own = spark.newSession()
+    if column in partition_columns(spark, path):
+        own.conf.set("spark.sql.optimizer.metadataOnly", "true")
+    else:
+        own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+        own.conf.set("spark.sql.sources.useV1SourceList", "")
+    return own.read.parquet(path).agg(F.min(column).alias("first"), F.max(column).alias("last"))
+
+
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """Columns that the folders of a Parquet table hold, and not its files."""
+    table = spark.read.parquet(path)
+    any_file = table.select("_metadata.file_path").first()
+    if any_file is None:
+        return []
+    held = set(spark.read.parquet(any_file[0]).columns)
+    return [c for c in table.columns if c not in held]
+
+
+def date_bounds(spark: SparkSession, path: str, column: str = "date") -> tuple[dt.date, dt.date]:
+    """First and last date of a Parquet table, for ``start`` and ``end`` of the reports."""
+    row = date_bounds_plan(spark, path, column).first()
+    return row["first"], row["last"]
+
+
 def read_jdbc(
     spark: SparkSession,
     options: dict[str, str],

@@ -4,11 +4,16 @@ Each micro-batch of JSON requests is answered by one batch job against the same
 rates and project history. Answers and refusals are written per batch number, so a batch
 that is repeated after a failure replaces its own output; what a batch settled is removed
 when it is written. Every request is in the answers or, with its whole text, in the refusals.
+
+A request that comes again, in the same batch or a later one, is not worked out again: the
+query remembers the digests of the texts it has seen, and the first answer stands. Digests are
+forgotten after a given time, so the state does not grow without bound.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from staffcast.operators.spread import scratch, settle
@@ -24,6 +29,7 @@ def score_request_folder(
     refusals: str,
     checkpoint: str,
     files_per_batch: int = 1000,
+    remembered: str = "30 days",
 ) -> StreamingQuery:
     """Start the query over what the folder holds now, and stop when it is answered."""
     units, history = report.prepare_units(fact), report.prepare_history(fact)
@@ -36,8 +42,14 @@ def score_request_folder(
             refused.write.mode("overwrite").parquet(f"{refusals}/batch={number}")
 
     stream = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(requests)
+    first = (
+        stream.withColumns({"seen": F.current_timestamp(), "digest": F.sha2("value", 256)})
+        .withWatermark("seen", remembered)
+        .dropDuplicatesWithinWatermark(["digest"])
+        .select("value")
+    )
     return (
-        stream.writeStream.foreachBatch(answer)
+        first.writeStream.foreachBatch(answer)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
