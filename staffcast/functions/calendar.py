@@ -39,6 +39,12 @@ def anchor(fact: DataFrame, month: dt.date | Column | None = None) -> Column:
     return last_month(fact) if month is None else _known(month)
 
 
+def resolved(fact: DataFrame, month: dt.date | Column | None = None) -> Column:
+    """``anchor`` as a known date: looked up once, for plans that use it often."""
+    row = fact.sparkSession.range(1).select(anchor(fact, month).alias("month")).first()
+    return _known(row["month"])
+
+
 def opening_date(fact: DataFrame, date: dt.date | Column | None = None) -> Column:
     """The first date of the fact: given by the caller, else found in the fact."""
     return first_month(fact) if date is None else _known(date)

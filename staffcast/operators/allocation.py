@@ -1,62 +1,131 @@
-"""Added hours shared out over the units that work on a function."""
+"""Added hours shared out over the units that work on a function, kept as factors.
+
+The share of a unit in the hours of a project is its employees plus added head count over the
+same sum of all units of the function. What depends on the project (hours, that sum, added
+heads) and what depends on the unit (employees, attendance) are two tables. The listing of
+every project by unit is only made where it is read, and sums over it are made without it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staffcast.functions import numeric
 
 _FUNCTION = ["div", "sub_job_family_2", "date"]
 _PROJECT = ["scenario_id", "project_name"]
+_GRAIN = [*_PROJECT, *_FUNCTION]
 
 
-def allocate(
+def factors(
     month_hours: DataFrame,
     rates: DataFrame,
     headcount: DataFrame,
     projects: DataFrame,
     scenarios: DataFrame,
 ) -> DataFrame:
-    """Share of every unit in the added hours of every project, month by month.
+    """One row per project, function and month: its hours, the heads that share them, and who they are.
 
     ``rates`` are settled function or department rates; with departments, head count
-    counts for its department and function, otherwise for its function. The share of a
-    unit is its employees plus added head count over the same sum of all units of the
-    function. That sum is made per project and function, before the rows are multiplied
-    by units, so the listing itself is joined with its head count and nothing else.
-
-    This is the detailed listing; the what-if operators sum it without building it.
+    counts for its department and function, otherwise for its function. ``emp_all`` are all heads,
+    ``units`` the number of units. ``staff`` is the added head count: by department as a map
+    (bounded by the departments that the scenario staffs), else one number.
     """
+    by_department = "deptid" in rates.columns
     unit = [c for c in ("div", "deptid", "sub_job_family_2") if c in rates.columns]
-    staff = headcount.groupBy(*_PROJECT, *unit).agg(
-        F.expr(f"{numeric.lenient_sum('hc')} AS hc")
-    )
-    wanted = projects.join(scenarios.select("scenario_id"), "scenario_id")
+    heads = headcount.groupBy(*_PROJECT, *unit).agg(F.expr(f"{numeric.lenient_sum('hc')} AS hc"))
     employed = rates.groupBy(*_FUNCTION).agg(
-        F.expr(f"{numeric.strict_sum('emp_cnt')} AS employed")
+        F.expr(f"{numeric.strict_sum('emp_cnt')} AS employed"), F.count(F.lit(1)).alias("units")
     )
+    # Heads of units that have a rate in the month.
     staffed = (
-        staff.join(rates.select(*unit, "date"), unit)
-        .groupBy(*_PROJECT, *_FUNCTION)
-        .agg(F.expr("sum(hc) AS staffed"))
+        heads.join(rates.select(*unit, "date"), unit)
+        .groupBy(*_GRAIN)
+        .agg(F.sum("hc").alias("staffed"), _staff(by_department))
     )
-    grain = [*_PROJECT, *_FUNCTION]
-    groups = (
+    wanted = projects.join(scenarios.select("scenario_id"), "scenario_id")
+    return (
         wanted.join(employed, "div")
-        .join(staffed, grain, "left")
-        .join(month_hours, grain, "left")
+        .join(staffed, _GRAIN, "left")
+        .join(month_hours, _GRAIN, "left")
         .selectExpr(
-            *grain, "passes", "add_hour_adj", "employed + coalesce(staffed, 0D) AS emp_all"
+            *_GRAIN, "passes", "add_hour_adj", "employed + coalesce(staffed, 0D) AS emp_all", "units", "staff"
         )
     )
+
+
+def _staff(by_department: bool) -> Column:
+    if by_department:
+        entries = F.collect_list(F.struct("deptid", "hc"))
+        return F.map_from_entries(entries).alias("staff")
+    return F.sum("hc").alias("staff")
+
+
+def _hc(rates: DataFrame) -> Column:
+    found = F.expr("try_element_at(staff, deptid)") if "deptid" in rates.columns else F.col("staff")
+    return F.coalesce(found, F.lit(0.0))
+
+
+def listing(shares: DataFrame, rates: DataFrame) -> DataFrame:
+    """Share of every unit in the added hours of every project, month by month.
+
+    The factors are multiplied by the units of their function as they are read; no exchange
+    sees the multiplied rows where the rates are small.
+    """
     return (
-        groups.join(rates, _FUNCTION)
-        .join(staff, [*_PROJECT, *unit], "left")
-        .withColumn("hc", F.expr("coalesce(hc, 0D)"))
+        shares.join(rates, _FUNCTION)
+        .withColumn("hc", _hc(rates))
         .withColumn("emp", F.expr("emp_cnt + hc"))
         .withColumn("emp_pct", F.expr(numeric.safe_div("emp", "emp_all")))
         .withColumn("add_hour_pct", F.expr("add_hour_adj * emp_pct"))
         .withColumn("add_attendance_emp", F.expr("attendance_emp * hc * passes"))
-        .drop("emp_all")
+        .drop("emp_all", "units", "staff")
+    )
+
+
+def allocate(
+    month_hours: DataFrame,
+    rates: DataFrame,
+    headcount: DataFrame,
+    projects: DataFrame,
+    scenarios: DataFrame,
+) -> DataFrame:
+    """The detailed listing; the what-if operators sum it without building it."""
+    return listing(factors(month_hours, rates, headcount, projects, scenarios), rates)
+
+
+def share_sums(shares: DataFrame, rates: DataFrame) -> DataFrame:
+    """Sum of the shares of each project, function and month, and the number of its units.
+
+    The heads of the units are summed by function and month, the added heads in each row; a sum
+    of shares is their quotient by all heads.
+    """
+    employed = rates.groupBy(*_FUNCTION).agg(F.sum("emp_cnt").alias("heads"))
+    added = "aggregate(map_values(staff), 0D, (x, y) -> x + y)" if "deptid" in rates.columns else "staff"
+    total = numeric.safe_div(f"(heads + coalesce({added}, 0D))", "emp_all")
+    return shares.join(employed, _FUNCTION).selectExpr(*_GRAIN, f"{total} AS share", "units")
+
+
+def department_outlook(shares: DataFrame, rates: DataFrame) -> DataFrame:
+    """Hours of every department and month over all projects and functions, and what projects add.
+
+    Hours per head are summed over the projects of a scenario before departments come in. Added
+    heads only touch the departments that get some. Missing values count as zero.
+    """
+    per_head = numeric.safe_div("add_hour_adj", "emp_all")
+    of_function = shares.groupBy("scenario_id", *_FUNCTION).agg(
+        F.expr(f"sum({per_head}) AS per_head"), F.count(F.lit(1)).alias("projects")
+    )
+    keys = ["scenario_id", "div", "deptid", "date"]
+    by_employees = of_function.join(rates, _FUNCTION).selectExpr(
+        *keys, "emp_cnt * per_head AS add_hour_pct", "total_hour * projects AS total_hour"
+    )
+    by_heads = (
+        shares.select("scenario_id", *_FUNCTION, F.expr(f"{per_head} AS per_head"), F.explode("staff").alias("deptid", "hc"))
+        .selectExpr(*keys, "hc * per_head AS add_hour_pct", "CAST(NULL AS DOUBLE) AS total_hour")
+    )
+    return by_employees.unionByName(by_heads).groupBy(*keys).agg(
+        F.expr(f"{numeric.lenient_sum('add_hour_pct')} AS add_hour_pct"),
+        F.expr(f"{numeric.lenient_sum('total_hour')} AS total_hour"),
     )

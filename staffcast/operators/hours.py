@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,18 +13,25 @@ from staffcast.functions import calendar, numeric
 OPENING_MONTHS = 3
 
 
-def opening_hours(history: DataFrame) -> DataFrame:
+def month_sums(fact: DataFrame) -> DataFrame:
+    """Hours of every project by function and month; a missing function is the blank one."""
+    hours = numeric.strict_sum("total_hour")
+    return (
+        fact.fillna("", ["sub_job_family_2"])
+        .groupBy("project_code", "sub_job_family_2", "date")
+        .agg(F.expr(f"{hours} AS total_hour_pro_func"))
+    )
+
+
+def opening_hours(fact: DataFrame) -> DataFrame:
     """Hours of every project and function in its first three active months.
 
-    ``history`` are the sums of ``rates.project_history``. Gaps between active months are
-    skipped. All divisions count. The months are summed before they are numbered, so a
-    window sees months, never employees.
+    Gaps between active months are skipped. All divisions count. The months are summed
+    before they are numbered, so a window sees months, never employees.
     """
     active = W.partitionBy("project_code", "sub_job_family_2").orderBy("date")
-    hours = "CASE WHEN sum(n_total_hour) = sum(rows) THEN sum(sum_total_hour) END"
     return (
-        history.groupBy("project_code", "sub_job_family_2", "date")
-        .agg(F.expr(f"{hours} AS total_hour_pro_func"))
+        month_sums(fact)
         .withColumn("n", F.row_number().over(active))
         .where(f"n <= {OPENING_MONTHS}")
         .drop("date")
@@ -54,12 +63,80 @@ def opening_sheet(opening: DataFrame) -> DataFrame:
 
     The rows of a project and function are together already, so nothing is shuffled.
     """
-    return opening.groupBy("project_code", "sub_job_family_2").agg(
+    return opening.groupBy("project_code", "sub_job_family_2").agg(*_side_by_side())
+
+
+def _side_by_side() -> list[Column]:
+    return [
         F.max("n").alias("months"),
         *[
             F.expr(f"max(CASE WHEN n = {n} THEN total_hour_pro_func END) AS opening_{n}")
             for n in range(1, OPENING_MONTHS + 1)
         ],
+    ]
+
+
+def opening_rows(sheet: DataFrame) -> DataFrame:
+    """The opening sheet with its months below each other again: the rows of ``opening_hours``."""
+    listed = F.array(*[
+        F.struct(F.col(f"opening_{n}").alias("total_hour_pro_func"), F.lit(n).alias("n"))
+        for n in range(1, OPENING_MONTHS + 1)
+    ])
+    return sheet.select(
+        "project_code", "sub_job_family_2", F.inline(F.slice(listed, 1, F.col("months")))
+    )
+
+
+def project_grains(
+    fact: DataFrame, started: dt.date | Column | None = None, codes: list[str] | None = None
+) -> DataFrame:
+    """Models and opening sheet of all projects, from one scan of the fact at two grains.
+
+    The rows are summed by project and start stage, and by project, function and month, in
+    one aggregation; neither sum has the columns of the other, and neither is written.
+    One row per project that started inside the fact (``is_model``: effort and number of start
+    stages), and one per project and function (the opening months side by side).
+    ``codes`` are the projects wanted, all without: the scan is filtered by them, so files and
+    row groups of other projects are passed over where the fact is sorted by project.
+    """
+    first = calendar.opening_date(fact, started)
+    if codes is not None:
+        fact = fact.where(F.col("project_code").isin(codes))
+    keys = ["project_code", "project_start_stage", "sub_job_family_2", "date"]
+    by_stage, by_month = keys[:2], [keys[0], *keys[2:]]
+    efforts = ("execute_hour", "execute_month")
+    sums = (
+        fact.fillna("", ["sub_job_family_2"])
+        .select(
+            *keys, "total_hour",
+            *[F.when(F.col("pmcs_bu_start_dt") >= first, F.col(c)).alias(c) for c in efforts],
+            (F.col("pmcs_bu_start_dt") >= first).cast("bigint").alias("started"),
+        )
+        .groupingSets([[F.col(k) for k in by_stage], [F.col(k) for k in by_month]], *map(F.col, keys))
+        .agg(
+            F.expr("grouping(date) = 1 AS is_model"),
+            F.expr("count(1) AS rows"),
+            F.expr("sum(started) AS started"),
+            *[F.expr(f"sum({c}) AS sum_{c}") for c in efforts],
+            *[F.expr(f"count({c}) AS n_{c}") for c in efforts],
+            F.expr("sum(total_hour) AS sum_total_hour"),
+            F.expr("count(total_hour) AS n_total_hour"),
+        )
+        .where("NOT is_model OR started > 0")
+        .withColumn("total_hour_pro_func", F.expr("CASE WHEN n_total_hour = rows THEN sum_total_hour END"))
+    )
+    months = W.partitionBy("project_code", "is_model", "sub_job_family_2").orderBy("date")
+    numbered = sums.withColumn("n", F.row_number().over(months)).where(
+        f"is_model OR n <= {OPENING_MONTHS}"
+    )
+    return numbered.groupBy("project_code", "is_model", "sub_job_family_2").agg(
+        *[
+            F.expr(f"""CASE WHEN sum(n_{c}) = sum(started) THEN sum(sum_{c}) / sum(started) END
+                AS {c.replace('execute', 'old')}""")
+            for c in efforts
+        ],
+        F.count(F.lit(1)).alias("stage_rows"),
+        *_side_by_side(),
     )
 
 

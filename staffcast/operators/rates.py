@@ -14,6 +14,12 @@ DEP, SUB = "DEP", "SUB"
 FUNCTION_KEYS = ("div", "sub_job_family_2", "date")
 DEPARTMENT_KEYS = ("div", "deptid", "sub_job_family_2", "date")
 
+# What is summed of a unit and month.
+MEASURES = (
+    "utilization_rate_by_dep", "utilization_rate_by_div_func", "total_hour", "attendance",
+    "termination_n",
+)
+
 # Employees of the month less those about to leave.
 _EMPLOYEES = (
     f"double({numeric.distinct_with_missing('emplid')} - "
@@ -83,30 +89,93 @@ def unit_rates(fact: DataFrame, end: dt.date | Column | None = None) -> DataFram
     groupings, and distinct employees are counted among them.
     """
     end = calendar.anchor(fact, end)
-    measures = (
-        "utilization_rate_by_dep", "utilization_rate_by_div_func", "total_hour", "attendance",
-        "termination_n",
+    employed = _recent(fact, end).groupBy(*DEPARTMENT_KEYS, "emplid").agg(*_partial(*MEASURES))
+    return (
+        employed.groupingSets(_unit_sets(), *map(F.col, DEPARTMENT_KEYS))
+        .agg(
+            F.expr(f"CASE WHEN grouping(deptid) = 0 THEN '{DEP}' ELSE '{SUB}' END AS type"),
+            *_unit_measures("grouping(deptid) = 0", numeric.distinct_with_missing("emplid")),
+        )
+        .withColumn("month_no", calendar.month_number(F.col("date"), end))
+    )
+
+
+def _unit_sets(*more: str) -> list[list[Column]]:
+    """Departments with their functions, and functions over all departments."""
+    return [[F.col(k) for k in (*keys, *more)] for keys in (DEPARTMENT_KEYS, FUNCTION_KEYS)]
+
+
+def _unit_measures(is_department: str, employees: str) -> list[Column]:
+    """Rates of a unit and month over partial sums of its rows."""
+    return _aggregates(
+        f"""CASE WHEN {is_department}
+            THEN {_strict_avg('utilization_rate_by_dep')}
+            ELSE {_strict_avg('utilization_rate_by_div_func')} END AS uti_rate""",
+        f"{_strict_sum('total_hour')} AS total_hour",
+        f"{_strict_sum('attendance')} AS attendance",
+        f"double({employees} - {_strict_sum('termination_n')}) AS emp_cnt",
+        f"{_strict_avg('attendance')} AS attendance_emp",
+    )
+
+
+#: Columns of the states: partial sums, numbers of values, and employees as a bitmap.
+STATE_COLUMNS = ", ".join([
+    "div string", "deptid string", "sub_job_family_2 string", "date date", "bucket bigint", "rows bigint",
+    *[f"sum_{m} {'bigint' if m == 'termination_n' else 'double'}, n_{m} bigint" for m in MEASURES],
+    "employees binary",
+])
+
+
+def unit_states(fact: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Partial states of the unit rates: they add up over any split of the rows.
+
+    One row per department, function, month and bucket of employee numbers: partial sums, and
+    the employees as a bitmap over ``numbers`` (emplid, number), which must hold every employee of
+    the rows. Rows without an employee are in the bucket that is missing.
+    """
+    employed = (
+        fact.fillna("", ["deptid", "sub_job_family_2"])
+        .groupBy(*DEPARTMENT_KEYS, "emplid").agg(*_partial(*MEASURES))
     )
-    employed = _recent(fact, end).groupBy(*DEPARTMENT_KEYS, "emplid").agg(*_partial(*measures))
-    keys = [F.col(k) for k in DEPARTMENT_KEYS]
-    by_function = [k for k, name in zip(keys, DEPARTMENT_KEYS) if name in FUNCTION_KEYS]
+    numbered = employed.join(numbers, "emplid", "left").withColumn(
+        "bucket", F.bitmap_bucket_number("number")
+    )
+    return numbered.groupBy(*DEPARTMENT_KEYS, "bucket").agg(
+        *_added(),
+        F.expr("CASE WHEN bucket IS NOT NULL THEN "
+               "bitmap_construct_agg(bitmap_bit_position(number)) END AS employees"),
+    )
+
+
+def rates_of_states(states: DataFrame, end: dt.date | Column | None = None) -> DataFrame:
+    """The unit rates of the last six months, from the states of any number of loads.
+
+    The same rows and columns as ``unit_rates`` over all rows of the loads. The states of a unit are
+    added by bucket; employees of several departments or loads count once.
+    """
+    end = calendar.anchor(states, end)
+    recent = states.where(F.col("date") >= F.add_months(end, 1 - calendar.REPORT_MONTHS))
+    by_bucket = recent.groupingSets(
+        _unit_sets("bucket"), *map(F.col, [*DEPARTMENT_KEYS, "bucket"])
+    ).agg(
+        F.expr(f"CASE WHEN grouping(deptid) = 0 THEN '{DEP}' ELSE '{SUB}' END AS type"),
+        *_added(),
+        F.expr("bitmap_or_agg(employees) AS employees"),
+    )
+    distinct = "coalesce(sum(CASE WHEN bucket IS NOT NULL THEN bitmap_count(employees) END), 0L)"
     return (
-        employed.groupingSets([keys, by_function], *keys)
-        .agg(*_aggregates(
-            f"CASE WHEN grouping(deptid) = 0 THEN '{DEP}' ELSE '{SUB}' END AS type",
-            f"""CASE WHEN grouping(deptid) = 0
-                THEN {_strict_avg('utilization_rate_by_dep')}
-                ELSE {_strict_avg('utilization_rate_by_div_func')} END AS uti_rate""",
-            f"{_strict_sum('total_hour')} AS total_hour",
-            f"{_strict_sum('attendance')} AS attendance",
-            f"""double({numeric.distinct_with_missing('emplid')}
-                - {_strict_sum('termination_n')}) AS emp_cnt""",
-            f"{_strict_avg('attendance')} AS attendance_emp",
-        ))
+        by_bucket.groupBy("type", *DEPARTMENT_KEYS)
+        .agg(*_unit_measures(f"type = '{DEP}'", f"({distinct} + max(bigint(bucket IS NULL)))"))
         .withColumn("month_no", calendar.month_number(F.col("date"), end))
     )
 
 
+def _added() -> list[Column]:
+    """Partial sums over partial sums."""
+    names = ["rows", *[f"{part}_{name}" for name in MEASURES for part in ("sum", "n")]]
+    return _aggregates(*[f"sum({name}) AS {name}" for name in names])
+
+
 def _wide(months: tuple[int, ...], **values: str) -> list[Column]:
     """One column per value and report month: ``name_1`` is the first of ``months``."""
     return _aggregates(*[
@@ -198,51 +267,39 @@ def department_sheet(rates: DataFrame, additive: bool = False) -> DataFrame:
     )
 
 
-def project_history(fact: DataFrame) -> DataFrame:
-    """The fact summed by project, start stage, start date, function and month.
+STAGE_KEYS = ("project_code", "project_start_stage")
 
-    Profile and opening hours of all projects both follow from these sums. A missing
-    function is the blank one.
-    """
+
+def stage_sums(fact: DataFrame, started: dt.date | Column | None = None) -> DataFrame:
+    """Partial sums of the projects that started inside the fact, by project and start stage."""
+    means = [*schemas.STAGE_DAYS, "execute_hour", "execute_month"]
+    first = calendar.opening_date(fact, started)
     return (
-        fact.fillna("", ["sub_job_family_2"])
-        .groupBy(
-            "project_code", "project_start_stage", "pmcs_bu_start_dt", "sub_job_family_2", "date"
-        )
+        fact.where(F.col("pmcs_bu_start_dt") >= first)
+        .groupBy(*STAGE_KEYS)
         .agg(
-            *_partial(*schemas.STAGE_DAYS, "execute_hour", "execute_month", "total_hour"),
+            *_partial(*means),
             *_aggregates("count(execute_day) AS n_execute_day", "max(execute_day) AS max_execute_day"),
         )
     )
 
 
-def project_profile(history: DataFrame, started: dt.date | Column | None = None) -> DataFrame:
+def project_profile(fact: DataFrame, started: dt.date | Column | None = None) -> DataFrame:
     """Mean stage days and effort of the projects that started inside the fact.
 
-    ``history`` are the sums of ``project_history``. One row per project and distinct start
-    stage; ``stage_rows`` counts them. ``started`` is the first date of the whole fact, for
-    callers that know it or pass a part of it. The sums are combined by project and stage
-    first, so a large project reaches the window as a handful of rows.
+    One row per project and distinct start stage; ``stage_rows`` counts them. ``started``
+    is the first date of the whole fact, for callers that know it or pass a part of it. The
+    fact is summed by project and stage first, so a large project reaches the window as
+    a handful of rows.
     """
     means = [*schemas.STAGE_DAYS, "execute_hour", "execute_month"]
-    first = calendar.opening_date(history, started)
-    parts = (
-        history.where(F.col("pmcs_bu_start_dt") >= first)
-        .groupBy("project_code", "project_start_stage")
-        .agg(*_aggregates(
-            "sum(rows) AS rows",
-            *[f"sum(sum_{c}) AS sum_{c}" for c in means],
-            *[f"sum(n_{c}) AS n_{c}" for c in [*means, "execute_day"]],
-            "max(max_execute_day) AS max_execute_day",
-        ))
-    )
     over = "OVER (PARTITION BY project_code)"
 
     def whole(name: str, value: str, alias: str) -> str:
         return f"""CASE WHEN sum(n_{name}) {over} = sum(rows) {over}
             THEN {value} END AS {alias}"""
 
-    return parts.selectExpr(
+    return stage_sums(fact, started).selectExpr(
         "project_code",
         *[
             whole(c, f"sum(sum_{c}) {over} / sum(rows) {over}", c.removesuffix("_day"))

@@ -34,14 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/settled"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a table that several later steps read, and read it back.
+def place(spark: SparkSession, name: str) -> str:
+    """A new path for a table of this application.
 
-    The work behind it is done once, its lineage is cut, it survives lost executors, and
-    later joins are planned with its true size. The tables of an application lie in one
-    folder, which is removed when its driver ends; see ``scratch`` for an earlier end.
+    The tables of an application lie in one folder, which is removed when its driver ends; see
+    ``scratch`` for an earlier end.
     """
-    spark = df.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/staffcast/{spark.sparkContext.applicationId}"
     if folder not in _SEEN:
         _SEEN.add(folder)
@@ -49,8 +47,23 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     if (written := _SCRATCH.get()) is not None:
         written.append(path)
+    return path
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later steps read, and read it back.
+
+    The work behind it is done once, its lineage is cut, it survives lost executors, and
+    later joins are planned with its true size.
+    """
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def _remove(spark: SparkSession, paths: list[str]) -> None:

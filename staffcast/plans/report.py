@@ -16,6 +16,10 @@ from staffcast.schemas import REPORT_COLUMNS
 from staffcast.sources.readers import split_requests
 
 
+#: Old projects that a scan of the fact is filtered by; a plan that names more scans all of it.
+NAMED_CODES = 1000
+
+
 @dataclass(frozen=True)
 class Units:
     """Rates of all units of all divisions, side by side by month, and the last month."""
@@ -27,19 +31,26 @@ class Units:
 
 
 def prepare_units(
-    fact: DataFrame, end: dt.date | None = None, additive: bool = False
+    fact: DataFrame, end: dt.date | Column | None = None, additive: bool = False
 ) -> Units:
     """Reduce six months of the fact to the unit sheets that every scenario shares.
 
     ``end`` is the last month of the fact where the caller knows it; otherwise it is
-    looked up. The result can be used for any number of batches.
+    looked up. The sheets are settled, so the result can be used for any number of batches
+    without working them out again.
     """
-    table = settle(rates.unit_rates(fact, end), "unit_rates")
+    table, end = at_once(
+        fact.sparkSession,
+        lambda: settle(rates.unit_rates(fact, end), "unit_rates"),
+        lambda: calendar.resolved(fact, end),
+    )
     return Units(
-        rates.function_sheet(table),
-        rates.department_sheet(table, additive),
-        rates.department_function_sheet(table),
-        calendar.anchor(table, end),
+        *settle_together(
+            function_sheet=rates.function_sheet(table),
+            department_sheet=rates.department_sheet(table, additive),
+            department_function_sheet=rates.department_function_sheet(table),
+        ),
+        end,
     )
 
 
@@ -48,8 +59,11 @@ def prepare_headcount(raw: DataFrame) -> DataFrame:
 
 
 def prepare_plan(raw: DataFrame) -> DataFrame:
-    plan = planning.clean_plan(planning.typed_projects(raw))
-    return settle(planning.plan_rows(plan), "plan")
+    return settle(counted_plan(raw), "plan")
+
+
+def counted_plan(raw: DataFrame) -> DataFrame:
+    return planning.plan_rows(planning.clean_plan(planning.typed_projects(raw)))
 
 
 def history_report(fact: DataFrame, end: dt.date | None = None) -> DataFrame:
@@ -84,9 +98,8 @@ def headcount_report(units: Units, scenarios: DataFrame, headcount: DataFrame) -
 
 @dataclass(frozen=True)
 class History:
-    """What past projects took: the sums of the fact, their effort and their opening hours."""
+    """What past projects took: their effort, and the hours of their opening months."""
 
-    sums: DataFrame
     models: DataFrame
     opening: DataFrame
 
@@ -101,18 +114,21 @@ class ProjectPlan:
     effects: DataFrame
 
 
-def prepare_history(fact: DataFrame, start: dt.date | None = None) -> History:
-    """Sum the fact by project, from one scan, and settle what every plan looks up.
+def prepare_history(
+    fact: DataFrame, start: dt.date | None = None, codes: list[str] | None = None
+) -> History:
+    """Reduce the fact to what every plan looks up, from one scan, and settle it.
 
     ``start`` is the first date of the fact where the caller knows it. The result can be
-    used for any number of calls, batches and micro-batches.
+    used for any number of calls, batches and micro-batches; with ``codes`` only for plans
+    that name no other old project.
     """
-    sums = settle(rates.project_history(fact), "project_history")
-    models, opening = settle_together(
-        project_models=planning.project_models(rates.project_profile(sums, start)),
-        opening_hours=hours.opening_sheet(hours.opening_hours(sums)),
+    grains = settle(hours.project_grains(fact, start, codes), "project_grains")
+    months = [c for c in grains.columns if c == "months" or c.startswith("opening_")]
+    return History(
+        grains.where("is_model").select("project_code", "old_hour", "old_month", "stage_rows"),
+        grains.where("NOT is_model").select("project_code", "sub_job_family_2", *months),
     )
-    return History(sums, models, opening)
 
 
 def model_plan(plan: DataFrame, history: History) -> DataFrame:
@@ -153,14 +169,21 @@ def project_report(units: Units, scenarios: DataFrame, plan: ProjectPlan) -> Dat
 
 
 def combined_report(units: Units, headcount: DataFrame, plan: ProjectPlan) -> DataFrame:
-    """Every accepted scenario by the branch its mode asks for."""
+    """Every accepted scenario by the branch its mode asks for.
+
+    A branch that no scenario asks for is left out of the plan: a single call plans one.
+    """
+    modes = {row["mode"] for row in plan.scenarios.select("mode").distinct().collect()}
 
     def of(mode: str) -> DataFrame:
         return plan.scenarios.where(F.col("mode") == mode)
 
-    return headcount_report(units, of("headcount"), headcount).unionByName(
-        project_report(units, of("projects"), plan)
-    )
+    if "headcount" not in modes:
+        return project_report(units, of("projects"), plan)
+    heads_only = headcount_report(units, of("headcount"), headcount)
+    if "projects" not in modes:
+        return heads_only
+    return heads_only.unionByName(project_report(units, of("projects"), plan))
 
 
 def score_scenarios(
@@ -199,11 +222,19 @@ def score_scenarios(
 def plan_scenarios(
     fact: DataFrame, projects: DataFrame, start: dt.date | None, history: History | None
 ) -> tuple[DataFrame, History] | None:
-    """Modelled plan and the history behind it; nothing where no project is planned."""
+    """Modelled plan and the history behind it; nothing where no project is planned.
+
+    A plan that names few old projects looks for them alone in the fact.
+    """
+    if history is not None:
+        modelled = model_plan(counted_plan(projects), history)
+        return None if modelled.isEmpty() else (modelled, history)
     plan = prepare_plan(projects)
-    if plan.isEmpty():
+    named = plan.select("project_code_old").distinct().limit(NAMED_CODES + 1).collect()
+    if not named:
         return None
-    history = history or prepare_history(fact, start)
+    codes = [r[0] for r in named] if len(named) <= NAMED_CODES else None
+    history = prepare_history(fact, start, codes)
     return model_plan(plan, history), history
 
 
@@ -216,7 +247,7 @@ def answer_requests(
     """
     scenarios, projects, headcount = split_requests(requests)
     heads = prepare_headcount(headcount)
-    modelled = model_plan(prepare_plan(projects), history)
+    modelled = model_plan(counted_plan(projects), history)
     plan = prepare_projects(modelled, history, units, scenarios, heads)
     users = scenarios.select("scenario_id", "user_id")
     answers = combined_report(units, heads, plan).join(users, "scenario_id")

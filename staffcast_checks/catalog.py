@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from staffcast_checks import fixture
 from staffcast.functions import numeric
 from staffcast.operators import allocation, hours, life, planning, projects, rates
-from staffcast.operators.spread import at_once, settle
-from staffcast.plans import records, report
+from staffcast.operators.spread import at_once, place, settle
+from staffcast.plans import monthly, records, report
 from staffcast.plans.life import life_report
 from staffcast.sources.readers import parse_requests
 
@@ -55,9 +55,19 @@ def unit_rates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(table, uti_rate=4, attendance_emp=4)
 
 
+def unit_rates_by_load(spark: SparkSession, sf: str) -> DataFrame:
+    """The unit rates from the states of two loads that share months and employees."""
+    fact, end = _recent(spark, sf)
+    path = place(spark, "store")
+    late = (F.col("date") == end) & (F.crc32(F.coalesce("project_code", F.lit(""))) % 2 == 0)
+    monthly.add_load(fact.where(~late), path, "first")
+    monthly.add_load(fact.where(late), path, "late")
+    return rounded(monthly.rates_of_store(spark, path, end), uti_rate=4, attendance_emp=4)
+
+
 def project_profile(spark: SparkSession, sf: str) -> DataFrame:
     fact = fixture.utilization(spark, sf, units=False)
-    return rates.project_profile(rates.project_history(fact))
+    return rates.project_profile(fact)
 
 
 def headcount_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,9 +121,15 @@ def plan_clean(spark: SparkSession, sf: str) -> DataFrame:
     return planning.clean_plan(plan).drop("project_name_old")
 
 
+def _modelled_history(spark: SparkSession, sf: str) -> tuple[DataFrame, report.History]:
+    """Planned rows with their old projects, and the history of these."""
+    history = _history(spark, sf)
+    plan = report.counted_plan(fixture.plan_projects(spark, sf))
+    return report.model_plan(plan, history), history
+
+
 def _modelled(spark: SparkSession, sf: str) -> DataFrame:
-    plan = report.prepare_plan(fixture.plan_projects(spark, sf))
-    return report.model_plan(plan, _history(spark, sf))
+    return _modelled_history(spark, sf)[0]
 
 
 def plan_rejects(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,16 +153,13 @@ def project_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 def opening_hours(spark: SparkSession, sf: str) -> DataFrame:
     fact = fixture.utilization(spark, sf, units=False)
-    return hours.opening_hours(rates.project_history(fact))
+    return hours.opening_hours(fact)
 
 
 def _prorated(spark: SparkSession, sf: str) -> DataFrame:
-    history = _history(spark, sf)
-    modelled = report.model_plan(
-        report.prepare_plan(fixture.plan_projects(spark, sf)), history
-    )
+    modelled, history = _modelled_history(spark, sf)
     scaled = hours.project_hours(
-        hours.opening_hours(history.sums),
+        hours.opening_rows(history.opening),
         planning.project_ratio(modelled),
         fixture.last_month(spark, sf),
     )
@@ -181,41 +194,45 @@ def tidy_result(spark: SparkSession, sf: str) -> DataFrame:
     return records.tidy_result(raw, "project_hours")
 
 
-def _allocated(spark: SparkSession, sf: str, by_department: bool) -> DataFrame:
+def _shares(spark: SparkSession, sf: str, by_department: bool) -> tuple[DataFrame, DataFrame]:
+    """The settled factors of the allocation, and the rates of its units."""
     fact, end = _recent(spark, sf)
     table = rates.department_rates if by_department else rates.function_rates
-    history, plan, heads, units = at_once(
+    (modelled, history), heads, units = at_once(
         spark,
-        lambda: _history(spark, sf),
-        lambda: report.prepare_plan(fixture.plan_projects(spark, sf)),
+        lambda: _modelled_history(spark, sf),
         lambda: report.prepare_headcount(fixture.plan_headcount(spark, sf)),
         lambda: settle(table(fact, end), "rates"),
     )
-    modelled = report.model_plan(plan, history)
     ratios = planning.project_ratio(modelled)
     modes = planning.scenario_modes(fixture.scenarios(spark, sf), modelled)
     added = hours.added_hours(history.opening, hours.plan_factors(ratios, end))
-    return allocation.allocate(
+    shares = allocation.factors(
         hours.project_month_hours(added, end),
         units,
         heads,
-        settle(hours.project_passes(ratios), "passes"),
+        hours.project_passes(ratios),
         modes.where("mode = 'projects'"),
     )
+    return settle(shares, "shares"), units
+
+
+def _listed(spark: SparkSession, sf: str, by_department: bool) -> DataFrame:
+    return allocation.listing(*_shares(spark, sf, by_department))
 
 
 _ADDED = ("emp_pct", "add_hour_pct", "add_attendance_emp")
 
 
 def allocation_function(spark: SparkSession, sf: str) -> DataFrame:
-    table = _allocated(spark, sf, by_department=False).select(
+    table = _listed(spark, sf, by_department=False).select(
         "scenario_id", "project_name", "div", "sub_job_family_2", "date", "hc", "emp", *_ADDED
     )
     return rounded(table, emp_pct=4, add_hour_pct=2, add_attendance_emp=2)
 
 
 def allocation_department(spark: SparkSession, sf: str) -> DataFrame:
-    table = _allocated(spark, sf, by_department=True).select(
+    table = _listed(spark, sf, by_department=True).select(
         "scenario_id", "project_name", "div", "deptid", "sub_job_family_2", "date", "hc", "emp",
         *_ADDED,
     )
@@ -224,22 +241,17 @@ def allocation_department(spark: SparkSession, sf: str) -> DataFrame:
 
 def allocation_share(spark: SparkSession, sf: str) -> DataFrame:
     """Sum of the shares of each project, function and month: one, or missing."""
-    table = _allocated(spark, sf, by_department=True)
-    sums = table.groupBy(
-        "scenario_id", "project_name", "div", "sub_job_family_2", "date"
-    ).agg(F.sum("emp_pct").alias("share"), F.count(F.lit(1)).alias("departments"))
-    return rounded(sums, share=4)
+    sums = allocation.share_sums(*_shares(spark, sf, by_department=True))
+    return rounded(sums.withColumnRenamed("units", "departments"), share=4)
 
 
 def _project_report(spark: SparkSession, sf: str) -> DataFrame:
-    units, heads, history, rows = at_once(
+    units, heads, (modelled, history) = at_once(
         spark,
         lambda: report.prepare_units(*_recent(spark, sf)),
         lambda: report.prepare_headcount(fixture.plan_headcount(spark, sf)),
-        lambda: _history(spark, sf),
-        lambda: report.prepare_plan(fixture.plan_projects(spark, sf)),
+        lambda: _modelled_history(spark, sf),
     )
-    modelled = report.model_plan(rows, history)
     scenarios = fixture.scenarios(spark, sf)
     plan = report.prepare_projects(modelled, history, units, scenarios, heads)
     return report.project_report(units, plan.scenarios.where("mode = 'projects'"), plan)
@@ -380,7 +392,7 @@ def life_months(spark: SparkSession, sf: str) -> DataFrame:
 
 def tidy_allocation(spark: SparkSession, sf: str) -> DataFrame:
     """Department allocation, tidied: one decimal for the hours."""
-    table = _allocated(spark, sf, by_department=True).select(
+    table = _listed(spark, sf, by_department=True).select(
         "scenario_id", "project_name", "div", "deptid", "sub_job_family_2", "date",
         "add_hour_pct", "total_hour_dept_func",
     )
@@ -389,12 +401,13 @@ def tidy_allocation(spark: SparkSession, sf: str) -> DataFrame:
 
 def tidy_department_outlook(spark: SparkSession, sf: str) -> DataFrame:
     """Hours of every department and month with what new projects add, tidied."""
-    table = _allocated(spark, sf, by_department=True)
-    outlook = table.groupBy("scenario_id", "div", "deptid", "date").agg(
-        F.expr(f"{numeric.lenient_sum('add_hour_pct')} AS add_hour_pct"),
-        F.expr(f"{numeric.lenient_sum('total_hour_dept_func')} AS total_hour_dept_func"),
+    shares, units = _shares(spark, sf, by_department=True)
+    outlook = allocation.department_outlook(
+        shares, units.withColumnRenamed("total_hour_dept_func", "total_hour")
+    )
+    return records.tidy_result(
+        outlook.withColumnRenamed("total_hour", "total_hour_dept_func"), "department_outlook"
     )
-    return records.tidy_result(outlook, "department_outlook")
 
 
 def purge_user(spark: SparkSession, sf: str) -> DataFrame:
@@ -404,7 +417,7 @@ def purge_user(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
-        function_rates, department_rates, unit_rates, project_profile, headcount_plan,
+        function_rates, department_rates, unit_rates, unit_rates_by_load, project_profile, headcount_plan,
         active_titles, history_report, history_report_function, history_report_department,
         hc_what_if_function, hc_what_if_department, rate_report, plan_clean, plan_rejects,
         scenario_modes, reject_log, project_ratio, opening_hours, project_hours,

@@ -528,6 +528,8 @@ _QUERIES: dict[str, str] = {
         SELECT * FROM events
         WHERE user_id <> 8 OR user_id IS NULL""",
 }
+# The same rates, whatever way they are kept.
+_QUERIES["unit_rates_by_load"] = _QUERIES["unit_rates"]
 
 _PERCENT = ", ".join(
     f"'{c}': {r(f'{c} * 100', 1)}" if c != "hc" else "'hc': hc"

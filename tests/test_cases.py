@@ -9,10 +9,12 @@ import datetime as dt
 
 import data
 import pytest
+from compare import plan_of
 from pyspark.sql import functions as F
 
 from staffcast.functions import calendar
 from staffcast.operators import allocation, hours, planning, rates
+from staffcast.operators.spread import settle
 from staffcast.plans import records, report
 
 MAY, JUNE, JULY = data.MONTHS[-3:]
@@ -33,7 +35,24 @@ def model(code="P1", months=(0, 1, 2), total=10.0, **change):
 
 
 def models(fact):
-    return planning.project_models(rates.project_profile(rates.project_history(fact)))
+    return planning.project_models(rates.project_profile(fact))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_one_scan_at_two_grains_equals_each_grain(spark, seed):
+    rows = data.random_company(seed)
+    rows += [{**rows[0], "sub_job_family_2": None}, {**rows[1], "pmcs_bu_start_dt": None}, {**rows[2], "execute_hour": None}]
+    rows += [{**rows[3], "project_code": None}, {**rows[4], "project_start_stage": None}]
+    fact = data.fact(spark, rows)
+    grains = hours.project_grains(fact)
+    kept = grains.where("is_model").select("project_code", "old_hour", "old_month", "stage_rows")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, models(fact).select(kept.columns).collect()))
+    sheet = hours.opening_sheet(hours.opening_hours(fact))
+    months = grains.where("NOT is_model").select(sheet.columns)
+    assert sorted(map(str, months.collect())) == sorted(map(str, sheet.collect()))
+    rows = hours.opening_rows(sheet)
+    listed = hours.opening_hours(fact).select(rows.columns)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, listed.collect()))
 
 
 def score(spark, fact, plans, heads=(), asked=((1, "D1"),), **options):
@@ -200,29 +219,53 @@ def test_history_equals_report_history(spark):
     }
 
 
-def test_shares_add_up_to_one_or_are_missing(spark):
-    fact = data.fact(spark, data.random_company(5))
-    asked, planned, staffed = data.random_plans(5, 30)
+def shares_of(spark, seed, by_department):
+    fact = data.fact(spark, data.random_company(seed))
+    asked, planned, staffed = data.random_plans(seed, 30)
     plan = planning.plan_rows(planning.clean_plan(
         planning.typed_projects(data.projects(spark, planned))
     ))
     modelled = planning.plan_with_models(plan, models(fact))
     ratios = planning.project_ratio(modelled)
     end = calendar.last_month(fact)
-    opening = hours.opening_sheet(hours.opening_hours(rates.project_history(fact)))
+    opening = hours.opening_sheet(hours.opening_hours(fact))
     added = hours.added_hours(opening, hours.plan_factors(ratios, end))
-    shares = allocation.allocate(
+    units = settle((rates.department_rates if by_department else rates.function_rates)(fact), "units")
+    shares = allocation.factors(
         hours.project_month_hours(added, end),
-        rates.department_rates(fact),
+        units,
         planning.headcount_plan(data.heads(spark, staffed)),
         hours.project_passes(ratios),
         data.scenarios(spark, asked),
-    ).groupBy("scenario_id", "project_name", "sub_job_family_2", "date").agg(
-        F.sum("emp_pct").alias("s")
     )
-    sums = [r["s"] for r in shares.collect()]
-    assert any(s is not None for s in sums)
-    assert all(s is None or s == pytest.approx(1.0) for s in sums)
+    return settle(shares, "shares"), units
+
+
+def rounded(df):
+    columns = sorted(df.columns)
+    return sorted(str([round(r[c], 6) + 0.0 if isinstance(r[c], float) else r[c] for c in columns]) for r in df.collect())
+
+
+@pytest.mark.parametrize("by_department", [True, False])
+def test_sums_from_factors_equal_sums_of_the_listing(spark, by_department):
+    """Shares add up to one or are missing; no exchange sees the rows by unit."""
+    shares, units = shares_of(spark, 5, by_department)
+    listed = allocation.listing(shares, units)
+    assert "Exchange hashpartitioning" not in plan_of(listed) and "SortMergeJoin" not in plan_of(listed)
+    grain = ["scenario_id", "project_name", "div", "sub_job_family_2", "date"]
+    sums = listed.groupBy(*grain).agg(F.sum("emp_pct").alias("share"), F.count(F.lit(1)).alias("units"))
+    found = allocation.share_sums(shares, units)
+    assert rounded(found) == rounded(sums)
+    values = [r["share"] for r in found.collect()]
+    assert any(v is not None for v in values)
+    assert all(v is None or v == pytest.approx(1.0) for v in values)
+    if by_department:
+        units = units.withColumnRenamed("total_hour_dept_func", "total_hour")
+        by_unit = allocation.listing(shares, units).groupBy("scenario_id", "div", "deptid", "date").agg(
+            F.expr("coalesce(sum(add_hour_pct), 0D) AS add_hour_pct"),
+            F.expr("coalesce(sum(total_hour), 0D) AS total_hour"),
+        )
+        assert rounded(allocation.department_outlook(shares, units)) == rounded(by_unit)
 
 
 def test_start_later_never_adds_hours(spark):

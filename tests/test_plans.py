@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 import data
 import pytest
 from compare import database, differences, plan_of
@@ -28,10 +31,22 @@ def test_rates_read_only_recent_partitions_and_needed_columns(spark, tmp_path):
 
 def test_opening_hours_do_not_join_units(spark):
     fact = fixture.utilization(spark, SMALL, units=False)
-    plan = plan_of(hours.opening_hours(rates.project_history(fact)))
+    plan = plan_of(hours.opening_hours(fact))
     assert "Join" not in plan and "WindowGroupLimit" in plan
 
 
+def test_history_is_one_scan_and_writes_projects_only(spark):
+    """The fact is read once (besides its first date) and sums of its size are not written."""
+    fact = fixture.utilization(spark, SMALL, units=False)
+    plan = plan_of(hours.project_grains(fact, dt.date(1995, 1, 1)))
+    assert len(re.findall(r"^\(\d+\) Scan parquet", plan, re.M)) == 1
+    with spread.scratch(spark):
+        history = report.prepare_history(fact)
+        kinds = fact.select("project_code", "sub_job_family_2").distinct().count()
+        assert history.opening.count() == kinds < 0.7 * fact.count()
+        assert history.models.count() <= fact.select("project_code").distinct().count()
+
+
 def test_scenarios_meet_broadcast_units(spark):
     plan = plan_of(QUERIES["scenario_batch"](spark, SMALL))
     assert "BroadcastHashJoin" in plan
