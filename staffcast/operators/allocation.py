@@ -1,9 +1,10 @@
 """Added hours shared out over the units that work on a function, kept as factors.
 
 The share of a unit in the hours of a project is its employees plus added head count over the
-same sum of all units of the function. What depends on the project (hours, that sum, added
-heads) and what depends on the unit (employees, attendance) are two tables. The listing of
-every project by unit is only made where it is read, and sums over it are made without it.
+same sum of all units of the function. What depends on the project (its hours and added heads
+by function) is one row per project; what depends on the units (employees and attendance by
+month) is the rate table. The listing of every project by unit and month is only made where it is
+read, and no exchange sees its rows; sums over it are made without it.
 """
 
 from __future__ import annotations
@@ -12,117 +13,127 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staffcast.functions import numeric
+from staffcast.operators.hours import month_hours
 
 _FUNCTION = ["div", "sub_job_family_2", "date"]
-_PROJECT = ["scenario_id", "project_name"]
-_GRAIN = [*_PROJECT, *_FUNCTION]
+_PROJECT = ["scenario_id", "project_name", "div"]
 
 
 def factors(
-    month_hours: DataFrame,
-    rates: DataFrame,
-    headcount: DataFrame,
-    projects: DataFrame,
-    scenarios: DataFrame,
+    added: DataFrame, end: Column, headcount: DataFrame, projects: DataFrame, scenarios: DataFrame,
+    by_department: bool,
 ) -> DataFrame:
-    """One row per project, function and month: its hours, the heads that share them, and who they are.
+    """One row per new project: how often its heads count, its hours, and its added heads.
 
-    ``rates`` are settled function or department rates; with departments, head count
-    counts for its department and function, otherwise for its function. ``emp_all`` are all heads,
-    ``units`` the number of units. ``staff`` is the added head count: by department as a map
-    (bounded by the departments that the scenario staffs), else one number.
+    ``added`` are the added hours of the plan rows, ``projects`` the passes of the projects and
+    ``scenarios`` those that are listed. ``hours`` maps functions to hours by date, ``staff``
+    functions to head count, by department where wanted. The maps are bounded by the functions and
+    departments that the project names.
     """
-    by_department = "deptid" in rates.columns
-    unit = [c for c in ("div", "deptid", "sub_job_family_2") if c in rates.columns]
-    heads = headcount.groupBy(*_PROJECT, *unit).agg(F.expr(f"{numeric.lenient_sum('hc')} AS hc"))
-    employed = rates.groupBy(*_FUNCTION).agg(
-        F.expr(f"{numeric.strict_sum('emp_cnt')} AS employed"), F.count(F.lit(1)).alias("units")
-    )
-    # Heads of units that have a rate in the month.
-    staffed = (
-        heads.join(rates.select(*unit, "date"), unit)
-        .groupBy(*_GRAIN)
-        .agg(F.sum("hc").alias("staffed"), _staff(by_department))
+    keys = [*_PROJECT, "sub_job_family_2"]
+    unit = [*keys, "deptid"] if by_department else keys
+    heads = headcount.groupBy(*unit).agg(F.expr(f"{numeric.lenient_sum('hc')} AS hc"))
+    if by_department:
+        entries = F.map_from_entries(F.collect_list(F.struct("deptid", "hc")))
+        heads = heads.groupBy(*keys).agg(entries.alias("hc"))
+    worked = month_hours(added, end)
+    both = worked.select(*keys, "hours", F.lit(None).cast(heads.schema["hc"].dataType).alias("hc")).unionByName(
+        heads.select(*keys, F.lit(None).cast(worked.schema["hours"].dataType).alias("hours"), "hc")
     )
-    wanted = projects.join(scenarios.select("scenario_id"), "scenario_id")
-    return (
-        wanted.join(employed, "div")
-        .join(staffed, _GRAIN, "left")
-        .join(month_hours, _GRAIN, "left")
-        .selectExpr(
-            *_GRAIN, "passes", "add_hour_adj", "employed + coalesce(staffed, 0D) AS emp_all", "units", "staff"
+
+    def by_function(value: str, name: str) -> Column:
+        return F.expr(
+            f"map_from_entries(collect_list(struct(sub_job_family_2, {value})) "
+            f"FILTER (WHERE {value} IS NOT NULL)) AS {name}"
         )
-    )
 
+    named = both.groupBy(*_PROJECT).agg(by_function("hours", "hours"), by_function("hc", "staff"))
+    return projects.join(scenarios.select("scenario_id"), "scenario_id").join(named, _PROJECT, "left")
 
-def _staff(by_department: bool) -> Column:
-    if by_department:
-        entries = F.collect_list(F.struct("deptid", "hc"))
-        return F.map_from_entries(entries).alias("staff")
-    return F.sum("hc").alias("staff")
+
+def _by_department(rates: DataFrame) -> bool:
+    return "deptid" in rates.columns
 
 
-def _hc(rates: DataFrame) -> Column:
-    found = F.expr("try_element_at(staff, deptid)") if "deptid" in rates.columns else F.col("staff")
-    return F.coalesce(found, F.lit(0.0))
+def _function_months(rates: DataFrame) -> DataFrame:
+    """Heads, number of units and, with departments, the departments of every function and month."""
+    departments = [F.collect_set("deptid").alias("departments")] if _by_department(rates) else []
+    return rates.groupBy(*_FUNCTION).agg(
+        F.expr(f"{numeric.strict_sum('emp_cnt')} AS employed"),
+        F.sum("emp_cnt").alias("heads"),
+        F.count(F.lit(1)).alias("units"),
+        *departments,
+    )
 
 
-def listing(shares: DataFrame, rates: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, by_department: bool) -> DataFrame:
+    """Rows of projects by function and month with their hours and with all heads that share them."""
+    staffed = "staff_here"
+    if by_department:
+        # Heads of departments that have a rate in the month.
+        staffed = (
+            "aggregate(map_values(map_filter(staff_here, (d, h) -> array_contains(departments, d))), "
+            "0D, (x, y) -> x + y)"
+        )
+    return rows.selectExpr(
+        "*",
+        "try_element_at(try_element_at(hours, sub_job_family_2), date) AS add_hour_adj",
+        "try_element_at(staff, sub_job_family_2) AS staff_here",
+    ).withColumn("staffed", F.expr(f"coalesce({staffed}, 0D)")).withColumn(
+        "emp_all", F.expr("employed + staffed")
+    ).drop("hours", "staff")
+
+
+def listing(projects: DataFrame, rates: DataFrame) -> DataFrame:
     """Share of every unit in the added hours of every project, month by month.
 
-    The factors are multiplied by the units of their function as they are read; no exchange
-    sees the multiplied rows where the rates are small.
+    ``projects`` are the settled factors and ``rates`` the settled function or department rates.
     """
+    units = rates.join(_function_months(rates), _FUNCTION)
+    hc = "try_element_at(staff_here, deptid)" if _by_department(rates) else "staff_here"
     return (
-        shares.join(rates, _FUNCTION)
-        .withColumn("hc", _hc(rates))
+        _shared(projects.join(units, "div"), _by_department(rates))
+        .withColumn("hc", F.expr(f"coalesce({hc}, 0D)"))
         .withColumn("emp", F.expr("emp_cnt + hc"))
         .withColumn("emp_pct", F.expr(numeric.safe_div("emp", "emp_all")))
         .withColumn("add_hour_pct", F.expr("add_hour_adj * emp_pct"))
         .withColumn("add_attendance_emp", F.expr("attendance_emp * hc * passes"))
-        .drop("emp_all", "units", "staff")
+        .drop("emp_all", "units", "staff_here", "staffed", "employed", "heads", "departments")
     )
 
 
-def allocate(
-    month_hours: DataFrame,
-    rates: DataFrame,
-    headcount: DataFrame,
-    projects: DataFrame,
-    scenarios: DataFrame,
-) -> DataFrame:
-    """The detailed listing; the what-if operators sum it without building it."""
-    return listing(factors(month_hours, rates, headcount, projects, scenarios), rates)
-
-
-def share_sums(shares: DataFrame, rates: DataFrame) -> DataFrame:
+def share_sums(projects: DataFrame, rates: DataFrame) -> DataFrame:
     """Sum of the shares of each project, function and month, and the number of its units.
 
     The heads of the units are summed by function and month, the added heads in each row; a sum
     of shares is their quotient by all heads.
     """
-    employed = rates.groupBy(*_FUNCTION).agg(F.sum("emp_cnt").alias("heads"))
-    added = "aggregate(map_values(staff), 0D, (x, y) -> x + y)" if "deptid" in rates.columns else "staff"
-    total = numeric.safe_div(f"(heads + coalesce({added}, 0D))", "emp_all")
-    return shares.join(employed, _FUNCTION).selectExpr(*_GRAIN, f"{total} AS share", "units")
+    rows = _shared(projects.join(_function_months(rates), "div"), _by_department(rates))
+    total = numeric.safe_div("(heads + staffed)", "emp_all")
+    return rows.selectExpr("scenario_id", "project_name", *_FUNCTION, f"{total} AS share", "units")
 
 
-def department_outlook(shares: DataFrame, rates: DataFrame) -> DataFrame:
+def department_outlook(projects: DataFrame, rates: DataFrame) -> DataFrame:
     """Hours of every department and month over all projects and functions, and what projects add.
 
     Hours per head are summed over the projects of a scenario before departments come in. Added
     heads only touch the departments that get some. Missing values count as zero.
     """
-    per_head = numeric.safe_div("add_hour_adj", "emp_all")
-    of_function = shares.groupBy("scenario_id", *_FUNCTION).agg(
-        F.expr(f"sum({per_head}) AS per_head"), F.count(F.lit(1)).alias("projects")
+    shared = _shared(projects.join(_function_months(rates), "div"), True).withColumn(
+        "per_head", F.expr(numeric.safe_div("add_hour_adj", "emp_all"))
+    )
+    of_function = shared.groupBy("scenario_id", *_FUNCTION).agg(
+        F.sum("per_head").alias("per_head"), F.count(F.lit(1)).alias("projects")
     )
     keys = ["scenario_id", "div", "deptid", "date"]
     by_employees = of_function.join(rates, _FUNCTION).selectExpr(
         *keys, "emp_cnt * per_head AS add_hour_pct", "total_hour * projects AS total_hour"
     )
     by_heads = (
-        shares.select("scenario_id", *_FUNCTION, F.expr(f"{per_head} AS per_head"), F.explode("staff").alias("deptid", "hc"))
+        shared.select(
+            "scenario_id", "div", "date", "per_head", "departments", F.explode("staff_here").alias("deptid", "hc")
+        )
+        .where("array_contains(departments, deptid)")
         .selectExpr(*keys, "hc * per_head AS add_hour_pct", "CAST(NULL AS DOUBLE) AS total_hour")
     )
     return by_employees.unionByName(by_heads).groupBy(*keys).agg(

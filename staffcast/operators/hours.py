@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,6 +56,51 @@ def prorate_start(hours: DataFrame) -> DataFrame:
     ).withColumn("add_hour_adj", F.expr("add_hour * start_mth_pct"))
 
 
+def opening_sheet(opening: DataFrame) -> DataFrame:
+    """Opening hours with the three months side by side: one row per project and function.
+
+    The rows of a project and function are together already, so nothing is shuffled.
+    """
+    return opening.groupBy("project_code", "sub_job_family_2").agg(
+        F.max("n").alias("months"),
+        *[
+            F.expr(f"max(CASE WHEN n = {n} THEN total_hour_pro_func END) AS opening_{n}")
+            for n in range(1, OPENING_MONTHS + 1)
+        ],
+    )
+
+
+def opening_rows(sheet: DataFrame) -> DataFrame:
+    """The opening sheet with its months below each other again: the rows of ``opening_hours``."""
+    listed = F.array(*[
+        F.struct(F.col(f"opening_{n}").alias("total_hour_pro_func"), F.lit(n).alias("n"))
+        for n in range(1, OPENING_MONTHS + 1)
+    ])
+    return sheet.select(
+        "project_code", "sub_job_family_2", F.inline(F.slice(listed, 1, F.col("months")))
+    )
+
+
+def project_hours(opening: DataFrame, ratios: DataFrame, end: Column) -> DataFrame:
+    """Hours of each new project by function and outlook month.
+
+    The n-th active month of the old project becomes the n-th outlook month, scaled by
+    the size and duration of the new project.
+    """
+    models = opening.withColumnRenamed("project_code", "project_code_old").withColumn(
+        "month_no", F.expr(f"n + {calendar.REPORT_MONTHS - OPENING_MONTHS}")
+    ).withColumn("date", calendar.month_date(F.col("month_no"), end)).drop("n")
+    add_hour = numeric.safe_div("total_hour_pro_func * hr_ratio", "mon_ratio")
+    return ratios.join(models, "project_code_old").withColumn("add_hour", F.expr(add_hour))
+
+
+def prorate_start(hours: DataFrame) -> DataFrame:
+    """Hours reduced to the part of each month after the start of the project."""
+    return hours.withColumn(
+        "start_mth_pct", F.expr(calendar.start_share("date", "start_date"))
+    ).withColumn("add_hour_adj", F.expr("add_hour * start_mth_pct"))
+
+
 def opening_sheet(opening: DataFrame) -> DataFrame:
     """Opening hours with the three months side by side: one row per project and function.
 
@@ -182,24 +225,21 @@ def project_passes(ratios: DataFrame) -> DataFrame:
     )
 
 
-def project_month_hours(added: DataFrame, end: Column) -> DataFrame:
-    """Added hours by scenario, project, function and month over all its old projects.
+def month_hours(added: DataFrame, end: Column) -> DataFrame:
+    """Added hours by scenario, project and function over all its old projects, as a map by date.
 
     The months stay side by side until the sums are made. A month that none of the old
-    projects has worked in has no row.
+    projects has worked in is not in the map.
     """
     months = range(1, OPENING_MONTHS + 1)
     summed = added.groupBy("scenario_id", "project_name", "div", "sub_job_family_2").agg(
         F.max("months").alias("months"), *[F.sum(f"hour_{n}").alias(f"hour_{n}") for n in months]
     )
     listed = F.array(*[
-        F.struct(
-            F.add_months(end, n - OPENING_MONTHS).alias("date"),
-            F.col(f"hour_{n}").alias("add_hour_adj"),
-        )
+        F.struct(F.add_months(end, n - OPENING_MONTHS).alias("date"), F.col(f"hour_{n}").alias("hour"))
         for n in months
     ])
+    by_date = F.map_from_entries(F.slice(listed, 1, F.col("months")))
     return summed.select(
-        "scenario_id", "project_name", "div", "sub_job_family_2",
-        F.inline(F.slice(listed, 1, F.col("months"))),
+        "scenario_id", "project_name", "div", "sub_job_family_2", by_date.alias("hours")
     )

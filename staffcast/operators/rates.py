@@ -289,23 +289,43 @@ def project_profile(fact: DataFrame, started: dt.date | Column | None = None) ->
 
     One row per project and distinct start stage; ``stage_rows`` counts them. ``started``
     is the first date of the whole fact, for callers that know it or pass a part of it. The
-    fact is summed by project and stage first, so a large project reaches the window as
-    a handful of rows.
+    fact is summed by project and stage first, so a large project reaches the second sum as
+    a handful of rows, whose stages are listed below each other again.
     """
     means = [*schemas.STAGE_DAYS, "execute_hour", "execute_month"]
-    over = "OVER (PARTITION BY project_code)"
+    return (
+        _project_sums(fact, started, *means)
+        .selectExpr(
+            "project_code",
+            *[f"{_mean(c)} AS {c.removesuffix('_day')}" for c in means],
+            "CASE WHEN n_execute_day = rows THEN max_execute_day END AS execute_day",
+            "inline(stages)",
+            "stage_rows",
+        )
+    )
 
-    def whole(name: str, value: str, alias: str) -> str:
-        return f"""CASE WHEN sum(n_{name}) {over} = sum(rows) {over}
-            THEN {value} END AS {alias}"""
 
-    return stage_sums(fact, started).selectExpr(
+def project_efforts(fact: DataFrame, started: dt.date | Column | None = None) -> DataFrame:
+    """Effort of every project of the profile, one row each: what plans are modelled on."""
+    return _project_sums(fact, started, "execute_hour", "execute_month").selectExpr(
         "project_code",
-        *[
-            whole(c, f"sum(sum_{c}) {over} / sum(rows) {over}", c.removesuffix("_day"))
-            for c in means
-        ],
-        whole("execute_day", f"max(max_execute_day) {over}", "execute_day"),
-        "project_start_stage",
-        f"count(1) {over} AS stage_rows",
+        f"{_mean('execute_hour')} AS old_hour",
+        f"{_mean('execute_month')} AS old_month",
+        "stage_rows",
+    )
+
+
+def _mean(name: str) -> str:
+    return f"CASE WHEN n_{name} = rows THEN sum_{name} / rows END"
+
+
+def _project_sums(fact: DataFrame, started: dt.date | Column | None, *means: str) -> DataFrame:
+    names = ["rows", *[f"{part}_{name}" for name in means for part in ("sum", "n")], "n_execute_day"]
+    return stage_sums(fact, started).groupBy("project_code").agg(
+        *_aggregates(*[f"sum({name}) AS {name}" for name in names]),
+        *_aggregates(
+            "max(max_execute_day) AS max_execute_day",
+            "collect_list(struct(project_start_stage)) AS stages",
+            "count(1) AS stage_rows",
+        ),
     )

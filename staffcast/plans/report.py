@@ -44,16 +44,26 @@ def prepare_units(
         lambda: settle(rates.unit_rates(fact, end), "unit_rates"),
         lambda: calendar.resolved(fact, end),
     )
+    units = unit_sheets(table, end, additive)
+    sheets = {name: sheet for name, sheet in vars(units).items() if name != "end"}
+    return Units(*settle_together(**sheets), end)
+
+
+def unit_sheets(table: DataFrame, end: Column, additive: bool = False) -> Units:
+    """The sheets of settled unit rates, worked out where they are read: for a single call."""
     return Units(
-        *settle_together(
-            function_sheet=rates.function_sheet(table),
-            department_sheet=rates.department_sheet(table, additive),
-            department_function_sheet=rates.department_function_sheet(table),
-        ),
+        rates.function_sheet(table),
+        rates.department_sheet(table, additive),
+        rates.department_function_sheet(table),
         end,
     )
 
 
+def units_of_call(fact: DataFrame, end: dt.date | Column | None, additive: bool) -> Units:
+    table = settle(rates.unit_rates(fact, end), "unit_rates")
+    return unit_sheets(table, calendar.anchor(table, end), additive)
+
+
 def prepare_headcount(raw: DataFrame) -> DataFrame:
     return settle(planning.headcount_plan(raw), "headcount")
 
@@ -117,18 +127,21 @@ class ProjectPlan:
 def prepare_history(
     fact: DataFrame, start: dt.date | None = None, codes: list[str] | None = None
 ) -> History:
-    """Reduce the fact to what every plan looks up, from one scan, and settle it.
+    """Reduce the fact to what every plan looks up, and settle it.
 
-    ``start`` is the first date of the fact where the caller knows it. The result can be
-    used for any number of calls, batches and micro-batches; with ``codes`` only for plans
-    that name no other old project.
+    Efforts and opening hours are two sums of their own columns at their own grain (project and
+    start stage; project, function and month), side by side; neither is written before it is
+    down to projects. ``start`` is the first date of the fact where the caller knows it. The
+    result can be used for any number of calls, batches and micro-batches; with ``codes``,
+    which both scans are filtered by, only for plans that name no other old project.
     """
-    grains = settle(hours.project_grains(fact, start, codes), "project_grains")
-    months = [c for c in grains.columns if c == "months" or c.startswith("opening_")]
-    return History(
-        grains.where("is_model").select("project_code", "old_hour", "old_month", "stage_rows"),
-        grains.where("NOT is_model").select("project_code", "sub_job_family_2", *months),
-    )
+    started = calendar.opening_date(fact, start)
+    if codes is not None:
+        fact = fact.where(F.col("project_code").isin(codes))
+    return History(*settle_together(
+        project_models=rates.project_efforts(fact, started),
+        opening_hours=hours.opening_sheet(hours.opening_hours(fact)),
+    ))
 
 
 def model_plan(plan: DataFrame, history: History) -> DataFrame:
@@ -211,7 +224,7 @@ def score_scenarios(
     heads, units, plan = at_once(
         fact.sparkSession,
         lambda: prepare_headcount(headcount),
-        lambda: units or prepare_units(fact, end, additive),
+        lambda: units or units_of_call(fact, end, additive),
         lambda: plan_scenarios(project_fact or fact, projects, start, history),
     )
     if plan is None:

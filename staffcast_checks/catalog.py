@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffcast_checks import fixture
-from staffcast.functions import numeric
+from staffcast.functions import calendar, numeric
 from staffcast.operators import allocation, hours, life, planning, projects, rates
-from staffcast.operators.spread import at_once, place, settle
+from staffcast.operators.spread import at_once, place, settle, settle_together
 from staffcast.plans import monthly, records, report
 from staffcast.plans.life import life_report
 from staffcast.sources.readers import parse_requests
@@ -35,7 +35,8 @@ def _recent(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
 
 
 def _history(spark: SparkSession, sf: str) -> report.History:
-    return report.prepare_history(fixture.utilization(spark, sf, units=False))
+    fact = fixture.utilization(spark, sf, units=False)
+    return report.prepare_history(fact, fixture.first_month(spark, sf))
 
 
 def function_rates(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,7 +68,7 @@ def unit_rates_by_load(spark: SparkSession, sf: str) -> DataFrame:
 
 def project_profile(spark: SparkSession, sf: str) -> DataFrame:
     fact = fixture.utilization(spark, sf, units=False)
-    return rates.project_profile(fact)
+    return rates.project_profile(fact, fixture.first_month(spark, sf))
 
 
 def headcount_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +98,7 @@ def history_report_department(spark: SparkSession, sf: str) -> DataFrame:
 def _headcount_report(spark: SparkSession, sf: str) -> DataFrame:
     units, heads = at_once(
         spark,
-        lambda: report.prepare_units(*_recent(spark, sf)),
+        lambda: report.units_of_call(*_recent(spark, sf), additive=False),
         lambda: report.prepare_headcount(fixture.plan_headcount(spark, sf)),
     )
     return report.headcount_report(units, fixture.scenarios(spark, sf), heads)
@@ -123,13 +124,21 @@ def plan_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def _modelled_history(spark: SparkSession, sf: str) -> tuple[DataFrame, report.History]:
     """Planned rows with their old projects, and the history of these."""
-    history = _history(spark, sf)
-    plan = report.counted_plan(fixture.plan_projects(spark, sf))
+    plan, history = at_once(
+        spark,
+        lambda: report.prepare_plan(fixture.plan_projects(spark, sf)),
+        lambda: _history(spark, sf),
+    )
     return report.model_plan(plan, history), history
 
 
 def _modelled(spark: SparkSession, sf: str) -> DataFrame:
-    return _modelled_history(spark, sf)[0]
+    """Planned rows with their old projects, where the opening hours are not asked for."""
+    fact = fixture.utilization(spark, sf, units=False)
+    models = rates.project_efforts(fact, fixture.first_month(spark, sf))
+    plan = report.counted_plan(fixture.plan_projects(spark, sf))
+    plan, models = settle_together(plan=plan, project_models=models)
+    return planning.plan_with_models(plan, models)
 
 
 def plan_rejects(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,21 +207,22 @@ def _shares(spark: SparkSession, sf: str, by_department: bool) -> tuple[DataFram
     """The settled factors of the allocation, and the rates of its units."""
     fact, end = _recent(spark, sf)
     table = rates.department_rates if by_department else rates.function_rates
-    (modelled, history), heads, units = at_once(
+    (modelled, history), heads, units, end = at_once(
         spark,
         lambda: _modelled_history(spark, sf),
         lambda: report.prepare_headcount(fixture.plan_headcount(spark, sf)),
         lambda: settle(table(fact, end), "rates"),
+        lambda: calendar.resolved(fact, end),
     )
     ratios = planning.project_ratio(modelled)
     modes = planning.scenario_modes(fixture.scenarios(spark, sf), modelled)
-    added = hours.added_hours(history.opening, hours.plan_factors(ratios, end))
     shares = allocation.factors(
-        hours.project_month_hours(added, end),
-        units,
+        hours.added_hours(history.opening, hours.plan_factors(ratios, end)),
+        end,
         heads,
         hours.project_passes(ratios),
         modes.where("mode = 'projects'"),
+        by_department,
     )
     return settle(shares, "shares"), units
 
@@ -248,7 +258,7 @@ def allocation_share(spark: SparkSession, sf: str) -> DataFrame:
 def _project_report(spark: SparkSession, sf: str) -> DataFrame:
     units, heads, (modelled, history) = at_once(
         spark,
-        lambda: report.prepare_units(*_recent(spark, sf)),
+        lambda: report.units_of_call(*_recent(spark, sf), additive=False),
         lambda: report.prepare_headcount(fixture.plan_headcount(spark, sf)),
         lambda: _modelled_history(spark, sf),
     )
@@ -275,6 +285,7 @@ def _batch(spark: SparkSession, sf: str, additive: bool) -> DataFrame:
         end,
         additive=additive,
         project_fact=fixture.utilization(spark, sf, units=False),
+        start=fixture.first_month(spark, sf),
     )
 
 
@@ -300,6 +311,7 @@ def project_list_batch(spark: SparkSession, sf: str) -> DataFrame:
         fixture.no_headcount(spark),
         end,
         project_fact=fixture.utilization(spark, sf, units=False),
+        start=fixture.first_month(spark, sf),
     )
 
 

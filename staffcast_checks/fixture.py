@@ -53,6 +53,12 @@ def last_month(spark: SparkSession, sf_dir: str) -> Column:
     return items.agg(F.trunc(F.max("l_shipdate"), "MM")).scalar()
 
 
+def first_month(spark: SparkSession, sf_dir: str) -> Column:
+    """The first month of the fact, likewise."""
+    items = table(spark, sf_dir, "lineitem")
+    return items.agg(F.trunc(F.min("l_shipdate"), "MM")).scalar()
+
+
 def recent_utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact of the report months only, cut on the shipping date as the files hold it."""
     first = F.add_months(last_month(spark, sf_dir), 1 - calendar.REPORT_MONTHS)

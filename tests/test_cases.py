@@ -38,21 +38,19 @@ def models(fact):
     return planning.project_models(rates.project_profile(fact))
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_one_scan_at_two_grains_equals_each_grain(spark, seed):
-    rows = data.random_company(seed)
+@pytest.mark.parametrize("codes", [None, ["P1", "P2", "PX"]])
+def test_history_equals_profile_and_opening_hours(spark, codes):
+    rows = data.random_company(1)
     rows += [{**rows[0], "sub_job_family_2": None}, {**rows[1], "pmcs_bu_start_dt": None}, {**rows[2], "execute_hour": None}]
     rows += [{**rows[3], "project_code": None}, {**rows[4], "project_start_stage": None}]
     fact = data.fact(spark, rows)
-    grains = hours.project_grains(fact)
-    kept = grains.where("is_model").select("project_code", "old_hour", "old_month", "stage_rows")
-    assert sorted(map(str, kept.collect())) == sorted(map(str, models(fact).select(kept.columns).collect()))
-    sheet = hours.opening_sheet(hours.opening_hours(fact))
-    months = grains.where("NOT is_model").select(sheet.columns)
-    assert sorted(map(str, months.collect())) == sorted(map(str, sheet.collect()))
-    rows = hours.opening_rows(sheet)
-    listed = hours.opening_hours(fact).select(rows.columns)
-    assert sorted(map(str, rows.collect())) == sorted(map(str, listed.collect()))
+    history = report.prepare_history(fact, codes=codes)
+    wanted = F.lit(True) if codes is None else F.col("project_code").isin(codes)
+    efforts = models(fact).where(wanted).select(history.models.columns)
+    assert sorted(map(str, history.models.collect())) == sorted(map(str, efforts.collect()))
+    opening = hours.opening_hours(fact).where(wanted)
+    found = hours.opening_rows(history.opening).select(opening.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, opening.collect()))
 
 
 def score(spark, fact, plans, heads=(), asked=((1, "D1"),), **options):
@@ -232,11 +230,11 @@ def shares_of(spark, seed, by_department):
     added = hours.added_hours(opening, hours.plan_factors(ratios, end))
     units = settle((rates.department_rates if by_department else rates.function_rates)(fact), "units")
     shares = allocation.factors(
-        hours.project_month_hours(added, end),
-        units,
+        added, end,
         planning.headcount_plan(data.heads(spark, staffed)),
         hours.project_passes(ratios),
         data.scenarios(spark, asked),
+        by_department,
     )
     return settle(shares, "shares"), units
 

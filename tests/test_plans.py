@@ -35,11 +35,15 @@ def test_opening_hours_do_not_join_units(spark):
     assert "Join" not in plan and "WindowGroupLimit" in plan
 
 
-def test_history_is_one_scan_and_writes_projects_only(spark):
-    """The fact is read once (besides its first date) and sums of its size are not written."""
+def test_history_reads_own_columns_and_writes_projects_only(spark):
+    """Each grain reads its columns, and sums of the size of the fact are not written."""
     fact = fixture.utilization(spark, SMALL, units=False)
-    plan = plan_of(hours.project_grains(fact, dt.date(1995, 1, 1)))
-    assert len(re.findall(r"^\(\d+\) Scan parquet", plan, re.M)) == 1
+    efforts = plan_of(rates.project_efforts(fact, dt.date(1995, 1, 1)))
+    opening = plan_of(hours.opening_sheet(hours.opening_hours(fact)))
+    assert "l_suppkey" not in efforts and "l_linenumber" in efforts and "l_quantity" not in efforts
+    assert "add_months" not in opening
+    for plan in (efforts, opening):
+        assert len(re.findall(r"^\(\d+\) Scan parquet", plan, re.M)) == 1
     with spread.scratch(spark):
         history = report.prepare_history(fact)
         kinds = fact.select("project_code", "sub_job_family_2").distinct().count()
