@@ -1,13 +1,16 @@
 """Nearest neighbours by collision counting over sorted projections.
 
 Vectors are projected on random directions; every direction keeps one sorted array of its
-projections. A window around the query's own projection in each array names the vectors
-that collide with the query there. The windows grow by virtual rehashing: each round they
-are ``GROWTH`` times as wide, and only what is new is counted. A vector that has collided
-in at least ``THRESHOLD`` of the arrays is verified with its exact product. The search
-ends when enough vectors were verified and the windows are ``SURE`` times as wide as the
-distance of the last one wanted, or when they hold everything: a vector that is nearer than
-that one is then missed with a chance below one in a hundred.
+projections. A window around the query's own projection in each array holds the vectors
+that collide with the query there. Windows are widened by virtual rehashing: the first ones are
+of one width, and the vectors that collide most often in them are verified with their exact
+products. The distance of the last one wanted then tells how wide the windows have to be, and
+every vector that collides there in at least ``THRESHOLD`` of the arrays is verified.
+
+At ``WIDEN`` times a distance, the chance that a vector at that distance collides is
+0.823, and 0.72 for one that lies at a right angle where the twentieth of some ten thousand random
+vectors lies. The threshold is between the two: a vector as near as the last one wanted is missed
+with a chance of about 0.5 %, nearer ones with less, and most others are not verified.
 
 The largest inner product is the smallest distance once every vector gets one more
 component that brings all to one length, and queries get a zero there.
@@ -31,33 +34,35 @@ from pyspark.sql import functions as F
 from staffcast.llm.common import settle
 
 NEAREST = 20
-PROJECTIONS = 64
-#: Part of the projections in which a vector must collide to be verified.
-THRESHOLD = 0.6
-#: Half width of the first windows; projections have a standard deviation of one.
-FIRST_WIDTH = 0.6
-GROWTH = 1.2
-#: A vector at distance 1 collides with a chance of 0.75 in windows of this half width, and
-#: in fewer than ``THRESHOLD`` of the projections with a chance of 0.3 %.
-SURE = 1.15
-#: Verified vectors per part at which a search ends: some of the part and some of the wanted.
-VERIFIED_SHARE, VERIFIED_TIMES = 0.25, 8
+PROJECTIONS = 192
+#: Arrays and half width of the first windows, in standard deviations of the projections, and how
+#: many vectors are verified after them, as a multiple of those wanted.
+FIRST_PROJECTIONS, FIRST_WIDTH, FIRST_TIMES = 64, 1.2, 30
+#: Half width of the last windows, as a multiple of the distance of the last vector wanted.
+WIDEN = 1.35
+#: Part of the projections in which a vector must collide there to be verified.
+THRESHOLD = 0.755
 PART_ROWS = 1 << 14
-QUERY_BLOCK = 1 << 10
+QUERY_BLOCK = 1 << 13
 SEED = 5
 
 
 @dataclass
 class Part:
-    """The distinct vectors of one part with their sorted projections and smallest ids."""
+    """The distinct vectors of one part with their sorted projections and smallest ids.
+
+    ``values`` are the sorted arrays, ``ranks`` the places of the vectors in them: a vector is in
+    a window if its place lies between those where the window starts and ends.
+    """
 
     ids: list[np.ndarray]
     vectors: np.ndarray
     longest: float
     directions: np.ndarray
-    order: np.ndarray
+    ranks: np.ndarray
     values: np.ndarray
     lift: np.ndarray
+    verified: int = 0
 
     @classmethod
     def build(cls, ids: list[np.ndarray], vectors: np.ndarray, longest: float) -> Part:
@@ -66,52 +71,57 @@ class Part:
         random = np.random.default_rng(SEED)
         directions = random.normal(size=(PROJECTIONS, vectors.shape[1] + 1))
         values = directions @ np.c_[scaled, rest].T
-        order = values.argsort(axis=1, kind="stable")
+        n = len(ids)
+        ranks = np.empty(values.shape, np.uint16 if n < 1 << 16 else np.uint32)
+        for row, own in zip(values, ranks):
+            own[np.argsort(row, kind="stable")] = np.arange(n, dtype=ranks.dtype)
+        values.sort(axis=1)
         # All arrays in one, each lifted above the one before it, for a search in a single call.
         lift = 2 * (np.abs(directions).sum(axis=1).max() + 1) * np.arange(PROJECTIONS)
-        lifted = np.take_along_axis(values, order, axis=1) + lift[:, None]
-        return cls(ids, vectors, longest or 1.0, directions, order.ravel(), lifted.ravel(), lift)
+        return cls(ids, vectors, longest or 1.0, directions, ranks, (values + lift[:, None]).ravel(), lift)
+
+    def collisions(self, own: np.ndarray, width: float, arrays: int = PROJECTIONS) -> np.ndarray:
+        """In how many windows of this half width around the query each vector lies."""
+        n = len(self.ids)
+        own, starts = own[:arrays], np.arange(arrays) * n
+        low = np.clip(np.searchsorted(self.values, own - width) - starts, 0, n)
+        sizes = np.clip(np.searchsorted(self.values, own + width, "right") - starts, 0, n) - low
+        counts = np.zeros(n, np.uint8 if arrays < 256 else np.uint16)
+        place, inside = np.empty(n, self.ranks.dtype), np.empty(n, bool)
+        for ranks, first, size in zip(self.ranks, low.astype(place.dtype), sizes.astype(place.dtype)):
+            # Places below the first one wrap around to very large ones.
+            np.subtract(ranks, first, out=place)
+            np.less(place, size, out=inside)
+            np.add(counts, inside.view(np.uint8), out=counts)
+        return counts
 
     def nearest(self, query_id: int, query: np.ndarray, count: int) -> list[tuple[int, float]]:
         """(id, product) of the best found, best first, without the query's own id."""
         n = len(self.ids)
-        enough = VERIFIED_TIMES * count + int(VERIFIED_SHARE * n)
-        needed = int(np.ceil(THRESHOLD * PROJECTIONS))
         length = np.linalg.norm(query) or 1.0
         own = self.directions[:, :-1] @ (query / length) + self.lift
-        first, last = np.arange(PROJECTIONS) * n, np.arange(1, PROJECTIONS + 1) * n
-        collisions = np.zeros(n, np.int64)
-        scores, verified = np.empty(n), np.zeros(n, bool)
-        low = high = None
-        width = FIRST_WIDTH
-        while True:
-            new_low = np.clip(np.searchsorted(self.values, own - width), first, last)
-            new_high = np.clip(np.searchsorted(self.values, own + width, "right"), first, last)
-            if low is None:
-                fresh = zip(new_low.tolist(), new_high.tolist(), strict=True)
-            else:
-                fresh = zip([*new_low.tolist(), *high.tolist()], [*low.tolist(), *new_high.tolist()], strict=True)
-            collisions += np.bincount(np.concatenate([self.order[a:b] for a, b in fresh]), minlength=n)
-            low, high = new_low, new_high
-            crossed = collisions >= needed
-            found = np.flatnonzero(crossed)
-            if len(found) >= enough or len(found) == n:
-                new = np.flatnonzero(crossed & ~verified)
-                # Row by row in one order, so that a product is the same in every part.
-                scores[new] = (self.vectors[new] * query).sum(axis=1)
-                verified = crossed
-                if len(found) == n:
-                    break
-                # One more than wanted, since one may be the query itself.
-                worst = np.partition(scores[found], len(found) - count - 1)[len(found) - count - 1]
-                if width >= SURE * np.sqrt(max(0.0, 2 - 2 * worst / (length * self.longest))):
-                    break
-            width *= GROWTH
-        if len(found) > count + 1:
-            edge = np.partition(scores[found], len(found) - count - 1)[len(found) - count - 1]
-            found = found[scores[found] >= edge]
+        # One more than wanted, since one may be the query itself.
+        wanted = min(n, count + 1)
+        first = min(n, FIRST_TIMES * wanted)
+        found = np.arange(n)
+        if first < n:
+            often = self.collisions(own, FIRST_WIDTH, FIRST_PROJECTIONS)
+            found = np.argpartition(often, n - first)[n - first:]
+        products = self.vectors[found] @ query
+        if first < n:
+            worst = np.partition(products, first - wanted)[first - wanted]
+            width = WIDEN * np.sqrt(max(0.0, 2 - 2 * worst / (length * self.longest)))
+            crossed = self.collisions(own, width) >= THRESHOLD * PROJECTIONS
+            crossed[found] = False
+            new = np.flatnonzero(crossed)
+            found, products = np.r_[found, new], np.r_[products, self.vectors[new] @ query]
+        self.verified += len(found)
+        edge = np.partition(products, len(found) - wanted)[len(found) - wanted]
+        found = found[products >= edge - 1e-9 * (abs(edge) + length * self.longest)]
+        # Row by row in one order, so that a product is the same in every part.
+        scores = (self.vectors[found] * query).sum(axis=1)
         ids = np.concatenate([np.empty(0, np.int64), *[self.ids[i] for i in found]])
-        products = np.repeat(scores[found], [len(self.ids[i]) for i in found])
+        products = np.repeat(scores, [len(self.ids[i]) for i in found])
         ids, products = ids[ids != query_id], products[ids != query_id]
         best = np.lexsort((ids, -products))[:count]
         return [(int(ids[i]), float(products[i])) for i in best]

@@ -38,6 +38,25 @@ def test_recall_and_scores(spark):
         assert r.score == pytest.approx(float(vectors[r.query_id] @ vectors[r.vec_id]), abs=1e-12)
 
 
+@pytest.mark.parametrize("n", [8_000, 16_000, 32_000])
+def test_few_vectors_are_verified(n, capsys):
+    """Recall and the share of verified vectors, for random vectors of one length."""
+    draw = np.random.default_rng(n)
+    vectors = draw.normal(size=(n, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    part = search.Part.build([np.array([i]) for i in range(n)], vectors, 1.0)
+    hits = []
+    for q in range(0, n, n // 50):
+        got = {i for i, _ in part.nearest(q, vectors[q], 20)}
+        products = vectors @ vectors[q]
+        products[q] = -2
+        hits.append(len(got & set(np.argsort(-products)[:20].tolist())) / 20)
+    share = part.verified / (len(hits) * n)
+    with capsys.disabled():
+        print(f"[{n} vectors: recall {np.mean(hits):.3f}, verified {share:.3f}]", end=" ")
+    assert np.mean(hits) >= 0.95 and share < 0.42
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, id string, part int, v string")
 
@@ -45,7 +64,7 @@ def frame(spark, rows):
 def test_parts_and_blocks_find_the_same(spark, monkeypatch):
     draw = np.random.default_rng(3)
     rows = [(i, draw.normal(size=8).tolist(), "x", 1, "y") for i in range(400)]
-    monkeypatch.setattr(search, "VERIFIED_SHARE", 1.0)
+    monkeypatch.setattr(search, "THRESHOLD", 0.0)
     monkeypatch.setattr(search, "PART_ROWS", 90)
     monkeypatch.setattr(search, "QUERY_BLOCK", 7)
     got = found(search.nearest(frame(spark, rows), F.col("id") % 20 == 0, count=5))
