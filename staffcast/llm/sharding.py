@@ -24,8 +24,10 @@ from staffcast.llm.common import literal_table, settle
 KEY_BITS = 60
 ROW_BITS = 60
 DIGIT_BITS = 12
-#: Rows of a shard are numbered in pieces of about so many rows.
+#: Rows of a shard are numbered in pieces of about so many rows. A piece of more than ``HOT_TIMES``
+#: as many holds a key that very many rows share, and is cut by key and settled partition.
 PIECE_ROWS = 1 << 16
+HOT_TIMES = 4
 
 
 @dataclass(frozen=True)
@@ -157,26 +159,45 @@ def shard_rows(
     """The rows with columns ``shard`` and ``slot``, shards nearly equal in summed ``size``.
 
     A shard is a range of the sort key; ``slot`` numbers its rows from 0 in the order of
-    the key. The numbering works on pieces of a shard, so no task gets a whole shard.
-    Rows are settled once, since rows equal in all key columns are told apart by their
-    place. Columns of the rows named ``shard`` or ``slot`` are replaced.
+    the key. The numbering works on pieces of a shard, so no task gets a whole shard, nor
+    all rows of one key. Rows are settled once, since rows equal in all key columns are told apart
+    by their place. Columns of the rows named ``shard`` or ``slot`` are replaced; all others come
+    through whatever their names.
     """
-    rows = rows.drop("shard", "slot", "_key", "_row", "_size")
-    names = rows.columns
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    placed = rows.withColumns({"_key": sort_key(key_columns), "_size": size})
+    names = [c for c in rows.columns if c not in ("shard", "slot")]
     # Partition and place of a row: 24 bits and 36 bits.
     place = F.monotonically_increasing_id()
     parts = F.shiftleft(F.shiftright(place, 33), 36) + place.bitwiseAND((1 << 33) - 1)
-    placed = settle(placed.withColumn("_row", parts), "placed")
+    placed = settle(
+        rows.select(
+            F.struct(*[F.col(f"`{c}`") for c in names]).alias("_kept"),
+            sort_key(key_columns).alias("_key"), size.alias("_size"), parts.alias("_row"),
+        ),
+        "placed",
+    )
     sizes = placed.select("_key", "_row", "_size")
     count, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     bounds = [s.bound for s in find_splitters(sizes, shards, total, tolerance)] if count else []
     bits = min(KEY_BITS, max(0, (count // PIECE_ROWS).bit_length() + 3))
-    piece = F.shiftright("_key", KEY_BITS - bits)
-    marks = {"shard": _shard_of(bounds), "_piece": piece}
-    counted = sizes.withColumns(marks).groupBy("shard", "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    prefix = F.shiftright("_key", KEY_BITS - bits)
+    large = settle(
+        sizes.groupBy(prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > HOT_TIMES * PIECE_ROWS).select("_prefix", F.lit(True).alias("_large")),
+        "large_pieces",
+    )
+
+    def in_pieces(keyed: DataFrame) -> DataFrame:
+        """The rows with shard and piece; pieces are ranges in the order of the sort key."""
+        marked = keyed.withColumn("_prefix", prefix).join(large, "_prefix", "left")
+        cut = [
+            F.when(F.col("_large"), value).otherwise(0).alias(name)
+            for name, value in (("key", F.col("_key")), ("part", F.shiftright("_row", 36)))
+        ]
+        return marked.withColumns({"shard": _shard_of(bounds), "_piece": F.struct("_prefix", *cut)})
+
+    counted = in_pieces(sizes).groupBy("shard", "_piece").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("shard").orderBy("_piece").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -184,9 +205,6 @@ def shard_rows(
         "shard", "_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
     )
     in_piece = Window.partitionBy("shard", "_piece").orderBy("_key", "_row")
-    numbered = placed.withColumns(marks).withColumn("_no", F.row_number().over(in_piece) - 1)
-    return numbered.join(offsets, ["shard", "_piece"]).select(
-        *[F.col(f"`{c}`") for c in names],
-        "shard",
-        (F.col("_offset") + F.col("_no")).alias("slot"),
-    )
+    numbered = in_pieces(placed).withColumn("_no", F.row_number().over(in_piece) - 1)
+    slot = (F.col("_offset") + F.col("_no")).alias("slot")
+    return numbered.join(offsets, ["shard", "_piece"]).select("_kept.*", "shard", slot)

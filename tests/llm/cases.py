@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 LONG = "lorem ipsum " * 40_000
+#: Names that operators use for their own columns.
+CLASHING = (
+    "_key", "_row", "_size", "_offset", "_piece", "_prefix", "_large", "_no", "_source", "_from", "_rate", "_cdf",
+    "_pieces", "_own", "_digest", "_place", "_number", "_at", "_kept", "_drawn_by", "_doc", "_n", "copy", "rate", "id",
+    "part", "fails", "n", "component_id", "shuffle_key", "named", "hashed", "word",
+)
 SCHEMA = (
     "doc_id bigint, text string, lang string, source string, n_chars bigint, shard int, slot string, "
-    "fp string, component string, items string, copies string, score string, training string, key string, row string"
+    "fp string, component string, items string, copies string, score string, training string, key string, row string, "
+    + ", ".join(f"{c} string" for c in CLASHING)
 )
 
 
@@ -23,7 +30,7 @@ def awkward(spark, copies: int = 3):
         (7, "THE cat SAT on the mat and looked at the dog", "en", "c"),
         (8, "éèê ñ ß 漢字", "fr", "c"),
     ]
-    rows = [(i, t, la, s, len(t) if t else None, 1, "x", "y", "z", "w", "v", "u", "t", "k", "r") for i, t, la, s in texts]
+    rows = [(i, t, la, s, len(t) if t else None, 1, "x", "y", "z", "w", "v", "u", "t", "k", "r", *CLASHING) for i, t, la, s in texts]
     return spark.createDataFrame(rows * copies, SCHEMA)
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 from cases import awkward, empty
 from pyspark.sql import functions as F
 
+from staffcast.llm import sharding
 from staffcast.llm.sharding import shard_rows, text_bytes
 
 
@@ -63,3 +64,42 @@ def test_awkward_rows(spark):
         own = sorted(r.slot for r in rows if r.shard == s)
         assert own == list(range(len(own)))
     assert shard_rows(empty(spark), text_bytes("text"), ["doc_id"]).collect() == []
+
+
+def test_a_hot_key_is_numbered_in_pieces(spark, monkeypatch):
+    """A third of the rows without a key, a third with one: no piece holds all of a key."""
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 64)
+    df = spark.range(0, 12_000, 1, 16).selectExpr(
+        "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN -1 ELSE id END AS doc_id", "id % 7 + 1 AS size"
+    )
+    numbered = {}
+    kind = type(df)
+    with_column = kind.withColumn
+
+    def seen(self, name, column):
+        out = with_column(self, name, column)
+        if name == "_no":
+            numbered["rows"] = out.groupBy("shard", "_piece").count().agg(F.max("count")).first()[0]
+        return out
+
+    monkeypatch.setattr(kind, "withColumn", seen)
+    rows = shard_rows(df, F.col("size"), ["doc_id"], 5).collect()
+    assert numbered["rows"] <= 12_000 / 16
+    assert len(rows) == 12_000
+    by_shard = {s: sorted(r.slot for r in rows if r.shard == s) for s in range(5)}
+    assert all(slots == list(range(len(slots))) for slots in by_shard.values())
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 7
+    # Slots follow the order of the keys within a shard.
+    for s in range(5):
+        order = [number_of("null" if r.doc_id is None else str(r.doc_id)) for r in sorted(rows, key=lambda r: r.slot) if r.shard == s]
+        assert order == sorted(order)
+
+
+def test_clashing_columns_come_through(spark):
+    docs = awkward(spark)
+    got = shard_rows(docs, text_bytes("text"), ["doc_id"], 2)
+    names = [c for c in docs.columns if c not in ("shard", "slot")]
+    assert Counter(map(tuple, got.select(names).collect())) == Counter(map(tuple, docs.select(names).collect()))
