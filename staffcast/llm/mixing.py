@@ -78,9 +78,15 @@ def told_apart(docs: DataFrame, name: str, key: str = "doc_id", text: str = "tex
     are counted within the partitions of the settled rows and go on from one to the next,
     so no task gets all of many equal rows.
     """
+    if name in docs.columns:
+        raise ValueError(f"the documents have a column {name}")
     own, part = F.col(f"`{key}`").cast("string"), F.shiftright("_place", 33)
-    digest = F.md5(F.to_json(F.struct(own, F.col(f"`{source}`"), F.col(f"`{text}`"))))
-    placed = docs.withColumns({"_place": F.monotonically_increasing_id(), "_own": own, "_digest": digest})
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in (key, source, text)]
+    digest = F.md5(F.concat_ws("/", *[F.length(p).cast("string") for p in parts], *parts))
+    placed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_kept"),
+        F.monotonically_increasing_id().alias("_place"), own.alias("_own"), digest.alias("_digest"),
+    )
     placed = settle(placed, "places")
     shared = placed.where("_own IS NOT NULL").groupBy("_own").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     rows = placed.select("_place", "_own", "_digest")
@@ -96,7 +102,7 @@ def told_apart(docs: DataFrame, name: str, key: str = "doc_id", text: str = "tex
     apart = F.concat_ws("/", F.coalesce("_own", F.lit("null")), "_digest", F.col("_number").cast("string"))
     drawn = F.when(F.col("_number").isNull(), F.col("_own")).otherwise(apart)
     joined = placed.join(numbered, F.col("_place") == F.col("_at"), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], drawn.alias(name))
+    return joined.select("_kept.*", drawn.alias(name))
 
 
 def replicated(
@@ -111,22 +117,25 @@ def replicated(
     """
     names = [c for c in docs.columns if c not in ADDED]
     rates = settle(source_rates(docs, source, text, weights), "rates")
-    own = F.col(f"`{key}`")
-    joined = docs.select(*[f"`{c}`" for c in names]).join(
-        rates, F.col(f"`{source}`").eqNullSafe(F.col("_source")), "left"
+    # The documents are one column meanwhile, so their names cannot clash with others.
+    held = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_kept"),
+        F.col(f"`{key}`").alias("_own"), F.col(f"`{source}`").alias("_from"),
     )
+    joined = held.join(rates, F.col("_from").eqNullSafe(F.col("_source")), "left")
     points = F.transform(
-        F.sequence(F.lit(0), F.col("_pieces") - 1), lambda i: uniform(F.lit(seed), own, i)
+        F.sequence(F.lit(0), F.col("_pieces") - 1), lambda i: uniform(F.lit(seed), F.col("_own"), i)
     )
     drawn = F.aggregate(
         points, F.lit(0), lambda n, u: n + F.size(F.filter("_cdf", lambda c: c <= u))
     )
     counted = joined.withColumn("copies", drawn).where("copies > 0")
     copies = counted.select(
-        *[f"`{c}`" for c in names], "copies", F.col("_rate").alias("rate"),
+        "_kept", "_own", "copies", F.col("_rate").alias("rate"),
         F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"),
     )
-    return copies.withColumn("shuffle_key", uniform(F.lit(seed), F.lit("order"), own, F.col("copy")))
+    shuffle_key = uniform(F.lit(seed), F.lit("order"), F.col("_own"), F.col("copy"))
+    return copies.select("_kept.*", "copies", "rate", "copy", shuffle_key.alias("shuffle_key"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -227,15 +227,17 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     The texts are filtered by the keys of what goes, which are fewer than the documents;
     only the rows of keys that occur more than once are grouped.
     """
+    found = near_copies(docs, key, text)
     own = F.col(f"`{key}`")
-    found = near_copies(docs, key, text).where(own.isNotNull())
-    marked = found.groupBy(own.alias("_key")).agg(
+    marked = found.where(own.isNotNull()).groupBy(own.alias("_key")).agg(
         F.count(F.lit(1)).alias("_n"), F.max(own.eqNullSafe(F.col("component"))).alias("_kept")
     )
     other = settle(marked.where("_n > 1 OR NOT _kept"), "copies")
-    single = docs.join(other.select("_key"), own == F.col("_key"), "left_anti")
+    # The documents are one column meanwhile, so their names cannot clash with others.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), own.alias("_own"))
+    single = held.join(other.select("_key"), F.col("_own") == F.col("_key"), "left_anti")
     again = other.where("_n > 1 AND _kept").select("_key")
-    firsts = docs.join(again, own == F.col("_key"), "left_semi").groupBy(own.alias("_key")).agg(
-        F.min_by(F.struct("*"), F.struct(text, *docs.columns)).alias("_row")
+    firsts = held.join(again, F.col("_own") == F.col("_key"), "left_semi").groupBy("_own").agg(
+        F.min_by("_row", F.struct(F.col("_row").getField(text), F.col("_row"))).alias("_row")
     )
-    return single.unionByName(firsts.select("_row.*"))
+    return single.select("_row.*").unionByName(firsts.select("_row.*"))

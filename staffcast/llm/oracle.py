@@ -104,12 +104,21 @@ WITH RECURSIVE sizes AS (
     SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS below FROM pieces
     UNION ALL
     SELECT source, mean, k + 1, p * mean / (k + 1), below + p * mean / (k + 1) FROM cdf WHERE k < 63
+), told AS (
+    SELECT *, md5(concat_ws('/', length(coalesce(doc_id::VARCHAR, 'null')), length(coalesce(source, 'null')),
+        length(coalesce(text, 'null')), coalesce(doc_id::VARCHAR, 'null'), coalesce(source, 'null'),
+        coalesce(text, 'null'))) AS digest
+    FROM documents
 ), numbered AS (
-    SELECT row_number() OVER () AS r, * FROM documents
+    SELECT row_number() OVER () AS r, * EXCLUDE (digest),
+        CASE WHEN doc_id IS NOT NULL AND count(*) OVER (PARTITION BY doc_id) = 1 THEN doc_id::VARCHAR
+        ELSE concat_ws('/', coalesce(doc_id::VARCHAR, 'null'), digest,
+            (row_number() OVER (PARTITION BY digest) - 1)::VARCHAR) END AS drawn_by
+    FROM told
 ), points AS (
-    SELECT r, source, rate, ('0x' || substr(md5(concat_ws('/', '17', coalesce(doc_id::VARCHAR, 'null'),
-        i::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0 AS u
-    FROM (SELECT r, doc_id, d.source, rate, unnest(range(n)) AS i
+    SELECT r, source, rate, ('0x' || substr(md5(concat_ws('/', '17', drawn_by, i::VARCHAR)), 1, 13))::BIGINT
+        / 4503599627370496.0 AS u
+    FROM (SELECT r, drawn_by, d.source, rate, unnest(range(n)) AS i
           FROM numbered d JOIN pieces p ON d.source IS NOT DISTINCT FROM p.source)
 ), drawn AS (
     SELECT r, any_value(rate) AS rate, count(k)::INTEGER AS copies
@@ -117,8 +126,8 @@ WITH RECURSIVE sizes AS (
     GROUP BY r
 )
 SELECT doc_id, text, lang, source, n_chars, copies, round(rate, 6) AS rate, copy::INTEGER AS copy,
-    ('0x' || substr(md5(concat_ws('/', '17', 'order', coalesce(doc_id::VARCHAR, 'null'), copy::VARCHAR)),
-        1, 13))::BIGINT / 4503599627370496.0 AS shuffle_key
+    ('0x' || substr(md5(concat_ws('/', '17', 'order', drawn_by, copy::VARCHAR)), 1, 13))::BIGINT
+        / 4503599627370496.0 AS shuffle_key
 FROM (SELECT *, unnest(range(copies)) AS copy FROM numbered JOIN drawn USING (r) WHERE copies > 0)
 """
 

@@ -107,8 +107,13 @@ def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, repeated to the target weights of their sources and shuffled."""
-    return mixing.mixed(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
+    """The documents, repeated to the target weights of their sources and shuffled.
+
+    Documents without an id or with a shared one draw each for itself.
+    """
+    docs = mixing.told_apart(table(spark, sf_dir, "documents"), "drawn_by")
+    found = mixing.mixed(docs, key="drawn_by").withColumn("rate", F.round("rate", 6))
+    return found.drop("drawn_by")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
