@@ -38,8 +38,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     # Columns named like those of the operator are kept under another name meanwhile.
     kept = {c: f"_kept_{c}" if c in mixing.ADDED else c for c in docs.columns}
-    drawn = mixing.told_apart(docs.withColumnsRenamed(kept), "_drawn_by")
-    mixed = mixing.mixed(drawn, key="_drawn_by")
+    drawn_by = "_drawn_by"
+    while drawn_by in kept.values():
+        drawn_by += "_"
+    drawn = mixing.told_apart(docs.withColumnsRenamed(kept), drawn_by)
+    mixed = mixing.mixed(drawn, key=drawn_by)
     return mixed.select(*[F.col(f"`{own}`").alias(c) for c, own in kept.items()])
 
 
