@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staffcast import schemas
 from staffcast_checks import fixture
 from staffcast.functions import calendar, numeric
 from staffcast.operators import allocation, hours, life, planning, projects, rates
 from staffcast.operators.spread import at_once, place, settle, settle_together
 from staffcast.plans import monthly, records, report
 from staffcast.plans.life import life_report
+from staffcast.sources import readers, writers
 from staffcast.sources.readers import parse_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,6 +367,30 @@ def project_list(spark: SparkSession, sf: str) -> DataFrame:
     return projects.parse_project_lines(fixture.project_lines(spark, sf)).drop("line")
 
 
+def project_list_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The project list written as a text file and read line by line."""
+    path = place(spark, "project_list")
+    fixture.project_lines(spark, sf).write.text(path)
+    return readers.read_project_list(spark, path).drop("line")
+
+
+def headcount_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Head count by unit and project, from a sheet that was written with a header and read again.
+
+    A sheet does not tell blank text from missing text, which is taken as blank.
+    """
+    path = place(spark, "headcount_sheet")
+    raw = fixture.plan_headcount(spark, sf).withColumns({
+        "Serial": F.col("scenario_id").cast("string"), "savetime": F.lit("2022/3/4 10:20"), "UserId": F.lit("001"),
+    })
+    writers.write_sheet(raw.select(*schemas.HEADCOUNT_FILE.names), path)
+    keys = ["div", "deptid", "project_code", "project_name", "sub_job_family"]
+    return readers.read_headcount_csv(spark, path).fillna("", keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.expr(f"{numeric.lenient_sum(numeric.parse_number('HC'))} AS hc"),
+    )
+
+
 def list_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """Log of the lines of the project list that are left out of the batch."""
     lines = projects.parse_project_lines(fixture.project_lines(spark, sf))
@@ -437,7 +463,7 @@ QUERIES: dict[str, Query] = {
         allocation_share, project_what_if_function, project_what_if_department,
         scenario_batch, scenario_batch_additive, project_list_batch, report_records,
         project_month_profile, life_pivot, life_statistics, life_sheet, project_load,
-        project_load_user, project_list, purge_user, list_rejects, request_batch,
+        project_load_user, project_list, project_list_file, headcount_file, purge_user, list_rejects, request_batch,
         request_rejects, life_months, tidy_allocation, tidy_department_outlook,
     )
 }

@@ -524,12 +524,17 @@ _QUERIES: dict[str, str] = {
                'Not a complete project line' AS error_msg, '2022-03-04 10:20' AS save_time,
                '001' AS user_id
         FROM part WHERE p_partkey % 20 IN (0, 7)""",
+    "headcount_file": """
+        SELECT div, deptid, project_code, project_name, sub_job_family, COUNT(*) AS rows,
+               COALESCE(SUM(HC), 0) AS hc
+        FROM hc_raw GROUP BY ALL""",
     "purge_user": """
         SELECT * FROM events
         WHERE user_id <> 8 OR user_id IS NULL""",
 }
 # The same rates, whatever way they are kept.
 _QUERIES["unit_rates_by_load"] = _QUERIES["unit_rates"]
+_QUERIES["project_list_file"] = _QUERIES["project_list"]
 
 _PERCENT = ", ".join(
     f"'{c}': {r(f'{c} * 100', 1)}" if c != "hc" else "'hc': hc"
