@@ -9,6 +9,7 @@ RENAMED_FUNCTION = "PV"
 RENAMED_NAME = "E4"
 
 INVALID_CODE_MESSAGE = "Invalid project code!!"
+UNKNOWN_UNIT_MESSAGE = "Not a known unit"
 
 
 def planning_function(code: str) -> str:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from staffcast.functions import calendar, codes, numeric
@@ -83,18 +84,79 @@ def headcount_plan(raw: DataFrame) -> DataFrame:
     )
 
 
-def active_titles(raw: DataFrame) -> DataFrame:
-    """Departments and functions for which a scenario plans head count above zero."""
-    return (
-        raw.where(f"{numeric.parse_number('HC')} > 0")
-        .groupBy("scenario_id")
-        .agg(
-            F.collect_set("deptid").alias("DEP"),
-            F.collect_set("sub_job_family").alias("SUB"),
-        )
+# Bits of a word of a set; the sign stays free.
+_WORD_BITS = 63
+TITLE_KINDS = ("DEP", "SUB")
+
+
+def asked_titles(raw: DataFrame) -> DataFrame:
+    """Departments and functions for which head count above zero is planned: (scenario_id, kind, title).
+
+    A row without a title keeps its scenario, with a missing title.
+    """
+    titles = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(name).alias("title"))
+        for kind, name in zip(TITLE_KINDS, ("deptid", "sub_job_family"))
+    ])
+    return raw.where(f"{numeric.parse_number('HC')} > 0").select("scenario_id", F.inline(titles))
+
+
+def title_numbers(titles: DataFrame) -> DataFrame:
+    """The distinct titles of each kind in order, numbered from 0: (kind, title, number).
+
+    Titles are those of units, so there are few of them however many scenarios ask.
+    """
+    distinct = titles.where("title IS NOT NULL").select("kind", "title").distinct()
+    place = F.row_number().over(W.partitionBy("kind").orderBy("title"))
+    return distinct.withColumn("number", place - 1)
+
+
+def active_titles(asked: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Departments and functions with planned head count, one row per scenario with two sets.
+
+    A set maps words to bits over the ``numbers`` of the known titles, so a scenario is a row
+    of bounded size however many rows it has. Titles that are not known are in no set; see
+    ``unknown_titles``.
+    """
+    word = F.expr(f"int(number DIV {_WORD_BITS})")
+    bits = (
+        asked.join(numbers, ["kind", "title"], "left")
+        .groupBy("scenario_id", "kind", word.alias("word"))
+        .agg(F.expr(f"bit_or(shiftleft(1L, int(number % {_WORD_BITS}))) AS bits"))
+    )
+    return bits.groupBy("scenario_id").agg(*[
+        F.expr(f"""map_from_entries(collect_list(struct(word, bits))
+            FILTER (WHERE kind = '{kind}' AND word IS NOT NULL)) AS {kind}""")
+        for kind in TITLE_KINDS
+    ])
+
+
+def titles_of(sets: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The sets of ``active_titles`` as sorted arrays of titles."""
+
+    known = {
+        f"all_{kind}": numbers.where(F.col("kind") == kind)
+        .agg(F.array_sort(F.collect_list(F.struct("number", "title")))).scalar()
+        for kind in TITLE_KINDS
+    }
+
+    def titles(kind: str) -> Column:
+        word = lambda t: F.floor(t["number"] / _WORD_BITS).cast("int")
+        bits = lambda t: F.coalesce(F.try_element_at(kind, word(t)), F.lit(0).cast("bigint"))
+        held = F.filter(f"all_{kind}", lambda t: F.getbit(bits(t), t["number"] % _WORD_BITS) == 1)
+        return F.transform(held, lambda t: t["title"])
+
+    return sets.withColumns(known).select(
+        "scenario_id", *[titles(kind).alias(kind) for kind in TITLE_KINDS]
     )
 
 
+def unknown_titles(asked: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Titles that scenarios plan head count for, but that are no known unit, once each."""
+    named = asked.where("title IS NOT NULL").distinct()
+    return named.join(numbers, ["kind", "title"], "left_anti").select("scenario_id", "kind", "title")
+
+
 def project_models(profile: DataFrame) -> DataFrame:
     """Effort of every profiled project, one row each."""
     return profile.groupBy("project_code").agg(

@@ -62,6 +62,15 @@ def refused_requests(
     )
 
 
+def unknown_units(
+    unknown: DataFrame, scenarios: DataFrame, save_time: dt.datetime | None = None
+) -> DataFrame:
+    """Log of the departments and functions with planned head count that are no unit."""
+    rows = unknown.join(scenarios.select("scenario_id", "user_id"), "scenario_id")
+    message = F.lit(codes.UNKNOWN_UNIT_MESSAGE)
+    return reject_log(rows, F.col("user_id"), message, ["scenario_id", "kind", "title"], save_time)
+
+
 def unreadable_requests(requests: DataFrame, save_time: dt.datetime | None = None) -> DataFrame:
     """Log of the requests that cannot be answered at all, with their whole text."""
     bad = requests.where("problem IS NOT NULL")

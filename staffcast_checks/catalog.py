@@ -78,11 +78,23 @@ def headcount_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def active_titles(spark: SparkSession, sf: str) -> DataFrame:
-    sets = planning.active_titles(fixture.plan_headcount(spark, sf))
-    return sets.select(
-        "scenario_id",
-        *[F.array_join(F.sort_array(c), ",").alias(c) for c in ("DEP", "SUB")],
+    """Every title that is asked for is known here: the numbers are made from the requests."""
+    asked = planning.asked_titles(fixture.plan_headcount(spark, sf))
+    numbers = settle(planning.title_numbers(asked), "titles")
+    sets = planning.titles_of(planning.active_titles(asked, numbers), numbers)
+    return sets.select("scenario_id", *[F.array_join(c, ",").alias(c) for c in ("DEP", "SUB")])
+
+
+def unknown_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Log of the planned departments and functions that have no rate."""
+    asked = planning.asked_titles(fixture.plan_headcount(spark, sf))
+    fact = fixture.recent_utilization(spark, sf)
+    units = fact.select(F.lit("DEP").alias("kind"), F.col("deptid").alias("title")).union(
+        fact.select(F.lit("SUB"), "sub_job_family")
     )
+    numbers = settle(planning.title_numbers(units), "titles")
+    unknown = planning.unknown_titles(asked, numbers)
+    return _logged(records.unknown_units(unknown, fixture.scenarios(spark, sf), _SAVED))
 
 
 def history_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -456,7 +468,7 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         function_rates, department_rates, unit_rates, unit_rates_by_load, project_profile, headcount_plan,
-        active_titles, history_report, history_report_function, history_report_department,
+        active_titles, unknown_titles, history_report, history_report_function, history_report_department,
         hc_what_if_function, hc_what_if_department, rate_report, plan_clean, plan_rejects,
         scenario_modes, reject_log, project_ratio, opening_hours, project_hours,
         start_proration, tidy_result, allocation_function, allocation_department,

@@ -524,6 +524,17 @@ _QUERIES: dict[str, str] = {
                'Not a complete project line' AS error_msg, '2022-03-04 10:20' AS save_time,
                '001' AS user_id
         FROM part WHERE p_partkey % 20 IN (0, 7)""",
+    "unknown_titles": """
+        SELECT '{"scenario_id":' || scenario_id || ',"kind":"' || kind || '","title":"' || title
+               || '"}' AS user_input,
+               'Not a known unit' AS error_msg, '2022-03-04 10:20' AS save_time, user_id
+        FROM (
+            SELECT DISTINCT scenario_id, 'DEP' AS kind, deptid AS title FROM hc_raw
+            WHERE HC > 0 AND deptid NOT IN (SELECT deptid FROM recent WHERE deptid IS NOT NULL)
+            UNION ALL
+            SELECT DISTINCT scenario_id, 'SUB', sub_job_family FROM hc_raw
+            WHERE HC > 0 AND sub_job_family NOT IN (SELECT sub_job_family FROM recent))
+        JOIN scenarios USING (scenario_id)""",
     "headcount_file": """
         SELECT div, deptid, project_code, project_name, sub_job_family, COUNT(*) AS rows,
                COALESCE(SUM(HC), 0) AS hc

@@ -300,3 +300,25 @@ def test_tidy_result(spark):
     )
     rate = spark.createDataFrame([("x", 0.5, 0.25)], "Title string, b_1 double, a_1 double")
     assert tuple(records.tidy_result(rate, "report", percent=True).first()) == ("x", 50.0, 25.0)
+
+
+def test_title_sets_are_bounded_rows(spark):
+    """A scenario with very many rows, more titles than a word has bits, unknown and missing titles."""
+    known = [f"D{i:03d}" for i in range(150)]
+    rows = [{"scenario_id": 1, "deptid": known[i * 7 % 150], "sub_job_family": "HW"} for i in range(400)]
+    rows += [
+        {"scenario_id": 2, "deptid": "D000"}, {"scenario_id": 2, "deptid": "D149", "HC": 0.0},
+        {"scenario_id": 2, "deptid": "nowhere"}, {"scenario_id": 3, "deptid": None, "sub_job_family": None},
+        {"scenario_id": 4, "HC": None}, {"scenario_id": 5, "deptid": "D063"}, {"scenario_id": 5, "deptid": "D062"},
+    ]
+    asked = planning.asked_titles(data.heads(spark, rows))
+    units = spark.createDataFrame([("DEP", t) for t in known] + [("SUB", "HW"), ("SUB", "RH"), ("DEP", None)], "kind string, title string")
+    numbers = settle(planning.title_numbers(units), "titles")
+    sets = planning.active_titles(asked, numbers)
+    assert max(len(r["DEP"]) for r in sets.collect()) == 3  # words, whatever the number of rows
+    got = {r["scenario_id"]: (r["DEP"], r["SUB"]) for r in planning.titles_of(sets, numbers).collect()}
+    assert got == {
+        1: (known, ["HW"]), 2: (["D000"], ["RH"]), 3: ([], []), 5: (["D062", "D063"], ["RH"]),
+    }
+    unknown = {tuple(r) for r in planning.unknown_titles(asked, numbers).collect()}
+    assert unknown == {(2, "DEP", "nowhere")}
