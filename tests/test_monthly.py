@@ -25,13 +25,12 @@ def company(spark, seed):
     return data.fact(spark, rows)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_months_added_one_by_one_equal_the_whole_fact(spark, tmp_path, seed):
-    fact = company(spark, seed).cache()
+def test_months_added_one_by_one_equal_the_whole_fact(spark, tmp_path):
+    fact = company(spark, 1).cache()
     path = str(tmp_path / "store")
-    for month in data.MONTHS[-4:]:
+    for month in data.MONTHS[-3:]:
         monthly.add_load(fact.where(F.col("date") == month), path, f"{month:%Y-%m}")
-        seen = fact.where((F.col("date") >= data.MONTHS[-4]) & (F.col("date") <= month))
+        seen = fact.where((F.col("date") >= data.MONTHS[-3]) & (F.col("date") <= month))
         assert rounded(monthly.rates_of_store(spark, path)) == rounded(rates.unit_rates(seen))
     fact.unpersist()
 
