@@ -99,6 +99,8 @@ def told_apart(docs: DataFrame, name: str, key: str = "doc_id", text: str = "tex
     numbered = rows.withColumn("_nth", nth).join(counts, ["_digest", "_part"]).select(
         F.col("_place").alias("_at"), (F.col("_before") + F.col("_nth")).alias("_number")
     )
+    # Settled, so that where few rows need a number the texts are not shuffled to get it.
+    numbered = settle(numbered, "numbers")
     apart = F.concat_ws("/", F.coalesce("_own", F.lit("null")), "_digest", F.col("_number").cast("string"))
     drawn = F.when(F.col("_number").isNull(), F.col("_own")).otherwise(apart)
     joined = placed.join(numbered, F.col("_place") == F.col("_at"), "left")
