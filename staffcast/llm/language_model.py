@@ -1,16 +1,20 @@
 """Log probabilities of texts from a hashed maximum-entropy model.
 
 A token's probability is that of its class given the tokens before it, times that of the
-token in its class. The class is a softmax over sums of hashed feature weights: the last
-token, the last two, and the token before the last alone (a skip). Features are hashed from
-the bytes of the tokens, so every token is a context of its own, however rare. Inside a class tokens
-have their counted shares, and the unseen token the share of tokens seen once.
+token in its class given the same tokens. The class is a softmax over sums of hashed feature
+weights: the last token, the last two, and the token before the last alone (a skip). Features are
+hashed from the bytes of the tokens, so every token is a context of its own, however rare.
+
+Inside a class the token is found by binary decisions down a Huffman tree, each a logistic model
+of the same features, hashed together with the place in the tree, that starts from the counts.
+The most frequent tokens, ``LEARNED`` at most, are leaves; all others of a class, and those seen
+once, share one leaf, in which they have counted shares, and the unseen token that of tokens seen once.
 
 Counts are taken over all training texts. The most frequent tokens, ``HEAD`` at most, are
 sent to all tasks; all others are joined to their counts by Spark, exactly. The most
 frequent few are classes of their own, the rest are classed by their last two bytes.
 
-Weights are trained by distributed gradient updates over all training texts: in each of
+All weights are trained by distributed gradient updates over all training texts: in each of
 ``ROUNDS`` rounds every task takes the texts of that round in its partition in small
 batches from the common weights, and the changes of all tasks are averaged, each bucket
 weighted by its use.
@@ -18,6 +22,8 @@ weighted by its use.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -34,16 +40,24 @@ from staffcast.llm.common import lower_words, settle, utf8
 
 #: Tokens sent to all tasks with their counts, at most.
 HEAD = 1 << 18
-OWN_CLASSES = 36
-SUFFIX_CLASSES = 28
+OWN_CLASSES = 8
+SUFFIX_CLASSES = 8
 CLASSES = OWN_CLASSES + SUFFIX_CLASSES
 #: Buckets of each kind of feature: last token, last two, token before the last.
 BUCKETS = (1 << 12, 1 << 13, 1 << 12)
+#: Tokens that are leaves of the trees, at most.
+LEARNED = 1 << 16
+#: Bits of a hashed weight's number in the table of all decisions.
+INSIDE_BITS = 18
 ROUNDS = 2
 RATE = 0.3
-BATCH_TOKENS = 1 << 13
+#: The same for the decisions inside a class, and what their Adagrad starts from.
+INSIDE_RATE, INSIDE_START = 0.1, 1.0
+BATCH_TOKENS = 1 << 14
 #: Distinct tokens that a task counts before it passes them on.
 COUNTED = 1 << 16
+#: Bound of summed weights, so that their exponentials and the sums of these are finite.
+FARTHEST = 60
 #: The end of a text as a token; no word is empty.
 END = b""
 #: Buckets that travel together when changes are averaged.
@@ -98,6 +112,16 @@ class Vocabulary:
     unseen: np.ndarray
     tokens: int
     distinct: int
+    #: Leaf of every symbol: 0 for a class of its own, then what is left of the suffix classes, then
+    #: the learned tokens. The decisions of leaf i are those from ``starts[i]`` to ``starts[i + 1]``:
+    #: the node, and 1 or -1 for the side. ``odds`` are the counted log odds of the nodes.
+    leaves: np.ndarray | None = None
+    starts: np.ndarray | None = None
+    nodes: np.ndarray | None = None
+    sides: np.ndarray | None = None
+    odds: np.ndarray | None = None
+    #: What the leaves of the suffix classes hold, with the unseen token.
+    rest: np.ndarray | None = None
 
     @property
     def before(self) -> int:
@@ -128,18 +152,55 @@ class Vocabulary:
             yield np.concatenate(parts), np.concatenate(marks), others
 
 
+def huffman(groups: list[list[tuple[int, float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``starts``, ``nodes``, ``sides`` and ``odds`` of a tree for each group of (leaf, what it holds).
+
+    The leaves of all groups are numbered from 1, without gaps; leaf 0 has no decisions.
+    """
+    n_leaves = 1 + sum(map(len, groups))
+    # Places below ``n_leaves`` are leaves, the others nodes.
+    above, side = np.full(2 * n_leaves, -1, np.int64), np.zeros(2 * n_leaves, np.int8)
+    odds = []
+    for group in groups:
+        heap = [(held, leaf) for leaf, held in group]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (less, a), (more, b) = heapq.heappop(heap), heapq.heappop(heap)
+            node = n_leaves + len(odds)
+            above[a], above[b], side[a], side[b] = node, node, -1, 1
+            odds.append(math.log(more / less))
+            heapq.heappush(heap, (less + more, node))
+    at = own = np.arange(n_leaves)
+    found = [(at[:0], at[:0], side[:0])]
+    while len(own := own[above[at] >= 0]):
+        at = at[above[at] >= 0]
+        found.append((own, above[at] - n_leaves, side[at]))
+        at = above[at]
+    leaf, nodes, sides = map(np.concatenate, zip(*found, strict=True))
+    order = np.argsort(leaf, kind="stable")
+    starts = np.r_[0, np.cumsum(np.bincount(leaf, minlength=n_leaves))]
+    return starts, nodes[order].astype(np.uint32), sides[order], np.array(odds, np.float32)
+
+
+def _least(sizes: list, most: int) -> int:
+    """The count from which there are no more than ``most`` tokens."""
+    least, held = 1 << 62, 0
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        held += r["tokens"]
+        if held > most:
+            break
+        least = r["least"]
+    return least
+
+
 def read_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     """The vocabulary, and the count from which tokens are in its head."""
     step = F.floor(F.log2("n") * STEPS).cast("int")
     sizes = counts.groupBy(step.alias("step")).agg(
         F.count(F.lit(1)).alias("tokens"), F.sum("n").alias("n"), F.min("n").alias("least")
     ).collect()
-    least, held = 1 << 62, 0
-    for r in sorted(sizes, key=lambda r: -r["step"]):
-        held += r["tokens"]
-        if held > HEAD:
-            break
-        least = r["least"]
+    learned_from = max(2, _least(sizes, LEARNED))
+    least = min(_least(sizes, HEAD), learned_from)
     # The classes of their own are the most frequent tokens, however many share the next count.
     most = counts.orderBy(F.desc("n"), "token").limit(OWN_CLASSES)
     frequent = {bytes(r["token"]): r["n"] for r in [*most.collect(), *counts.where(F.col("n") >= least).collect()]}
@@ -161,9 +222,20 @@ def read_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
         unseen[OWN_CLASSES + suffix_class(token)] -= head[i][0] == 1
     # A class by suffix always leaves something to a token never seen.
     unseen[OWN_CLASSES:] += 1
+    leaves, learned = np.array(classes) - OWN_CLASSES + 1, [[] for _ in range(SUFFIX_CLASSES)]
+    leaves[:len(own)] = 0
+    rest = (totals + unseen)[OWN_CLASSES:]
+    for i, (n, _) in enumerate(head):
+        if i >= OWN_CLASSES and n >= learned_from:
+            group = leaves[i] - 1
+            rest[group] -= n
+            learned[group].append((1 + SUFFIX_CLASSES + i - OWN_CLASSES, n))
+            leaves[i] = learned[group][-1][0]
+    trees = huffman([[(1 + g, held), *learned[g]] for g, held in enumerate(rest)])
     vocabulary = Vocabulary(
         numbers, np.array([*(crc32(t) for _, t in head), 0], np.int64), np.array([n for n, _ in head], np.int64), np.array(classes, np.int64), totals, unseen,
         sum(r["n"] for r in sizes), sum(r["tokens"] for r in sizes),
+        leaves, *trees, rest,
     )
     return vocabulary, least
 
@@ -183,14 +255,13 @@ def features(marks: list[np.ndarray], before: int) -> list[np.ndarray]:
 
 
 def class_sums(buckets: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
-    """Summed feature weights of every class, a row for each token, the largest zero."""
+    """Summed feature weights of every class, a row for each token, none beyond ``FARTHEST``."""
     bias, *tables = weights
     sums = tables[0].take(buckets[0], axis=0)
     for table, at in zip(tables[1:], buckets[1:], strict=True):
         sums += table.take(at, axis=0)
     sums += bias
-    sums -= sums.max(axis=1, keepdims=True)
-    return sums
+    return np.clip(sums, -FARTHEST, FARTHEST, out=sums)
 
 
 def class_scores(buckets: list[np.ndarray], weights: list[np.ndarray], own: np.ndarray) -> np.ndarray:
@@ -200,41 +271,101 @@ def class_scores(buckets: list[np.ndarray], weights: list[np.ndarray], own: np.n
     return chosen - np.log(np.exp(sums, out=sums).sum(axis=1))
 
 
+def decisions(
+    buckets: list[np.ndarray], leaves: np.ndarray, vocabulary: Vocabulary
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Number of decisions of each token; of every decision its node, its side and its weights."""
+    lengths = vocabulary.starts[leaves + 1] - vocabulary.starts[leaves]
+    ends = np.cumsum(lengths)
+    places = np.repeat(vocabulary.starts[leaves] - ends + lengths, lengths) + np.arange(ends[-1])
+    nodes = vocabulary.nodes[places]
+    marks = nodes * np.uint32(0x9E3779B1)
+    slots = []
+    for kind, bucket in enumerate(buckets):
+        own = (bucket * len(BUCKETS) + kind + 1).astype(np.uint32) * np.uint32(0x85EBCA6B)
+        mixed = np.repeat(own, lengths)
+        mixed ^= marks
+        mixed *= np.uint32(0xC2B2AE35)
+        mixed >>= np.uint32(32 - INSIDE_BITS)
+        slots.append(mixed.astype(np.int64))
+    return lengths, nodes, vocabulary.sides[places], slots
+
+
+def margins(nodes: np.ndarray, sides: np.ndarray, slots: list[np.ndarray], odds: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Log odds of every decision for the side that was taken."""
+    sums = odds[nodes]
+    table = weights[:, 0]
+    for at in slots:
+        sums += table.take(at)
+    sums *= sides
+    return np.clip(sums, -FARTHEST, FARTHEST, out=sums)
+
+
+def inside_scores(buckets: list[np.ndarray], leaves: np.ndarray, vocabulary: Vocabulary, weights: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each token's leaf in its class."""
+    lengths, nodes, sides, slots = decisions(buckets, leaves, vocabulary)
+    taken = margins(nodes, sides, slots, vocabulary.odds, weights)
+    np.negative(taken, out=taken)
+    np.exp(taken, out=taken)
+    taken += 1
+    np.log(taken, out=taken)
+    return -np.bincount(np.repeat(np.arange(len(leaves)), lengths), taken, len(leaves))
+
+
 class Learner:
-    """Adagrad on the cross entropy of classes, with the use of every bucket."""
+    """Adagrad on the cross entropy of classes and of decisions in them, with the use of every bucket.
+
+    The weights of the decisions, if any, are the last table.
+    """
 
     def __init__(self, weights: list[np.ndarray]):
         self.start = weights
         self.weights = [w.copy() for w in weights]
-        self.speed = [np.full_like(w, 1e-6) for w in weights]
+        self.speed = [np.full_like(w, INSIDE_START if t > len(BUCKETS) else 1e-6) for t, w in enumerate(weights)]
         self.used = [np.zeros(len(w), np.float32) for w in weights[1:]]
         self.tokens = 0
 
-    def learn(self, buckets: list[np.ndarray], classes: np.ndarray) -> None:
+    def learn(
+        self, buckets: list[np.ndarray], classes: np.ndarray,
+        leaves: np.ndarray | None = None, vocabulary: Vocabulary | None = None,
+    ) -> None:
         """Steps over about ``BATCH_TOKENS`` tokens each."""
         bounds = np.linspace(0, len(classes), max(1, round(len(classes) / BATCH_TOKENS)) + 1).astype(int)
         for first, last in zip(bounds[:-1], bounds[1:], strict=True):
             part = [b[first:last] for b in buckets]
             own = classes[first:last]
-            error = class_sums(part, self.weights)
+            error = class_sums(part, self.weights[:1 + len(BUCKETS)])
             np.exp(error, out=error)
             error /= error.sum(axis=1, keepdims=True)
             error[np.arange(len(own)), own] -= 1
             self._update(0, error.sum(axis=0))
             # Sums by bucket and class at once, over whole tables: quicker than the rows in use.
             flat, places = error.ravel().astype(np.float64), np.empty(error.shape, np.int64)
-            for t, (at, used) in enumerate(zip(part, self.used, strict=True)):
+            for t, (at, used) in enumerate(zip(part, self.used[:len(BUCKETS)], strict=True)):
                 np.add(at[:, None] * CLASSES, np.arange(CLASSES), out=places)
                 gradient = np.bincount(places.ravel(), flat, len(used) * CLASSES).astype(np.float32)
                 self._update(t + 1, gradient.reshape(-1, CLASSES))
                 used += np.bincount(at, minlength=len(used)).astype(np.float32)
             self.tokens += len(own)
+            if leaves is not None:
+                self._decide(part, leaves[first:last], vocabulary)
+
+    def _decide(self, buckets: list[np.ndarray], leaves: np.ndarray, vocabulary: Vocabulary) -> None:
+        _, nodes, sides, slots = decisions(buckets, leaves, vocabulary)
+        error = margins(nodes, sides, slots, vocabulary.odds, self.weights[-1])
+        np.exp(error, out=error)
+        error += 1
+        np.divide(sides, error, out=error)
+        gradient = -np.bincount(np.concatenate(slots), np.tile(error, len(slots)), len(self.weights[-1]))
+        self._update(len(self.weights) - 1, gradient.astype(np.float32)[:, None])
+        # The use of a decision's weight is what it has learned from, not how often it was asked.
+        self.used[-1] = self.speed[-1][:, 0] - INSIDE_START
 
     def _update(self, table: int, gradient: np.ndarray) -> None:
         """A step of Adagrad; where the gradient is zero nothing changes."""
         speed = self.speed[table]
         speed += gradient * gradient
-        gradient *= RATE
+        gradient *= INSIDE_RATE if table > len(BUCKETS) else RATE
         gradient /= np.sqrt(speed)
         self.weights[table] -= gradient
 
@@ -244,13 +375,18 @@ class Learner:
         yield -1, np.float32([self.tokens]).tobytes(), bias.astype(np.float32).tobytes()
         block = 0
         for new, old, used in zip(self.weights[1:], self.start[1:], self.used, strict=True):
-            for i in range(0, len(used), BLOCK):
-                use = used[i:i + BLOCK]
-                change = (new[i:i + BLOCK] - old[i:i + BLOCK]) * use[:, None]
+            step = block_rows(new)
+            for i in range(0, len(used), step):
+                use = used[i:i + step]
+                change = (new[i:i + step] - old[i:i + step]) * use[:, None]
                 yield block, use.tobytes(), change.astype(np.float32).tobytes()
                 block += 1
 
 
+def block_rows(table: np.ndarray) -> int:
+    return BLOCK * CLASSES // table.shape[1]
+
+
 def _groups(
     texts: Iterable[bytes], vocabulary: Vocabulary
 ) -> Iterator[tuple[list[np.ndarray], list[np.ndarray], list[list[bytes]]]]:
@@ -293,7 +429,9 @@ def train(docs: DataFrame, text: str, vocabulary_sent, weights: list[np.ndarray]
             learner = Learner(sent.value)
             texts = (t for batch in batches for t in utf8(batch.column(0)))
             for symbols, marks, _ in _groups(texts, vocabulary):
-                learner.learn(features(marks, vocabulary.before), vocabulary.classes[np.concatenate(symbols)])
+                flat = np.concatenate(symbols)
+                buckets = features(marks, vocabulary.before)
+                learner.learn(buckets, vocabulary.classes[flat], vocabulary.leaves[flat], vocabulary)
             if learner.tokens:
                 blocks, used, change = zip(*learner.changes(), strict=True)
                 share = [TaskContext.get().partitionId() % SHARES] * len(blocks)
@@ -323,9 +461,9 @@ def _moved(weights: list[np.ndarray], changes: list) -> list[np.ndarray]:
     moved, block = [weights[0] + bias / bias_used[0]], 0
     for table in weights[1:]:
         new = table.copy()
-        for i in range(0, len(table), BLOCK):
+        for i in range(0, len(table), step := block_rows(table)):
             used, change = blocks[block]
-            new[i:i + BLOCK] += change.reshape(-1, CLASSES) / np.maximum(used, 1)[:, None]
+            new[i:i + step] += change.reshape(len(used), -1) / np.where(used > 0, used, 1)[:, None]
             block += 1
         moved.append(new)
     return moved
@@ -350,6 +488,7 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
     share = vocabulary.totals + vocabulary.unseen
     bias = np.log(share / share.sum(), where=share > 0, out=np.full(CLASSES, -30.0)).astype(np.float32)
     weights = [bias, *[np.zeros((b, CLASSES), np.float32) for b in BUCKETS]]
+    weights.append(np.zeros((1 << INSIDE_BITS, 1), np.float32))
     turn = F.pmod(F.xxhash64(value), F.lit(ROUNDS))
     weights = train(learned, text, vocabulary_sent, weights, turn)
     sent = spark.sparkContext.broadcast(weights)
@@ -391,16 +530,18 @@ def score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
 
 
 def _token_scores(vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every symbol: whether it is known, its base score, and its score in its class.
+    """For every symbol: whether it is known, its base score, and its score in its leaf.
 
-    For tokens outside the head both lack the logarithm of the count.
+    For tokens outside the head both lack the logarithm of the count; a learned token has its leaf alone.
     """
     head = len(vocabulary.counts)
     counts = np.r_[vocabulary.counts, np.ones(SUFFIX_CLASSES)]
     space = vocabulary.tokens + vocabulary.distinct + 1
     base = np.log10(np.r_[vocabulary.counts + 1, np.ones(SUFFIX_CLASSES)]) - np.log10(space)
-    held = (vocabulary.totals + vocabulary.unseen)[vocabulary.classes]
-    return np.arange(head + SUFFIX_CLASSES) < head, base, np.log10(counts) - np.log10(held)
+    shared = (vocabulary.leaves > 0) & (vocabulary.leaves <= SUFFIX_CLASSES)
+    inside = np.zeros(len(counts))
+    inside[shared] = np.log10(counts[shared]) - np.log10(vocabulary.rest[vocabulary.leaves[shared] - 1])
+    return np.arange(head + SUFFIX_CLASSES) < head, base, inside
 
 
 def _scored(
@@ -411,11 +552,14 @@ def _scored(
     flat = np.concatenate(symbols)
     bounds = np.cumsum([0, *map(len, symbols)])
     buckets, classes = features(marks, vocabulary.before), vocabulary.classes[flat]
+    leaves = vocabulary.leaves[flat]
     model = np.empty(len(flat))
     for i in range(0, len(flat), BATCH_TOKENS):
         own = classes[i:i + BATCH_TOKENS]
         part = [b[i:i + BATCH_TOKENS] for b in buckets]
-        model[i:i + BATCH_TOKENS] = class_scores(part, weights, own) / np.log(10)
+        natural = class_scores(part, weights[:-1], own)
+        natural += inside_scores(part, leaves[i:i + BATCH_TOKENS], vocabulary, weights[-1])
+        model[i:i + BATCH_TOKENS] = natural / np.log(10)
     model += inside[flat]
     starts = bounds[:-1]
     rare_rows, tokens, times = [], [], []

@@ -112,3 +112,58 @@ def test_tokens_outside_the_head_are_contexts(spark, monkeypatch):
     vocabulary = lm.Vocabulary({}, np.zeros(1, np.int64), *[np.zeros(0)] * 4, 0, 0)
     [(symbols, marks, others)] = vocabulary.symbols([b"aing bing"])
     assert symbols[0] == symbols[1] and marks[0] != marks[1] and others == [b"aing", b"bing", b""]
+
+
+def test_decisions_in_a_class_are_a_distribution(spark, monkeypatch):
+    """After any context the leaves of a class have chances that add up to one, shares in a leaf too."""
+    monkeypatch.setattr(lm, "LEARNED", 40)
+    draw = np.random.default_rng(2)
+    texts = [" ".join(f"{chr(97 + i % 3)}{i}" for i in draw.geometric(0.02, 300)) for _ in range(4)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    counts = lm.count_tokens(docs, "text")
+    vocabulary, _ = lm.read_vocabulary(counts)
+    weights = draw.normal(size=(1 << lm.INSIDE_BITS, 1)).astype(np.float32)
+    inside = lm._token_scores(vocabulary)[2]
+    learned = shared = 0
+    for group in range(lm.SUFFIX_CLASSES):
+        c = lm.OWN_CLASSES + group
+        own = {t: i for t, i in vocabulary.numbers.items() if vocabulary.classes[i] == c}
+        leaves = np.array(sorted({1 + group, *(int(vocabulary.leaves[i]) for i in own.values())}))
+        buckets = [np.full(len(leaves), 7) for _ in lm.BUCKETS]
+        scores = lm.inside_scores(buckets, leaves, vocabulary, weights)
+        assert np.exp(scores).sum() == pytest.approx(1, abs=1e-4)
+        # Without weights the chance of every token is its counted share.
+        counted = dict(zip(leaves, lm.inside_scores(buckets, leaves, vocabulary, weights * 0), strict=True))
+        total = vocabulary.totals[c] + vocabulary.unseen[c]
+        for i in own.values():
+            share = counted[vocabulary.leaves[i]] / math.log(10) + inside[i]
+            assert share == pytest.approx(math.log10(vocabulary.counts[i] / total), abs=1e-4)
+        rest = [i for i in own.values() if vocabulary.leaves[i] == 1 + group]
+        assert 10 ** inside[rest].sum(initial=0) <= 1
+        in_rest = sum(10 ** inside[i] for i in rest) + vocabulary.unseen[c] / vocabulary.rest[group]
+        assert in_rest == pytest.approx(1)
+        learned, shared = learned + len(leaves) - 1, shared + len(rest)
+    assert 20 < learned <= 40 < shared
+
+
+def test_the_token_in_its_class_is_learned_from_its_context(spark):
+    """Two tokens of one class and one count: the one that follows the context is the likelier."""
+    filler = " ".join(f"w{i}x w{i}x w{i}x" for i in range(40))
+    docs = spark.createDataFrame([(0, f"{filler} pp kaab zz qq kbab zz pp kaab zz qq kbab zz")], "doc_id int, text string")
+    vocabulary, _ = lm.read_vocabulary(lm.count_tokens(docs, "text"))
+    [(symbols, marks, _)] = vocabulary.symbols([b"pp kaab zz qq kbab zz"])
+    buckets, classes = lm.features([marks], vocabulary.before), vocabulary.classes[symbols]
+    assert classes[1] == classes[4] >= lm.OWN_CLASSES and symbols[1] != symbols[4]
+    leaves = vocabulary.leaves[symbols]
+    start = [np.zeros(lm.CLASSES, np.float32)] + [np.zeros((b, lm.CLASSES), np.float32) for b in lm.BUCKETS]
+    learner = lm.Learner([*start, np.zeros((1 << lm.INSIDE_BITS, 1), np.float32)])
+    other = leaves[[0, 4, 2, 3, 1, 5, 6]]
+    before = lm.inside_scores(buckets, leaves, vocabulary, learner.weights[-1])
+    assert before == pytest.approx(lm.inside_scores(buckets, other, vocabulary, learner.weights[-1]))
+    for _ in range(200):
+        learner.learn(buckets, classes, leaves, vocabulary)
+    right, wrong = (lm.inside_scores(buckets, x, vocabulary, learner.weights[-1]) for x in (leaves, other))
+    assert all(right[[1, 4]] > math.log(0.9)) and all(wrong[[1, 4]] < math.log(0.1))
+    # The changes of one task move the common weights to its own.
+    moved = lm._moved(learner.start, [{"block": b, "used": u, "change": c} for b, u, c in learner.changes()])
+    assert all(new == pytest.approx(own, abs=1e-3) for new, own in zip(moved, learner.weights, strict=True))
