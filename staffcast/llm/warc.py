@@ -105,10 +105,11 @@ def write_archives(
     """
     captured = F.timestamp_seconds(F.lit(0)) if captured is None else captured
     size = F.coalesce(F.octet_length(F.col(f"`{payload}`")), F.lit(0)) + 600
-    mean = pages.agg(F.avg(size)).first()[0] or ARCHIVE_BYTES
-    rows = records(pages, key, url, payload, captured, least)
+    mean, total = pages.agg(F.avg(size), F.sum(size)).first()
+    # Small partitions share an archive; large ones are cut into several.
+    rows = records(pages, key, url, payload, captured, least).coalesce(max(1, -(-(total or 0) // ARCHIVE_BYTES)))
     rows.write.option("lineSep", GAP).option("compression", "gzip").option(
-        "maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / mean))
+        "maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (mean or ARCHIVE_BYTES)))
     ).text(path)
 
 
