@@ -89,10 +89,14 @@ def listing(projects: DataFrame, rates: DataFrame) -> DataFrame:
 
     ``projects`` are the settled factors and ``rates`` the settled function or department rates.
     """
-    units = rates.join(_function_months(rates), _FUNCTION)
+    own = F.struct(*[c for c in rates.columns if c not in _FUNCTION])
+    held = rates.dropna("any", subset=_FUNCTION).groupBy(*_FUNCTION).agg(F.collect_list(own).alias("held"))
+    months = _function_months(rates).join(held, _FUNCTION)
     hc = "try_element_at(staff_here, deptid)" if _by_department(rates) else "staff_here"
+    # What the units of a function share is worked out once, before they are listed.
     return (
-        _shared(projects.join(units, "div"), _by_department(rates))
+        _shared(projects.join(months, "div"), _by_department(rates))
+        .select("*", F.inline("held")).drop("held")
         .withColumn("hc", F.expr(f"coalesce({hc}, 0D)"))
         .withColumn("emp", F.expr("emp_cnt + hc"))
         .withColumn("emp_pct", F.expr(numeric.safe_div("emp", "emp_all")))
