@@ -97,13 +97,18 @@ def history_report(fact: DataFrame, end: dt.date | None = None) -> DataFrame:
     return by_month.groupBy("Div", "Type", "Title").agg(*[F.expr(m) for m in months])
 
 
-def headcount_report(units: Units, scenarios: DataFrame, headcount: DataFrame) -> DataFrame:
-    """Report of scenarios that only add head count, departments and functions."""
+def headcount_report(
+    units: Units, scenarios: DataFrame, headcount: DataFrame, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """Report of scenarios that only add head count, departments and functions.
+
+    ``also`` may name the user, who then goes along with the scenario.
+    """
     departments = what_if.hc_what_if_department(
         scenarios, units.departments, units.department_functions, headcount
     )
     functions = what_if.hc_what_if_function(scenarios, units.functions, headcount)
-    return departments.unionByName(functions).select(*REPORT_COLUMNS)
+    return departments.unionByName(functions).select(*REPORT_COLUMNS, *also)
 
 
 @dataclass(frozen=True)
@@ -172,16 +177,20 @@ def prepare_projects(
     return ProjectPlan(modelled, modes, staff, effects)
 
 
-def project_report(units: Units, scenarios: DataFrame, plan: ProjectPlan) -> DataFrame:
+def project_report(
+    units: Units, scenarios: DataFrame, plan: ProjectPlan, also: tuple[str, ...] = ()
+) -> DataFrame:
     """Report of scenarios that start new projects, departments and functions."""
     departments = what_if.project_what_if_department(
         scenarios, units.departments, units.department_functions, plan.effects, plan.staff
     )
     functions = what_if.project_what_if_function(scenarios, units.functions, plan.effects)
-    return departments.unionByName(functions).select(*REPORT_COLUMNS)
+    return departments.unionByName(functions).select(*REPORT_COLUMNS, *also)
 
 
-def combined_report(units: Units, headcount: DataFrame, plan: ProjectPlan) -> DataFrame:
+def combined_report(
+    units: Units, headcount: DataFrame, plan: ProjectPlan, also: tuple[str, ...] = ()
+) -> DataFrame:
     """Every accepted scenario by the branch its mode asks for.
 
     A branch that no scenario asks for is left out of the plan: a single call plans one.
@@ -192,11 +201,11 @@ def combined_report(units: Units, headcount: DataFrame, plan: ProjectPlan) -> Da
         return plan.scenarios.where(F.col("mode") == mode)
 
     if "headcount" not in modes:
-        return project_report(units, of("projects"), plan)
-    heads_only = headcount_report(units, of("headcount"), headcount)
+        return project_report(units, of("projects"), plan, also)
+    heads_only = headcount_report(units, of("headcount"), headcount, also)
     if "projects" not in modes:
         return heads_only
-    return heads_only.unionByName(project_report(units, of("projects"), plan))
+    return heads_only.unionByName(project_report(units, of("projects"), plan, also))
 
 
 def score_scenarios(
@@ -262,8 +271,7 @@ def answer_requests(
     heads = prepare_headcount(headcount)
     modelled = model_plan(counted_plan(projects), history)
     plan = prepare_projects(modelled, history, units, scenarios, heads)
-    users = scenarios.select("scenario_id", "user_id")
-    answers = combined_report(units, heads, plan).join(users, "scenario_id")
+    answers = combined_report(units, heads, plan, ("user_id",))
     refused = records.unreadable_requests(requests, save_time).unionByName(
         records.refused_texts(modelled, requests, save_time)
     )
