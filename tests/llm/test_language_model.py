@@ -160,7 +160,7 @@ def test_the_token_in_its_class_is_learned_from_its_context(spark):
     other = leaves[[0, 4, 2, 3, 1, 5, 6]]
     before = lm.inside_scores(buckets, leaves, vocabulary, learner.weights[-1])
     assert before == pytest.approx(lm.inside_scores(buckets, other, vocabulary, learner.weights[-1]))
-    for _ in range(200):
+    for _ in range(1000):
         learner.learn(buckets, classes, leaves, vocabulary)
     right, wrong = (lm.inside_scores(buckets, x, vocabulary, learner.weights[-1]) for x in (leaves, other))
     assert all(right[[1, 4]] > math.log(0.9)) and all(wrong[[1, 4]] < math.log(0.1))
