@@ -123,7 +123,9 @@ def department_outlook(projects: DataFrame, rates: DataFrame) -> DataFrame:
     Hours per head are summed over the projects of a scenario before departments come in. Added
     heads only touch the departments that get some. Missing values count as zero.
     """
-    shared = _shared(projects.join(_function_months(rates), "div"), True).withColumn(
+    # Projects are exchanged before they are multiplied by functions and months, and sums stay where they are.
+    dealt = projects.repartition("scenario_id")
+    shared = _shared(dealt.join(_function_months(rates), "div"), True).withColumn(
         "per_head", F.expr(numeric.safe_div("add_hour_adj", "emp_all"))
     )
     of_function = shared.groupBy("scenario_id", *_FUNCTION).agg(

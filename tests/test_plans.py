@@ -170,3 +170,19 @@ def test_shared_hours_are_worked_out_before_units_are_listed(spark, monkeypatch)
     rows = allocation.listing(projects, rates).collect()
     assert "deptid" not in seen[0]
     assert sorted((r.deptid or "", r.hc, r.emp, r.add_hour_pct) for r in rows) == [("", 0, 5, 5), ("d", 0, 2, 2), ("e", 10, 13, 13)]
+
+
+def test_hours_per_head_are_summed_where_projects_were_dealt(spark):
+    """Projects are exchanged; their functions and months are not."""
+    import re
+
+    from staffcast.operators import allocation
+
+    rates = spark.sql("""SELECT div, dep AS deptid, fun AS sub_job_family_2, DATE '2020-01-01' AS date,
+        emp AS emp_cnt, 100D AS total_hour FROM VALUES ('A', 'd', 'F', 2D), ('A', 'e', 'F', 3D) AS t(div, dep, fun, emp)""")
+    projects = spark.sql("""SELECT id DIV 3 AS scenario_id, concat('p', id) AS project_name, if(id < 3, 'A', 'B') AS div, 1L AS passes,
+        map('F', map(DATE '2020-01-01', 20D)) AS hours, map('F', map('e', 5D)) AS staff FROM range(0, 3, 1, 4)""")
+    outlook = allocation.department_outlook(projects, rates)
+    plan = outlook._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(scenario_id#\d+L?, div#\d+, sub_job_family_2#\d+", plan)
+    assert sorted((r.deptid, r.add_hour_pct, r.total_hour) for r in outlook.collect()) == [("d", 12, 300), ("e", 48, 300)]
