@@ -35,11 +35,16 @@ def _user(rows: DataFrame) -> list[str]:
     return [c for c in rows.columns if c == "user_id"]
 
 
-def _units(scenarios: DataFrame, sheet: DataFrame, added: DataFrame, unit: str) -> DataFrame:
-    """Every unit of the division a scenario asks about, with what is added to it.
+def _units(scenarios: DataFrame, sheet: DataFrame) -> DataFrame:
+    """Every unit of the division a scenario asks about; a user goes along where scenarios have one."""
+    return scenarios.select("scenario_id", F.col("division").alias("div"), *_user(scenarios)).join(sheet, "div")
+
+
+def _units_with(scenarios: DataFrame, sheet: DataFrame, added: DataFrame, unit: str) -> DataFrame:
+    """Every unit of the division a scenario asks about, with what is added to few of them.
 
     What is added to the units of a scenario is gathered to one map, bounded by the units, so
-    scenarios are exchanged and never their units. A user goes along where scenarios have one.
+    scenarios are exchanged and never their units.
     """
     values = [c for c in added.columns if c not in ("scenario_id", "div", unit)]
     entries = F.map_from_entries(F.collect_list(F.struct(unit, F.struct(*values))))
@@ -69,7 +74,7 @@ def hc_what_if_function(
     staff = headcount.groupBy("scenario_id", *_FUNCTION).agg(
         F.expr(f"{numeric.or_zero(numeric.strict_sum('hc'))} AS hc")
     )
-    rows = _units(scenarios, functions, staff, "sub_job_family_2")
+    rows = _units_with(scenarios, functions, staff, "sub_job_family_2")
     return _report(
         rows, rates.SUB, "sub_job_family_2", "hc",
         numeric.safe_div("hour_#", "att_# + att_emp_# * coalesce(hc, 0D)"),
@@ -101,7 +106,7 @@ def hc_what_if_department(
             changed="CASE WHEN count(rate_#) = sum(seen_#) THEN avg(rate_#) END"
         )])
     )
-    rows = _units(scenarios, departments, changed, "deptid")
+    rows = _units_with(scenarios, departments, changed, "deptid")
     return _report(
         rows, rates.DEP, "deptid", "hc",
         "CASE WHEN hc IS NULL THEN plain_# ELSE changed_# END",
@@ -171,7 +176,7 @@ def project_what_if_function(
     added = effects.selectExpr(
         "scenario_id", *_FUNCTION, "hc AS add_hc", *_steps(add_hour="hour_#")
     ).groupBy("scenario_id", *_FUNCTION).agg(F.sum("add_hc").alias("add_hc"), *_sums("add_hour"))
-    rows = _units(scenarios, functions, added, "sub_job_family_2")
+    rows = _units(scenarios, functions).join(added, ["scenario_id", *_FUNCTION], "left")
     return _report(
         rows, rates.SUB, "sub_job_family_2",
         "CASE WHEN greatest(seen_1, seen_2, seen_3) = 1 THEN add_hc END",
@@ -214,7 +219,7 @@ def project_what_if_department(
     added = by_employees.unionByName(by_headcount).groupBy("scenario_id", *_DEPARTMENT).agg(
         *_sums("add_hour", "add_att", "add_hc")
     )
-    rows = _units(scenarios, departments, added, "deptid")
+    rows = _units(scenarios, departments).join(added, ["scenario_id", *_DEPARTMENT], "left")
     hc = ", ".join(f"CASE WHEN seen_{k} = 1 THEN coalesce(add_hc_{k}, 0D) END" for k in STEPS)
     return _report(
         rows, rates.DEP, "deptid", f"greatest({hc})",
