@@ -31,26 +31,25 @@ def _sums(*names: str) -> list[Column]:
     return [F.expr(f"sum({name}_{k}) AS {name}_{k}") for name in names for k in STEPS]
 
 
-def _user(rows: DataFrame) -> list[str]:
-    return [c for c in rows.columns if c == "user_id"]
-
-
-def _units(scenarios: DataFrame, sheet: DataFrame) -> DataFrame:
-    """Every unit of the division a scenario asks about; a user goes along where scenarios have one."""
-    return scenarios.select("scenario_id", F.col("division").alias("div"), *_user(scenarios)).join(sheet, "div")
+def _along(rows: DataFrame) -> list[str]:
+    """What goes along with a scenario where it has them: the user and the key of the request."""
+    return [c for c in rows.columns if c in ("user_id", "request_id")]
 
 
 def _units_with(scenarios: DataFrame, sheet: DataFrame, added: DataFrame, unit: str) -> DataFrame:
     """Every unit of the division a scenario asks about, with what is added to few of them.
 
-    What is added to the units of a scenario is gathered to one map, bounded by the units, so
-    scenarios are exchanged and never their units.
+    What is added to the units of a scenario is gathered to one list, bounded by the units, so
+    scenarios are exchanged and never their units. All exchanges go by the scenario alone: those
+    that ``added`` or the scenarios have behind them are not made again.
     """
     values = [c for c in added.columns if c not in ("scenario_id", "div", unit)]
-    entries = F.map_from_entries(F.collect_list(F.struct(unit, F.struct(*values))))
-    named = added.where(F.col(unit).isNotNull()).groupBy("scenario_id", "div").agg(entries.alias("added"))
-    asked = scenarios.select("scenario_id", F.col("division").alias("div"), *_user(scenarios))
-    rows = asked.join(named, ["scenario_id", "div"], "left").join(sheet, "div")
+    entries = F.collect_list(F.struct("div", F.col(unit).alias("unit"), F.struct(*values).alias("of")))
+    named = added.where(F.col(unit).isNotNull()).groupBy("scenario_id").agg(entries.alias("added"))
+    asked = scenarios.select("scenario_id", F.col("division").alias("div"), *_along(scenarios))
+    here = F.expr("""map_from_entries(transform(
+        filter(added, a -> a.div = div), a -> named_struct('key', a.unit, 'value', a.of)))""")
+    rows = asked.join(named, "scenario_id", "left").withColumn("added", here).join(sheet, "div")
     return rows.withColumn("added", F.try_element_at("added", F.col(unit))).select("*", "added.*").drop("added")
 
 
@@ -63,7 +62,7 @@ def _report(rows: DataFrame, kind: str, title: str, hc: str, outlook: str) -> Da
         *_steps(b=numeric.or_zero("b_#")),
         f"{numeric.or_zero(hc)} AS hc",
         *_steps(a=numeric.or_zero(numeric.round2(outlook))),
-        *_user(rows),
+        *_along(rows),
     )
 
 
@@ -176,7 +175,7 @@ def project_what_if_function(
     added = effects.selectExpr(
         "scenario_id", *_FUNCTION, "hc AS add_hc", *_steps(add_hour="hour_#")
     ).groupBy("scenario_id", *_FUNCTION).agg(F.sum("add_hc").alias("add_hc"), *_sums("add_hour"))
-    rows = _units(scenarios, functions).join(added, ["scenario_id", *_FUNCTION], "left")
+    rows = _units_with(scenarios, functions, added, "sub_job_family_2")
     return _report(
         rows, rates.SUB, "sub_job_family_2",
         "CASE WHEN greatest(seen_1, seen_2, seen_3) = 1 THEN add_hc END",
@@ -198,9 +197,13 @@ def project_what_if_department(
 
     The hours of a department are (employees + own added head count) x hours per head.
     The employee part is summed over the projects of a scenario before departments come
-    in; the head count part only touches the departments that get head count.
+    in; the head count part only touches the departments that get head count. Both are dealt
+    by scenario before they are listed by department, so no exchange sees that list.
     """
-    per_head = effects.groupBy("scenario_id", *_FUNCTION).agg(*_sums("per_head"))
+    sums = _sums("add_hour", "add_att", "add_hc")
+    per_head = (
+        effects.groupBy("scenario_id", *_FUNCTION).agg(*_sums("per_head")).repartition("scenario_id")
+    )
     by_employees = per_head.join(department_functions, _FUNCTION).selectExpr(
         "scenario_id", *_DEPARTMENT,
         *_steps(add_hour="coalesce(emp_# * per_head_#, 0D)", add_att="0D", add_hc="0D"),
@@ -215,11 +218,9 @@ def project_what_if_department(
             add_att="coalesce(att_emp_# * hc * passes, 0D)",
             add_hc="CASE WHEN seen_# = 1 THEN hc * passes ELSE 0D END",
         ),
-    )
-    added = by_employees.unionByName(by_headcount).groupBy("scenario_id", *_DEPARTMENT).agg(
-        *_sums("add_hour", "add_att", "add_hc")
-    )
-    rows = _units(scenarios, departments).join(added, ["scenario_id", *_DEPARTMENT], "left")
+    ).groupBy("scenario_id", *_DEPARTMENT).agg(*sums).repartition("scenario_id")
+    added = by_employees.unionByName(by_headcount).groupBy("scenario_id", *_DEPARTMENT).agg(*sums)
+    rows = _units_with(scenarios, departments, added, "deptid")
     hc = ", ".join(f"CASE WHEN seen_{k} = 1 THEN coalesce(add_hc_{k}, 0D) END" for k in STEPS)
     return _report(
         rows, rates.DEP, "deptid", f"greatest({hc})",

@@ -13,7 +13,7 @@ from staffcast.operators import hours, planning, rates, what_if
 from staffcast.operators.spread import at_once, settle, settle_together
 from staffcast.plans import records
 from staffcast.schemas import REPORT_COLUMNS
-from staffcast.sources.readers import split_requests
+from staffcast.sources.readers import numbered_requests, split_requests
 
 
 #: Old projects that a scan of the fact is filtered by; a plan that names more scans all of it.
@@ -102,7 +102,7 @@ def headcount_report(
 ) -> DataFrame:
     """Report of scenarios that only add head count, departments and functions.
 
-    ``also`` may name the user, who then goes along with the scenario.
+    ``also`` may name the user and the key of the request, which then go along with the scenario.
     """
     departments = what_if.hc_what_if_department(
         scenarios, units.departments, units.department_functions, headcount
@@ -160,14 +160,14 @@ def prepare_projects(
     """Check the planned projects and work out the hours and heads they add.
 
     The planned rows are multiplied by the functions of their old project only, and are
-    summed by project before anything is joined to the units.
+    summed by project before anything is joined to the units. The modes are worked out where
+    they are read, from the settled rows, so scenarios are not written with them.
     """
     ratios = planning.project_ratio(modelled)
-    modes, staff = settle_together(
-        scenario_modes=planning.scenario_modes(scenarios, modelled),
-        project_staff=what_if.project_staff(
-            headcount, hours.project_passes(ratios), units.department_functions
-        ),
+    modes = planning.scenario_modes(scenarios, modelled)
+    staff = settle(
+        what_if.project_staff(headcount, hours.project_passes(ratios), units.department_functions),
+        "project_staff",
     )
     factors = hours.plan_factors(ratios, units.end)
     added = hours.added_hours(history.opening, factors)
@@ -263,16 +263,26 @@ def plan_scenarios(
 def answer_requests(
     requests: DataFrame, units: Units, history: History, save_time: dt.datetime | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Answers and refusals of parsed, settled requests; each request is in one of them.
+    """Answers and refusals of parsed requests; each request is in one of them.
 
-    Answers carry the user and the key of the request, refusals its whole text.
+    Answers carry the user and the key of the request, refusals its whole text. The requests are
+    read once for the answers and again for the refusals, so they are settled unless they are
+    read from files.
     """
-    scenarios, projects, headcount = split_requests(requests)
+    asked = settle(numbered_requests(requests), "asked")
+    scenarios, projects, headcount = split_requests(asked, numbered=True)
     heads = prepare_headcount(headcount)
     modelled = model_plan(counted_plan(projects), history)
     plan = prepare_projects(modelled, history, units, scenarios, heads)
-    answers = combined_report(units, heads, plan, ("user_id",))
+    answers = combined_report(units, heads, plan, ("user_id", "request_id"))
     refused = records.unreadable_requests(requests, save_time).unionByName(
-        records.refused_texts(modelled, requests, save_time)
+        records.refused_texts(keyed(modelled, scenarios), requests, save_time)
     )
-    return answers, refused
+    report = answers.withColumn("scenario_id", F.col("request_id")).drop("request_id")
+    return report, refused
+
+
+def keyed(rows: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Rows about numbered requests with the key of the request as ``scenario_id``."""
+    keys = scenarios.select("scenario_id", "request_id")
+    return rows.join(keys, "scenario_id").drop("scenario_id").withColumnRenamed("request_id", "scenario_id")

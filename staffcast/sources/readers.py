@@ -152,10 +152,33 @@ def parse_requests(lines: DataFrame) -> DataFrame:
     )
 
 
-def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scenario, planned project and planned head count tables of the requests without problem."""
-    keyed = requests.where("problem IS NULL").dropDuplicates(["scenario_id"])
-    scenarios = keyed.select("scenario_id", "division", F.col("user").alias("user_id"))
+def numbered_requests(requests: DataFrame) -> DataFrame:
+    """The distinct requests without problem, with a number as ``scenario_id``; to be settled.
+
+    The key of a request, which no table compresses, becomes ``request_id``: it stays here, and
+    what is worked out about a request goes by its number. Equal requests are found by their
+    text alone, which is parsed where it arrives, so nothing but texts is exchanged.
+    """
+    lines = requests.select(F.col("text").alias("value")).distinct()
+    return (
+        parse_requests(lines).where("problem IS NULL").drop("problem", "text")
+        .withColumnRenamed("scenario_id", "request_id")
+        .withColumn("scenario_id", F.monotonically_increasing_id())
+    )
+
+
+def split_requests(
+    requests: DataFrame, numbered: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scenario, planned project and planned head count tables of the requests without problem.
+
+    With ``numbered``, the requests are settled ``numbered_requests``, and scenarios keep their key.
+    """
+    if numbered:
+        keyed, key = requests, ["request_id"]
+    else:
+        keyed, key = requests.where("problem IS NULL").dropDuplicates(["scenario_id"]), []
+    scenarios = keyed.select("scenario_id", "division", F.col("user").alias("user_id"), *key)
     projects = keyed.select("scenario_id", "division", F.inline("data_Prj"))
     headcount = keyed.select("scenario_id", F.inline("data_HC")).drop("save_time", "user_id")
     return scenarios, projects, headcount

@@ -414,9 +414,9 @@ def _logged(log: DataFrame) -> DataFrame:
 
 
 def _answered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    requests, units, history = at_once(
+    requests = parse_requests(fixture.request_lines(spark, sf))
+    units, history = at_once(
         spark,
-        lambda: settle(parse_requests(fixture.request_lines(spark, sf)), "requests"),
         lambda: report.prepare_units(*_recent(spark, sf)),
         lambda: _history(spark, sf),
     )

@@ -186,3 +186,39 @@ def test_hours_per_head_are_summed_where_projects_were_dealt(spark):
     plan = outlook._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(scenario_id#\d+L?, div#\d+, sub_job_family_2#\d+", plan)
     assert sorted((r.deptid, r.add_hour_pct, r.total_hour) for r in outlook.collect()) == [("d", 12, 300), ("e", 48, 300)]
+
+
+def test_hours_of_new_projects_are_exchanged_before_departments_are_listed(spark):
+    """Scenarios and what their projects add are exchanged, never their departments or functions."""
+    from staffcast.operators import what_if
+
+    months = lambda text: ", ".join(text.replace("#", str(k)) for k in (1, 2, 3))
+    scenarios = spark.sql("SELECT id AS scenario_id, 'A' AS division FROM range(3)")
+    unit = months("1D AS b_#, 10D AS hour_#, 2D AS emp_#, 5D AS att_emp_#, 1 AS seen_#")
+    departments = spark.sql(f"SELECT 'A' AS div, concat('d', id) AS deptid, {unit} FROM range(1, 3)")
+    functions = spark.sql(f"SELECT 'A' AS div, fun AS sub_job_family_2, 10D AS att_1, 10D AS att_2, 10D AS att_3, {unit} FROM VALUES ('F'), ('G') AS t(fun)")
+    both = spark.sql(f"""SELECT 'A' AS div, dep AS deptid, fun AS sub_job_family_2, {months("emp AS emp_#")}
+        FROM VALUES ('d1', 'F', 1D), ('d1', 'G', 3D), ('d2', 'F', 2D) AS t(dep, fun, emp)""")
+    effects = spark.sql(f"""SELECT 1L AS scenario_id, name AS project_name, 'A' AS div, fun AS sub_job_family_2, hc,
+        {months("10D AS hour_#, per_head AS per_head_#")}
+        FROM VALUES ('p', 'F', 2D, 2D), ('p', 'G', 4D, 0D), ('q', 'F', 1D, 0D) AS t(name, fun, per_head, hc)""")
+    staff = spark.sql(f"""SELECT 1L AS scenario_id, 'p' AS project_name, 'A' AS div, 'd2' AS deptid,
+        'F' AS sub_job_family_2, 2D AS hc, 1L AS passes, {months("5D AS att_emp_#, 1 AS seen_#")}""")
+    tables = spread.settle_together(scenarios=scenarios, departments=departments, both=both, effects=effects, staff=staff)
+    by_department = what_if.project_what_if_department(*tables)
+    by_function = what_if.project_what_if_function(scenarios, functions, effects)
+    tree = by_department._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: re.search("[A-Za-z]", line).start()
+    listed = next(i for i, line in enumerate(tree) if "Union" in line)
+    above, at = [], depth(tree[listed])
+    for line in reversed(tree[:listed]):
+        if depth(line) < at:
+            above.append(line)
+            at = depth(line)
+    assert any("Aggregate" in line for line in above) and not any("hashpartitioning" in line for line in above)
+    answers = lambda df: {(r.scenario_id, r.Title): (r.hc, r.a_1, r.a_3) for r in df.collect()}
+    plain = {(i, d): (0, 1, 1) for i in (0, 2) for d in ("d1", "d2")}
+    assert answers(by_department) == plain | {(1, "d1"): (0, 2.5, 2.5), (1, "d2"): (2, 1, 1)}
+    assert answers(by_function) == {(i, f): (0, 1, 1) for i in (0, 2) for f in "FG"} | {
+        (1, "F"): (2, 1.5, 1.5), (1, "G"): (0, 2, 2),
+    }

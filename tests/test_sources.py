@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 
 import data
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from staffcast.operators.planning import scenarios_of_list
 from staffcast.operators.projects import parse_project_lines
 from staffcast.plans import records, report
+from staffcast.schemas import REPORT_COLUMNS
 from staffcast.sources import readers, writers
 from staffcast.streaming.requests import score_request_folder
 
@@ -98,6 +100,29 @@ def test_request_batch(spark, tmp_path):
     assert outlooks(rows, users) == EXPECTED
 
 
+def test_requests_are_worked_out_by_number(spark, tmp_path, monkeypatch):
+    """The key of a request is written once; what is worked out about it has a number instead."""
+    texts = [json.dumps(r) for r in REQUESTS]
+    lines = spark.createDataFrame([(t,) for t in [*texts, *texts[1:], "{}"]], "value string")
+    tables, settle = {}, report.settle
+    monkeypatch.setattr(report, "settle", lambda df, name: tables.setdefault(name, settle(df, name)))
+    units, history = report.prepare_units(company(spark)), report.prepare_history(company(spark))
+    answers, refused = report.answer_requests(readers.parse_requests(lines), units, history)
+    key = {user: hashlib.sha256(t.encode()).hexdigest() for user, t in zip(("001", "002", "003"), texts)}
+    rows = answers.collect()
+    assert answers.columns == [*REPORT_COLUMNS, "user_id"] and len(rows) == 4
+    assert outlooks(rows, {k: user for user, k in key.items()}) == EXPECTED
+    assert all(key[r["user_id"]] == r["scenario_id"] for r in rows)
+    assert sorted(r["user_input"] for r in refused.collect()) == sorted([texts[2], texts[2], "{}"])
+    worked = {"headcount", "modelled_plan", "project_staff", "project_effects"}
+    assert worked < set(tables)
+    for name in worked:
+        assert dict(tables[name].dtypes)["scenario_id"] == "bigint"
+        assert not {"request_id", "user_id"} & set(tables[name].columns)
+    optimized = answers.drop("scenario_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "request_id" not in optimized.split("Relation")[0] and "text" not in optimized
+
+
 def test_literal_rows(spark):
     request = REQUESTS[0]
     tables = readers.scenario_rows(
