@@ -140,25 +140,28 @@ def project_effects(
 
     ``hour`` are the added hours, ``hc`` the added head count, and ``per_head`` the
     hours that fall on one head when the hours are shared over all departments: added
-    hours over employees plus added head count. Hours and head count are stacked and
-    summed by one aggregation instead of being joined.
+    hours over employees plus added head count. ``has_staff`` tells whether the project plans
+    any head count in the function. Hours and head count are stacked and summed by one
+    aggregation instead of being joined.
     """
     keys = ["scenario_id", "project_name", "div", "sub_job_family_2"]
     hours = added.selectExpr(
-        *keys, "0D AS hc", "0L AS passes", *_steps(hour="hour_#", staffed="0D")
+        *keys, "0D AS hc", "0L AS passes", "false AS has_staff", *_steps(hour="hour_#", staffed="0D")
     )
     heads = staff.selectExpr(
-        *keys, "hc", "passes",
+        *keys, "hc", "passes", "true AS has_staff",
         *_steps(hour="0D", staffed="CASE WHEN seen_# = 1 THEN hc ELSE 0D END"),
     )
     summed = hours.unionByName(heads).groupBy(*keys).agg(
-        F.sum("hc").alias("hc"), F.max("passes").alias("passes"), *_sums("hour", "staffed")
+        F.sum("hc").alias("hc"), F.max("passes").alias("passes"),
+        F.max("has_staff").alias("has_staff"), *_sums("hour", "staffed"),
     )
     heads_of = functions.select(
         *_FUNCTION, *[f"{n}_{k}" for n in ("emp", "dep_emp") for k in STEPS]
     )
     return summed.join(heads_of, _FUNCTION).selectExpr(
         *keys,
+        "has_staff",
         "hc * passes AS hc",
         *_steps(
             # With no head at all in the function there is nobody to give the hours to.
@@ -210,7 +213,7 @@ def project_what_if_department(
     )
     keys = ["scenario_id", "project_name", *_FUNCTION]
     by_headcount = staff.join(
-        effects.select(*keys, *[f"per_head_{k}" for k in STEPS]), keys
+        effects.where("has_staff").select(*keys, *[f"per_head_{k}" for k in STEPS]), keys
     ).selectExpr(
         "scenario_id", *_DEPARTMENT,
         *_steps(

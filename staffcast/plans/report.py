@@ -260,16 +260,28 @@ def plan_scenarios(
     return model_plan(plan, history), history
 
 
+def prepare_requests(requests: DataFrame) -> DataFrame:
+    """The distinct requests that can be answered, numbered and settled.
+
+    Their keys are random digits, which only zstd writes in half their size.
+    """
+    return settle(numbered_requests(requests), "asked", "zstd")
+
+
 def answer_requests(
-    requests: DataFrame, units: Units, history: History, save_time: dt.datetime | None = None
+    requests: DataFrame,
+    units: Units,
+    history: History,
+    save_time: dt.datetime | None = None,
+    asked: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Answers and refusals of parsed requests; each request is in one of them.
 
     Answers carry the user and the key of the request, refusals its whole text. The requests are
     read once for the answers and again for the refusals, so they are settled unless they are
-    read from files.
+    read from tables or files that stay. ``asked`` are the same requests, prepared.
     """
-    asked = settle(numbered_requests(requests), "asked")
+    asked = prepare_requests(requests) if asked is None else asked
     scenarios, projects, headcount = split_requests(asked, numbered=True)
     heads = prepare_headcount(headcount)
     modelled = model_plan(counted_plan(projects), history)

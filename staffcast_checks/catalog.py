@@ -415,12 +415,13 @@ def _logged(log: DataFrame) -> DataFrame:
 
 def _answered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     requests = parse_requests(fixture.request_lines(spark, sf))
-    units, history = at_once(
+    asked, units, history = at_once(
         spark,
+        lambda: report.prepare_requests(requests),
         lambda: report.prepare_units(*_recent(spark, sf)),
         lambda: _history(spark, sf),
     )
-    return report.answer_requests(requests, units, history, _SAVED)
+    return report.answer_requests(requests, units, history, _SAVED, asked)
 
 
 def request_batch(spark: SparkSession, sf: str) -> DataFrame:

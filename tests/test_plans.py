@@ -199,7 +199,7 @@ def test_hours_of_new_projects_are_exchanged_before_departments_are_listed(spark
     functions = spark.sql(f"SELECT 'A' AS div, fun AS sub_job_family_2, 10D AS att_1, 10D AS att_2, 10D AS att_3, {unit} FROM VALUES ('F'), ('G') AS t(fun)")
     both = spark.sql(f"""SELECT 'A' AS div, dep AS deptid, fun AS sub_job_family_2, {months("emp AS emp_#")}
         FROM VALUES ('d1', 'F', 1D), ('d1', 'G', 3D), ('d2', 'F', 2D) AS t(dep, fun, emp)""")
-    effects = spark.sql(f"""SELECT 1L AS scenario_id, name AS project_name, 'A' AS div, fun AS sub_job_family_2, hc,
+    effects = spark.sql(f"""SELECT 1L AS scenario_id, name AS project_name, 'A' AS div, fun AS sub_job_family_2, hc, hc > 0 AS has_staff,
         {months("10D AS hour_#, per_head AS per_head_#")}
         FROM VALUES ('p', 'F', 2D, 2D), ('p', 'G', 4D, 0D), ('q', 'F', 1D, 0D) AS t(name, fun, per_head, hc)""")
     staff = spark.sql(f"""SELECT 1L AS scenario_id, 'p' AS project_name, 'A' AS div, 'd2' AS deptid,

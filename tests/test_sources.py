@@ -105,7 +105,7 @@ def test_requests_are_worked_out_by_number(spark, tmp_path, monkeypatch):
     texts = [json.dumps(r) for r in REQUESTS]
     lines = spark.createDataFrame([(t,) for t in [*texts, *texts[1:], "{}"]], "value string")
     tables, settle = {}, report.settle
-    monkeypatch.setattr(report, "settle", lambda df, name: tables.setdefault(name, settle(df, name)))
+    monkeypatch.setattr(report, "settle", lambda df, name, *how: tables.setdefault(name, settle(df, name, *how)))
     units, history = report.prepare_units(company(spark)), report.prepare_history(company(spark))
     answers, refused = report.answer_requests(readers.parse_requests(lines), units, history)
     key = {user: hashlib.sha256(t.encode()).hexdigest() for user, t in zip(("001", "002", "003"), texts)}
